@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,8 +21,14 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), path, public_tokenizers.PATTERN)
 
 
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return token_output.read_tokens(*token_output.write_tokens(documents(spark, sf_dir), path, end_id=2))
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
+    "op8_token_output": op8_token_output,
 }
 
 ORACLE_SQL: dict[str, str] = {}
