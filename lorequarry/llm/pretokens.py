@@ -8,7 +8,7 @@ import regex
 from tokenizers import Regex, pre_tokenizers
 
 #: Pieces kept by each Python worker; the cache starts anew beyond it.
-CACHE_PIECES = 250_000
+CACHE_PIECES = 700_000
 
 
 class Pieces:

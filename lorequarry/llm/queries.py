@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_output
+from . import bpe, packing, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,9 +26,15 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(*token_output.write_tokens(documents(spark, sf_dir), path, end_id=2))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return packing.pack_documents(documents(spark, sf_dir), path, end_id=0, capacity=2048)
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op8_token_output": op8_token_output,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
