@@ -75,18 +75,6 @@ def keep_by_key(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "lef
     return rows.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, on, how)
 
 
-# ---------------------------------------------------------------- places in a total order
-def with_places(df: DataFrame, name: str, order: list[str]) -> DataFrame:
-    """Staged copy of df sorted by `order` over all partitions, with _part, the number of the partition.
-
-    Ties are spread over partitions by where their rows came from, so one repeated key is no hot task.
-    """
-    tie = F.monotonically_increasing_id()
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = df.withColumn("_tie", tie).repartitionByRange(n, *order, "_tie").sortWithinPartitions(*order, "_tie")
-    return staged(ordered.drop("_tie").withColumn("_part", F.spark_partition_id()), name)
-
-
 # ---------------------------------------------------------------- Arrow text
 def strings(column: pa.Array) -> pa.Array:
     """The column as large_string without nulls (null: empty)."""
