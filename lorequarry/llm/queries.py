@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, sharding, token_output
+from . import bpe, packing, quality_rules, sharding, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), shards=8)
 
 
+def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.host_rules(documents(spark, sf_dir), host_col="source")
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_output.read_tokens(*token_output.write_tokens(documents(spark, sf_dir), path, end_id=2))
@@ -38,6 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_sharding": op3_sharding,
+    "op4_host_rules": op4_host_rules,
     "op8_token_output": op8_token_output,
     "op10_packing": op10_packing,
 }
