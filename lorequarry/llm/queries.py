@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_rules, sharding, token_output
+from . import bpe, exact_dedup, packing, quality_rules, sharding, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,10 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.host_rules(documents(spark, sf_dir), host_col="source")
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(documents(spark, sf_dir), digest_all=True)
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_output.read_tokens(*token_output.write_tokens(documents(spark, sf_dir), path, end_id=2))
@@ -43,8 +47,21 @@ QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op3_sharding": op3_sharding,
     "op4_host_rules": op4_host_rules,
+    "op6_exact_dedup": op6_exact_dedup,
     "op8_token_output": op8_token_output,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact_dedup": r"""
+        WITH t AS (
+            SELECT doc_id, length(coalesce(text, '')) AS n,
+                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+            FROM documents)
+        SELECT doc_id,
+               first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) AS keep_id,
+               count(*) OVER (PARTITION BY text_sha256) AS group_size,
+               row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) = 1 AS kept,
+               text_sha256
+        FROM t""",
+}
