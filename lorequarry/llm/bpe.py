@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import chunks
-from .pretokens import CachedEncoder
+from .pretokens import Encoder
 
 #: Pieces up to this many bytes are merged in matrices; a longer one by a heap, as its matrix would cost its square.
 MATRIX_BYTES = 256
@@ -74,16 +74,16 @@ class BytePairs:
         self.tokens = Spans(tokens)
         self.decimals = Spans([b"%d," % i for i in range(size)])
 
-    def encode_many(self, pieces: list[str]) -> list[bytes]:
-        """Ids of each piece as little-endian 32-bit bytes. A piece that is a token itself is that token."""
+    def encode_many(self, pieces: list[str]) -> list[np.ndarray]:
+        """Ids of each piece. A piece that is a token itself is that token."""
         raw = [p.encode() for p in pieces]
-        out: list[bytes | None] = [None] * len(raw)
+        out: list[np.ndarray | None] = [None] * len(raw)
         buckets: dict[int, list[int]] = {}
         for i, b in enumerate(raw):
             if (rank := self.ranks.get(b)) is not None:
-                out[i] = rank.to_bytes(4, "little")
+                out[i] = np.array([rank], np.uint32)
             elif len(b) > MATRIX_BYTES:
-                out[i] = np.array(self._by_heap(b), "<u4").tobytes()
+                out[i] = np.array(self._by_heap(b), np.uint32)
             else:
                 buckets.setdefault((max(4, len(b)) - 1).bit_length(), []).append(i)
         for bits, rows in buckets.items():
@@ -93,22 +93,22 @@ class BytePairs:
                     out[i] = ids
         return out  # type: ignore[return-value]
 
-    def _by_matrix(self, rows: list[bytes], width: int) -> list[bytes]:
+    def _by_matrix(self, rows: list[bytes], width: int) -> list[np.ndarray]:
         n = len(rows)
         size = np.fromiter(map(len, rows), np.int64, n)
         padded = np.frombuffer(b"".join(b.ljust(width, b"\0") for b in rows), np.uint8).reshape(n, width)
         columns = np.arange(width)
         ids = np.where(columns < size[:, None], self.of_byte[padded], np.int32(-1))
         pairs = self._ranks(ids)
-        out: list[bytes | None] = [None] * n
+        out: list[np.ndarray | None] = [None] * n
         row = np.arange(n)
         while True:
             at = pairs.argmin(1)  # the leftmost of the smallest
             best = pairs[np.arange(len(row)), at]
             done = best == NONE
             if done.any():  # compaction: finished rows leave the matrix
-                for i, ids_, m in zip(row[done].tolist(), ids[done].astype("<u4"), size[done].tolist(), strict=True):
-                    out[i] = ids_[:m].tobytes()
+                for i, ids_, m in zip(row[done].tolist(), ids[done].astype(np.uint32), size[done].tolist(), strict=True):
+                    out[i] = ids_[:m]
                 go = ~done
                 row, ids, pairs, size, at, best = row[go], ids[go], pairs[go], size[go], at[go], best[go]
                 if not len(row):
@@ -182,18 +182,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
 
 
-_made: dict[str, tuple[BytePairs, CachedEncoder]] = {}
+_made: dict[str, tuple[BytePairs, Encoder]] = {}
 
 
-def byte_pairs(path: str, pattern: str) -> tuple[BytePairs, CachedEncoder]:
+def byte_pairs(path: str) -> tuple[BytePairs, Encoder]:
     """The coder of a rank file, one per Python worker."""
     if path not in _made:
         pairs = BytePairs(read_ranks(path))
-        _made[path] = (pairs, CachedEncoder(pattern, pairs.encode_many))
+        _made[path] = (pairs, Encoder(pairs.encode_many))
     return _made[path]
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode whole texts and decode the ids again: id_col, n_tokens, ids_sha256, decoded_sha256, and ids if wanted.
 
     ids_sha256 is of the decimal ids joined by commas, decoded_sha256 of the decoded bytes. No shuffle:
@@ -205,13 +205,11 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, encoder = byte_pairs(ranks_path, pattern)
+        pairs, encoder = byte_pairs(ranks_path)
         for batch in batches:
             for part, texts in chunks(batch, "text"):
-                coded = encoder.encode(texts.to_pylist())
-                n = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
-                ids = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
-                last = np.cumsum(n)
+                ids, edges = encoder.encode(texts)
+                ids, last, n = ids.astype(np.int64), edges[1:], np.diff(edges)
                 digests = []
                 for table, less in ((pairs.decimals, 1), (pairs.tokens, 0)):
                     flat, ends = table.gather(ids)
@@ -220,7 +218,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
                     digests.append([hashlib.sha256(flat[a : max(a, b - less)]).hexdigest() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)])
                 columns = [part.column("id"), pa.array(n), *map(pa.array, digests)]
                 if with_ids:
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], last]).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                    columns.append(pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]

@@ -183,16 +183,16 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         seen, part_id = np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
         for batch in batches:
             for part, texts in chunks(batch):
                 rows: list[tuple[int, int, int, int, int]] = []
-                for i, ids in enumerate(encoder.encode(texts.to_pylist())):
-                    ids += end
-                    n = len(ids) // 4
+                flat, edges = encoder.encode(texts)
+                flat = np.insert(flat, edges[1:], end_id).astype("<u4")
+                for i, lo in enumerate((edges[:-1] + np.arange(len(edges) - 1)).tolist()):
+                    n = int(edges[i + 1] - edges[i]) + 1
                     edge = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]
-                    rows += [(i, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False))]
+                    rows += [(i, k, a, b - a, zlib.crc32(flat[lo + a : lo + b])) for k, (a, b) in enumerate(zip(edge, edge[1:], strict=False))]
                 which, piece, start, length, crc = np.array(rows, np.int64).reshape(-1, 5).T
                 order = np.argsort(length, kind="stable")
                 by = length[order]

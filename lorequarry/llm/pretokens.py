@@ -1,73 +1,179 @@
-"""Cutting texts into the pieces that byte-level BPE merges separately, with a bounded cache of encoded pieces."""
+"""Byte-level BPE of many texts at once: pieces are cut and looked up in numpy, and only new ones are merged.
+
+public_tokenizers.PATTERN cuts a text into runs of letters, of numbers and of other characters, each with
+one space before it if there is one, the short English endings after an apostrophe, and runs of white space.
+"""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 import regex
 from tokenizers import Regex, pre_tokenizers
 
-#: Pieces kept by each Python worker; the cache starts anew beyond it.
-CACHE_PIECES = 700_000
-
-
-class Pieces:
-    """Pieces of texts by a pattern with \\p{L} and \\p{N}, as the tokenizer libraries read it.
-
-    The regex module knows a later Unicode than they do. The few code points that only it takes for
-    letters or numbers are hidden behind a symbol while the pattern runs.
-    """
-
-    def __init__(self, pattern: str):
-        self.find = regex.compile(pattern)
-        self.mine = regex.compile(r"[\p{L}\p{N}]")
-        self.theirs = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]+"), "removed")
-        self.known: set[str] = set()
-        self.hidden: dict[int, str] = {}
+from .common import span_hashes, utf8
 
-    def __call__(self, text: str) -> list[str]:
-        if not text.isascii():
-            for c in set(text) - self.known:
-                self.known.add(c)
-                if self.mine.match(c) and self.theirs.pre_tokenize_str(c):
-                    self.hidden[ord(c)] = "␀"
-            if self.hidden and any(chr(c) in text for c in self.hidden):
-                return [text[m.start() : m.end()] for m in self.find.finditer(text.translate(self.hidden))]
-        return self.find.findall(text)
+#: Slots of a worker's table of pieces; it starts anew when half of them are in use.
+TABLE_BITS = 21
+#: The endings of the pattern, after an apostrophe.
+ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
+WHITE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 
 
-class CachedEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; each distinct piece is encoded once while cached."""
-
-    def __init__(self, pattern: str, encode_many: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES):
-        self.pieces, self.encode_many, self.limit = Pieces(pattern), encode_many, limit
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cut = [self.pieces(t) for t in texts]
-        if new := list(set().union(*cut) - self.cache.keys()):
-            self.cache.update(zip(new, self.encode_many(new), strict=True))
-        return [b"".join(map(self.cache.__getitem__, p)) for p in cut]
-
-
-_library: dict[str, CachedEncoder] = {}
+class Classes:
+    """The class of each code point as the tokenizer libraries' patterns have it, found when first met.
 
+    The regex module knows a later Unicode than they do, so letters and numbers are asked of them.
+    """
 
-def library_encoder(path: str) -> CachedEncoder:
+    def __init__(self) -> None:
+        self.table = np.full(0x110000, UNKNOWN, np.uint8)
+        self.white, self.letter, self.number = (regex.compile(p) for p in (r"\s", r"\p{L}", r"\p{N}"))
+        self.theirs = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "removed")
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        out = self.table[points]
+        if (out == UNKNOWN).any():
+            for c in np.unique(points[out == UNKNOWN]).tolist():
+                self.table[c] = self._of(chr(c))
+            out = self.table[points]
+        return out
+
+    def _of(self, c: str) -> int:
+        if self.white.match(c):
+            return WHITE
+        kind = LETTER if self.letter.match(c) else NUMBER if self.number.match(c) else OTHER
+        return OTHER if kind != OTHER and self.theirs.pre_tokenize_str(c) else kind
+
+
+def piece_starts(points: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Where the pieces of the pattern start in code points of several documents, which start at `at`."""
+    n = len(points)
+    first = np.zeros(n + 1, bool)
+    first[at] = True
+    first = first[:n]
+    white = kinds == WHITE
+    start = first.copy()
+    start[1:] |= kinds[1:] != kinds[:-1]
+    joined = start & ~white & ~first  # the space before a run belongs to it
+    joined[1:] &= points[:-1] == 32
+    start &= ~joined
+    start[:-1] |= white[:-1] & ~white[1:] & ~first[1:]  # the last of several white spaces before a run
+    quote = np.flatnonzero(start & (points == 39))
+    end_of = np.append(at[1:], n)[np.searchsorted(at, quote, "right") - 1] if len(quote) else quote
+    for ending in ENDINGS:
+        fits = quote + len(ending) < end_of
+        for k, c in enumerate(ending, 1):
+            fits[fits] = points[quote[fits] + k] == ord(c)
+        start[quote[fits] + 1] = False
+        after = quote[fits] + len(ending) + 1
+        start[after[after < n]] = True
+    return np.flatnonzero(start)
+
+
+class PieceTable:
+    """Open-addressing table from the 64-bit hash of a piece to its ids, looked up for many at once."""
+
+    def __init__(self, bits: int = TABLE_BITS):
+        self.bits, self.mask = bits, (1 << bits) - 1
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.value = np.full(1 << self.bits, -1, np.int32)
+        self.used, self.probes = 0, 1
+        self.start, self.size = np.zeros(1 << self.bits - 1, np.int64), np.zeros(1 << self.bits - 1, np.int64)
+        self.flat, self.filled = np.zeros(1 << 16, np.uint32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.where(self.keys[slot] == keys, self.value[slot], -1)
+        rest = np.flatnonzero((out < 0) & (self.value[slot] >= 0))
+        slot = slot[rest]
+        for _ in range(self.probes - 1):
+            if not len(rest):
+                break
+            slot = (slot + 1) & self.mask
+            value = self.value[slot]
+            hit = (self.keys[slot] == keys[rest]) & (value >= 0)
+            out[rest[hit]] = value[hit]
+            go = ~hit & (value >= 0)
+            rest, slot = rest[go], slot[go]
+        return out
+
+    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
+        """Add keys that aren't there."""
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        new = np.arange(self.used, self.used + len(keys))
+        self.size[new] = size
+        self.start[new] = self.filled + np.cumsum(size) - size
+        end = self.filled + int(size.sum())
+        while end > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.filled : end] = np.concatenate(ids)
+        self.used, self.filled = self.used + len(keys), end
+        slot, left, probes = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys)), 0
+        while len(left):
+            probes += 1
+            free = left[self.value[slot[left]] < 0]
+            self.keys[slot[free]], self.value[slot[free]] = keys[free], new[free]  # of several for one slot the last one wins
+            left = left[self.value[slot[left]] != new[left]]
+            slot[left] = (slot[left] + 1) & self.mask
+        self.probes = max(self.probes, probes)
+
+
+class Encoder:
+    """Ids of whole texts. encode_many gives the ids of pieces, each merged on its own."""
+
+    def __init__(self, encode_many: Callable[[list[str]], list[np.ndarray]], bits: int = TABLE_BITS):
+        self.encode_many, self.classes, self.table = encode_many, Classes(), PieceTable(bits)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row (uint32), and where the ids of each text start and the last one's end."""
+        raw, at = utf8(texts)
+        text = raw.tobytes().decode()
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at]
+        starts = piece_starts(points, at, self.classes(points))
+        ends = np.append(starts[1:], len(points))[: len(starts)]
+        keys = span_hashes(points, starts, ends)
+        found = self.table.find(keys)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            new, where = np.unique(keys[missing], return_index=True)
+            if self.table.used + len(new) > len(self.table.size):
+                self.table.clear()
+                new, where = np.unique(keys, return_index=True)
+                missing = np.arange(len(keys))
+            if len(new) > len(self.table.size):  # one text with more pieces than the table holds
+                self.table = PieceTable(self.table.bits + 1)
+                return self.encode(texts)
+            pieces = [text[starts[i] : ends[i]] for i in missing[where].tolist()]
+            self.table.add(new, self.encode_many(pieces))
+            found[missing] = self.table.find(keys[missing])
+        size = self.table.size[found]
+        last = np.concatenate([[0], np.cumsum(size)])
+        ids = self.table.flat[np.arange(last[-1]) + np.repeat(self.table.start[found] - last[:-1], size)]
+        return ids, last[np.searchsorted(starts, at)]
+
+
+_library: dict[str, Encoder] = {}
+
+
+def library_encoder(path: str) -> Encoder:
     """The encoder of a byte-level tokenizer file of the tokenizers library, one per Python worker."""
     if path not in _library:
-        import numpy as np
-        import public_tokenizers
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
 
-        def encode_many(pieces: list[str]) -> list[bytes]:
-            out = tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in out]
+        def encode_many(pieces: list[str]) -> list[np.ndarray]:
+            return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-        _library[path] = CachedEncoder(public_tokenizers.PATTERN, encode_many)
+        _library[path] = Encoder(encode_many)
     return _library[path]

@@ -64,15 +64,16 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for part, texts in chunks(batch):
-                ids = [np.frombuffer(b + end, "<u4") for b in encoder.encode(texts.to_pylist())]
-                narrow = [(b.astype("<u2") if b.max() <= 0xFFFF else b).tobytes() for b in ids]
+                flat, edges = encoder.encode(texts)
+                flat = np.insert(flat, edges[1:], end_id)
+                edges = edges + np.arange(len(edges))
+                flat = flat.astype("<u2" if flat.max() <= 0xFFFF else "<u4")
                 key = part.column("doc_id")
                 place = np.searchsorted(bounds, key.cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False))
-                n = pa.array([len(b) for b in ids], pa.int64())
-                yield pa.RecordBatch.from_arrays([key, n, pa.array(narrow, pa.binary()), pa.array(place.astype(np.int32))], ["doc_id", "n_tokens", "ids", "_part"])
+                ids = pa.array([flat[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(edges)), ids, pa.array(place.astype(np.int32))], ["doc_id", "n_tokens", "ids", "_part"])
 
     def add_start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
