@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, near_dedup, packing, quality_rules, sharding, token_output
+from . import bpe, exact_dedup, language_id, license_scan, near_dedup, packing, quality_rules, sharding, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +47,10 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_tokens(*token_output.write_tokens(documents(spark, sf_dir), path, end_id=2))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return packing.pack_documents(documents(spark, sf_dir), path, end_id=0, capacity=2048)
@@ -59,9 +64,40 @@ QUERIES: dict[str, Query] = {
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_output": op8_token_output,
+    "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
 }
 
+def _license_sql() -> str:
+    phrases = ", ".join(f"('{label}', {words.split()!r})" for words, label in license_scan.PHRASES.items())
+    templates = ", ".join(f"({k}, '{label}', {sorted(set(words.split()))!r})" for k, (label, words) in enumerate(license_scan.TEMPLATES))
+    letters = f"translate(%s, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    words = r"list_filter(string_split_regex(" + letters + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    return f"""
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        w AS (SELECT doc_id, {words % "text"} AS words FROM t),
+        i AS (SELECT doc_id, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+        places AS (
+            SELECT doc_id, label, i - 1 AS start
+            FROM i, (VALUES {phrases}) AS p(label, phrase)
+            WHERE words[i] = phrase[1] AND words[i : i + len(phrase) - 1] = phrase),
+        base AS (
+            SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
+                   list(DISTINCT label) AS own FROM places GROUP BY doc_id),
+        lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
+        sets AS (SELECT doc_id, list_distinct({words % "line"}) AS held FROM lines),
+        found AS (
+            SELECT doc_id, label, len(list_intersect(held, words)) / len(words) AS part
+            FROM sets, (VALUES {templates}) AS m(k, label, words)
+            WHERE len(list_intersect(held, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
+        more AS (SELECT doc_id, list(DISTINCT label) AS more, max(part) AS best FROM found GROUP BY doc_id)
+        SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+               array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,
+               array_to_string(list_sort(list_distinct(list_concat(coalesce(own, []), coalesce(more, [])))), ',') AS labels,
+               CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+        FROM w LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op6_exact_dedup": r"""
         WITH t AS (
@@ -74,4 +110,5 @@ ORACLE_SQL: dict[str, str] = {
                row_number() OVER (PARTITION BY text_sha256 ORDER BY n DESC, doc_id) = 1 AS kept,
                text_sha256
         FROM t""",
+    "op9_license_scan": _license_sql(),
 }
