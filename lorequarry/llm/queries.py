@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, license_scan, near_dedup, packing, quality_rules, sharding, token_output
+from . import bpe, exact_dedup, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, token_output
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,6 +34,11 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.host_rules(documents(spark, sf_dir), host_col="source")
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_classifier.classify(documents(spark, sf_dir), quality_classifier.ratings_of(labels))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir), digest_all=True)
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op2_language": op2_language,
     "op3_sharding": op3_sharding,
     "op4_host_rules": op4_host_rules,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_near_dedup": op7_near_dedup,
     "op8_token_output": op8_token_output,
