@@ -1,18 +1,68 @@
-"""The corpus pipeline: stages of the llm operators, each reading what its predecessor has written."""
+"""The corpus pipeline: quality rules, quality classifier, exact dedup, MinHash near-dedup, packing.
+
+Each stage reads the Parquet table that its predecessor wrote and works on all of it. Part of the subpackage
+lorequarry.llm, and absent with it.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lorequarry.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
+from lorequarry.llm.common import drop_by_key, staged
+
+
+def _without(docs: DataFrame, verdict: DataFrame, name: str) -> DataFrame:
+    """The documents that the verdict keeps, with all their columns. Rows that share an id share the worst verdict."""
+    gone = staged(verdict.filter(~F.col("kept")).select("doc_id").distinct(), name)
+    return drop_by_key(docs, gone, "doc_id")
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what the base rule or the verdict on its host rejects."""
+    return _without(docs, quality_rules.host_rules(docs, host_col="source"), "rejected_rules")
+
+
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what is unlikely to get the top grade."""
+    ratings = quality_classifier.ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, quality_classifier.classify(docs, ratings), "rejected_grades")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one of equal texts."""
+    return exact_dedup.keep_distinct(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the first document of each component of near-duplicates."""
+    return _without(docs, near_dedup.near_dedup(docs), "near_copies")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack what is left into sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, capacity=2048)
 
-import lorequarry.llm  # noqa: F401  part of that subpackage: absent together
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", rules),
+    ("quality_classifier", classifier),
+    ("exact_dedup", exact),
+    ("near_dedup", near),
+    ("best_fit_packing", pack),
+]
 
+# A classifier, MinHash and a tokenizer have no SQL; tests/llm holds the pipeline against a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents."""
-    raise NotImplementedError
+    """Apply all stages to the documents, each on what the one before has written."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return docs

@@ -78,8 +78,8 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if not mixed.limit(1).count():
         return left
     columns = docs.columns
-    some = docs.withColumn("_sha", F.sha2(normal(docs[text_col]), 256))
-    on = some[id_col].eqNullSafe(mixed[id_col]) & (some["_sha"] == mixed["text_sha256"])
-    longest = some.join(mixed, on, "left_semi").withColumn("_size", F.length(F.coalesce(docs[text_col], F.lit(""))))
-    one = longest.groupBy("_sha").agg(F.max_by(F.struct(*[longest[c] for c in columns]), F.struct("_size")).alias("_row"))
-    return left.unionByName(one.select("_row.*"))
+    some = docs.withColumn("__lq_sha", F.sha2(normal(docs[text_col]), 256))
+    on = some[id_col].eqNullSafe(mixed[id_col]) & (some["__lq_sha"] == mixed["text_sha256"])
+    longest = some.join(mixed, on, "left_semi").withColumn("__lq_size", F.length(F.coalesce(docs[text_col], F.lit(""))))
+    one = longest.groupBy("__lq_sha").agg(F.max_by(F.struct(*[longest[c] for c in columns]), F.struct("__lq_size")).alias("__lq_row"))
+    return left.unionByName(one.select("__lq_row.*"))
