@@ -5,7 +5,8 @@ the least hash that falls in it; an empty bin takes the value of the first full
 that all documents share. ROWS bins make a bucket key. In a bucket only edges to its smallest class are
 candidates, which are confirmed on the full sets. Where that leaves a bucket with more than one component,
 the classes outside its largest component are compared with all others of the bucket, so that no link
-between two texts of a bucket is lost. Before the full sets are read, a sketch of a bit for each bin must be
+between two texts of a bucket is lost; in buckets of more than LARGE classes, which mostly share a passage
+that is common, an exact join on the rarest shingles finds these pairs. Before the full sets are read, a sketch of a bit for each bin must be
 near enough: within 5.5 standard deviations of what sets at the threshold show.
 """
 
@@ -15,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import attach_groups, chunks, keep_by_key, mix, span_hashes, staged, utf8, words
@@ -30,6 +31,8 @@ BINS, ROWS = 256, 5
 DEVIATIONS = 5.5
 #: Pairs that the copy of a set is compared with in a task.
 PAIRS_PER_COPY = 500
+#: Classes of a bucket beyond which its open pairs are found by their rarest shingles.
+LARGE = 64
 #: Longs of a sketch.
 SKETCH = ["s0", "s1", "s2", "s3"]
 
@@ -146,20 +149,49 @@ def likely(a: str, b: str) -> Column:
     return (100 * least >= PERCENT * most) & (differ <= BINS * away / 2 + DEVIATIONS * spread)
 
 
+def mixed(rows: DataFrame, key: str) -> DataFrame:
+    """The rows of keys with more than one label, with `major`, the key's commonest label."""
+    by_label = rows.groupBy(key, "label").agg(F.count("*").alias("n"))
+    keys = by_label.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
+    return rows.join(keys, key)
+
+
+def open_pairs(rows: DataFrame, key: str) -> DataFrame:
+    """Likely pairs (a, b) that share a key and differ in label. One of them isn't of the key's commonest label."""
+    found = staged(mixed(rows, key), "open")
+    few, every = found.filter("label <> major").alias("m"), found.alias("o")
+    once = (F.col("o.label") == F.col("o.major")) | (F.col("m.rep") < F.col("o.rep"))
+    met = few.join(every, (F.col(f"m.{key}") == F.col(f"o.{key}")) & (F.col("m.label") != F.col("o.label")) & once & likely("m", "o"))
+    return met.select(F.least("m.rep", "o.rep").alias("a"), F.greatest("m.rep", "o.rep").alias("b"))
+
+
+def rarest(sets: DataFrame) -> DataFrame:
+    """The shingles of each class that are its rarest here: as many as a linked class can't do without."""
+    each = sets.withColumn("shingle", F.explode("shingles")).drop("shingles")
+    rarity = each.groupBy("shingle").agg(F.count("*").alias("df"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
+    needed = F.ceil(F.col("n_shingles") * PERCENT / 100)
+    return each.join(rarity, "shingle").withColumn("place", place).filter(F.col("place") <= F.col("n_shingles") - needed + 1).drop("df", "place")
+
+
 class Linker:
     """Confirms pairs on the full sets of the documents; texts are read again only for classes in a pair."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         self.docs, self.id_col, self.text_col = docs, id_col, text_col
 
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """The staged sets (doc_id, shingles) of the documents with these ids (one column)."""
+        named = ids.select(F.col(ids.columns[0]).alias(self.id_col)).distinct()
+        return staged(shingle_sets(keep_by_key(self.docs, named, [self.id_col]), self.id_col, self.text_col), "sets")
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The staged pairs (a, b) whose sets reach the threshold."""
         spark = pairs.sparkSession
         total = pairs.count()
         if not total:
             return spark.createDataFrame([], pairs.schema)
-        ends = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", self.id_col)
-        sets = staged(shingle_sets(keep_by_key(self.docs, ends, [self.id_col]), self.id_col, self.text_col), "sets")
+        sets = self.sets(pairs.select("a").union(pairs.select("b")))
         counts = staged(pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / PAIRS_PER_COPY)), "pair_counts")
         dealt = attach_groups(pairs, counts, ["a"], "n", total).withColumn("copy", F.pmod(F.xxhash64("b"), "copies"))
         left = sets.join(counts, sets["doc_id"] == counts["a"]).select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy"), F.col("shingles").alias("x"))
@@ -215,11 +247,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     digest = ["d1", "d2"]
     own = [*digest, "n_shingles", *SKETCH]
     classes = staged(signed.filter(node).groupBy(*own).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_docs"), F.first("bands").alias("bands")), "classes")
-    members = classes.select(F.explode("bands").alias("bucket"), "rep", "n_shingles", *SKETCH)
-    counted = members.select("bucket", "rep").groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("size"))
+    members = classes.select(F.explode("bands").alias("bucket"), "rep")
+    counted = members.groupBy("bucket").agg(F.min("rep").alias("centre"), F.count("*").alias("size"))
     shared = staged(counted.filter("size > 1"), "buckets")
-    n = classes.count()
-    grouped = staged(attach_groups(members, shared, ["bucket"], "size", n), "members")
+    met = staged(attach_groups(members, shared, ["bucket"], "size", classes.count()), "met")
+    grouped = staged(met.join(classes.select("rep", "n_shingles", *SKETCH), "rep"), "members")
     centres = classes.select(F.col("rep").alias("centre"), "n_shingles", *SKETCH)
     hubs = staged(centres.join(shared.select("centre").distinct(), "centre", "left_semi"), "hubs")
     star = grouped.filter("rep <> centre").select("centre", "rep", "n_shingles", *SKETCH).distinct().alias("m").join(hubs.alias("c"), F.col("m.centre") == F.col("c.centre")).filter(likely("m", "c"))
@@ -227,14 +259,13 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     links = linker.confirm(staged(star.select(F.col("c.centre").alias("a"), F.col("m.rep").alias("b")), "star"))
     # Buckets that still hold more than one component: the classes outside the largest against all others.
     labels = components(links)
-    known = grouped.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).drop("centre", "size")
+    known = grouped.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).drop("centre")
     known = staged(known, "labelled")
-    by_label = known.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-    mixed = staged(by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).filter("labels > 1").drop("labels"), "mixed")
-    open_ = staged(known.join(mixed, "bucket"), "open")
-    few, all_ = open_.filter("label <> major").alias("m"), open_.alias("o")
-    rest = few.join(all_, (F.col("m.bucket") == F.col("o.bucket")) & (F.col("m.label") != F.col("o.label")) & ((F.col("o.label") == F.col("o.major")) | (F.col("m.rep") < F.col("o.rep"))) & likely("m", "o"))
-    pairs = rest.select(F.least("m.rep", "o.rep").alias("a"), F.greatest("m.rep", "o.rep").alias("b")).distinct()
+    small = open_pairs(known.filter(F.col("size") <= LARGE), "bucket")
+    large = staged(mixed(known.filter(F.col("size") > LARGE), "bucket"), "large").select("rep", "n_shingles", "label", *SKETCH).distinct()
+    sets = linker.sets(large.select("rep"))
+    rare = staged(rarest(sets.withColumnRenamed("doc_id", "rep").join(large, "rep")), "rarest")
+    pairs = small.union(open_pairs(rare, "shingle")).distinct()
     more = linker.confirm(staged(pairs, "completing"))
     if more.limit(1).count():
         labels = components(links.union(more))
