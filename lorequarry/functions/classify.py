@@ -1,0 +1,104 @@
+"""Gates that class texts by patterns and dictionaries. The dictionaries are arguments with defaults."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# The patterns of the cognitive classes and of sensitive content.
+ONE_TIME = [
+    r"(?i)^(请|能不能|帮我|可以吗|麻烦|帮忙)",
+    r"(?i)^(can you|could you|please|help me|would you)",
+    r"(?i)^(how do|how to|how can|what should|should i)",
+    r"(?i)^(给我|看看|检查|分析一下)",
+    r"(?i)(能不能|可以吗|好吗|行吗)\s*[?？]?\s*$",
+    r"(?i)this session is being continued from",
+    r"(?i)summary below covers the earlier portion",
+    r"(?i)^(为什么|怎么|如何|what|why|how)\s",
+    r"(?i)^(ok|okay|好的|收到|明白|got it|thanks|thank you)",
+]
+PREFERENCE = [
+    r"(我们团队|团队习惯|我更喜欢|我们约定|约定|规范|习惯|我们一般用|我们总是|以后都)",
+    r"(?i)(we prefer|our team|we use|convention|we always|our practice|our convention)",
+]
+CORRECTIVE = [
+    r"(需要|应该|必须|改成|修改|添加|使用|不要|避免|别用|记得|务必)",
+    r"(?i)(need to|should|must|change to|modify|add|use|fix|prevent|don't|avoid|never|remove|remember to|always)",
+]
+TECHNICAL = [
+    r"[\w]+\(.*\)",
+    r"[\w]+\.\w+",
+    r"`[^`]+`",
+    r"(?i)(function|method|class|interface|type|const|let|var|import|export|async|await|return|def|public|private|static)",
+    r"(?i)(query|mutation|endpoint|route|handler|middleware|schema|component|service|module)",
+    r"(循环|对象|实例|函数|方法|接口|模块|组件|缓存|数据库|索引|线程|进程|内存|并发|异步|请求|响应|服务|部署|构建|编译|测试|配置|日志|异常|错误|性能|优化|路由|参数|变量|类型|协议|端口|算法)",
+    r"(?i)(GC|CPU|GPU|I/O|IO|SQL|API|JSON|XML|HTTP|HTTPS|TCP|UDP|RPC|REST|GraphQL|OAuth|JWT)",
+]
+SENSITIVE = [
+    r"(?i)sk-[a-zA-Z0-9]{20,}",
+    r"AKIA[0-9A-Z]{16}",
+    r"ghp_[a-zA-Z0-9]{36}",
+    r"""(?i)(api[_-]?key|secret|token|password|passwd|access[_-]?key|private[_-]?key|私钥|密钥)\s*[:=]\s*["']?[^\s"']{4,}""",
+    r"(?i)(?:https?|postgres|postgresql|mysql|mongodb|mongodb\+srv|redis|ftp|amqp)://[^\s:@]+:[^\s:@]+@",
+    r"(C:\\[^\s]+|/home/[^\s]+|/Users/[^\s]+)",
+    r"(192\.168\.|10\.\d+\.|172\.(1[6-9]|2\d|3[01])\.)",
+    r"(?i)(localhost|127\.0\.0\.1)",
+]
+
+
+def any_match(text: Column, patterns: list[str]) -> Column:
+    out = F.lit(False)
+    for p in patterns:
+        out = out | text.rlike(p)
+    return out
+
+
+def any_word(text: Column, words: list[str]) -> Column:
+    """Whether a word stands anywhere in the text, in either case."""
+    low = F.lower(text)
+    out = F.lit(False)
+    for w in words:
+        out = out | low.contains(w.lower())
+    return out
+
+
+def info_class(text: Column, one_time=ONE_TIME, preference=PREFERENCE, corrective=CORRECTIVE, technical=TECHNICAL) -> Column:
+    """one-time, preference, experience (corrective and technical) or fact (technical); one-time if nothing fits."""
+    t = F.trim(F.coalesce(text, F.lit("")))
+    fixes, details = any_match(t, corrective), any_match(t, technical)
+    return F.when(any_match(t, one_time), "one-time").when(any_match(t, preference), "preference").when(fixes & details, "experience").when(details, "fact").otherwise("one-time")
+
+
+def sensitive(text: Column, patterns=SENSITIVE) -> Column:
+    return any_match(F.coalesce(text, F.lit("")), patterns)
+
+
+def content_category(text: Column, code: list[str], business: list[str], reject: float = 0.6, pure: float = 0.3) -> Column:
+    """struct(category, allowed): by the business part of the dictionary words found; without any it is general."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    count = lambda ws: sum((F.when(low.contains(w.lower()), 1).otherwise(0) for w in ws), F.lit(0))
+    c, b = count(code), count(business)
+    ratio = F.when(c + b > 0, b / (c + b))
+    category = F.when(c + b == 0, "general").when(ratio > reject, "business").when(ratio <= pure, "code").otherwise("mixed")
+    return F.struct(category.alias("category"), (F.coalesce(ratio, F.lit(0.0)) <= reject).alias("allowed"))
+
+
+def write_gate(text: Column, category: Column, minimum: int = 3) -> Column:
+    """First reason not to keep a statement, or keep."""
+    return F.when(F.length(F.trim(text)) < minimum, "too_short").when(category == "business", "business").when(info_class(text) == "one-time", "ephemeral").otherwise("keep")
+
+
+def acknowledgement(text: Column) -> Column:
+    """Whether a message only confirms or is at most two characters long."""
+    return (F.length(F.trim(text)) <= 2) | F.lower(F.trim(text)).rlike(r"^(ok|okay|yes|no|sure|thanks|thank you|got it|好的|好|是的|嗯|收到|明白|谢谢)[.!。！]*$")
+
+
+def quality(text: Column, keywords: Column) -> Column:
+    """struct(clarity, specificity, actionability, overall, issues) of a rule's text."""
+    n = F.length(text)
+    clarity = F.when(n.between(20, 500), 0.8).when(n > 500, 0.6).otherwise(0.4)
+    specificity = F.least(F.lit(1.0), 0.3 + 0.1 * F.size(keywords) + F.when(text.rlike(r"\d"), 0.1).otherwise(0.0))
+    action = F.when(text.rlike(r"(?i)\b(use|avoid|add|never|always|must|should)\b"), 0.8).otherwise(0.4)
+    overall = clarity * 0.4 + specificity * 0.3 + action * 0.3
+    issues = F.filter(F.array(F.when(clarity < 0.5, "unclear"), F.when(specificity < 0.5, "vague"), F.when(action < 0.5, "not_actionable")), lambda x: x.isNotNull())
+    return F.struct(clarity.alias("clarity"), F.round(specificity, 6).alias("specificity"), action.alias("actionability"), F.round(overall, 6).alias("overall"), issues.alias("issues"))

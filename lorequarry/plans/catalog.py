@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import queries_memory, queries_search, queries_stats
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = queries_search.QUERIES | queries_stats.QUERIES | queries_memory.QUERIES
+ORACLE_SQL = queries_search.ORACLE_SQL | queries_stats.ORACLE_SQL | queries_memory.ORACLE_SQL
