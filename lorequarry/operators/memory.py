@@ -75,7 +75,7 @@ def rule_support(links: DataFrame, memories: DataFrame) -> DataFrame:
     scored = memories.select("memory_id", scoring.support(*own, F.col("state") == "promoted", F.lit(0.5)).alias("s"))
     found = links.join(scored, "memory_id", "left").groupBy("rule_id").agg(F.count("memory_id").alias("wanted"), F.avg("s").alias("mean"))
     value = F.when(F.col("wanted") == 0, 0.5).when(F.col("mean").isNull(), 0.35).otherwise(scoring.clamp(F.col("mean")))
-    return found.select("rule_id", F.round(value + 1e-9, 6).alias("support")  # a mean just below a tie rounds as one just above)
+    return found.select("rule_id", F.round(value + 1e-9, 6).alias("support"))  # a mean just below a tie rounds as one just above
 
 
 def promotions(memories: DataFrame) -> DataFrame:
