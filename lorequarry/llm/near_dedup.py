@@ -6,7 +6,7 @@ that all documents share. ROWS bins make a bucket key. In a bucket only edges to
 candidates, which are confirmed on the full sets. Where that leaves a bucket with more than one component,
 the classes outside its largest component are compared with all others of the bucket, so that no link
 between two texts of a bucket is lost; in buckets of more than LARGE classes, which mostly share a passage
-that is common, an exact join on the rarest shingles finds these pairs. Before the full sets are read, a sketch of a bit for each bin must be
+that is common or are a family of copies with many changes, common shingles are counted in blocks. Before the full sets are read, a sketch of a bit for each bin must be
 near enough: within 5.5 standard deviations of what sets at the threshold show.
 """
 
@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import attach_groups, chunks, keep_by_key, mix, span_hashes, staged, utf8, words
@@ -31,8 +31,10 @@ BINS, ROWS = 256, 5
 DEVIATIONS = 5.5
 #: Pairs that the copy of a set is compared with in a task.
 PAIRS_PER_COPY = 500
-#: Classes of a bucket beyond which its open pairs are found by their rarest shingles.
+#: Classes of a bucket beyond which its open classes are compared in blocks.
 LARGE = 64
+#: Queries in a block, and classes that a task compares them with.
+QUERIES, MEMBERS = 1000, 4000
 #: Longs of a sketch.
 SKETCH = ["s0", "s1", "s2", "s3"]
 
@@ -165,13 +167,80 @@ def open_pairs(rows: DataFrame, key: str) -> DataFrame:
     return met.select(F.least("m.rep", "o.rep").alias("a"), F.greatest("m.rep", "o.rep").alias("b"))
 
 
-def rarest(sets: DataFrame) -> DataFrame:
-    """The shingles of each class that are its rarest here: as many as a linked class can't do without."""
-    each = sets.withColumn("shingle", F.explode("shingles")).drop("shingles")
-    rarity = each.groupBy("shingle").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "shingle"))
-    needed = F.ceil(F.col("n_shingles") * PERCENT / 100)
-    return each.join(rarity, "shingle").withColumn("place", place).filter(F.col("place") <= F.col("n_shingles") - needed + 1).drop("df", "place")
+def block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between classes of different labels that share a bucket, by counting common shingles in blocks.
+
+    rows: bucket, rep, label, major, all classes of the buckets; sets: doc_id, shingles. The queries are the
+    classes outside their bucket's commonest label, in blocks of QUERIES. A class goes to the blocks that have
+    a query of one of its buckets, spread over tasks of MEMBERS, each with a copy of the block. A task holds
+    one block, streams the classes past it and emits one link for each query and label, never the pairs.
+    """
+    spark = rows.sparkSession
+    queries = staged(rows.filter("label <> major").groupBy("rep").agg(F.min("major").alias("major")), "queries")
+    per_major = staged(queries.groupBy("major").agg(F.count("*").alias("n")), "query_counts")
+    of_major = attach_groups(queries, per_major, ["major"], "n", queries.count())
+    block = F.xxhash64("major", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / QUERIES)))
+    blocks = staged(of_major.select("rep", block.alias("block")), "query_blocks")
+    at = rows.select("bucket", "rep").join(blocks, "rep").select("bucket", "block").distinct()
+    members = staged(rows.select("bucket", "rep").join(at, "bucket").select("rep", "block").distinct(), "block_members")
+    sizes = staged(members.groupBy("block").agg(F.count("*").alias("n")).withColumn("tasks", F.ceil(F.col("n") / MEMBERS)), "block_sizes")
+    spread = attach_groups(members, sizes, ["block"], "n", members.count()).select("rep", "block", F.pmod(F.xxhash64("rep"), "tasks").alias("task"), F.lit(1).alias("kind"))
+    copies = blocks.join(sizes, "block").select("rep", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"))
+    labelled = rows.select("rep", "label").distinct()
+    full = spread.unionByName(copies).join(labelled, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = full.repartition(parts, "block", "task").sortWithinPartitions("block", "task", "kind", "rep")
+    kind = dict(rows.dtypes)["rep"]
+    return dealt.select("block", "task", "kind", "rep", "label", "shingles").mapInArrow(_count_blocks, f"a {kind}, b {kind}")
+
+
+def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    key, held, index, done = None, [], None, set()
+    for batch in batches:
+        block, task, kind = (batch.column(c).to_numpy() for c in ("block", "task", "kind"))
+        cuts = np.flatnonzero((block[1:] != block[:-1]) | (task[1:] != task[:-1]) | (kind[1:] != kind[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            if hi == lo:
+                continue
+            if key != (block[lo], task[lo]):
+                key, held, index, done = (block[lo], task[lo]), [], None, set()
+            part = batch.slice(lo, hi - lo)
+            lists = part.column("shingles")
+            own = (np.array(part.column("rep").to_pylist(), object), np.array(part.column("label").to_pylist(), object), np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy())
+            if kind[lo] == 0:
+                held.append(own)
+                continue
+            if index is None:
+                ids, labels, size, flat = (np.concatenate(x) for x in zip(*held, strict=True))
+                owner = np.repeat(np.arange(len(ids)), size)
+                order = np.argsort(flat, kind="stable")
+                index = (ids, labels, size, flat[order], owner[order])
+            yield _links_of(own, index, done, part.schema.field("rep").type)
+
+
+def _links_of(members: tuple, index: tuple, done: set, id_kind: pa.DataType) -> pa.RecordBatch:
+    """The new links between members and the queries of the index."""
+    ids, labels, size, flat, owner = index
+    rep, label, n, shingles = members
+    first, last = np.searchsorted(flat, shingles, "left"), np.searchsorted(flat, shingles, "right")
+    ends = np.concatenate([[0], np.cumsum(n)])
+    work = np.concatenate([[0], np.cumsum(last - first)])[ends]
+    a, b, lo = [], [], 0
+    while lo < len(rep):
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + 4_000_000, "right")) - 1)
+        hi = min(hi, lo + max(1, 4_000_000 // len(ids)))
+        f, m = first[ends[lo] : ends[hi]], (last - first)[ends[lo] : ends[hi]]
+        member = np.repeat(np.repeat(np.arange(hi - lo), n[lo:hi]), m)
+        at = np.arange(m.sum()) + np.repeat(f - (np.cumsum(m) - m), m)
+        both = np.bincount(member * len(ids) + owner[at], minlength=(hi - lo) * len(ids)).reshape(hi - lo, len(ids))
+        near = 100 * both >= PERCENT * (n[lo:hi, None] + size[None, :] - both)
+        for i, q in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
+            if label[lo + i] != labels[q] and (q, label[lo + i]) not in done:
+                done.add((q, label[lo + i]))
+                a.append(ids[q])
+                b.append(rep[lo + i])
+        lo = hi
+    return pa.RecordBatch.from_pydict({"a": pa.array(a, id_kind), "b": pa.array(b, id_kind)})
 
 
 class Linker:
@@ -262,11 +331,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     known = grouped.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).drop("centre")
     known = staged(known, "labelled")
     small = open_pairs(known.filter(F.col("size") <= LARGE), "bucket")
-    large = staged(mixed(known.filter(F.col("size") > LARGE), "bucket"), "large").select("rep", "n_shingles", "label", *SKETCH).distinct()
-    sets = linker.sets(large.select("rep"))
-    rare = staged(rarest(sets.withColumnRenamed("doc_id", "rep").join(large, "rep")), "rarest")
-    pairs = small.union(open_pairs(rare, "shingle")).distinct()
-    more = linker.confirm(staged(pairs, "completing"))
+    large = staged(mixed(known.filter(F.col("size") > LARGE), "bucket"), "large")
+    near = linker.confirm(staged(small.distinct(), "completing"))
+    by_block = staged(block_links(large, linker.sets(large.select("rep"))), "block_links")
+    more = near.union(by_block.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
     if more.limit(1).count():
         labels = components(links.union(more))
     settled = staged(classes.select(*digest, "n_docs", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(*digest, "n_docs", F.coalesce("label", "rep").alias("component_id")), "settled")
