@@ -26,7 +26,7 @@ def replayed(log: DataFrame, ident: str, position: str) -> DataFrame:
 
 def read_signals(spark: SparkSession, path: str) -> DataFrame:
     """The seed dictionary, a JSON array, or an object that holds it as `signals`."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     data = F.try_parse_json("value")
     rows = F.coalesce(F.try_variant_get(data, "$.signals", "array<variant>"), F.try_variant_get(data, "$", "array<variant>"))
     names = [f.split() for f in SIGNALS.split(", ")]
@@ -52,7 +52,7 @@ def bullets(text: Column) -> Column:
 
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
     """Rule texts in Markdown: path, meta (map), description and steps."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
     text = F.col("value")
     return files.select(F.input_file_name().alias("path"), front_matter(text).alias("meta"), section(text, "Description").alias("description"), bullets(section(text, "Steps")).alias("steps"))
 

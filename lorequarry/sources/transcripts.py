@@ -16,7 +16,7 @@ ROLES = {"human": "user", "bot": "assistant", "ai": "assistant", "developer": "s
 
 def raw_lines(spark: SparkSession, path: str, glob: str = "*.json*") -> DataFrame:
     """path, session_id, line_number (from 1), line, record (VARIANT, null for a bad line) of all files below a folder."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
     named = files.select(F.input_file_name().alias("path"), F.col("value"))
     lines = named.select("path", F.posexplode(F.split("value", "\n")).alias("at", "line"))
     session = F.regexp_replace(F.regexp_extract("path", r"([^/]+)$", 1), r"\.jsonl?$", "")
