@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
-from lorequarry.llm.common import drop_by_key, staged
+from lorequarry.llm.common import bound_batches, drop_by_key, staged
 
 
 def _without(docs: DataFrame, verdict: DataFrame, name: str) -> DataFrame:
@@ -24,6 +24,7 @@ def _without(docs: DataFrame, verdict: DataFrame, name: str) -> DataFrame:
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the base rule or the verdict on its host rejects."""
+    bound_batches(spark)
     return _without(docs, quality_rules.host_rules(docs, host_col="source"), "rejected_rules")
 
 

@@ -17,7 +17,18 @@ HOT_PARTS = 1000
 #: Largest number of keys that is ever broadcast; the count is taken before, and beyond it the join shuffles.
 BROADCAST_KEYS = 2_000_000
 #: Text bytes that one numpy step works on; a longer document is a step of its own.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 1_000_000
+
+
+#: Rows of an Arrow batch between Spark and Python, as a batch is held whole and rows have texts.
+BATCH_ROWS = 1000
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small in this session, unless it has them smaller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 # ---------------------------------------------------------------- staged tables
@@ -98,12 +109,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Slices of the batch with at most `limit` text bytes each, or one document, and their texts."""
-    column = strings(batch.column(text))
-    _, at = utf8(column)
+    size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(size)])
     lo = 0
-    while lo < len(column):
+    while lo < len(size):
         hi = max(lo + 1, int(np.searchsorted(at, at[lo] + limit, "right")) - 1)
-        yield batch.slice(lo, hi - lo), column.slice(lo, hi - lo)
+        part = batch.slice(lo, hi - lo)
+        yield part, strings(part.column(text))
         lo = hi
 
 
