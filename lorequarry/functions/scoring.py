@@ -115,8 +115,8 @@ def time_decay(confidence: Column, days: Column) -> Column:
 
 
 def staleness(days: Column) -> Column:
-    """1 for 90 days, then falling linearly to .5 over a year."""
-    return F.when(days <= 90, 1.0).otherwise(F.greatest(F.lit(0.5), 1 - (days - 90) / 275 * 0.5))
+    """1 for 90 days, then falling linearly to .5 at 180."""
+    return F.when(days < 90, 1.0).otherwise(F.greatest(F.lit(0.5), 1 - (days - 90) / 90 * 0.5))
 
 
 def pattern_confidence(kind: Column, n: Column, sessions: Column, span_days: Column, valid: Column, validated: Column, keyword: Column) -> Column:
