@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_memory, queries_rules, queries_search, queries_stats
+from . import queries_memory, queries_rules, queries_scenes, queries_search, queries_stats
 
-QUERIES = queries_search.QUERIES | queries_stats.QUERIES | queries_memory.QUERIES | queries_rules.QUERIES
-ORACLE_SQL = queries_search.ORACLE_SQL | queries_stats.ORACLE_SQL | queries_memory.ORACLE_SQL | queries_rules.ORACLE_SQL
+QUERIES = queries_search.QUERIES | queries_stats.QUERIES | queries_memory.QUERIES | queries_rules.QUERIES | queries_scenes.QUERIES
+ORACLE_SQL = queries_search.ORACLE_SQL | queries_stats.ORACLE_SQL | queries_memory.ORACLE_SQL | queries_rules.ORACLE_SQL | queries_scenes.ORACLE_SQL
