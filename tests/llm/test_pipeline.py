@@ -52,3 +52,23 @@ def test_stages(spark, sf):
             assert offset == ends
             ends += length
         assert ends <= 2048
+
+
+def test_stages_take_odd_tables(spark, sf, tmp_path):
+    """Nulls, repeated rows, clashing columns and an empty table go through every stage."""
+    from test_operators import CLASH, LONG
+    from pyspark.sql import functions as F
+
+    good = " ".join(f"word{i}" for i in range(80))
+    rows = [(1, None), (2, ""), (3, good), (3, good), (4, good + " "), (5, LONG), (None, good + " more"), (6, " ".join(f"other{i}" for i in range(90)))]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("x") for c in CLASH})
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (docs, docs.limit(0)):
+        at = table
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, at, str(tmp_path))
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == docs.columns
+            at = out
+        left = at.select("doc_id").distinct().collect()
+        assert len(left) <= 4 and (table is docs) == bool(left)
