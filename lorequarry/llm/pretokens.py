@@ -160,12 +160,12 @@ class Encoder:
         return ids, last[np.searchsorted(starts, at)]
 
 
-_library: dict[str, Encoder] = {}
+_library: dict[tuple[str, int], Encoder] = {}
 
 
-def library_encoder(path: str) -> Encoder:
+def library_encoder(path: str, bits: int = TABLE_BITS) -> Encoder:
     """The encoder of a byte-level tokenizer file of the tokenizers library, one per Python worker."""
-    if path not in _library:
+    if (path, bits) not in _library:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
@@ -175,5 +175,5 @@ def library_encoder(path: str) -> Encoder:
         def encode_many(pieces: list[str]) -> list[np.ndarray]:
             return [np.array(e.ids, np.uint32) for e in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-        _library[path] = Encoder(encode_many)
-    return _library[path]
+        _library[path, bits] = Encoder(encode_many, bits)
+    return _library[path, bits]

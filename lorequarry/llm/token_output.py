@@ -21,6 +21,8 @@ from .pretokens import library_encoder
 
 #: Ids after which a block is closed.
 BLOCK_IDS = 1 << 18
+#: Slots of a worker's table of pieces. It is the larger, the fewer pieces are merged again; this one takes 100 MB.
+TABLE_BITS = 22
 
 # For each control byte: the sizes of its four codes, and their sum.
 _SIZES = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
@@ -63,7 +65,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
     bounds = np.unique(source.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer)
+        encoder = library_encoder(tokenizer, TABLE_BITS)
         for batch in batches:
             for part, texts in chunks(batch):
                 flat, edges = encoder.encode(texts)
