@@ -237,4 +237,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return pieces.join(before, ["_part", "length"]).mapInArrow(run, schema)
+    return pieces.join(before.hint("merge"), ["_part", "length"]).mapInArrow(run, schema)
