@@ -17,11 +17,11 @@ HOT_PARTS = 1000
 #: Largest number of keys that is ever broadcast; the count is taken before, and beyond it the join shuffles.
 BROADCAST_KEYS = 2_000_000
 #: Text bytes that one numpy step works on; a longer document is a step of its own.
-CHUNK_BYTES = 1_000_000
+CHUNK_BYTES = 500_000
 
 
 #: Rows of an Arrow batch between Spark and Python, as a batch is held whole and rows have texts.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def bound_batches(spark: SparkSession) -> None:
