@@ -86,11 +86,14 @@ def keep_by_key(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "lef
     return rows.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, on, how)
 
 
-def drop_by_key(rows: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
-    """The rows whose id is not among ids (a null id equals a null id): broadcast after counting, else by a shuffle."""
+def drop_by_key(rows: DataFrame, ids: DataFrame, id_col: str, how: str = "left_anti") -> DataFrame:
+    """The rows whose id is not among ids (a null id equals a null id): broadcast after counting, else by a shuffle.
+
+    how: left_anti, or left_semi for the rows whose id is.
+    """
     n = ids.limit(BROADCAST_KEYS + 1).count()
     ids = ids.select(F.col(id_col).alias("_id"))
-    return rows.join(F.broadcast(ids) if n <= BROADCAST_KEYS else ids, rows[id_col].eqNullSafe(ids["_id"]), "left_anti")
+    return rows.join(F.broadcast(ids) if n <= BROADCAST_KEYS else ids, rows[id_col].eqNullSafe(ids["_id"]), how)
 
 
 # ---------------------------------------------------------------- Arrow text

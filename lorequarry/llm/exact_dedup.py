@@ -69,17 +69,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their equal copies, with all their columns.
 
-    Rows that share an id of which not all stay are told apart by their text.
+    Rows that share an id of which not all stay are told apart by the digest of their text. A text that
+    was never hashed in full equals no other, so it has no digest in the verdict and stays.
     """
     verdict = staged(exact_dedup(docs, id_col, text_col), "dedup_verdict")
-    gone = verdict.filter(~F.col("kept")).select(id_col)
-    mixed = staged(verdict.join(gone, verdict[id_col].eqNullSafe(gone[id_col]), "left_semi").filter("kept").select(id_col, "text_sha256"), "dedup_mixed")
-    left = drop_by_key(docs, gone.distinct(), id_col)
+    gone = staged(verdict.filter(~F.col("kept")).select(id_col).distinct(), "dedup_gone")
+    left = drop_by_key(docs, gone, id_col)
+    shared = staged(drop_by_key(verdict, gone, id_col, "left_semi").select(id_col, "kept", "text_sha256"), "dedup_shared")
+    mixed = staged(shared.filter("kept").select(id_col).distinct(), "dedup_mixed")
     if not mixed.limit(1).count():
         return left
     columns = docs.columns
-    some = docs.withColumn("__lq_sha", F.sha2(normal(docs[text_col]), 256))
-    on = some[id_col].eqNullSafe(mixed[id_col]) & (some["__lq_sha"] == mixed["text_sha256"])
-    longest = some.join(mixed, on, "left_semi").withColumn("__lq_size", F.length(F.coalesce(docs[text_col], F.lit(""))))
-    one = longest.groupBy("__lq_sha").agg(F.max_by(F.struct(*[longest[c] for c in columns]), F.struct("__lq_size")).alias("__lq_row"))
-    return left.unionByName(one.select("__lq_row.*"))
+    hashed = shared.filter("text_sha256 is not null").groupBy(F.col(id_col).alias("__lq_id"), F.col("text_sha256").alias("__lq_text")).agg(F.max("kept").alias("__lq_kept"))
+    some = drop_by_key(docs, mixed, id_col, "left_semi").withColumns({"__lq_sha": F.sha2(normal(docs[text_col]), 256), "__lq_size": F.length(F.coalesce(docs[text_col], F.lit("")))})
+    judged = some.join(hashed, some[id_col].eqNullSafe(F.col("__lq_id")) & (F.col("__lq_sha") == F.col("__lq_text")), "left")
+    alone = judged.filter("__lq_text is null").select(*(judged[c] for c in columns))
+    longest = judged.filter("__lq_kept")
+    one = longest.groupBy("__lq_sha").agg(F.max_by(F.struct(*(longest[c] for c in columns)), F.struct("__lq_size")).alias("__lq_row"))
+    return left.unionByName(alone).unionByName(one.select("__lq_row.*"))

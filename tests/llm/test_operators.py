@@ -278,6 +278,20 @@ def test_repeated_rows_leave_one(odd):
     assert exact_dedup.keep_distinct(rows).count() == 1
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_unique_texts_stay_beside_copies_of_their_id(spark, monkeypatch, few):
+    if not few:
+        monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", 0)
+    x, y = "one two three", "another text"
+    for rows, want in (
+        ([(1, x), (2, x), (2, y)], [x, y]),
+        ([(None, x), (None, x), (None, y), (None, y + " more"), (3, "third")], [x, y, y + " more", "third"]),
+        ([(1, x), (2, x), (2, y), (2, y), (2, x + "  ")], [x + "  ", y]),
+    ):
+        kept = exact_dedup.keep_distinct(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert sorted(r["text"] for r in kept) == sorted(want)
+
+
 def brute_components(texts):
     sets = {}
     for i, t in texts.items():
