@@ -16,22 +16,35 @@ from lorequarry.llm import exact_dedup, near_dedup, packing, quality_classifier,
 from lorequarry.llm.common import bound_batches, drop_by_key, staged
 
 
-def _without(docs: DataFrame, verdict: DataFrame, name: str) -> DataFrame:
-    """The documents that the verdict keeps, with all their columns. Rows that share an id share the worst verdict."""
-    gone = staged(verdict.filter(~F.col("kept")).select("doc_id").distinct(), name)
-    return drop_by_key(docs, gone, "doc_id")
+#: The column that tells rows apart, as an id may be null or repeated.
+KEY = "__lq_key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with KEY, half a SHA-256 of id, source and text: rows of one key get one verdict."""
+    own = (F.coalesce(F.concat(F.length(c), F.lit(" "), c), F.lit("-")) for c in (docs["doc_id"].cast("string"), docs["source"].cast("string")))
+    digest = F.sha2(F.concat(*own, F.coalesce(docs["text"], F.lit(""))), 256)
+    return docs.withColumn(KEY, F.unhex(F.substring(digest, 1, 32)))
+
+
+def _without(docs: DataFrame, verdict: DataFrame, name: str, key: str = KEY) -> DataFrame:
+    """The documents that the verdict keeps, with all their columns but KEY. Rows that share a key share the worst verdict."""
+    gone = staged(verdict.filter(~F.col("kept")).select(key).distinct(), name)
+    return drop_by_key(docs, gone, key).drop(KEY)
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what the base rule or the verdict on its host rejects."""
     bound_batches(spark)
-    return _without(docs, quality_rules.host_rules(docs, host_col="source"), "rejected_rules")
+    keyed = _keyed(docs)
+    return _without(keyed, quality_rules.host_rules(keyed, id_col=KEY, host_col="source"), "rejected_rules")
 
 
 def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what is unlikely to get the top grade."""
     ratings = quality_classifier.ratings_of(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, quality_classifier.classify(docs, ratings), "rejected_grades")
+    keyed = _keyed(docs)
+    return _without(keyed, quality_classifier.classify(keyed, ratings, key_col=KEY), "rejected_grades")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +53,15 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the first document of each component of near-duplicates."""
-    return _without(docs, near_dedup.near_dedup(docs), "near_copies")
+    """Keep the first document of each component of near-duplicates.
+
+    Where ids are repeated, a node is an id and a text, in the order of the ids.
+    """
+    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return _without(docs, near_dedup.near_dedup(docs), "near_copies", "doc_id")
+    place = F.lpad(F.hex(F.col("doc_id").cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    keyed = _keyed(docs).withColumn(KEY, F.concat(place, F.hex(KEY)))
+    return _without(keyed, near_dedup.near_dedup(keyed, id_col=KEY), "near_copies")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -157,8 +157,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str, text_co
     return fit(np.repeat(np.arange(len(size)), size), flat.astype(np.int64), table.column("grade").to_numpy().astype(np.int64), grades)
 
 
-def classify(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str = "doc_id", text_col: str = "text", min_tail: float = MIN_TAIL) -> DataFrame:
-    """Grade every whole text: id_col, expected_grade, tail_1 .. (P(grade >= k)), kept.
+def classify(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str = "doc_id", text_col: str = "text", min_tail: float = MIN_TAIL, key_col: str | None = None) -> DataFrame:
+    """Grade every whole text: id_col (or key_col, where given), expected_grade, tail_1 .. (P(grade >= k)), kept.
 
     kept: the probability of the top grade is at least min_tail. The sample that the model is fitted on
     is bounded by TRAIN_ROWS; weights for 2**BITS features go to the executors. No rows move.
@@ -177,9 +177,10 @@ def classify(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str =
                 columns = [pa.array(tail.sum(1)), *(pa.array(np.ascontiguousarray(tail[:, k])) for k in range(grades - 1)), pa.array(tail[:, -1] >= min_tail)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "expected_grade", *tails, "kept"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
+    key = key_col or id_col
+    kind = docs.schema[key].dataType.simpleString()
     schema = f"doc_id {kind}, expected_grade double, " + ", ".join(f"{t} double" for t in tails) + ", kept boolean"
-    return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("doc_id", id_col)
+    return docs.select(docs[key].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("doc_id", key)
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import collections
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from test_operators import brute_components, brute_measures, library_tokenizer
 
 import corpus_pipeline
@@ -72,3 +73,23 @@ def test_stages_take_odd_tables(spark, sf, tmp_path):
             at = out
         left = at.select("doc_id").distinct().collect()
         assert len(left) <= 4 and (table is docs) == bool(left)
+
+
+def test_a_verdict_decides_on_its_row_only(spark, tmp_path):
+    """Rejected rows with a null or a repeated id leave the clean rows of that id."""
+    good = [" ".join(f"{w}{i}" for i in range(80)) for w in ("alpha", "beta", "gamma")]
+    rows = [(None, "short"), (None, good[0]), (1, "short"), (1, good[1]), (2, good[2]), (2, None)]
+    docs = spark.createDataFrame([(i, t, str(k)) for k, (i, t) in enumerate(rows)], "doc_id long, text string, source string")
+    left = corpus_pipeline.rules(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted(r["text"] for r in left.collect()) == good
+    poor, fine = [t + " bad" for t in good], [t + " fine" for t in good]
+    rated = [(100 + i, " ".join(f"{k}x{j}" for j in range(60)) + (" bad" if i % 2 else " fine"), "s") for i, k in enumerate(range(400))]
+    rows = [(None, poor[0], "s"), (None, fine[0], "s"), (1, poor[1], "s"), (1, fine[1], "s"), *rated]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spark.createDataFrame([(100 + i, 1 - i % 2, 0) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = {r["text"] for r in corpus_pipeline.classifier(spark, docs, str(tmp_path)).collect()}
+    assert set(fine[:2]) <= left and not left & set(poor)
+    far = [" ".join(f"{w}{i}" for i in range(80)) for w in ("delta", "eps")]
+    docs = spark.createDataFrame([(5, far[0]), (7, far[0] + " more"), (7, far[1]), (-1, good[0]), (-1, good[1])], "doc_id long, text string").withColumn("source", F.lit("s"))
+    left = corpus_pipeline.near(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and sorted(r["text"] for r in left.collect()) == sorted([*far, *good[:2]])
