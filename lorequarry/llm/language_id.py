@@ -11,10 +11,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, staged
 
-#: Rows of each language that a dictionary is made of at most, and the bytes taken of each.
+#: Distinct texts of each language that a dictionary is made of at most, and the bytes taken of each.
 TRAIN_ROWS, PASSAGE_BYTES = 400, 600
+#: What a dictionary holds at most, so fewer texts than TRAIN_ROWS where they are long.
 DICTIONARY_BYTES = 96 << 10
 #: Bytes compressed at a time: all of a text is, but a long one must not become its own dictionary.
 BLOCK_BYTES = 4096
@@ -33,19 +34,21 @@ def normal(text: str) -> bytes:
 
 
 def train(docs: DataFrame, learn: Column, text_col: str, lang_col: str) -> dict[str, bytes]:
-    """A raw-content dictionary for each language, of TRAIN_ROWS rows where `learn` holds.
+    """A raw-content dictionary for each language, of TRAIN_ROWS distinct texts where `learn` holds.
 
-    The rows are those with the smallest hash of their text. Of each a passage is taken, at a place that
-    the hash decides. What reaches the driver is bounded for each language.
+    The texts are those with the smallest hash; copies count once. Of each a passage is taken, at a place that
+    the hash decides, and all are cut to DICTIONARY_BYTES: about 160 passages of full length fit. Hashes and
+    passages move, texts don't; what reaches the driver is bounded for each language.
     """
     rows = docs.filter(learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).withColumn("hash", F.xxhash64("text"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = staged(rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")), "languages")
     share = F.pmod("hash", F.lit(1 << 30)) < F.lit(2.0 * TRAIN_ROWS * (1 << 30)) / F.col("n")
-    some = rows.join(F.broadcast(counts), "lang").filter(share).drop("n")
     room = F.greatest(F.length("text") - PASSAGE_BYTES, F.lit(0)) + 1
     passage = F.substring("text", (F.pmod(F.shiftright("hash", 30), room) + 1).cast("int"), F.lit(PASSAGE_BYTES))
-    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash", "text"))
-    picked = some.withColumn("rank", first).filter(F.col("rank") <= TRAIN_ROWS).select("lang", "rank", passage.alias("passage"))
+    some = rows.join(F.broadcast(counts), "lang").filter(share).select("lang", "hash", passage.alias("passage"))
+    texts = some.groupBy("lang", "hash").agg(F.min("passage").alias("passage"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
+    picked = texts.withColumn("rank", first).filter(F.col("rank") <= TRAIN_ROWS).select("lang", "rank", "passage")
     found: dict[str, list[tuple[int, str]]] = {}
     for lang, rank, text in picked.collect():
         found.setdefault(lang, []).append((rank, text))

@@ -250,6 +250,15 @@ def test_language(spark):
     assert all(0 <= r["score"] <= 1 for r in found)
 
 
+def test_copies_count_once_in_a_dictionary(spark):
+    """A text of thousands of copies takes one place of the sample, whatever its hash."""
+    texts = [f"a text of many copies {c}" for c in "abcdefgh"]
+    rows = [(t, "en") for t in texts for _ in range(1000)] + [(f"single text {chr(97 + i)}", "en") for i in range(20)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    found = language_id.train(docs, F.lit(True), "text", "lang")["en"]
+    assert all(found.count(language_id.normal(t)) == 1 for t, _ in rows)
+
+
 def test_language_of_odd_texts(odd, docs):
     both = docs.select("doc_id", "text", "lang").unionByName(odd.select((F.col("doc_id") + 10**6).alias("doc_id"), "text", F.lit(None).cast("string").alias("lang")))
     found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(both).collect() if r["doc_id"] and r["doc_id"] > 10**6}
