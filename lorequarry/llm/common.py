@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
 import uuid
 from collections.abc import Iterator
 
@@ -14,21 +15,22 @@ from pyspark.sql import functions as F
 
 #: A group that holds at least this part of all rows is hot, so there are at most as many hot groups.
 HOT_PARTS = 1000
-#: Largest number of keys that is ever broadcast; the count is taken before, and beyond it the join shuffles.
-BROADCAST_KEYS = 2_000_000
+#: Bytes of keys that are ever broadcast; they are summed before, and beyond it the join shuffles.
+BROADCAST_BYTES = 16 << 20
 #: Text bytes that one numpy step works on; a longer document is a step of its own.
 CHUNK_BYTES = 500_000
 
 
-#: Rows of an Arrow batch between Spark and Python, as a batch is held whole and rows have texts.
-BATCH_ROWS = 500
+#: Bytes of an Arrow batch between Spark and Python, as a batch is held whole and rows have texts.
+BATCH_BYTES = 4 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in this session, unless it has them smaller."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Bound Arrow batches by bytes in this session, unless they are bounded lower. A single larger row is a batch."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 # ---------------------------------------------------------------- staged tables
@@ -39,6 +41,7 @@ def scratch(spark: SparkSession) -> str:
 
 
 _cleaned: set[str] = set()
+_tables: list[str] = []
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
@@ -53,7 +56,7 @@ def _remove(spark: SparkSession, folder: str) -> None:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here and lost executors lose nothing.
 
-    The folder is removed when the driver's process ends.
+    drop_staged removes it; what is left goes when the driver's process ends.
     """
     spark = df.sparkSession
     root = scratch(spark)
@@ -62,9 +65,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
         atexit.register(_remove, spark, root)
     path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_tables() -> int:
+    """How many tables are staged, to be given to drop_staged."""
+    return len(_tables)
+
+
+def drop_staged(spark: SparkSession, since: int) -> None:
+    """Remove the tables staged since then, but the last one."""
+    for path in _tables[since:-1]:
+        _remove(spark, path)
+    del _tables[since:-1]
+
+
 # ---------------------------------------------------------------- joins
 def attach_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
     """Join rows with one row per group, where a few groups may hold most of the rows.
@@ -80,20 +96,24 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str,
     return near.unionByName(far.select(*near.columns))
 
 
+def fits(keys: DataFrame) -> bool:
+    """Whether a table of keys may be broadcast, by its bytes (sixteen a row, and its values as text)."""
+    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in keys.columns), F.lit(16))
+    return keys.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0] <= BROADCAST_BYTES
+
+
 def keep_by_key(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
-    """Semi or anti join with a set of keys: broadcast after counting them, by a shuffle when they are many."""
-    n = keys.limit(BROADCAST_KEYS + 1).count()
-    return rows.join(F.broadcast(keys) if n <= BROADCAST_KEYS else keys, on, how)
+    """Semi or anti join with a set of keys: broadcast if they fit, by a shuffle when they are many."""
+    return rows.join(F.broadcast(keys) if fits(keys) else keys, on, how)
 
 
 def drop_by_key(rows: DataFrame, ids: DataFrame, id_col: str, how: str = "left_anti") -> DataFrame:
-    """The rows whose id is not among ids (a null id equals a null id): broadcast after counting, else by a shuffle.
+    """The rows whose id is not among ids (a null id equals a null id): broadcast if they fit, else by a shuffle.
 
     how: left_anti, or left_semi for the rows whose id is.
     """
-    n = ids.limit(BROADCAST_KEYS + 1).count()
     ids = ids.select(F.col(id_col).alias("_id"))
-    return rows.join(F.broadcast(ids) if n <= BROADCAST_KEYS else ids, rows[id_col].eqNullSafe(ids["_id"]), how)
+    return rows.join(F.broadcast(ids) if fits(ids) else ids, rows[id_col].eqNullSafe(ids["_id"]), how)
 
 
 # ---------------------------------------------------------------- Arrow text
@@ -124,19 +144,9 @@ def chunks(batch: pa.RecordBatch, text: str = "text", limit: int = CHUNK_BYTES)
 
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INVERSE = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p**i and p**-i modulo 2**64 for i below n at least."""
-    if not _powers or len(_powers[0]) < n:
-        out = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, p, np.uint64)]), dtype=np.uint64) for p in (_P, _P_INVERSE)]
-        if n > 4 * CHUNK_BYTES:  # one giant document: not kept
-            return out[0], out[1]
-        _powers[:] = out
-    return _powers[0], _powers[1]
+#: Spans up to this many bytes are hashed eight bytes at a time, longer ones by BLAKE2b.
+LANE_BYTES = 64
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -148,12 +158,36 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
+def lanes(data: np.ndarray) -> np.ndarray:
+    """For each place of the bytes, and the one behind them, the eight bytes from there on as a number (zeros behind the end)."""
+    return lanes_within(np.concatenate([data, np.zeros(8, np.uint8)]))
+
+
+def lanes_within(data: np.ndarray) -> np.ndarray:
+    """The same without a copy, for all places but the last seven."""
+    return np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+
+
+def lane(view: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The next eight bytes of spans that start at `at` and have `left` bytes, zeros behind their end."""
+    return view[at] & _KEEP[np.minimum(left, 8)]
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span, equal for equal bytes wherever they stand."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of the bytes of each span, equal for equal bytes wherever they stand.
+
+    Spans of one length up to eight bytes never collide; others do like random numbers.
+    """
+    size = ends - starts
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93))
+    view, rest, done = lanes(data), np.flatnonzero(size <= LANE_BYTES), 0
+    while len(rest):
+        left = size[rest] - done
+        out[rest] = mix(out[rest] ^ lane(view, starts[rest] + done, left))
+        rest, done = rest[left > 8], done + 8
+    for i in np.flatnonzero(size > LANE_BYTES).tolist():
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

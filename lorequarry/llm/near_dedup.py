@@ -33,8 +33,12 @@ DEVIATIONS = 5.5
 PAIRS_PER_COPY = 500
 #: Classes of a bucket beyond which its open classes are compared in blocks.
 LARGE = 64
-#: Queries in a block, and classes that a task compares them with.
-QUERIES, MEMBERS = 1000, 4000
+#: Shingles of the queries of a block, as a task holds their index; a single larger set is a block of its own.
+BLOCK_SHINGLES = 1_000_000
+#: Classes that a task compares a block with.
+MEMBERS = 4000
+#: Common shingles, and pairs of a class and a query, that are counted at a time.
+STEP = 400_000
 #: Longs of a sketch.
 SKETCH = ["s0", "s1", "s2", "s3"]
 
@@ -151,47 +155,53 @@ def likely(a: str, b: str) -> Column:
     return (100 * least >= PERCENT * most) & (differ <= BINS * away / 2 + DEVIATIONS * spread)
 
 
-def mixed(rows: DataFrame, key: str) -> DataFrame:
-    """The rows of keys with more than one label, with `major`, the key's commonest label."""
-    by_label = rows.groupBy(key, "label").agg(F.count("*").alias("n"))
-    keys = by_label.groupBy(key).agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels")).filter("labels > 1").drop("labels")
-    return rows.join(keys, key)
+def mixed(rows: DataFrame, total: int) -> DataFrame:
+    """The rows of buckets with more than one label, with `major`, the bucket's commonest label.
+
+    rows: a staged table of `total` rows with bucket, label and size. Hot buckets stay where they are.
+    """
+    by_label = rows.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max("size").alias("size"))
+    buckets = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("n", "label")).alias("major"), F.count("*").alias("labels"), F.max("size").alias("size"))
+    return attach_groups(rows.drop("size"), staged(buckets, "bucket_labels"), ["bucket"], "size", total).filter("labels > 1").drop("labels")
 
 
-def open_pairs(rows: DataFrame, key: str) -> DataFrame:
-    """Likely pairs (a, b) that share a key and differ in label. One of them isn't of the key's commonest label."""
-    found = staged(mixed(rows, key), "open")
+def open_pairs(found: DataFrame) -> DataFrame:
+    """Likely pairs (a, b) of the mixed rows of a bucket that differ in label. One of them isn't of the bucket's commonest label."""
     few, every = found.filter("label <> major").alias("m"), found.alias("o")
     once = (F.col("o.label") == F.col("o.major")) | (F.col("m.rep") < F.col("o.rep"))
-    met = few.join(every, (F.col(f"m.{key}") == F.col(f"o.{key}")) & (F.col("m.label") != F.col("o.label")) & once & likely("m", "o"))
+    met = few.join(every, (F.col("m.bucket") == F.col("o.bucket")) & (F.col("m.label") != F.col("o.label")) & once & likely("m", "o"))
     return met.select(F.least("m.rep", "o.rep").alias("a"), F.greatest("m.rep", "o.rep").alias("b"))
 
 
 def block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     """Links (a, b) between classes of different labels that share a bucket, by counting common shingles in blocks.
 
-    rows: bucket, rep, label, major, all classes of the buckets; sets: doc_id, shingles. The queries are the
-    classes outside their bucket's commonest label, in blocks of QUERIES. A class goes to the blocks that have
-    a query of one of its buckets, spread over tasks of MEMBERS, each with a copy of the block. A task holds
-    one block, streams the classes past it and emits one link for each query and label, never the pairs.
+    rows: the staged mixed rows, all classes of the buckets; sets: doc_id, shingles. The queries are the
+    classes outside their bucket's commonest label, in blocks of about BLOCK_SHINGLES. A class goes to the
+    blocks that have a query of one of its buckets, spread over tasks of MEMBERS, each with a copy of the
+    block; a bucket's classes meet its blocks in parts of MEMBERS, so no bucket is one task. A task holds one
+    block, streams the classes past it and emits one link for each query and label, never the pairs.
     """
     spark = rows.sparkSession
-    queries = staged(rows.filter("label <> major").groupBy("rep").agg(F.min("major").alias("major")), "queries")
-    per_major = staged(queries.groupBy("major").agg(F.count("*").alias("n")), "query_counts")
-    of_major = attach_groups(queries, per_major, ["major"], "n", queries.count())
-    block = F.xxhash64("major", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / QUERIES)))
+    queries = staged(rows.filter("label <> major").groupBy("rep").agg(F.min("major").alias("major"), F.max("n_shingles").alias("n_shingles")), "queries")
+    per_major = staged(queries.groupBy("major").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("shingles")), "query_counts")
+    of_major = attach_groups(queries.drop("n_shingles"), per_major, ["major"], "n", queries.count())
+    block = F.xxhash64("major", F.pmod(F.xxhash64("rep"), F.ceil(F.col("shingles") / BLOCK_SHINGLES)))
     blocks = staged(of_major.select("rep", block.alias("block")), "query_blocks")
-    at = rows.select("bucket", "rep").join(blocks, "rep").select("bucket", "block").distinct()
-    members = staged(rows.select("bucket", "rep").join(at, "bucket").select("rep", "block").distinct(), "block_members")
+    parts = F.ceil(F.col("size") / MEMBERS)
+    met = rows.select("bucket", "rep", "size").join(blocks, "rep").select("bucket", "block", parts.alias("parts")).distinct()
+    at = met.select("bucket", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    dealt = rows.select("bucket", "rep", F.pmod(F.xxhash64("rep"), parts).alias("part"))
+    members = staged(dealt.join(at, ["bucket", "part"]).select("rep", "block").distinct(), "block_members")
     sizes = staged(members.groupBy("block").agg(F.count("*").alias("n")).withColumn("tasks", F.ceil(F.col("n") / MEMBERS)), "block_sizes")
     spread = attach_groups(members, sizes, ["block"], "n", members.count()).select("rep", "block", F.pmod(F.xxhash64("rep"), "tasks").alias("task"), F.lit(1).alias("kind"))
     copies = blocks.join(sizes, "block").select("rep", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("kind"))
     labelled = rows.select("rep", "label").distinct()
     full = spread.unionByName(copies).join(labelled, "rep").join(sets.withColumnRenamed("doc_id", "rep"), "rep")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = full.repartition(parts, "block", "task").sortWithinPartitions("block", "task", "kind", "rep")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    whole = full.repartition(tasks, "block", "task").sortWithinPartitions("block", "task", "kind", "rep")
     kind = dict(rows.dtypes)["rep"]
-    return dealt.select("block", "task", "kind", "rep", "label", "shingles").mapInArrow(_count_blocks, f"a {kind}, b {kind}")
+    return whole.select("block", "task", "kind", "rep", "label", "shingles").mapInArrow(_count_blocks, f"a {kind}, b {kind}")
 
 
 def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,8 +237,8 @@ def _links_of(members: tuple, index: tuple, done: set, id_kind: pa.DataType) ->
     work = np.concatenate([[0], np.cumsum(last - first)])[ends]
     a, b, lo = [], [], 0
     while lo < len(rep):
-        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + 4_000_000, "right")) - 1)
-        hi = min(hi, lo + max(1, 4_000_000 // len(ids)))
+        hi = max(lo + 1, int(np.searchsorted(work, work[lo] + STEP, "right")) - 1)
+        hi = min(hi, lo + max(1, STEP // len(ids)))
         f, m = first[ends[lo] : ends[hi]], (last - first)[ends[lo] : ends[hi]]
         member = np.repeat(np.repeat(np.arange(hi - lo), n[lo:hi]), m)
         at = np.arange(m.sum()) + np.repeat(f - (np.cumsum(m) - m), m)
@@ -330,9 +340,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     labels = components(links)
     known = grouped.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")).drop("centre")
     known = staged(known, "labelled")
-    small = open_pairs(known.filter(F.col("size") <= LARGE), "bucket")
-    large = staged(mixed(known.filter(F.col("size") > LARGE), "bucket"), "large")
-    near = linker.confirm(staged(small.distinct(), "completing"))
+    opened = staged(mixed(known, known.count()), "open")
+    large = opened.filter(F.col("size") > LARGE)
+    near = linker.confirm(staged(open_pairs(opened.filter(F.col("size") <= LARGE)).distinct(), "completing"))
     by_block = staged(block_links(large, linker.sets(large.select("rep"))), "block_links")
     more = near.union(by_block.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
     if more.limit(1).count():

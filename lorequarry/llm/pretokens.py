@@ -14,10 +14,12 @@ import pyarrow as pa
 import regex
 from tokenizers import Regex, pre_tokenizers
 
-from .common import span_hashes, utf8
+from .common import lane, lanes, lanes_within, span_hashes, utf8
 
 #: Slots of a worker's table of pieces; it starts anew when half of them are in use.
 TABLE_BITS = 21
+#: Bytes of a piece that the table takes; longer ones, which are rare, are merged whenever they are met.
+PIECE_BYTES = 64
 #: The endings of the pattern, after an apostrophe.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 WHITE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
@@ -75,7 +77,7 @@ def piece_starts(points: np.ndarray, at: np.ndarray, kinds: np.ndarray) -> np.nd
 
 
 class PieceTable:
-    """Open-addressing table from the 64-bit hash of a piece to its ids, looked up for many at once."""
+    """Open-addressing table from a piece to its ids, looked up for many at once: by hash, then the bytes are compared."""
 
     def __init__(self, bits: int = TABLE_BITS):
         self.bits, self.mask = bits, (1 << bits) - 1
@@ -85,10 +87,15 @@ class PieceTable:
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.value = np.full(1 << self.bits, -1, np.int32)
         self.used, self.probes = 0, 1
-        self.start, self.size = np.zeros(1 << self.bits - 1, np.int64), np.zeros(1 << self.bits - 1, np.int64)
-        self.flat, self.filled = np.zeros(1 << 16, np.uint32), 0
+        self.ids, self.bytes = Spans(self.room, np.uint32), Spans(self.room, np.uint8)
+
+    @property
+    def room(self) -> int:
+        """Pieces that it holds at most."""
+        return 1 << self.bits - 1
 
     def find(self, keys: np.ndarray) -> np.ndarray:
+        """The entry with each key, -1 where there is none."""
         slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         out = np.where(self.keys[slot] == keys, self.value[slot], -1)
         rest = np.flatnonzero((out < 0) & (self.value[slot] >= 0))
@@ -104,17 +111,23 @@ class PieceTable:
             rest, slot = rest[go], slot[go]
         return out
 
-    def add(self, keys: np.ndarray, ids: list[np.ndarray]) -> None:
-        """Add keys that aren't there."""
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.arange(self.used, self.used + len(keys))
-        self.size[new] = size
-        self.start[new] = self.filled + np.cumsum(size) - size
-        end = self.filled + int(size.sum())
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.filled : end] = np.concatenate(ids)
-        self.used, self.filled = self.used + len(keys), end
+    def same(self, entries: np.ndarray, view: np.ndarray, lo: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether the entries are of the very bytes of the spans (lanes, start, length)."""
+        out = self.bytes.size[entries] == n
+        own, rest, done = lanes_within(self.bytes.flat), np.flatnonzero(out), 0
+        while len(rest):
+            left = n[rest] - done
+            equal = lane(own, self.bytes.start[entries[rest]] + done, left) == lane(view, lo[rest] + done, left)
+            out[rest[~equal]] = False
+            rest, done = rest[equal & (left > 8)], done + 8
+        return out
+
+    def add(self, keys: np.ndarray, pieces: list[bytes], ids: list[np.ndarray]) -> None:
+        """Add keys that aren't there, with their pieces and ids."""
+        new = np.arange(self.used, self.used + len(keys), dtype=np.int32)
+        self.ids.add(ids)
+        self.bytes.add([np.frombuffer(p, np.uint8) for p in pieces])
+        self.used += len(keys)
         slot, left, probes = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.arange(len(keys)), 0
         while len(left):
             probes += 1
@@ -125,6 +138,24 @@ class PieceTable:
         self.probes = max(self.probes, probes)
 
 
+class Spans:
+    """Arrays by number, end to end."""
+
+    def __init__(self, room: int, kind: type):
+        self.start, self.size = np.zeros(room, np.int32), np.zeros(room, np.int32)
+        self.flat, self.filled, self.used = np.zeros(1 << 16, kind), 0, 0
+
+    def add(self, arrays: list[np.ndarray]) -> None:
+        size = np.fromiter(map(len, arrays), np.int64, len(arrays))
+        new = slice(self.used, self.used + len(arrays))
+        self.size[new], self.start[new] = size, self.filled + np.cumsum(size) - size
+        end = self.filled + int(size.sum())
+        while end + 8 > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.filled : end] = np.concatenate(arrays)
+        self.used, self.filled = new.stop, end
+
+
 class Encoder:
     """Ids of whole texts. encode_many gives the ids of pieces, each merged on its own."""
 
@@ -132,32 +163,54 @@ class Encoder:
         self.encode_many, self.classes, self.table = encode_many, Classes(), PieceTable(bits)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row (uint32), and where the ids of each text start and the last one's end."""
+        """All ids in a row (uint32), and where the ids of each text start and the last one's end.
+
+        A piece is taken from the table only where its bytes are those of the entry; a long one, and one
+        whose hash another piece has, is merged here.
+        """
         raw, at = utf8(texts)
-        text = raw.tobytes().decode()
-        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        at = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[at]
-        starts = piece_starts(points, at, self.classes(points))
-        ends = np.append(starts[1:], len(points))[: len(starts)]
-        keys = span_hashes(points, starts, ends)
+        points = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32)
+        byte_of = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        starts = piece_starts(points, np.searchsorted(byte_of, at), self.classes(points))
+        lo = byte_of[starts]
+        hi = np.append(lo[1:], len(raw))[: len(lo)]
+        entry = self._entries(raw, lo, hi)
+        flat, start, size = self.table.ids.flat, self.table.ids.start[entry].astype(np.int64), self.table.ids.size[entry].astype(np.int64)
+        other = np.flatnonzero(entry < 0)
+        if len(other):
+            pieces = [raw[lo[i] : hi[i]].tobytes() for i in other.tolist()]
+            place = {p: k for k, p in enumerate(dict.fromkeys(pieces))}
+            own = self.encode_many([p.decode() for p in place])
+            n = np.fromiter(map(len, own), np.int64, len(own))
+            which = np.array([place[p] for p in pieces])
+            start[other], size[other] = len(flat) + (np.cumsum(n) - n)[which], n[which]
+            flat = np.concatenate([flat, *own])
+        last = np.concatenate([[0], np.cumsum(size)])
+        ids = flat[np.arange(last[-1]) + np.repeat(start - last[:-1], size)]
+        return ids, last[np.searchsorted(lo, at)]
+
+    def _entries(self, raw: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The table's entry of each piece, which is added where it is new; -1 for those that can't be in the table."""
+        out = np.full(len(lo), -1, np.int64)
+        short = np.flatnonzero(hi - lo <= PIECE_BYTES)
+        lo, hi = lo[short], hi[short]
+        keys = span_hashes(raw, lo, hi)
         found = self.table.find(keys)
         missing = np.flatnonzero(found < 0)
         if len(missing):
             new, where = np.unique(keys[missing], return_index=True)
-            if self.table.used + len(new) > len(self.table.size):
+            if self.table.used + len(new) > self.table.room:
                 self.table.clear()
                 new, where = np.unique(keys, return_index=True)
                 missing = np.arange(len(keys))
-            if len(new) > len(self.table.size):  # one text with more pieces than the table holds
+            while len(new) > self.table.room:  # one text with more pieces than the table holds
                 self.table = PieceTable(self.table.bits + 1)
-                return self.encode(texts)
-            pieces = [text[starts[i] : ends[i]] for i in missing[where].tolist()]
-            self.table.add(new, self.encode_many(pieces))
+            pieces = [raw[lo[i] : hi[i]].tobytes() for i in missing[where].tolist()]
+            self.table.add(new, pieces, self.encode_many([p.decode() for p in pieces]))
             found[missing] = self.table.find(keys[missing])
-        size = self.table.size[found]
-        last = np.concatenate([[0], np.cumsum(size)])
-        ids = self.table.flat[np.arange(last[-1]) + np.repeat(self.table.start[found] - last[:-1], size)]
-        return ids, last[np.searchsorted(starts, at)]
+        same = self.table.same(found, lanes(raw), lo, hi - lo)
+        out[short[same]] = found[same]
+        return out
 
 
 _library: dict[tuple[str, int], Encoder] = {}

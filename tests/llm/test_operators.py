@@ -105,6 +105,48 @@ def test_encoder_with_a_full_table():
         assert [x.tolist() for x in small.encode(data)] == [x.tolist() for x in big.encode(data)]
 
 
+def thue_morse(n):
+    """A text and its complement that sums of symbols times powers can't tell apart."""
+    text = "a"
+    while len(text) < n:
+        text += text.translate(str.maketrans("ab", "ba"))
+    return text, text.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [32, 1024, 2048])
+def test_texts_with_equal_sums_stay_apart(n):
+    a, b = thue_morse(n)
+    for own, reference in ((bpe.byte_pairs(MULTI)[1], tiktoken_encoder().encode_ordinary), (pretokens.library_encoder(JSON), library_tokenizer())):
+        ids, ends = own.encode(pa.array([a, b, a], pa.large_string()))
+        assert [ids[ends[k] : ends[k + 1]].tolist() for k in range(3)] == [reference(t) for t in (a, b, a)]
+    buffers = common.utf8(pa.array([a + "\n" + b + "\n" + a], pa.large_string()))
+    assert quality_rules.measures(*buffers)["n_dup_lines"].tolist() == [1]
+    _, x = near_dedup.shingle_hashes(*common.utf8(pa.array([a, b], pa.large_string())))
+    assert x[0] != x[1]
+
+
+def test_pieces_of_one_hash_keep_their_ids(monkeypatch):
+    """All pieces of one length share a hash here, so only the comparison of bytes tells them apart."""
+    monkeypatch.setattr(pretokens, "span_hashes", lambda data, lo, hi: (hi - lo).astype(np.uint64) << np.uint64(50))
+    pairs, _ = bpe.byte_pairs(MULTI)
+    own, reference = pretokens.Encoder(pairs.encode_many), tiktoken_encoder().encode_ordinary
+    for part in range(0, 400, 100):
+        data = strange_texts()[part : part + 100]
+        ids, ends = own.encode(pa.array(data, pa.large_string()))
+        assert [ids[ends[k] : ends[k + 1]].tolist() for k in range(len(data))] == [reference(t) for t in data]
+
+
+def test_comparison_of_bytes():
+    table = pretokens.PieceTable(6)
+    pieces = [b"", b"a", b"12345678", b"123456789", b"1234567890abcdefg"]
+    table.add(np.arange(1, 6, dtype=np.uint64) << np.uint64(58), pieces, [np.array([k], np.uint32) for k in range(5)])
+    raw = np.frombuffer(b"1234567890abcdefgX123456789Y1234567890abcdefh", np.uint8)
+    view = common.lanes(raw)
+    cases = [(4, 0, 17, True), (4, 28, 17, False), (3, 0, 9, True), (3, 18, 9, True), (3, 1, 9, False), (2, 0, 8, True), (2, 0, 9, False), (0, 5, 0, True), (1, 10, 1, True), (1, 11, 1, False)]
+    entry, lo, n, want = (np.array(x) for x in zip(*cases))
+    assert table.same(entry, view, lo, n).tolist() == want.tolist()
+
+
 def test_op1(spark, sf, texts):
     reference = tiktoken_encoder()
     for r in queries.op1_byte_bpe(spark, sf).collect():
@@ -290,7 +332,7 @@ def test_repeated_rows_leave_one(odd):
 @pytest.mark.parametrize("few", [True, False])
 def test_unique_texts_stay_beside_copies_of_their_id(spark, monkeypatch, few):
     if not few:
-        monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", 0)
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     x, y = "one two three", "another text"
     for rows, want in (
         ([(1, x), (2, x), (2, y)], [x, y]),
@@ -340,7 +382,7 @@ def family(spark):
 @pytest.mark.parametrize("large", [near_dedup.LARGE, 4])
 def test_near_dedup_of_a_family(spark, monkeypatch, large):
     monkeypatch.setattr(near_dedup, "LARGE", large)
-    monkeypatch.setattr(near_dedup, "QUERIES", 16)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1500)
     monkeypatch.setattr(near_dedup, "MEMBERS", 40)
     texts = family(spark)
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
