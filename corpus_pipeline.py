@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorequarry.llm import exact_dedup, near_dedup, packing, quality_classifier, quality_rules
-from lorequarry.llm.common import bound_batches, drop_by_key, staged
+from lorequarry.llm.common import bound_batches, drop_by_key, drop_staged, staged, staged_tables
 
 
 #: The column that tells rows apart, as an id may be null or repeated.
@@ -82,8 +82,10 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply all stages to the documents, each on what the one before has written."""
+    """Apply all stages to the documents, each on what the one before has written. What a stage staged goes with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
+        before = staged_tables()
         docs = staged(stage(spark, docs, sf_dir), name)
+        drop_staged(spark, before)
     return docs
