@@ -69,3 +69,10 @@ def change_reason(before: Column, after: Column) -> Column:
     checks = {"adds a type": ": ", "adds error handling": "try", "waits": "await", "checks for null": "null"}
     found = [F.when(after.contains(mark) & ~before.contains(mark), F.lit(name)) for name, mark in checks.items()]
     return F.array_join(F.filter(F.array(*found), lambda x: x.isNotNull()), "; ")
+
+
+def learned_signatures(log: DataFrame, tech: dict[str, list[str]], functional: dict[str, list[str]]) -> DataFrame:
+    """tech, functional, commits: how many commits (message) name both, for each pair of the two small sets of labels."""
+    named = lambda labels: F.filter(F.array(*(F.when(F.exists(F.array(*map(F.lit, words)), lambda w: F.col("message").contains(w)), F.lit(name)) for name, words in labels.items())), lambda x: x.isNotNull())
+    pairs = log.select(F.explode(named(tech)).alias("tech"), named(functional).alias("f")).select("tech", F.explode("f").alias("functional"))
+    return pairs.groupBy("tech", "functional").agg(F.count("*").alias("commits"))

@@ -1,66 +1,13 @@
-"""Leader-style clustering and vectors of hashed terms.
-
-A leader takes, in a stated order, every row near enough that no leader before it has taken. That is a fold,
-so it runs as one pandas task for each block; blocks come from equal keys and are the caller's to bound.
-"""
+"""Centroids, statistics of clusters, and vectors of terms."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-
-
-def leaders(similar: Callable[[np.ndarray, int], np.ndarray], n: int, threshold: float, most: int | None) -> np.ndarray:
-    """The leader of each of n rows in their order; similar(rows, i) gives the similarity of rows to row i."""
-    leader = np.full(n, -1)
-    for i in range(n):
-        if leader[i] >= 0:
-            continue
-        rest = np.flatnonzero(leader < 0)
-        rest = rest[rest != i]
-        near = rest[similar(rest, i) >= threshold]
-        leader[i] = i
-        leader[near[: None if most is None else most - 1]] = i
-    return leader
-
-
-def vector_clusters(rows: DataFrame, block: str, ident: str, vector: str, order: str, threshold: float, most: int | None = None) -> DataFrame:
-    """block, ident, leader: clusters of unit vectors by cosine, seeds by descending `order`, then ident."""
-    key_type, id_type = dict(rows.dtypes)[block], dict(rows.dtypes)[ident]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seed", "id"], ascending=[False, True]).reset_index(drop=True)
-        m = np.array(pdf["vector"].tolist(), float)
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        found = leaders(lambda rest, i: m[rest] @ m[i], len(pdf), threshold, most)
-        return pd.DataFrame({block: pdf["block"], ident: pdf["id"], "leader": pdf["id"].to_numpy()[found]})
-
-    source = rows.select(F.col(block).alias("block"), F.col(ident).alias("id"), F.col(order).cast("double").alias("seed"), F.col(vector).alias("vector"))
-    return source.groupBy("block").applyInPandas(fold, f"`{block}` {key_type}, `{ident}` {id_type}, leader {id_type}")
-
-
-def set_clusters(rows: DataFrame, block: str, ident: str, items: Column, order: Column, threshold: float, most: int | None = None) -> DataFrame:
-    """block, ident, leader: the same over sets by Jaccard."""
-    key_type, id_type = dict(rows.dtypes)[block], dict(rows.dtypes)[ident]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seed", "id"], ascending=[False, True]).reset_index(drop=True)
-        sets = [frozenset(x) for x in pdf["items"]]
-
-        def similar(rest: np.ndarray, i: int) -> np.ndarray:
-            return np.array([len(sets[j] & sets[i]) / max(1, len(sets[j] | sets[i])) for j in rest.tolist()])
-
-        found = leaders(similar, len(pdf), threshold, most)
-        return pd.DataFrame({block: pdf["block"], ident: pdf["id"], "leader": pdf["id"].to_numpy()[found]})
-
-    source = rows.select(F.col(block).alias("block"), F.col(ident).alias("id"), order.cast("double").alias("seed"), F.array_distinct(items).alias("items"))
-    return source.groupBy("block").applyInPandas(fold, f"`{block}` {key_type}, `{ident}` {id_type}, leader {id_type}")
+from ..staging import staged
+from . import near
 
 
 def cluster_stats(clusters: DataFrame) -> DataFrame:
@@ -70,11 +17,13 @@ def cluster_stats(clusters: DataFrame) -> DataFrame:
 
 
 def assigned(rows: DataFrame, centroids: DataFrame, threshold: float) -> DataFrame:
-    """The nearest centroid (centroid, vector) of each row (id, vector) of unit vectors, null below the threshold."""
-    score = F.round(text.dot(F.col("r.vector"), F.col("c.vector")), 6)
-    pairs = rows.alias("r").crossJoin(F.broadcast(centroids.alias("c"))).select("r.id", "c.centroid", score.alias("score"))  # a stated set of centroids
-    best = pairs.groupBy("id").agg(F.max(F.struct("score", (-F.col("centroid")).alias("minus"))).alias("b"))
-    return best.select("id", F.when(F.col("b.score") >= threshold, -F.col("b.minus")).alias("centroid"), F.col("b.score").alias("score"))
+    """The nearest centroid (centroid, vector) of each row (staged: id, items, weights) of unit vectors, null below the threshold.
+
+    Rows and centroids meet in tiles; a tie goes to the smaller centroid.
+    """
+    apart = 1 << 40  # ids of centroids are none of the rows'
+    named = near.dense_vectors(centroids.withColumn("centroid", F.col("centroid").cast("long") + apart), "centroid", F.col("vector"))
+    return near.nearest(rows, named, [], 1, "cosine").select(F.col("query_id").alias("id"), F.when(F.col("score") >= threshold, F.col("row_id") - apart).alias("centroid"), "score")
 
 
 def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
@@ -95,3 +44,19 @@ def hashed_terms(docs: DataFrame, ident: str, content: str, dimensions: int = 20
     slots = weighed.select(ident, slot.alias("slot"), (F.col("tf") * text.idf(F.col("n"), F.col("df"))).alias("w")).groupBy(ident, "slot").agg(F.sum("w").alias("w"))
     length = slots.groupBy(ident).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     return slots.join(length, ident).select(ident, "slot", (F.col("w") / F.col("length")).alias("weight"))
+
+
+def block_vectors(rows: DataFrame, block: str, ident: str, words: Column, topics: Column) -> DataFrame:
+    """Staged unit vectors of tf times ln(N / df) within each block: block, id, items, weights; a word in all rows of a block weighs nothing.
+
+    Topics (an array of counts) stand in with a weight too small to matter, so that rows that share one are candidates.
+    """
+    each = rows.select(block, F.col(ident).alias("id"), F.explode(words).alias("term")).groupBy(block, "id", "term").agg(F.count("*").alias("tf"))
+    df = each.groupBy(block, "term").agg(F.count("*").alias("df"))
+    n = rows.groupBy(block).agg(F.count("*").alias("n"))
+    weighed = each.join(df, [block, "term"]).join(n, block).select(block, "id", F.xxhash64("term").alias("slot"), (F.col("tf") * text.idf(F.col("n"), F.col("df"), "plain")).alias("w")).filter("w > 0")
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(block, "id")))
+    shared = rows.select(block, F.col(ident).alias("id"), F.posexplode(topics).alias("slot", "n")).filter("n > 0").select(block, "id", F.col("slot").cast("long").alias("slot"), F.lit(1e-6).alias("w"))
+    both = weighed.select(block, "id", "slot", (F.col("w") / norm).alias("w")).unionByName(shared)
+    packed = both.groupBy(block, "id").agg(F.array_sort(F.collect_list(F.struct("slot", "w"))).alias("v"))
+    return staged(packed.select(block, "id", F.transform("v", lambda x: x["slot"]).alias("items"), F.transform("v", lambda x: x["w"]).alias("weights")), "vectors")

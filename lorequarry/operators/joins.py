@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..staging import small
+
+#: What belongs to a word, and what stands between two, where texts and patterns meet on words.
+WORD, WORD_EDGE = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]+"
 
 
 def band_join(left: DataFrame, right: DataFrame, key: str, at_left: str, at_right: str, width: int) -> DataFrame:
@@ -41,41 +44,25 @@ def nearest_before_or_after(left: DataFrame, right: DataFrame, key: str, left_id
     return seen.withColumn("best", best).filter("best IS NOT NULL").select(key, F.col("lid").alias(left_id), F.col("best.rid").alias(right_id), F.col("best.away").alias("micros_away"))
 
 
-def similar_pairs(rows: DataFrame, ident: str, block: list[str], items: Column, threshold: float) -> DataFrame:
-    """Pairs in a block whose sets have Jaccard `threshold` at least: a, b, similarity.
-
-    A pair that reaches it shares one of the rarest items of each set, its prefix, so rows meet on prefix
-    items alone; sizes exclude most others. Exact: nothing is sampled.
-    """
-    base = rows.select(*block, F.col(ident).alias("id"), items.alias("items")).filter(F.size("items") > 0)
-    each = base.select(*block, "id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    rarity = each.groupBy("item").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("id").orderBy("df", "item"))
-    prefix = each.join(rarity, "item").withColumn("at", place).filter(F.col("at") <= F.col("n") - F.ceil(F.round(F.col("n") * threshold, 9)) + 1)
-    a, b = prefix.alias("a"), prefix.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ["item", *block]]
-    fits = (F.col("a.id") < F.col("b.id")) & (F.least("a.n", "b.n") >= F.round(F.greatest("a.n", "b.n") * threshold, 9))
-    pairs = a.join(b, [*same, fits]).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    sets = base.select("id", "items")
-    full = pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    return full.select("a", "b", F.round(text.jaccard(F.col("x"), F.col("y")), 6).alias("similarity")).filter(F.col("similarity") >= threshold)
-
-
 def dictionary_matches(messages: DataFrame, signals: DataFrame, key: list[str], content: str) -> DataFrame:
-    """Every signal found in a message: key, signal_id, pattern_type, hits (how often). The dictionary is small."""
+    """Every signal found in a message: key, signal_id, pattern_type, confidence, hits (how often, overlapping ones too)."""
     body = F.lower(F.col(content))
-    pairs = messages.select(*key, body.alias("_body")).join(F.broadcast(signals), F.col("_body").contains(F.lower(F.col("text"))))
-    hits = (F.length("_body") - F.length(F.replace("_body", F.lower(F.col("text")), F.lit("")))) / F.length("text")
+    pairs = messages.select(*key, body.alias("_body")).join(small(signals), F.col("_body").contains(F.lower(F.col("text"))))
+    hits = F.regexp_count("_body", F.concat(F.lit("(?=\\Q"), F.lower("text"), F.lit("\\E)")))
     return pairs.select(*key, "signal_id", "pattern_type", "confidence", hits.cast("long").alias("hits"))
 
 
 def message_scores(matches: DataFrame, key: list[str]) -> DataFrame:
-    """Per message: the pattern type with the largest sum of confidence times share of hits, and that sum, .95 at most."""
+    """Per message: the dominant pattern type, and the confidence of all its signals together, .95 at most.
+
+    Every occurrence counts with its signal's share of all occurrences, so a signal counts with the square
+    of its number. The type with the largest sum is dominant, a tie goes to the first by name.
+    """
     total = matches.groupBy(*key).agg(F.sum("hits").alias("total"))
-    by_type = matches.join(total, key).groupBy(*key, "pattern_type").agg(F.sum(F.col("confidence") * F.col("hits") / F.col("total")).alias("weight"))
-    rounded = by_type.withColumn("weight", F.round(F.least(F.lit(0.95), F.col("weight")), 6))
-    best = rounded.groupBy(*key).agg(F.max(F.struct("weight", "pattern_type")).alias("best"))
-    return best.select(*key, F.col("best.pattern_type").alias("pattern_type"), F.col("best.weight").alias("confidence"))
+    weight = F.col("confidence") * F.col("hits") * F.col("hits") / F.col("total")
+    by_type = matches.join(total, key).groupBy(*key, "pattern_type").agg(F.round(F.sum(weight), 9).alias("weight"))
+    best = by_type.groupBy(*key).agg(F.min(F.struct((-F.col("weight")).alias("minus"), "pattern_type")).alias("best"), F.sum("weight").alias("all"))
+    return best.select(*key, F.col("best.pattern_type").alias("pattern_type"), F.round(F.least(F.lit(0.95), F.col("all")), 6).alias("confidence"))
 
 
 def prefix_either_way(segments: DataFrame, request: DataFrame) -> DataFrame:
@@ -85,22 +72,29 @@ def prefix_either_way(segments: DataFrame, request: DataFrame) -> DataFrame:
     return a.join(F.broadcast(b), "_c").filter(F.col("segment").startswith(F.col("wanted")) | F.col("wanted").startswith(F.col("segment"))).drop("_c")
 
 
-def uncovered(patterns: DataFrame, rules: DataFrame, width: int = 40) -> DataFrame:
-    """Patterns whose first `width` characters stand in no rule's text and which hold no rule's first ones. Rules are few."""
-    p, r = F.lower(F.col("pattern")), F.lower(F.col("rule_text"))
-    covered = p.contains(F.left(r, F.lit(width))) | r.contains(F.left(p, F.lit(width)))
-    return patterns.join(F.broadcast(rules), covered, "left_anti")
+def containing(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """All pairs of a text and a pattern that it contains: the columns of both sides.
 
+    A word inside the pattern, between two others, stands as a whole word in every text that contains it, so
+    texts meet patterns on the longest such word. Patterns without one, which are short, meet all texts.
+    """
+    cut = F.regexp_replace(F.regexp_replace(pattern, rf"^{WORD}*", ""), rf"{WORD}*$", "")
+    whole = F.array_sort(F.filter(F.split(cut, WORD_EDGE), lambda w: w != ""), lambda a, b: F.length(b) - F.length(a))
+    anchored = patterns.withColumn("_anchor", F.get(whole, F.lit(0)))
+    has, short = anchored.filter("_anchor is not null"), anchored.filter("_anchor is null").drop("_anchor")
+    words = texts.withColumn("_anchor", F.explode(F.array_distinct(F.split(F.col(text), WORD_EDGE))))
+    met = words.join(small(has), "_anchor").filter(F.col(text).contains(F.col(pattern))).drop("_anchor")
+    return met.unionByName(texts.join(small(short), F.col(text).contains(F.col(pattern))))
 
-def nearest_vectors(left: DataFrame, right: DataFrame, k: int, threshold: float) -> DataFrame:
-    """The k nearest right vectors (id, unit vector) of each left one by cosine, from a threshold: id, other, score, rank.
 
-    The right side is a stated set of queries or centroids that is broadcast; the left is scored in place.
-    """
-    score = F.round(text.dot(F.col("l.vector"), F.col("r.vector")), 6)
-    pairs = left.alias("l").crossJoin(F.broadcast(right.alias("r"))).select(F.col("r.id").alias("id"), F.col("l.id").alias("other"), score.alias("score")).filter((F.col("id") != F.col("other")) & (F.col("score") >= threshold))
-    best = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
-    return pairs.withColumn("rank", best).filter(F.col("rank") <= k)
+def uncovered(patterns: DataFrame, rules: DataFrame, ident: str, width: int = 40) -> DataFrame:
+    """Patterns (ident, pattern) whose first `width` characters stand in no rule_text and which hold no rule's first ones."""
+    p, r = F.lower(F.col("pattern")), F.lower(F.col("rule_text"))
+    texts = patterns.select(ident, p.alias("_text"))
+    heads = rules.select(F.left(r, F.lit(width)).alias("_head")).distinct()
+    own = patterns.select(ident, F.left(p, F.lit(width)).alias("_head"))
+    covered = containing(texts, "_text", heads, "_head").select(ident).union(containing(rules.select(r.alias("_text")).distinct(), "_text", own, "_head").select(ident))
+    return patterns.join(covered.distinct(), ident, "left_anti")
 
 
 def typed_references(rules: DataFrame, memories: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import scoring, text
+from ..functions import scoring
 
 
 def latest(log: DataFrame, key: list[str], order: list[Column | str]) -> DataFrame:
@@ -35,26 +35,6 @@ def rolled_back(versions: DataFrame, key: str, to: int) -> DataFrame:
     return versions.unionByName(copy.select(*versions.columns))
 
 
-def consolidation(new: DataFrame, old: DataFrame, match: float = 0.55, merge: float = 0.90) -> DataFrame:
-    """Decision for each new memory against the best old one of its kind and project: ADD, UPDATE or SUPERSEDE.
-
-    Memories have memory_id, kind, project, content and object, what the memory asserts of its subject. Rows
-    meet on a shared word, which a match needs.
-    """
-    def worded(df: DataFrame, side: str) -> DataFrame:
-        return df.select("kind", "project", F.col("memory_id").alias(f"{side}_id"), F.col("object").alias(f"{side}_object"), F.array_distinct(text.words(F.col("content"))).alias(f"{side}_words"))
-
-    n, o = worded(new, "new"), worded(old, "old")
-    by_word = lambda df, side: df.select("kind", "project", f"{side}_id", F.explode(f"{side}_words").alias("word"))
-    pairs = by_word(n, "new").join(by_word(o, "old"), ["kind", "project", "word"]).groupBy("kind", "project", "new_id", "old_id").agg(F.count("*").alias("both"))
-    sized = pairs.join(n.select("new_id", "new_object", F.size("new_words").alias("x")), "new_id").join(o.select("old_id", "old_object", F.size("old_words").alias("y")), "old_id")
-    scored = sized.withColumn("score", F.round(F.col("both") / (F.col("x") + F.col("y") - F.col("both")), 6)).filter(F.col("score") >= match)
-    best = scored.groupBy("new_id").agg(F.max(F.struct("score", (-F.col("old_id")).alias("minus"), "old_object", "new_object")).alias("b"))
-    changed = ~F.col("b.new_object").eqNullSafe(F.col("b.old_object"))
-    decided = best.select("new_id", (-F.col("b.minus")).alias("old_id"), F.col("b.score").alias("score"), F.when(changed, "SUPERSEDE").when(F.col("b.score") >= merge, "UPDATE").otherwise("ADD").alias("decision"))
-    return n.select("new_id").join(decided, "new_id", "left").na.fill({"decision": "ADD"})
-
-
 def decay(memories: DataFrame, now: Column, stale_days: int = 180) -> DataFrame:
     """memory_id, action of the memories that age out."""
     action = scoring.decay_action(
@@ -69,6 +49,19 @@ def dependent_rules(actions: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(actions.select("memory_id").distinct(), "memory_id", "left_semi").select("rule_id").distinct()
 
 
+def linked(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """The links (rule_id, memory_id, weight) after an upsert: of equal ends the incoming one stands, and of several the largest weight."""
+    ends = ["rule_id", "memory_id"]
+    new = incoming.groupBy(*ends).agg(F.max("weight").alias("weight"))
+    old = current.select(*ends).distinct().join(new, ends, "left_anti").withColumn("weight", F.lit(1))
+    return new.unionByName(old)
+
+
+def links_of(links: DataFrame, end: str, ids: DataFrame) -> DataFrame:
+    """The links of the wanted rules or memories, looked up from either end."""
+    return links.join(ids, end, "left_semi").distinct()
+
+
 def rule_support(links: DataFrame, memories: DataFrame) -> DataFrame:
     """Mean support of each rule by its memories: .5 without any, .35 if none is known."""
     own = [F.col(c) for c in ("confidence", "validations", "sessions", "strength", "importance", "outcome")]

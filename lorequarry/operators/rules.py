@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
@@ -99,16 +99,16 @@ def scene_evidence(evidence: DataFrame, weights: dict[str, float]) -> DataFrame:
     return each.groupBy("scene").agg(F.round(F.sum(weight), 6).alias("weight"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
 
 
-def related(queries: DataFrame, rows: DataFrame, block: str, score: Column, k: int) -> DataFrame:
-    """The k best rows of each query's block: query_id, row_id, score."""
-    pairs = queries.alias("q").join(rows.alias("r"), block).select(F.col("q.id").alias("query_id"), F.col("r.id").alias("row_id"), F.round(score, 6).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
-    return pairs.withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+# Families of words that are taken as keywords of a rule's text.
+KEYWORD_FAMILIES = [
+    r"\b(react|vue|angular|typescript|javascript|python|java|go|rust)\b", r"\b(api|database|sql|nosql|redis|mongodb|postgresql)\b", r"\b(async|await|promise|callback|hook|memo|effect)\b",
+    r"\b(performance|optimization|cache|memory|speed)\b", r"\b(security|auth|token|jwt|oauth|xss|csrf|injection)\b", r"\b(test|testing|unit|integration|e2e|mock)\b", r"\b(error|exception|validation|sanitize)\b",
+]
 
 
-def contradicting(rules: DataFrame, block: list[str], polarity: Column) -> DataFrame:
-    """Pairs of a block that share all keywords but one and speak against each other: a, b."""
-    p = rules.select(*block, "rule_id", polarity.alias("p"), F.array_sort("keywords").alias("k")).filter("p <> 0")
-    a, b = p.alias("a"), p.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*block, "k"]]
-    return a.join(b, [*same, F.col("a.rule_id") < F.col("b.rule_id"), F.col("a.p") == -F.col("b.p")]).select(F.col("a.rule_id").alias("a"), F.col("b.rule_id").alias("b"))
+def optimised(rules: DataFrame, content: Column, least: int = 3) -> DataFrame:
+    """Rules after a cleanup: rule_id, keywords (how many, with those of the text where there were few), confidence (.1 more where it was low and the rule is complete)."""
+    found = F.slice(F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(F.lower(content), F.lit(p), F.lit(1)) for p in KEYWORD_FAMILIES)))), 1, 10)
+    words = F.when(F.size("keywords") < least, F.array_distinct(F.concat("keywords", found))).otherwise(F.array_distinct("keywords"))
+    boost = (F.col("confidence") < 0.7) & (F.size("_words") >= 3) & (F.col("tech").isNotNull() | F.col("functional").isNotNull())
+    return rules.withColumn("_words", words).select("rule_id", F.size("_words").cast("long").alias("keywords"), F.when(boost, F.round(F.least(F.lit(1.0), F.col("confidence") + 0.1), 6)).otherwise(F.col("confidence")).alias("confidence"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import scoring, text
 
@@ -87,16 +91,31 @@ def fused(results: DataFrame, min_weight: float = 0.3) -> DataFrame:
     return ranked.groupBy("id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("scenes"))
 
 
+def pair_counts(rows: DataFrame, content: str, wanted: list[str]) -> DataFrame:
+    """rows with _pairs, the distinct character pairs of a text without white space, and _shared, those among the wanted. No rows move."""
+    dense = rows.withColumn("_dense", F.regexp_replace(F.lower(content), r"\s+", ""))
+    query = frozenset(wanted)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [{t[i : i + 2] for i in range(len(t) - 1)} for t in (x or "" for x in batch.column("_dense").to_pylist())]
+            kept = [batch.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(p) for p in own], pa.int32()), pa.array([len(p & query) for p in own], pa.int32())], [*names, "_pairs", "_shared"])
+
+    names = rows.columns
+    schema = T.StructType([*rows.schema.fields, T.StructField("_pairs", T.IntegerType()), T.StructField("_shared", T.IntegerType())])
+    return dense.mapInArrow(count, schema)
+
+
 def search_memory(memories: DataFrame, query: str, now: Column, limit: int, indexed: bool = False) -> DataFrame:
     """Active memories by relevance to a query: memory_id, lexical, semantic, score.
 
     Every memory is scored; one without a matching word and with little in common by character pairs is left out.
     """
-    body = F.lower(F.col("content"))
+    body = F.lower("content")
     wanted = sorted({w for w in query.lower().split() if w})
     matched = sum((F.when(body.contains(w), 1).otherwise(0) for w in wanted), F.lit(0))
     pairs = sorted({p for q in ["".join(query.lower().split())] for p in (q[i : i + 2] for i in range(len(q) - 1))})
-    semantic = text.jaccard(F.array(*map(F.lit, pairs)), text.bigrams(F.col("content")))
     lexical = matched / max(1, len(wanted))
     recent = scoring.recency(now, F.col("created_at"))
     own = [F.col(c) for c in ("importance", "confidence", "strength", "validations")]
@@ -105,6 +124,8 @@ def search_memory(memories: DataFrame, query: str, now: Column, limit: int, inde
     else:
         success = F.when(F.col("outcome") == "success", 1.0).otherwise(0.0)
         score = scoring.memory_score(F.col("semantic"), F.col("lexical"), F.lit(0.0), *own, recent, success, F.col("contradictions"))
-    scored = memories.filter("status = 'active'").withColumns({"lexical": lexical, "semantic": semantic})
+    counted = pair_counts(memories.filter("status = 'active'"), "content", pairs)
+    semantic = F.when(F.col("_pairs") + len(pairs) > F.col("_shared"), F.col("_shared") / (F.col("_pairs") + len(pairs) - F.col("_shared"))).otherwise(0.0)
+    scored = counted.withColumns({"lexical": lexical, "semantic": semantic})
     found = scored.filter((F.col("lexical") > 0) | (F.col("semantic") >= 0.18)).select("memory_id", F.round("lexical", 6).alias("lexical"), F.round("semantic", 6).alias("semantic"), F.round(score, 6).alias("score"))
     return found.filter("score > 0.12").orderBy(F.desc("score"), "memory_id").limit(limit)

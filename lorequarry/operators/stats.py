@@ -111,29 +111,33 @@ def quality_alerts(rates: DataFrame, name: str, rate: str, warning: float, criti
     return rates.select(name, rate, level.alias("level")).filter("level IS NOT NULL")
 
 
-def audit(rules: DataFrame, known: DataFrame) -> DataFrame:
-    """(rule_id, issue): low confidence, no keywords, a duplicate description, no known memory (known: rule_id)."""
-    from pyspark.sql import Window
-
-    same = F.row_number().over(Window.partitionBy("description", "kind").orderBy(F.desc("confidence"), "rule_id"))
-    families = [
-        rules.filter("confidence < 0.3").select("rule_id", F.lit("low_confidence").alias("issue")),
-        rules.filter(F.size("keywords") < 2).select("rule_id", F.lit("few_keywords").alias("issue")),
-        rules.withColumn("_n", same).filter("_n > 1").select("rule_id", F.lit("duplicate").alias("issue")),
-        rules.join(known, "rule_id", "left_anti").select("rule_id", F.lit("orphaned").alias("issue")),
-    ]
-    out = families[0]
-    for f in families[1:]:
-        out = out.unionByName(f)
-    return out
+def audit(rules: DataFrame, active: DataFrame, overall: Column, category: Column, least: float = 0.5) -> DataFrame:
+    """(rule_id, issue, severity, metric) of rules (with sources, ids of memories): empty_scene, low_quality, orphaned_memory, high_business_ratio.
+
+    overall: the unified score; category: struct(category, allowed) of the text; active: memory_id. The
+    metric is the score, or how many references are dead.
+    """
+    dead = rules.select("rule_id", F.explode("sources").alias("memory_id")).distinct().join(active, "memory_id", "left_anti").groupBy("rule_id").agg(F.count("*").alias("_dead"))
+    scored = rules.join(dead, "rule_id", "left").withColumns({"_overall": F.round(overall + 1e-9, 3), "_category": category})
+    bare = F.col("tech").isNull() & F.col("functional").isNull() & F.col("business").isNull()
+    issue = lambda test, name, level, metric: F.when(test, F.struct(F.lit(name).alias("issue"), F.lit(level).alias("severity"), metric.cast("double").alias("metric")))
+    found = F.array(
+        issue(bare, "empty_scene", "high", F.lit(0)), issue(F.col("_overall") < least, "low_quality", "high", F.col("_overall")),
+        issue(F.col("_dead") > 0, "orphaned_memory", "medium", F.col("_dead")),
+        issue(~F.col("_category.allowed") & (F.col("_category.category") != "general"), "high_business_ratio", "medium", F.lit(None)),
+    )
+    return scored.select("rule_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("i")).select("rule_id", "i.*")
 
 
 def retrieval_metrics(ranked: DataFrame) -> DataFrame:
-    """Recall at 1 and 5, MRR and precision at 5 of (query, rank, relevant, expected) rows."""
+    """Recall at 1 and 5, MRR, precision at 5, and isolation of (query, rank, relevant, expected, foreign) rows.
+
+    Isolation is the share of queries without a foreign row, one of another namespace, among their hits.
+    """
     per = ranked.groupBy("query").agg(
         F.max(F.when((F.col("rank") == 1) & F.col("relevant"), 1.0).otherwise(0.0)).alias("r1"),
         (F.count_if((F.col("rank") <= 5) & F.col("relevant")) / F.max("expected")).alias("r5"),
         F.max(F.when(F.col("relevant"), 1 / F.col("rank")).otherwise(0.0)).alias("rr"),
-        (F.count_if((F.col("rank") <= 5) & F.col("relevant")) / 5).alias("p5"),
+        (F.count_if((F.col("rank") <= 5) & F.col("relevant")) / 5).alias("p5"), F.when(F.max("foreign"), 0.0).otherwise(1.0).alias("alone"),
     )
-    return per.agg(*(F.round(F.avg(c), 6).alias(name) for c, name in (("r1", "recall_at_1"), ("r5", "recall_at_5"), ("rr", "mrr"), ("p5", "precision_at_5"))))
+    return per.agg(*(F.round(F.avg(c), 6).alias(name) for c, name in (("r1", "recall_at_1"), ("r5", "recall_at_5"), ("rr", "mrr"), ("p5", "precision_at_5"), ("alone", "isolation"))))

@@ -49,6 +49,13 @@ FEEDBACK = """feedback AS (
     FROM events)"""
 
 
+#: Texts of rules by a remainder of the size, around the name of the part; the invented prose has no such sentences.
+RULE_TEXTS = [
+    "Always use {}.", "Never use {}; it is slow.", "Prefer {} instead of guessing, see src/parts.ts.", "Maybe avoid {}.", "总是使用{}。", "不要使用{}，尽量检查接口。",
+    "- use `{}` in the component\n- 1. check the database query\nExample: validate all props.", "You are an AI: {} sometimes might help with everything, and it could be anything you like.",
+]
+
+
 def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("p_size")
     priority = F.when(p >= 40, "critical").when(p >= 25, "high").when(p >= 10, "medium").otherwise("low")
@@ -59,6 +66,7 @@ def rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("size-"), F.floor(p / 10).cast("string")).alias("business"), F.col("p_name").alias("description"), status.alias("status"),
         F.when(F.col("p_partkey") % 3 == 0, "global").when(F.col("p_partkey") % 3 == 1, "organization").otherwise("project").alias("scope"),
         F.concat(F.lit("/srv/p"), (F.col("p_partkey") % 7).cast("string")).alias("project_path"),
+        F.replace(F.element_at(F.array(*map(F.lit, RULE_TEXTS)), (p % 8 + 1).cast("int")), F.lit("{}"), F.col("p_name")).alias("content"),
     )
 
 
@@ -69,7 +77,8 @@ RULES = """rules AS (
            'size-' || CAST(p_size // 10 AS VARCHAR) AS business, p_name AS description,
            CASE WHEN p_partkey % 11 = 0 THEN 'deprecated' ELSE 'active' END AS status,
            CASE WHEN p_partkey % 3 = 0 THEN 'global' WHEN p_partkey % 3 = 1 THEN 'organization' ELSE 'project' END AS scope,
-           '/srv/p' || CAST(p_partkey % 7 AS VARCHAR) AS project_path
+           '/srv/p' || CAST(p_partkey % 7 AS VARCHAR) AS project_path,
+           replace((""" + repr(RULE_TEXTS).replace("\\n", "' || chr(10) || '") + """)[p_size % 8 + 1], '{}', p_name) AS content
     FROM part)"""
 PRIORITY_RANK = "CASE priority WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END"
 
@@ -104,6 +113,14 @@ MEMORIES = """memories AS (
     FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders link rules and memories; most of a rule's memories exist, some don't."""
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("rule_id"), F.floor(F.col("o_orderkey") / 10).cast("long").alias("memory_id"))
+
+
+LINKS = "links AS (SELECT o_custkey AS rule_id, o_orderkey // 10 AS memory_id FROM orders)"
+
+
 def signals(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *s) for i, s in enumerate(SIGNALS)], "signal_id long, text string, pattern_type string, confidence double")
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_memory, queries_rules, queries_scenes, queries_search, queries_stats
+from . import queries_listing, queries_memory, queries_near, queries_quality, queries_rules, queries_scenes, queries_search, queries_stats
 
-QUERIES = queries_search.QUERIES | queries_stats.QUERIES | queries_memory.QUERIES | queries_rules.QUERIES | queries_scenes.QUERIES
-ORACLE_SQL = queries_search.ORACLE_SQL | queries_stats.ORACLE_SQL | queries_memory.ORACLE_SQL | queries_rules.ORACLE_SQL | queries_scenes.ORACLE_SQL
+_MODULES = (queries_search, queries_stats, queries_memory, queries_rules, queries_scenes, queries_near, queries_quality, queries_listing)
+QUERIES = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
+ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import clustering, joins, memory, mining, windows
+from ..operators import joins, memory, mining, windows
 from . import adapters as a
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -14,15 +14,15 @@ QUERIES, ORACLE_SQL = {}, {}
 QUERIES["signal_matches"] = lambda s, d: joins.dictionary_matches(a.messages(s, d), a.signals(s), ["session_id", "line_number"], "content")
 MATCHES = f"""{a.MESSAGES}, {a.SIGNALS_SQL}, matches AS (
     SELECT session_id, line_number, signal_id, pattern_type, confidence,
-           (length(lower(content)) - length(replace(lower(content), signals.text, ''))) // length(signals.text) AS hits
+           len(list_filter(range(1, length(content) - length(signals.text) + 2), lambda i: substr(lower(content), i, length(signals.text)) = signals.text)) AS hits
     FROM messages JOIN signals ON contains(lower(content), signals.text))"""
 ORACLE_SQL["signal_matches"] = f"WITH {MATCHES} SELECT * FROM matches"
 QUERIES["signal_scores"] = lambda s, d: joins.message_scores(QUERIES["signal_matches"](s, d), ["session_id", "line_number"])
 ORACLE_SQL["signal_scores"] = f"""
-    WITH {MATCHES}, t AS (SELECT session_id, line_number, sum(hits) AS total FROM matches GROUP BY ALL),
-    w AS (SELECT session_id, line_number, pattern_type, round(least(0.95::DOUBLE, sum(confidence * hits / total)), 6) AS confidence FROM matches JOIN t USING (session_id, line_number) GROUP BY ALL),
-    r AS (SELECT *, row_number() OVER (PARTITION BY session_id, line_number ORDER BY confidence DESC, pattern_type DESC) AS k FROM w)
-    SELECT session_id, line_number, pattern_type, confidence FROM r WHERE k = 1"""
+    WITH {MATCHES}, occurrences AS (SELECT *, unnest(range(hits)) AS nth, sum(hits) OVER (PARTITION BY session_id, line_number) AS total FROM matches),
+    w AS (SELECT session_id, line_number, pattern_type, round(sum(confidence * hits / total), 9) AS weight FROM occurrences GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY session_id, line_number ORDER BY weight DESC, pattern_type) AS k, sum(weight) OVER (PARTITION BY session_id, line_number) AS every FROM w)
+    SELECT session_id, line_number, pattern_type, round(least(0.95::DOUBLE, every), 6) AS confidence FROM r WHERE k = 1"""
 QUERIES["signal_distinct_join"] = lambda s, d: QUERIES["signal_matches"](s, d).select("session_id", "pattern_type").distinct()
 ORACLE_SQL["signal_distinct_join"] = f"WITH {MATCHES} SELECT DISTINCT session_id, pattern_type FROM matches"
 QUERIES["bayes_time_decay"] = lambda s, d: (
@@ -64,18 +64,6 @@ ORACLE_SQL["nearest_event"] = """
     SELECT user_id, error_id, click_id, micros_away FROM k WHERE k = 1"""
 
 
-def _pairs(name, items, sql, threshold, source="documents"):
-    QUERIES[name] = lambda s, d: joins.similar_pairs(a.table(s, d, "documents"), "doc_id", ["source"], items(F.col("text")), threshold)
-    ORACLE_SQL[name] = f"""
-    WITH x AS (SELECT doc_id, source, list_distinct({sql}) AS i FROM {source})
-    SELECT l.doc_id AS a, r.doc_id AS b, round(len(list_intersect(l.i, r.i)) / len(list_distinct(list_concat(l.i, r.i)))::DOUBLE, 6) AS similarity
-    FROM x l JOIN x r ON l.source = r.source AND l.doc_id < r.doc_id AND len(l.i) > 0 AND len(r.i) > 0
-    WHERE round(len(list_intersect(l.i, r.i)) / len(list_distinct(list_concat(l.i, r.i)))::DOUBLE, 6) >= {threshold}"""
-
-
-_pairs("token_jaccard_pairs", lambda c: F.array_distinct(text.words(c)), a.words_sql("text"), 0.55)
-_pairs("bigram_jaccard_pairs", text.bigrams, "list_transform(range(1, len(c)), lambda i: c[i] || c[i + 1])", 0.8, "(SELECT doc_id, source, string_split(regexp_replace(lower(text), '\\s+', '', 'g'), '') AS c FROM documents)")
-
 QUERIES["levenshtein_topk"] = lambda s, d: (
     a.rules(s, d).select("description").distinct().withColumn("similarity", F.round(text.edit_similarity(F.col("description"), F.lit("red boltt")), 6)).orderBy(F.desc("similarity"), "description").limit(10)
 )
@@ -91,10 +79,6 @@ QUERIES["prefix_segments"] = lambda s, d: joins.prefix_either_way(
 )
 ORACLE_SQL["prefix_segments"] = f"""WITH {a.RULES}, k AS (SELECT DISTINCT unnest(keywords) AS segment FROM rules), q(wanted) AS (VALUES ('bo'), ('gearbox'), ('r'), ('widget'))
     SELECT segment, wanted FROM k JOIN q ON starts_with(segment, wanted) OR starts_with(wanted, segment)"""
-QUERIES["uncovered_patterns"] = lambda s, d: joins.uncovered(a.table(s, d, "documents").select("doc_id", F.col("text").alias("pattern")), a.table(s, d, "benchmark").select(F.col("text").alias("rule_text"))).select("doc_id")
-ORACLE_SQL["uncovered_patterns"] = """SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM benchmark b
-    WHERE contains(lower(d.text), left(lower(b.text), 40)) OR contains(lower(b.text), left(lower(d.text), 40)))"""
-
 # ---------------------------------------------------------------- memory life
 QUERIES["memory_decay"] = lambda s, d: memory.decay(a.memories(s, d), a.now())
 ORACLE_SQL["memory_decay"] = f"""
@@ -104,16 +88,11 @@ ORACLE_SQL["memory_decay"] = f"""
     SELECT * FROM x WHERE action IS NOT NULL"""
 
 
-def _links(s, d):
-    return a.table(s, d, "orders").select((F.col("o_custkey") % 300).alias("rule_id"), (F.col("o_orderkey") % 1500).alias("memory_id"))
-
-
-LINKS = "links AS (SELECT o_custkey % 300 AS rule_id, o_orderkey % 1500 AS memory_id FROM orders)"
-QUERIES["demoted_rules"] = lambda s, d: memory.dependent_rules(QUERIES["memory_decay"](s, d).filter("memory_id < 90"), _links(s, d))
-ORACLE_SQL["demoted_rules"] = f"WITH {LINKS}, gone AS ({ORACLE_SQL['memory_decay']}) SELECT DISTINCT rule_id FROM links WHERE memory_id IN (SELECT memory_id FROM gone WHERE memory_id < 90)"
-QUERIES["memory_support"] = lambda s, d: memory.rule_support(_links(s, d), a.memories(s, d))
+QUERIES["demoted_rules"] = lambda s, d: memory.dependent_rules(QUERIES["memory_decay"](s, d), a.links(s, d))
+ORACLE_SQL["demoted_rules"] = f"WITH {a.LINKS}, gone AS ({ORACLE_SQL['memory_decay']}) SELECT DISTINCT rule_id FROM links WHERE memory_id IN (SELECT memory_id FROM gone)"
+QUERIES["memory_support"] = lambda s, d: memory.rule_support(a.links(s, d), a.memories(s, d))
 ORACLE_SQL["memory_support"] = f"""
-    WITH {a.MEMORIES}, {LINKS}, v AS (SELECT memory_id, confidence * 0.30 + least(1.0, validations / 3.0::DOUBLE) * 0.15 + least(1.0, sessions / 3.0::DOUBLE) * 0.15 + least(1.0, strength / 5) * 0.10 + importance * 0.10
+    WITH {a.MEMORIES}, {a.LINKS}, v AS (SELECT memory_id, confidence * 0.30 + least(1.0, validations / 3.0::DOUBLE) * 0.15 + least(1.0, sessions / 3.0::DOUBLE) * 0.15 + least(1.0, strength / 5) * 0.10 + importance * 0.10
         + CASE outcome WHEN 'success' THEN 1.0 WHEN 'failed' THEN 0.0 ELSE 0.5 END * 0.10 + CASE WHEN state = 'promoted' THEN 0.05 ELSE 0 END AS s FROM memories)
     SELECT rule_id, round(CASE WHEN count(s) = 0 THEN 0.35 ELSE greatest(0.0, least(1.0, avg(s))) END + 1e-9, 6)::DOUBLE AS support FROM links LEFT JOIN v USING (memory_id) GROUP BY rule_id"""
 QUERIES["memory_promotion"] = lambda s, d: memory.promotions(a.memories(s, d))
@@ -127,16 +106,6 @@ QUERIES["fact_upgrade"] = lambda s, d: a.memories(s, d).filter("info_class = 'fa
 ORACLE_SQL["fact_upgrade"] = f"""
     WITH {a.MEMORIES}, c AS (SELECT memory_id, (recalls + memory_id % 5 >= 3)::INT AS a, (outcome = 'success')::INT AS b, (sessions >= 2)::INT AS c, contains(lower(content), 'the')::INT AS d FROM memories WHERE info_class = 'fact')
     SELECT memory_id, round(a * 0.4 + b * 0.3 + c * 0.2 + d * 0.1, 6)::DOUBLE AS score, CAST(a + b + c + d AS BIGINT) AS passed, a + b + c + d >= 2 OR round(a * 0.4 + b * 0.3 + c * 0.2 + d * 0.1, 6) >= 0.5 AS upgrade FROM c"""
-QUERIES["memory_consolidation"] = lambda s, d: memory.consolidation(
-    *(a.memories(s, d).filter(F.col("memory_id") % 2 == k).select("memory_id", "kind", "project", "content", (F.col("memory_id") % 3).alias("object")) for k in (0, 1))
-)
-ORACLE_SQL["memory_consolidation"] = f"""
-    WITH {a.MEMORIES}, x AS (SELECT memory_id, kind, project, memory_id % 3 AS object, list_distinct({a.words_sql("content")}) AS w FROM memories),
-    p AS (SELECT n.memory_id AS new_id, o.memory_id AS old_id, n.object AS no, o.object AS oo, round(len(list_intersect(n.w, o.w)) / len(list_distinct(list_concat(n.w, o.w)))::DOUBLE, 6) AS score
-        FROM x n JOIN x o ON n.kind = o.kind AND n.project = o.project AND n.memory_id % 2 = 0 AND o.memory_id % 2 = 1),
-    k AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY score DESC, old_id) AS k FROM p WHERE score >= 0.55)
-    SELECT x.memory_id AS new_id, old_id, score, CASE WHEN old_id IS NULL THEN 'ADD' WHEN no <> oo THEN 'SUPERSEDE' WHEN score >= 0.9 THEN 'UPDATE' ELSE 'ADD' END AS decision
-    FROM x LEFT JOIN k ON x.memory_id = k.new_id AND k.k = 1 WHERE x.memory_id % 2 = 0"""
 QUERIES["supersede_scd2"] = lambda s, d: memory.superseded(a.feedback(s, d).select("rule_id", "feedback_type", "event_id", "ts"), ["rule_id", "feedback_type"], "ts", "event_id").select("rule_id", "feedback_type", "event_id", F.unix_micros("valid_from").alias("valid_from"), F.unix_micros("valid_to").alias("valid_to"), "status")
 ORACLE_SQL["supersede_scd2"] = f"""
     WITH {a.FEEDBACK}, v AS (SELECT *, lead(ts) OVER (PARTITION BY rule_id, feedback_type ORDER BY ts, event_id) AS nxt FROM feedback)
@@ -182,22 +151,3 @@ ORACLE_SQL["scope_vote"] = """
         round(CASE WHEN p = 'global' THEN wp ELSE 0 END + CASE WHEN l = 'global' THEN wl ELSE 0 END + CASE WHEN h = 'global' THEN wh ELSE 0 END, 6) AS vg FROM w),
     m AS (SELECT *, greatest(vo, vp, vg) AS most FROM v), z AS (SELECT *, CASE WHEN vp = most THEN 'project' END AS isp, CASE WHEN vg = most THEN 'global' END AS isg FROM m)
     SELECT c_custkey, CASE WHEN most = 0 THEN 'project' WHEN vo = most THEN 'organization' WHEN p = isp OR p = isg THEN p WHEN l = isp OR l = isg THEN l ELSE h END AS scope, least(1.0, round(most / 0.8, 6))::DOUBLE AS confidence FROM z"""
-
-# ---------------------------------------------------------------- vectors and clusters
-UNIT = lambda c: F.transform(c, lambda x: x.cast("double") / text.norm(F.col("embedding")))
-
-
-def _vectors(s, d):
-    return a.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", UNIT(F.col("embedding")).alias("vector"))
-
-
-QUERIES["embedding_topk"] = lambda s, d: joins.nearest_vectors(_vectors(s, d).drop("label"), _vectors(s, d).filter("id % 20 = 0").drop("label"), 10, 0.1).select("id", "other", F.round("score", 4).alias("score"))
-ORACLE_SQL["embedding_topk"] = """
-    WITH u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings),
-    p AS (SELECT q.id, o.id AS other, round(list_dot_product(q.v, o.v), 6) AS score FROM u q JOIN u o ON q.id % 20 = 0 AND q.id <> o.id),
-    k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS k FROM p WHERE score >= 0.1) SELECT id, other, round(score, 4) AS score FROM k WHERE k <= 10"""
-QUERIES["centroid_assignment"] = lambda s, d: clustering.assigned(_vectors(s, d).select("id", "vector"), clustering.centroids(_vectors(s, d), "label", "vector"), 0.2).select("id", "centroid")
-QUERIES["embedding_clusters"] = lambda s, d: clustering.vector_clusters(a.table(s, d, "embeddings"), "label", "vec_id", "embedding", "vec_id", 0.5, 20)
-QUERIES["message_clusters"] = lambda s, d: clustering.set_clusters(mining.user_messages(a.messages(s, d)), "session_id", "line_number", text.words(F.col("content")), F.length("content"), 0.25, 20)
-QUERIES["cluster_stats"] = lambda s, d: clustering.cluster_stats(QUERIES["embedding_clusters"](s, d))
-QUERIES["hashed_tfidf"] = lambda s, d: clustering.hashed_terms(a.table(s, d, "benchmark"), "item_id", "text").select("item_id", "slot", F.round("weight", 6).alias("weight"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, text
 from ..operators import joins, memory, rules, search, stats, windows
 from . import adapters as a
+from . import queries_near
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -97,25 +98,11 @@ ORACLE_SQL["scene_evidence"] = f"""
     WITH {a.RULES}, e AS (SELECT DISTINCT tech AS scene, CASE WHEN rule_id % 5 = 0 THEN 'dependencies' WHEN rule_id % 5 = 1 THEN 'paths' WHEN confidence > 0.9 THEN 'input' ELSE 'remote' END AS source FROM rules)
     SELECT scene, round(sum(CASE source WHEN 'dependencies' THEN 0.4 WHEN 'paths' THEN 0.3 WHEN 'input' THEN 0.5 ELSE 0.2 END::DOUBLE), 6) AS weight, array_to_string(list_sort(list(source)), ',') AS sources FROM e GROUP BY scene"""
 
-QUERIES["related_memories"] = lambda s, d: rules.related(
-    a.table(s, d, "documents").filter("doc_id % 7 = 0").select(F.col("doc_id").alias("id"), "source", F.array_distinct(text.words(F.col("text"))).alias("w")),
-    a.table(s, d, "documents").filter("doc_id % 7 <> 0").select(F.col("doc_id").alias("id"), "source", F.array_distinct(text.words(F.col("text"))).alias("w")), "source", text.jaccard(F.col("q.w"), F.col("r.w")), 5,
-)
-ORACLE_SQL["related_memories"] = f"""
-    WITH x AS (SELECT doc_id, source, list_distinct({a.words_sql("text")}) AS w FROM documents),
-    p AS (SELECT q.doc_id AS query_id, r.doc_id AS row_id, CASE WHEN len(q.w) + len(r.w) = 0 THEN 0.0::DOUBLE ELSE round(len(list_intersect(q.w, r.w)) / (len(q.w) + len(r.w) - len(list_intersect(q.w, r.w)))::DOUBLE, 6) END AS score FROM x q JOIN x r ON q.source = r.source AND q.doc_id % 7 = 0 AND r.doc_id % 7 <> 0),
-    k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS k FROM p) SELECT query_id, row_id, score FROM k WHERE k <= 5"""
-
-QUERIES["contradicting_rules"] = lambda s, d: rules.contradicting(a.rules(s, d), ["kind", "tech"], F.when(F.col("confidence") > 0.7, 1).when(F.col("confidence") < 0.3, -1).otherwise(0))
-ORACLE_SQL["contradicting_rules"] = f"""
-    WITH {a.RULES}, p AS (SELECT rule_id, kind, tech, list_sort(keywords) AS k, CASE WHEN confidence > 0.7 THEN 1 WHEN confidence < 0.3 THEN -1 ELSE 0 END AS p FROM rules)
-    SELECT x.rule_id AS a, y.rule_id AS b FROM p x JOIN p y ON x.kind = y.kind AND x.tech = y.tech AND x.k = y.k AND x.rule_id < y.rule_id AND x.p = -y.p AND x.p <> 0"""
-
 QUERIES["first_wins"] = lambda s, d: windows.first_wins(a.rules(s, d).select("description", "kind", "rule_id"), ["description", "kind"], ["rule_id"])
 ORACLE_SQL["first_wins"] = f"WITH {a.RULES} SELECT description, kind, min(rule_id) AS rule_id FROM rules GROUP BY description, kind"
 
-QUERIES["last_occurrence"] = lambda s, d: windows.last_path(a.table(s, d, "events").filter("user_id < 40").select("user_id", "event_id", F.when(F.col("event_type") == "click", F.col("props")).alias("path")), "user_id", "event_id", "path").select("user_id", "event_id", "last_path")
-ORACLE_SQL["last_occurrence"] = """SELECT user_id, event_id, last_value(CASE WHEN event_type = 'click' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS last_path FROM events WHERE user_id < 40"""
+QUERIES["last_occurrence"] = lambda s, d: windows.last_path(a.table(s, d, "events").select("user_id", "event_id", F.when(F.col("event_type") == "click", F.col("props")).alias("path")), "user_id", "event_id", "path").select("user_id", "event_id", "last_path")
+ORACLE_SQL["last_occurrence"] = """SELECT user_id, event_id, last_value(CASE WHEN event_type = 'click' THEN props END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS last_path FROM events"""
 
 QUERIES["path_similarity"] = lambda s, d: a.table(s, d, "pages").select("page_id", text.path_similarity(F.regexp_replace("url", r"^https?://|\?.*$", ""), F.lit("ththre.example.com/fr/1")).alias("similarity"))
 ORACLE_SQL["path_similarity"] = """
@@ -128,23 +115,20 @@ ORACLE_SQL["content_hashes"] = "SELECT page_id, 'sha256:' || sha256(html) AS has
 
 
 def _retrieval(s, d):
-    ranked = QUERIES["related_memories"](s, d)
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id"))
-    return stats.retrieval_metrics(ranked.select(F.col("query_id").alias("query"), rank.alias("rank"), (F.col("row_id") % 3 == 0).alias("relevant"), F.lit(3).alias("expected")))
+    ranked = queries_near._related(s, d)
+    return stats.retrieval_metrics(ranked.select(F.col("query_id").alias("query"), "rank", (F.col("row_id") % 3 == 0).alias("relevant"), F.lit(3).alias("expected"), (F.col("row_id") % 7 == 0).alias("foreign")))
 
 
 QUERIES["retrieval_metrics"] = _retrieval
 ORACLE_SQL["retrieval_metrics"] = f"""
-    WITH z AS ({ORACLE_SQL["related_memories"]}), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, row_id) AS rank, row_id % 3 = 0 AS rel FROM z),
-    g AS (SELECT query_id, max(CASE WHEN rank = 1 AND rel THEN 1.0::DOUBLE ELSE 0 END) AS r1, count(*) FILTER (rank <= 5 AND rel) / 3.0::DOUBLE AS r5, max(CASE WHEN rel THEN 1.0::DOUBLE / rank ELSE 0 END) AS rr, count(*) FILTER (rank <= 5 AND rel) / 5.0::DOUBLE AS p5 FROM r GROUP BY query_id)
-    SELECT round(avg(r1), 6) AS recall_at_1, round(avg(r5), 6) AS recall_at_5, round(avg(rr), 6) AS mrr, round(avg(p5), 6) AS precision_at_5 FROM g"""
+    WITH z AS ({queries_near.RELATED}), r AS (SELECT query_id, rank, row_id % 3 = 0 AS rel, row_id % 7 = 0 AS other FROM z),
+    g AS (SELECT query_id, max(CASE WHEN rank = 1 AND rel THEN 1.0::DOUBLE ELSE 0 END) AS r1, count(*) FILTER (rank <= 5 AND rel) / 3.0::DOUBLE AS r5, max(CASE WHEN rel THEN 1.0::DOUBLE / rank ELSE 0 END) AS rr, count(*) FILTER (rank <= 5 AND rel) / 5.0::DOUBLE AS p5, bool_or(other) AS leak FROM r GROUP BY query_id)
+    SELECT round(avg(r1), 6) AS recall_at_1, round(avg(r5), 6) AS recall_at_5, round(avg(rr), 6) AS mrr, round(avg(p5), 6) AS precision_at_5, round(1 - avg(leak::INT), 6) AS isolation FROM g"""
 
 QUERIES["session_stats"] = lambda s, d: a.messages(s, d).groupBy("session_id").agg(*(F.count_if(F.col("role") == r).alias(f"n_{r}") for r in ("user", "assistant", "system")), (F.max("line_number") - F.min("line_number")).alias("span"))
 ORACLE_SQL["session_stats"] = f"WITH {a.MESSAGES} SELECT session_id, count(*) FILTER (role = 'user') AS n_user, count(*) FILTER (role = 'assistant') AS n_assistant, count(*) FILTER (role = 'system') AS n_system, max(line_number) - min(line_number) AS span FROM messages GROUP BY session_id"
 
-QUERIES["distinct_reads"] = lambda s, d: joins.typed_references(a.feedback(s, d).groupBy("rule_id").agg(F.collect_set(F.col("event_id") % 200).alias("sources")), memory.latest(a.memories(s, d).select("memory_id"), ["memory_id"], ["memory_id"])).groupBy("reference_state").agg(F.count("*").alias("rules"))
+QUERIES["distinct_reads"] = lambda s, d: joins.typed_references(a.feedback(s, d).groupBy("rule_id").agg(F.collect_set(F.floor(F.col("event_id") / 7).cast("long")).alias("sources")), memory.latest(a.memories(s, d).select("memory_id"), ["memory_id"], ["memory_id"])).groupBy("reference_state").agg(F.count("*").alias("rules"))
 ORACLE_SQL["distinct_reads"] = f"""
-    WITH {a.FEEDBACK}, {a.MEMORIES}, r AS (SELECT DISTINCT rule_id, event_id % 200 AS m FROM feedback), c AS (SELECT rule_id, count(*) AS n, count(memory_id) AS k FROM r LEFT JOIN memories ON m = memory_id GROUP BY rule_id)
+    WITH {a.FEEDBACK}, {a.MEMORIES}, r AS (SELECT DISTINCT rule_id, event_id // 7 AS m FROM feedback), c AS (SELECT rule_id, count(*) AS n, count(memory_id) AS k FROM r LEFT JOIN memories ON m = memory_id GROUP BY rule_id)
     SELECT CASE WHEN k = 0 THEN 'fully_orphaned' WHEN k < n THEN 'partially_orphaned' ELSE 'normal' END AS reference_state, count(*) AS rules FROM c GROUP BY 1"""

@@ -47,12 +47,6 @@ ORACLE_SQL["json_shape"] = """
     WITH x AS (SELECT event_id, props, left(props, event_id % 12) AS p FROM events)
     SELECT event_id, regexp_matches(trim(props, ' '), '(?s)^(\\{.*\\}|\\[.*\\])$') AS json, length(regexp_replace(p, '[^\\[{]', '', 'g')) > length(regexp_replace(p, '[^\\]}]', '', 'g')) AS cut FROM x"""
 
-QUERIES["pattern_messages"] = lambda s, d: (
-    a.table(s, d, "documents").select("doc_id", F.col("text").alias("body"))
-    .join(F.broadcast(a.table(s, d, "benchmark")), F.col("body").contains(F.left("text", F.lit(40)))).groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("found"))
-)
-ORACLE_SQL["pattern_messages"] = "SELECT item_id, min(doc_id) AS first_doc, count(*) AS found FROM documents d JOIN benchmark b ON contains(d.text, left(b.text, 40)) GROUP BY item_id"
-
 
 def _corrections(s, d):
     e = a.table(s, d, "events").select("user_id", "event_id", "event_type")

@@ -123,13 +123,6 @@ ORACLE_SQL["memory_search_indexed"] = _memory_sql(f"sem * 0.22 + lex * 0.32 + {_
 QUERIES["sensitivity_flags"] = lambda s, d: _texts(s, d).select("doc_id", classify.sensitive(F.col("text")).alias("sensitive"))
 ORACLE_SQL["sensitivity_flags"] = "SELECT doc_id, " + " OR ".join("regexp_matches(coalesce(text, ''), '" + p.replace("'", "''") + "')" for p in classify.SENSITIVE) + " AS sensitive FROM documents"
 
-QUERIES["info_class"] = lambda s, d: a.messages(s, d).select("session_id", "line_number", classify.info_class(F.col("content")).alias("info_class"))
-_M = lambda ps: "(" + " OR ".join("regexp_matches(t, '" + p.replace("'", "''") + "')" for p in ps) + ")"
-ORACLE_SQL["info_class"] = f"""
-    WITH {a.MESSAGES}, x AS (SELECT session_id, line_number, trim(coalesce(content, ''), ' ') AS t FROM messages)
-    SELECT session_id, line_number, CASE WHEN {_M(classify.ONE_TIME)} THEN 'one-time' WHEN {_M(classify.PREFERENCE)} THEN 'preference'
-        WHEN {_M(classify.CORRECTIVE)} AND {_M(classify.TECHNICAL)} THEN 'experience' WHEN {_M(classify.TECHNICAL)} THEN 'fact' ELSE 'one-time' END AS info_class FROM x"""
-
 QUERIES["content_category"] = lambda s, d: _texts(s, d).select("doc_id", classify.content_category(F.col("text"), CODE, BUSINESS).alias("c")).select("doc_id", "c.category", "c.allowed")
 _C = lambda ws: " + ".join(f"(CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END)" for w in ws)
 ORACLE_SQL["content_category"] = f"""
@@ -137,22 +130,6 @@ ORACLE_SQL["content_category"] = f"""
     SELECT doc_id, CASE WHEN c + b = 0 THEN 'general' WHEN r > 0.6 THEN 'business' WHEN r <= 0.3 THEN 'code' ELSE 'mixed' END AS category,
            coalesce(r, 0.0) <= 0.6 AS allowed FROM r"""
 
-QUERIES["rule_quality"] = lambda s, d: a.rules(s, d).select("rule_id", classify.quality(F.col("description"), F.col("keywords")).alias("q")).select("rule_id", "q.clarity", "q.specificity", "q.actionability", "q.overall", F.array_join("q.issues", ",").alias("issues"))
-ORACLE_SQL["rule_quality"] = f"""
-    WITH {a.RULES}, q AS (SELECT rule_id, CASE WHEN length(description) BETWEEN 20 AND 500 THEN 0.8::DOUBLE WHEN length(description) > 500 THEN 0.6 ELSE 0.4 END AS clarity,
-        least(1.0, 0.3 + 0.1 * len(keywords) + CASE WHEN regexp_matches(description, '\\d') THEN 0.1 ELSE 0 END)::DOUBLE AS sp,
-        CASE WHEN regexp_matches(description, '(?i)\\b(use|avoid|add|never|always|must|should)\\b') THEN 0.8::DOUBLE ELSE 0.4 END AS actionability FROM rules)
-    SELECT rule_id, clarity, round(sp, 6) AS specificity, actionability, round(clarity * 0.4 + sp * 0.3 + actionability * 0.3, 6) AS overall,
-           array_to_string(list_filter([CASE WHEN clarity < 0.5 THEN 'unclear' END, CASE WHEN sp < 0.5 THEN 'vague' END, CASE WHEN actionability < 0.5 THEN 'not_actionable' END], lambda x: x IS NOT NULL), ',') AS issues FROM q"""
-
-QUERIES["prefilter"] = lambda s, d: mining.prefiltered(a.messages(s, d), HINTS)
-ORACLE_SQL["prefilter"] = f"""
-    WITH {a.MESSAGES}, b AS (SELECT *, lag(content) OVER (PARTITION BY session_id ORDER BY line_number) AS p FROM messages WHERE role = 'user'),
-    c AS (SELECT *, list_distinct(list_filter(string_split(content, ''), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split(p, ''), lambda x: x <> '')) AS y FROM b)
-    SELECT session_id, line_number, CASE WHEN contains(lower(content), 'thble') OR contains(lower(content), 'eux') THEN 'hint'
-        WHEN length(trim(content, ' ')) <= 2 OR regexp_matches(lower(trim(content, ' ')), '^(ok|okay|yes|no|sure|thanks|thank you|got it)[.!]*$') THEN 'acknowledgement'
-        WHEN p IS NOT NULL AND len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE > 0.9 THEN 'repeated' ELSE 'kept' END AS verdict FROM c"""
-
 QUERIES["token_estimate"] = lambda s, d: _texts(s, d).select("doc_id", text.tokens_estimate(F.col("text")).cast("long").alias("tokens"), text.is_chinese(F.col("text")).alias("chinese"))
 ORACLE_SQL["token_estimate"] = """SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens,
     length(regexp_replace(text, '\\s', '', 'g')) > 0 AND length(regexp_replace(text, '[^一-鿿]', '', 'g')) / length(regexp_replace(text, '\\s', '', 'g'))::DOUBLE >= 0.12 AS chinese FROM documents"""

@@ -76,14 +76,6 @@ ORACLE_SQL["quality_alerts"] = """
     WITH r AS (SELECT source, round(1 - avg(quality), 6) AS rejection_rate FROM documents JOIN labels USING (doc_id) GROUP BY source)
     SELECT source, rejection_rate, CASE WHEN rejection_rate >= 0.2 THEN 'critical' ELSE 'warning' END AS level FROM r WHERE rejection_rate >= 0.1"""
 
-QUERIES["rule_audit"] = lambda s, d: stats.audit(a.rules(s, d), a.table(s, d, "lineitem").select(F.col("l_partkey").alias("rule_id")).filter("rule_id % 2 = 0"))
-ORACLE_SQL["rule_audit"] = f"""
-    WITH {a.RULES}, n AS (SELECT rule_id, row_number() OVER (PARTITION BY description, kind ORDER BY confidence DESC, rule_id) AS k FROM rules)
-    SELECT rule_id, 'low_confidence' AS issue FROM rules WHERE confidence < 0.3 UNION ALL SELECT rule_id, 'few_keywords' FROM rules WHERE len(keywords) < 2
-    UNION ALL SELECT rule_id, 'duplicate' FROM n WHERE k > 1
-    UNION ALL SELECT rule_id, 'orphaned' FROM rules WHERE rule_id NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey % 2 = 0)"""
-
-
 def _occurrences(s, d):
     e = a.table(s, d, "events")
     kind = F.when(F.col("event_type") == "error", "repeated-correction").when(F.col("event_type") == "view", "preference").when(F.col("event_type") == "click", "performance").otherwise("security")
@@ -104,11 +96,11 @@ ORACLE_SQL["confidence_score"] = """
         + CASE WHEN sessions >= 3 THEN 0.15 WHEN sessions = 2 THEN 0.08 ELSE 0 END + CASE WHEN keyword THEN 0.2 ELSE 0 END), 6) AS confidence FROM b"""
 
 QUERIES["orphan_typing"] = lambda s, d: joins.typed_references(
-    a.table(s, d, "orders").groupBy((F.col("o_custkey") % 500).alias("rule_id")).agg(F.collect_set(F.col("o_orderkey") % 3000).alias("sources")),
+    a.table(s, d, "orders").groupBy(F.col("o_custkey").alias("rule_id")).agg(F.collect_set("o_orderkey").alias("sources")),
     a.table(s, d, "documents").select((F.col("doc_id") * 3).alias("memory_id")),
 )
 ORACLE_SQL["orphan_typing"] = """
-    WITH r AS (SELECT DISTINCT o_custkey % 500 AS rule_id, o_orderkey % 3000 AS memory_id FROM orders),
+    WITH r AS (SELECT DISTINCT o_custkey AS rule_id, o_orderkey AS memory_id FROM orders),
     c AS (SELECT rule_id, count(*) AS n_refs, count(doc_id) AS n_known FROM r LEFT JOIN documents ON memory_id = doc_id * 3 GROUP BY rule_id)
     SELECT *, CASE WHEN n_refs = 0 THEN 'no_references' WHEN n_known = 0 THEN 'fully_orphaned' WHEN n_known < n_refs THEN 'partially_orphaned' ELSE 'normal' END AS reference_state FROM c"""
 

@@ -71,3 +71,18 @@ def repaired_json(text: Column) -> Column:
     commas = F.regexp_replace(body, r",\s*([\]}])", "$1")
     quotes = F.regexp_replace(commas, r"'([^']*)'", '"$1"')
     return F.coalesce(F.try_parse_json(body), F.try_parse_json(commas), F.try_parse_json(quotes))
+
+
+def recovered_array(text: Column) -> Column:
+    """A JSON array that was cut off, closed after its last whole object: everything to the last `}` or `]` that leaves depth one."""
+    marks = F.regexp_extract_all(text, F.lit(r'("(?:[^"\\]|\\.)*"?|[^"\[\]{}]+|[\[\]{}])'), F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(state: Column, mark: Column) -> Column:
+        depth = state["depth"] + F.when(mark.isin("[", "{"), 1).when(mark.isin("]", "}"), -1).otherwise(0)
+        at = state["at"] + F.length(mark)
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when(mark.isin("]", "}") & (depth <= 1), at).otherwise(state["end"]).alias("end"))
+
+    folded = F.aggregate(marks, start, step)
+    whole = F.substring(text, F.lit(1), folded["end"])
+    return F.when(folded["depth"] == 0, text).when(folded["end"] == 0, "[]").otherwise(F.concat(whole, F.lit("]")))

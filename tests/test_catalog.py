@@ -1,6 +1,12 @@
+import collections
+import math
+import random
+
 import pytest
 
-from lorequarry.plans import catalog
+from lorequarry.operators import near
+from lorequarry.plans import catalog, queries_near
+from lorequarry.staging import staged
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
@@ -19,13 +25,79 @@ def test_entry_works_without_the_subpackage(spark):
     assert set(catalog.QUERIES) <= set(entry.queries())
 
 
-def test_leaders_follow_the_stated_order(spark):
-    from lorequarry.operators.clustering import set_clusters
-    from pyspark.sql import functions as F
+def plain_leaders(ids, near, most=None):
+    """Leaders in the order of ids, by a loop; near(a, b) tells whether two are alike."""
+    leader = {}
+    for k, i in enumerate(ids):
+        if i in leader:
+            continue
+        free = [j for j in ids[k + 1 :] if j not in leader and near(i, j)]
+        leader |= {j: i for j in [i, *free[: None if most is None else most - 1]]}
+    return leader
+
+
+@pytest.mark.parametrize("most", [None, 2, 4])
+def test_leaders_against_a_plain_loop(spark, most):
+    rnd = random.Random(most)
+    for n, part in ((40, 0.08), (60, 0.3), (30, 1.0)):
+        pairs = {(a, b) for a in range(n) for b in range(a + 1, n) if rnd.random() < part}
+        order = {i: rnd.randrange(5) for i in range(n)}
+        nodes = spark.createDataFrame([(i, order[i]) for i in range(n)], "id long, seed long")
+        got = near.leader_clusters(nodes, spark.createDataFrame(sorted(pairs), "a long, b long"), ["seed"], most)
+        want = plain_leaders(sorted(range(n), key=lambda i: (order[i], i)), lambda a, b: (min(a, b), max(a, b)) in pairs, most)
+        assert {r["id"]: r["leader"] for r in got.collect()} == want
+
+
+def test_parts_and_levels_lose_no_pair(spark, monkeypatch):
+    """Small parts, many levels and hot blocks give the pairs of a loop, and the nearest rows too."""
+    monkeypatch.setattr(near, "PART_ROWS", 7)
+    monkeypatch.setattr(near, "PART_ITEMS", 60)
+    monkeypatch.setattr(near, "COLUMNS", 5)
+    rnd = random.Random(1)
+    sets = {i: sorted({rnd.randrange(14) for _ in range(rnd.choice([1, 2, 5, 9, 14]))}) for i in range(90)}
+    block = {i: "hot" if i % 3 else "b" for i in sets}
+    rows = staged(spark.createDataFrame([(block[i], i, s) for i, s in sets.items()], "block string, id long, items array<long>"), "rows")
+    like = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+    for threshold in (0.3, 0.8):
+        got = sorted((r["a"], r["b"]) for r in near.similar(rows, ["block"], threshold).collect())
+        assert got == [(a, b) for a in sets for b in sets if a < b and block[a] == block[b] and like(a, b) >= threshold]
+    got = {}
+    for r in near.nearest(rows.filter("id % 4 = 0"), rows, ["block"], 3).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["row_id"]))
+    for q in range(0, 90, 4):
+        best = sorted((i for i in sets if i != q and block[i] == block[q]), key=lambda i: (-round(like(q, i), 6), i))[:3]
+        assert [i for _, i in sorted(got[q])] == best
+
+
+def test_message_clusters_against_a_plain_loop(spark, sf):
+    """Tf-idf within the session, path and topics, seeds by length, twenty at most."""
+    rows = {r["id"]: r for r in queries_near._user_messages(spark, sf).collect()}
+    sessions = {}
+    for i, r in rows.items():
+        sessions.setdefault(r["session_id"], []).append(i)
+    want = {}
+    for ids in sessions.values():
+        df = collections.Counter(w for i in ids for w in set(rows[i]["words"]))
+        vectors = {}
+        for i in ids:
+            v = {w: n * math.log(len(ids) / df[w]) for w, n in collections.Counter(rows[i]["words"]).items()}
+            size = math.sqrt(sum(x * x for x in v.values()))
+            vectors[i] = {w: x / size for w, x in v.items()} if size else {}
+
+        def near_enough(a, b):
+            cosine = sum(x * vectors[b].get(w, 0) for w, x in vectors[a].items())
+            path = 1.0 if rows[a]["path"] == rows[b]["path"] else 0.6 if a != b else 1.0
+            boost = max((min(x, y) / max(x, y) for x, y in zip(rows[a]["topics"], rows[b]["topics"]) if x and y), default=0)
+            return (cosine > 0 or boost > 0) and cosine * 0.6 + path * 0.2 + boost * 0.2 >= 0.25 - 1e-9
+
+        want |= plain_leaders(sorted(ids, key=lambda i: (-rows[i]["length"], i)), near_enough, 20)
+    got = {r["session_id"] * 1000 + r["line_number"]: r["session_id"] * 1000 + r["leader"] for r in catalog.QUERIES["message_clusters"](spark, sf).collect()}
+    assert got == want
+
 
-    rows = spark.createDataFrame([("a", 1, ["x", "y"], 9), ("a", 2, ["x", "y", "z"], 5), ("a", 3, ["q"], 7), ("b", 4, ["x", "y"], 1)], "block string, id long, items array<string>, seed long")
-    found = {r["id"]: r["leader"] for r in set_clusters(rows, "block", "id", F.col("items"), F.col("seed"), 0.5).collect()}
-    assert found == {1: 1, 2: 1, 3: 3, 4: 4}
+def test_memory_clusters_hold_each_text_with_its_copy(spark, sf):
+    got = {r["memory_id"]: r["leader"] for r in catalog.QUERIES["memory_clusters"](spark, sf).collect()}
+    assert all(got[i] == got[i + 100000] for i in got if i < 100000) and len(set(got.values())) > 5
 
 
 def test_vector_clusters_against_a_plain_loop(spark, sf):
@@ -33,15 +105,10 @@ def test_vector_clusters_against_a_plain_loop(spark, sf):
 
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect()
     got = {r["vec_id"]: r["leader"] for r in catalog.QUERIES["embedding_clusters"](spark, sf).collect()}
+    vec = {r["vec_id"]: np.array(r["embedding"], float) / np.linalg.norm(np.array(r["embedding"], float)) for r in rows}
     want = {}
     for label in {r["label"] for r in rows}:
-        own = sorted((r for r in rows if r["label"] == label), key=lambda r: -r["vec_id"])
-        vec = {r["vec_id"]: np.array(r["embedding"]) / np.linalg.norm(r["embedding"]) for r in own}
-        for r in own:
-            if r["vec_id"] in want:
-                continue
-            near = [o["vec_id"] for o in own if o["vec_id"] not in want and o is not r and vec[o["vec_id"]] @ vec[r["vec_id"]] >= 0.5][:19]
-            want |= {v: r["vec_id"] for v in [r["vec_id"], *near]}
+        want |= plain_leaders(sorted((r["vec_id"] for r in rows if r["label"] == label), reverse=True), lambda a, b: round(float(vec[a] @ vec[b]), 9) >= 0.5, 20)
     assert got == want
 
 

@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lorequarry.functions import classify, scoring, text
-from lorequarry.operators import joins, memory, search
+from lorequarry.functions import classify, quality, scoring, text
+from lorequarry.operators import conflicts, joins, memory, search
 
 
 def value(spark, column):
@@ -18,6 +18,11 @@ def value(spark, column):
         ("you should avoid calling fetch() twice", "experience"),
         ("the endpoint lives in server.ts", "fact"),
         ("", "one-time"),
+        ("必须用锁", "experience"),
+        ("队列里有消息", "fact"),
+        ("请帮我看看这个函数", "one-time"),
+        ("我们约定用驼峰", "preference"),
+        ("config.yaml", "fact"),
     ],
 )
 def test_info_class(spark, content, kind):
@@ -109,3 +114,48 @@ def test_reference_states(spark):
     rules = spark.createDataFrame([("a", ["m1"]), ("b", ["ghost"]), ("c", ["m1", "ghost"]), ("d", [])], "rule_id string, sources array<string>")
     known = spark.createDataFrame([("m1",), ("m2",)], "memory_id string")
     assert {r["rule_id"]: r["reference_state"] for r in joins.typed_references(rules, known).collect()} == {"a": "normal", "b": "fully_orphaned", "c": "partially_orphaned", "d": "no_references"}
+
+
+def test_categories_find_short_words_whole(spark):
+    of = lambda t: value(spark, classify.content_category(F.lit(t), ["go", "sql"], ["market"]))["category"]
+    assert of("google a market") == "business" and of("write it in go") == "code" and of("nothing") == "general"
+
+
+@pytest.mark.parametrize(
+    ("content", "clarity", "specificity", "actionability"),
+    [
+        ("使用 useEffect 钩子时，应确保依赖数组完整，避免遗漏状态依赖", 1.0, 0.65, 0.82),
+        ("也许可以尽量优化一下", 0.28, 0.5, 0.5),
+        ("Always use the repository layer instead of raw queries in src/api", 1.0, 0.6, 0.73),
+        ("You are an AI, strictly follow the rules", 1.0, 0.0, 0.5),
+    ],
+)
+def test_quality_of_texts(spark, content, clarity, specificity, actionability):
+    t = F.lit(content)
+    got = value(spark, F.struct(quality.clarity(t).alias("c"), quality.specificity(t, classify.meta(t)).alias("s"), quality.actionability(t).alias("a")))
+    assert (got["c"], got["s"], got["a"]) == pytest.approx((clarity, specificity, actionability))
+
+
+def test_signals_overlap_and_weigh_by_the_square(spark):
+    messages = spark.createDataFrame([(1, "aaaa b"), (2, "B")], "id long, content string")
+    signals = spark.createDataFrame([(1, "aa", "x", 0.5), (2, "b", "y", 0.9)], "signal_id long, text string, pattern_type string, confidence double")
+    found = joins.dictionary_matches(messages, signals, ["id"], "content")
+    assert {(r["id"], r["signal_id"]): r["hits"] for r in found.collect()} == {(1, 1): 3, (1, 2): 1, (2, 2): 1}
+    scores = {r["id"]: (r["pattern_type"], r["confidence"]) for r in joins.message_scores(found, ["id"]).collect()}
+    assert scores == {1: ("x", 0.95), 2: ("y", 0.9)}  # 0.5 * 9 / 4 and 0.9 / 4; together above the cap
+
+
+def test_texts_meet_patterns_with_and_without_inner_words(spark):
+    texts = spark.createDataFrame([(1, "one two, three four"), (2, "xtwo, threey"), (3, "none")], "i long, t string")
+    patterns = spark.createDataFrame([("p", "ne two, th"), ("q", "o, t"), ("r", "on"), ("s", "two three")], "k string, p string")
+    found = {(r["i"], r["k"]) for r in joins.containing(texts, "t", patterns, "p").collect()}
+    assert found == {(1, "p"), (1, "q"), (2, "q"), (1, "r"), (3, "r")}
+
+
+def test_contradictions_of_rules_and_memories(spark):
+    rules = spark.createDataFrame([(1, "Always use tabs."), (2, "Never use tabs."), (3, "Never use spaces."), (4, "使用 缓存。"), (5, "避免 缓存。"), (6, "Always use tabs.")], "rule_id long, content string")
+    found = {(r["a"], r["b"], r["pair"], r["rules_a"]) for r in conflicts.contradictions(rules).collect()}
+    assert (1, 2, -1, 2) in found and (4, 5, 5, 1) in found and not any(b == 3 and pair == -1 for _, b, pair, _ in found)
+    rows = [(1, "k", "p", "You must run tests before merging code", "run tests merging code"), (2, "k", "q", "You must not run tests on code", "run tests code"), (3, "k", "p", "must not eat", "lunch break"), (4, "z", "p", "must not run tests", "run tests code")]
+    memories = spark.createDataFrame(rows, "memory_id long, kind string, project string, content string, summary string").withColumn("keywords", F.array().cast("array<string>"))
+    assert [(r["a"], r["b"], r["same_project"]) for r in conflicts.memory_conflicts(memories).collect()] == [(1, 2, False)]
