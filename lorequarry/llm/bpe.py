@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks
+from .common import chunks, tidied
 from .pretokens import Encoder
 
 #: Pieces up to this many bytes are merged in matrices; a longer one by a heap, as its matrix would cost its square.
@@ -200,8 +200,8 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     every partition is encoded where it is read. ranks_path: a rank file that all executors can open.
 
     A null or empty text has no ids; a null id is kept; repeated rows give repeated results; an empty
-    table gives no rows; other columns are never read. A very long text is encoded whole, in a step of
-    its own, and a piece above MATRIX_BYTES by a heap.
+    table gives no rows; other columns are never read, whatever their names. A very long text is encoded whole,
+    in a step of its own, and a piece above MATRIX_BYTES by a heap. Of pairs of one rank the leftmost is merged.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,4 +224,4 @@ def encode_documents(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", t
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     kind = docs.schema[id_col].dataType.simpleString()
-    return source.mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return source.mapInArrow(tidied(run), f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

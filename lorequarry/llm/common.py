@@ -1,11 +1,10 @@
-"""Helpers that the operators share: staged tables, joins with hot groups, Arrow text buffers."""
+"""Helpers that the operators share: joins by key, Arrow text buffers, hashes of spans."""
 
 from __future__ import annotations
 
-import atexit
+import ctypes
 import hashlib
-import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,14 +12,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A group that holds at least this part of all rows is hot, so there are at most as many hot groups.
-HOT_PARTS = 1000
-#: Bytes of keys that are ever broadcast; they are summed before, and beyond it the join shuffles.
-BROADCAST_BYTES = 16 << 20
+from ..staging import attach_groups, drop_staged, fits, scratch, staged, staged_tables
+
+Batches = Iterator[pa.RecordBatch]
 #: Text bytes that one numpy step works on; a longer document is a step of its own.
 CHUNK_BYTES = 500_000
-
-
 #: Bytes of an Arrow batch between Spark and Python, as a batch is held whole and rows have texts.
 BATCH_BYTES = 4 << 20
 
@@ -33,75 +29,18 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-# ---------------------------------------------------------------- staged tables
-def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else one beside the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_scratch"
-    return f"{base.rstrip('/')}/lorequarry-{spark.sparkContext.applicationId}"
-
-
-_cleaned: set[str] = set()
-_tables: list[str] = []
+def tidied(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """run for mapInArrow, after which the Python worker, which later tasks use again, gives memory that it doesn't need back to the system."""
 
+    def whole(batches: Batches) -> Batches:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    except Exception:  # noqa: BLE001  the session may have ended before
-        pass
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here and lost executors lose nothing.
-
-    drop_staged removes it; what is left goes when the driver's process ends.
-    """
-    spark = df.sparkSession
-    root = scratch(spark)
-    if root not in _cleaned:
-        _cleaned.add(root)
-        atexit.register(_remove, spark, root)
-    path = f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
-    _tables.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def staged_tables() -> int:
-    """How many tables are staged, to be given to drop_staged."""
-    return len(_tables)
-
-
-def drop_staged(spark: SparkSession, since: int) -> None:
-    """Remove the tables staged since then, but the last one."""
-    for path in _tables[since:-1]:
-        _remove(spark, path)
-    del _tables[since:-1]
+    return whole
 
 
 # ---------------------------------------------------------------- joins
-def attach_groups(rows: DataFrame, groups: DataFrame, key: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
-    """Join rows with one row per group, where a few groups may hold most of the rows.
-
-    Groups with at least total / HOT_PARTS rows are at most HOT_PARTS many and are broadcast, so their
-    rows stay where they are; the others are small enough for one task each and meet in a shuffle.
-    Both inputs are read twice and so should be staged tables. how: inner or left.
-    """
-    limit = max(2, total // HOT_PARTS)
-    hot, cold = groups.filter(F.col(size) >= limit), groups.filter(F.col(size) < limit)
-    near = rows.join(F.broadcast(hot), key, "inner")
-    far = rows.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key, how)
-    return near.unionByName(far.select(*near.columns))
-
-
-def fits(keys: DataFrame) -> bool:
-    """Whether a table of keys may be broadcast, by its bytes (sixteen a row, and its values as text)."""
-    width = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in keys.columns), F.lit(16))
-    return keys.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0] <= BROADCAST_BYTES
-
-
 def keep_by_key(rows: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Semi or anti join with a set of keys: broadcast if they fit, by a shuffle when they are many."""
     return rows.join(F.broadcast(keys) if fits(keys) else keys, on, how)

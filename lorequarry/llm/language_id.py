@@ -11,12 +11,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, staged
+from .common import chunks, staged, tidied
 
-#: Distinct texts of each language that a dictionary is made of at most, and the bytes taken of each.
-TRAIN_ROWS, PASSAGE_BYTES = 400, 600
-#: What a dictionary holds at most, so fewer texts than TRAIN_ROWS where they are long.
-DICTIONARY_BYTES = 96 << 10
+#: The sample that is learned of: so many distinct texts of each language at most, a passage of so many characters of each.
+TRAIN_ROWS, PASSAGE_CHARS = 400, 600
 #: Bytes compressed at a time: all of a text is, but a long one must not become its own dictionary.
 BLOCK_BYTES = 4096
 LEVEL = 6
@@ -36,15 +34,15 @@ def normal(text: str) -> bytes:
 def train(docs: DataFrame, learn: Column, text_col: str, lang_col: str) -> dict[str, bytes]:
     """A raw-content dictionary for each language, of TRAIN_ROWS distinct texts where `learn` holds.
 
-    The texts are those with the smallest hash; copies count once. Of each a passage is taken, at a place that
-    the hash decides, and all are cut to DICTIONARY_BYTES: about 160 passages of full length fit. Hashes and
-    passages move, texts don't; what reaches the driver is bounded for each language.
+    The texts are those with the smallest hash; copies count once. Of each a passage of PASSAGE_CHARS is taken,
+    at a place that the hash decides, and all passages are used. Hashes and passages move, texts don't; what
+    reaches the driver is bounded for each language, and languages are a short list of labels.
     """
     rows = docs.filter(learn & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(docs[lang_col].alias("lang"), docs[text_col].alias("text")).withColumn("hash", F.xxhash64("text"))
     counts = staged(rows.select("lang", "hash").distinct().groupBy("lang").agg(F.count("*").alias("n")), "languages")
     share = F.pmod("hash", F.lit(1 << 30)) < F.lit(2.0 * TRAIN_ROWS * (1 << 30)) / F.col("n")
-    room = F.greatest(F.length("text") - PASSAGE_BYTES, F.lit(0)) + 1
-    passage = F.substring("text", (F.pmod(F.shiftright("hash", 30), room) + 1).cast("int"), F.lit(PASSAGE_BYTES))
+    room = F.greatest(F.length("text") - PASSAGE_CHARS, F.lit(0)) + 1
+    passage = F.substring("text", (F.pmod(F.shiftright("hash", 30), room) + 1).cast("int"), F.lit(PASSAGE_CHARS))
     some = rows.join(F.broadcast(counts), "lang").filter(share).select("lang", "hash", passage.alias("passage"))
     texts = some.groupBy("lang", "hash").agg(F.min("passage").alias("passage"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("hash"))
@@ -53,7 +51,7 @@ def train(docs: DataFrame, learn: Column, text_col: str, lang_col: str) -> dict[
     for lang, rank, text in picked.collect():
         found.setdefault(lang, []).append((rank, text))
     often = [r["lang"] for r in counts.orderBy(F.desc("n"), "lang").collect()]  # a row for each language
-    return {lang: b" ".join(normal(text) for _, text in sorted(found[lang]))[:DICTIONARY_BYTES] for lang in often if lang in found}
+    return {lang: b" ".join(normal(text) for _, text in sorted(found[lang])) for lang in often if lang in found}
 
 
 class Judge:
@@ -86,8 +84,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     confident is false where that is under MARGIN, which rejects the prediction. No rows move.
 
     A null text, or one without a letter, is `und` with score 0; so is every text where nothing can be
-    learned. A null id isn't held out; ties go to the language with the most rows to learn of; repeated rows get the same
-    answer; an empty table gives no rows; other columns are never read.
+    learned. A null id isn't held out; ties go to the language with the most texts to learn of, then by name;
+    repeated rows get the same answer; a very long text is compressed whole, in blocks of BLOCK_BYTES; an empty
+    table gives no rows; other columns are never read, whatever their names.
     """
     held_out = F.coalesce(F.crc32(docs[id_col].cast("string")) % 4 == 2, F.lit(False))
     dictionaries = train(docs, ~held_out, text_col, lang_col)
@@ -102,4 +101,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(docs[id_col].alias("doc_id"), held_out.alias("held_out"), docs[text_col].alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, confident boolean").withColumnRenamed("doc_id", id_col)
+    return source.mapInArrow(tidied(run), f"doc_id {kind}, held_out boolean, lang_pred string, score double, confident boolean").withColumnRenamed("doc_id", id_col)

@@ -5,9 +5,11 @@ the least hash that falls in it; an empty bin takes the value of the first full
 that all documents share. ROWS bins make a bucket key. In a bucket only edges to its smallest class are
 candidates, which are confirmed on the full sets. Where that leaves a bucket with more than one component,
 the classes outside its largest component are compared with all others of the bucket, so that no link
-between two texts of a bucket is lost; in buckets of more than LARGE classes, which mostly share a passage
-that is common or are a family of copies with many changes, common shingles are counted in blocks. Before the full sets are read, a sketch of a bit for each bin must be
-near enough: within 5.5 standard deviations of what sets at the threshold show.
+between two texts of a bucket is lost, whatever its size. In buckets of up to LARGE classes the pairs whose
+sketches, a bit for each bin, are near enough are confirmed like the star's: within 5.5 standard deviations
+of what sets at the threshold show, which one pair in twenty million exceeds, far fewer than the one in a
+million that no bucket holds. In larger buckets, which mostly share a passage that is common or are a family
+of copies with many changes, common shingles are counted in blocks and only links leave a task.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import attach_groups, chunks, keep_by_key, mix, span_hashes, staged, utf8, words
+from .common import attach_groups, chunks, keep_by_key, mix, span_hashes, staged, tidied, utf8, words
 from .quality_rules import combine
 
 WORDS = 5
@@ -36,7 +38,7 @@ LARGE = 64
 #: Shingles of the queries of a block, as a task holds their index; a single larger set is a block of its own.
 BLOCK_SHINGLES = 1_000_000
 #: Classes that a task compares a block with.
-MEMBERS = 4000
+MEMBERS = 2000
 #: Common shingles, and pairs of a class and a query, that are counted at a time.
 STEP = 400_000
 #: Longs of a sketch.
@@ -127,7 +129,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, n_shingles long, d1 long, d2 long, " + ", ".join(f"{c} long" for c in SKETCH) + ", bands array<long>")
+    return source.mapInArrow(tidied(run), f"doc_id {kind}, n_shingles long, d1 long, d2 long, " + ", ".join(f"{c} long" for c in SKETCH) + ", bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -142,7 +144,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, shingles array<long>")
+    return source.mapInArrow(tidied(run), f"doc_id {kind}, shingles array<long>")
 
 
 def likely(a: str, b: str) -> Column:
@@ -201,7 +203,7 @@ def block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     whole = full.repartition(tasks, "block", "task").sortWithinPartitions("block", "task", "kind", "rep")
     kind = dict(rows.dtypes)["rep"]
-    return whole.select("block", "task", "kind", "rep", "label", "shingles").mapInArrow(_count_blocks, f"a {kind}, b {kind}")
+    return whole.select("block", "task", "kind", "rep", "label", "shingles").mapInArrow(tidied(_count_blocks), f"a {kind}, b {kind}")
 
 
 def _count_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +320,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     A null text is empty; a row with a null id is linked with nothing, has a null component and is kept;
     rows that share an id are one node and share their fate; an empty table gives no rows; other columns
-    are never read. Very long texts are signed whole.
+    are never read, whatever their names. Very long texts are signed whole. Of a component the smallest id
+    stays; texts of one set are a class, so a tie between them can't change a result.
     """
     signed = staged(sign(docs, id_col, text_col), "signatures")
     total = signed.count()

@@ -6,6 +6,7 @@ rows whatever the input, so the driver plans with it; documents are then dealt t
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, staged
+from .common import chunks, staged, tidied
 from .pretokens import library_encoder
 
 #: The linear program ends when it is within this part of its optimum.
@@ -48,6 +49,8 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tupl
     """The linear program over configurations of few sizes, by column generation: patterns (columns), how often each.
 
     The columns come from a knapsack over at most capacity // smallest sizes; the basis is kept as its inverse.
+    Should it not come within SLACK of its optimum in forty rounds for each size, it says so; what it has is a
+    valid packing all the same, and best fit takes the rest.
     """
     k = len(sizes)
     basis = np.diag(capacity // sizes).astype(float)
@@ -69,6 +72,8 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> tupl
         others = step.copy()
         others[out] = 0
         inverse -= np.outer(others, inverse[out])
+    else:
+        warnings.warn(f"the configurations are not within {SLACK} of their optimum after {40 * k} rounds", stacklevel=2)
     return basis.astype(np.int64), np.maximum(use, 0)
 
 
@@ -206,7 +211,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return staged(source.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, _part int, _rank long"), "pieces")
+    return staged(source.mapInArrow(tidied(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, _part int, _rank long"), "pieces")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = 2048, id_col: str = "doc_id", text_col: str = "text", groups: int = GROUPS) -> DataFrame:
@@ -216,8 +221,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
     shorter one. Ranks among the pieces of one length are ranks in their partition plus the numbers in the
     partitions before it, so that no length, however common, meets in one task.
 
-    A null or empty text has end_id only; a null id is kept; repeated rows are packed each; an empty table
-    gives no rows; other columns are never read.
+    A null or empty text has end_id only; a null id is kept; repeated rows are packed each; a very long text is
+    encoded whole, then cut; pieces of one length are interchangeable, so which of them goes where may differ; an
+    empty table gives no rows; other columns are never read, whatever their names.
     """
     pieces = cut(docs, tokenizer, end_id, capacity, id_col, text_col)
     counts = staged(pieces.groupBy("_part", "length").agg(F.count("*").alias("n")), "piece_counts")
@@ -237,4 +243,4 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return pieces.join(before.hint("merge"), ["_part", "length"]).mapInArrow(run, schema)
+    return pieces.join(before.hint("merge"), ["_part", "length"]).mapInArrow(tidied(run), schema)

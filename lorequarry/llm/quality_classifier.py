@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunks, mix, span_hashes, utf8
+from .common import SPACE, chunks, mix, span_hashes, tidied, utf8
 
 BITS = 18
 #: Rated rows that the model is fitted on at most, those with the smallest hash of their id.
@@ -141,7 +141,7 @@ def extract(docs: DataFrame, keep: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(name), pa.ListArray.from_arrays(pa.array(offsets), pa.array(feature[order].astype(np.int32)))], [name, "features"])
 
     name = keep.split()[0]
-    return docs.select(name, "text").mapInArrow(run, f"{keep}, features array<int>")
+    return docs.select(name, "text").mapInArrow(tidied(run), f"{keep}, features array<int>")
 
 
 def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str, text_col: str) -> Ordinal:
@@ -164,8 +164,9 @@ def classify(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str =
     is bounded by TRAIN_ROWS; weights for 2**BITS features go to the executors. No rows move.
 
     A null or empty text has shape features only; a null id gets a grade but no rating; repeated rows get
-    the same grade; without ratings every document is kept; an empty table gives no rows; other columns are
-    never read.
+    the same grade; a very long text is graded whole; a tail that equals min_tail keeps its document; of several
+    ratings of an id the lowest counts; without ratings every document is kept; an empty table gives no rows;
+    other columns are never read, whatever their names.
     """
     model = train(docs, ratings, grades, id_col, text_col)
     tails = [f"tail_{k}" for k in range(1, grades)]
@@ -180,7 +181,7 @@ def classify(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str =
     key = key_col or id_col
     kind = docs.schema[key].dataType.simpleString()
     schema = f"doc_id {kind}, expected_grade double, " + ", ".join(f"{t} double" for t in tails) + ", kept boolean"
-    return docs.select(docs[key].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, schema).withColumnRenamed("doc_id", key)
+    return docs.select(docs[key].alias("doc_id"), docs[text_col].alias("text")).mapInArrow(tidied(run), schema).withColumnRenamed("doc_id", key)
 
 
 def ratings_of(labels: DataFrame) -> DataFrame:

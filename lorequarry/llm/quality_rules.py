@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, attach_groups, chunks, mix, span_hashes, staged, utf8, words
+from .common import SPACE, attach_groups, chunks, mix, span_hashes, staged, tidied, utf8, words
 
 #: The base rule: fewer words fail, and so does a larger percentage of repeated words.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
@@ -87,7 +87,7 @@ def measure(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataF
 
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(docs[id_col].alias("doc_id"), F.coalesce(F.concat(F.lit("host "), docs[host_col].cast("string")), F.lit("")).alias("host"), docs[text_col].alias("text"))
-    return source.mapInArrow(run, f"doc_id {kind}, host string, " + ", ".join(f"{m} long" for m in MEASURES))
+    return source.mapInArrow(tidied(run), f"doc_id {kind}, host string, " + ", ".join(f"{m} long" for m in MEASURES))
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -102,7 +102,7 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
 
 
 def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The rules for every document: doc_id, the measures, base_failed, kept, host_docs, host_rate.
+    """The rules for every document: doc_id, the base measures, base_failed, kept, then n_lines, host_docs, host_rate.
 
     A document fails if it fails the base rule, or has too many symbols or repeated lines. Failures are
     summed by host, a host's rate is shrunk towards all hosts' rates by their beta prior, and a host above
@@ -110,8 +110,9 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are read once and stay where they are; numbers move. Hosts that hold a thousandth of all rows
     are broadcast, the others meet in a shuffle. Documents with a null host share a host of their own. A null or
-    empty text has no words and fails; a null id is kept; repeated rows are judged each; an empty table
-    gives no rows; other columns are never read.
+    empty text has no words and fails; a null id is kept; repeated rows are judged each; a very long text is
+    measured whole, in a step of its own; a rate that equals max_host_rate keeps its host; an empty table
+    gives no rows; other columns are never read, whatever their names.
     """
     found = measure(docs, id_col, text_col, host_col)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
@@ -123,4 +124,4 @@ def host_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rated = hosts.select("host", F.col("docs").alias("host_docs"), ((F.col("failed") + a) / (F.col("docs") + a + b)).alias("host_rate"))
     judged = attach_groups(rows, rated, ["host"], "host_docs", total)
     kept = ~F.col("base_failed") & (F.col("host_rate") <= max_host_rate)
-    return judged.select(F.col("doc_id").alias(id_col), *MEASURES, "base_failed", kept.alias("kept"), "host_docs", "host_rate")
+    return judged.select(F.col("doc_id").alias(id_col), *(m for m in MEASURES if m != "n_lines"), "base_failed", kept.alias("kept"), "n_lines", "host_docs", "host_rate")

@@ -78,7 +78,8 @@ QUERIES: dict[str, Query] = {
 
 def _license_sql() -> str:
     phrases = ", ".join(f"('{label}', {words.split()!r})" for words, label in license_scan.PHRASES.items())
-    templates = ", ".join(f"({k}, '{label}', {sorted(set(words.split()))!r})" for k, (label, words) in enumerate(license_scan.TEMPLATES))
+    listed = lambda text: sorted(set(text.split()))
+    templates = ", ".join(f"({k}, '{label}', {license_scan.span_of(words)}, {listed(words)!r}, {listed(must)!r})" for k, (label, words, must) in enumerate(license_scan.TEMPLATES))
     letters = f"translate(%s, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
     words = r"list_filter(string_split_regex(" + letters + r", '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
     return f"""
@@ -92,12 +93,14 @@ def _license_sql() -> str:
         base AS (
             SELECT doc_id, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word,
                    list(DISTINCT label) AS own FROM places GROUP BY doc_id),
-        lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t),
-        sets AS (SELECT doc_id, list_distinct({words % "line"}) AS held FROM lines),
+        m(k, label, span, words, must) AS (VALUES {templates}),
+        blocks AS (
+            SELECT doc_id, span, unnest(list_transform(range(0, greatest(len(words), 1), span), lambda s: list_distinct(words[s + 1 : s + 2 * span]))) AS held
+            FROM w, (SELECT DISTINCT span FROM m)),
         found AS (
             SELECT doc_id, label, len(list_intersect(held, words)) / len(words) AS part
-            FROM sets, (VALUES {templates}) AS m(k, label, words)
-            WHERE len(list_intersect(held, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9)),
+            FROM blocks JOIN m USING (span)
+            WHERE len(list_intersect(held, words)) >= ceil({license_scan.THRESHOLD} * len(words) - 1e-9) AND len(list_intersect(held, must)) = len(must)),
         more AS (SELECT doc_id, list(DISTINCT label) AS more, max(part) AS best FROM found GROUP BY doc_id)
         SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
                array_to_string(list_sort(coalesce(own, [])), ',') AS base_labels,

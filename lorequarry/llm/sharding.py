@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, staged
+from .common import mix, staged, tidied
 
 #: Virtual nodes of each shard.
 VIRTUAL_NODES = 128
@@ -78,8 +78,9 @@ def assign_shards(docs: DataFrame, shards: int = 8, virtual_nodes: int = VIRTUAL
 
     Only (key, size, crc) moves, once, by ring position; ties are spread, so a repeated key is no hot task.
     The driver holds a number for each arc and partition. A null text has size 1 and crc 0; a null key
-    stands at the hash of null; repeated rows get a place each; an empty table gives no rows; other columns
-    are never read.
+    stands at the hash of null; repeated rows get a place each; a very long text is only measured, where it is
+    read; an empty table gives no rows; other columns are never read, whatever their names. What reaches the
+    driver besides is Spark's own sample of keys for the ranges, a hundred for each partition.
     """
     ring = Ring(shards, virtual_nodes)
     text = F.coalesce(docs[text_col], F.lit(""))
@@ -102,7 +103,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, virtual_nodes: int = VIRTUAL
     own = ["doc_id", "size", "text_crc32"]
     kind = keys.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, size long, text_crc32 long"
-    placed = staged(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(rank, schema + ", _part int, _arc int, _rank long"), "ring_order")
+    placed = staged(keys.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(tidied(rank), schema + ", _part int, _arc int, _rank long"), "ring_order")
     # Each partition has a stretch of the ring: about as many rows as partitions and arcs together.
     found = placed.groupBy("_part", "_arc").agg(F.count("*").alias("n")).orderBy("_part").collect()
     counts, before = np.zeros(len(ring.owner), np.int64), {}
@@ -129,4 +130,4 @@ def assign_shards(docs: DataFrame, shards: int = 8, virtual_nodes: int = VIRTUAL
             )
 
     law = "rows"
-    return placed.mapInArrow(deal, schema + ", law string, shard int, slot long, grown_shard int").withColumnRenamed("doc_id", id_col)
+    return placed.mapInArrow(tidied(deal), schema + ", law string, shard int, slot long, grown_shard int").withColumnRenamed("doc_id", id_col)

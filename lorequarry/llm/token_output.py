@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, staged
+from .common import chunks, staged, tidied
 from .pretokens import library_encoder
 
 #: Ids after which a block is closed.
@@ -87,8 +87,8 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids binary, _part int"
-    ordered = source.mapInArrow(encode, schema).repartitionById(parts, "_part").sortWithinPartitions("_part", "doc_id")
-    return staged(ordered.mapInArrow(add_start, schema + ", _start long"), "tokens")
+    ordered = source.mapInArrow(tidied(encode), schema).repartitionById(parts, "_part").sortWithinPartitions("_part", "doc_id")
+    return staged(ordered.mapInArrow(tidied(add_start), schema + ", _start long"), "tokens")
 
 
 def wide(ids: bytes, n: int) -> np.ndarray:
@@ -109,7 +109,7 @@ def id_counts(tokens: DataFrame) -> DataFrame:
         seen = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], ["id", "n"])
 
-    return tokens.mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.mapInArrow(tidied(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -120,7 +120,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     the number of ids before the block in its part.
 
     id_col is a number. A null or empty text has end_id only; a null id sorts first; repeated ids stand
-    side by side; an empty table gives no blocks; other columns are never read. A very long text is
+    side by side, in any order; ids of one frequency are ranked by id; an empty table gives no blocks; other
+    columns are never read, whatever their names. A very long text is
     encoded whole and fills a block of its own.
     """
     tokens = tokenize(docs, tokenizer, end_id, id_col, text_col)
@@ -151,7 +152,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
         if held:
             yield close(held, id_kind)
 
-    blocks = tokens.mapInArrow(run, f"_part int, _start long, docs array<{kind}>, counts array<long>, control binary, data binary")
+    blocks = tokens.mapInArrow(tidied(run), f"_part int, _start long, docs array<{kind}>, counts array<long>, control binary, data binary")
     ranks = docs.sparkSession.createDataFrame(list(enumerate(ids_by_rank.tolist())), "rank int, id long")
     return staged(blocks, "token_files"), staged(ranks, "token_ranks")
 
@@ -178,4 +179,4 @@ def read_tokens(blocks: DataFrame, ranks: DataFrame) -> DataFrame:
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip((ends - n).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(docs.as_py(), id_kind), pa.array(ends - n + start.as_py() + before[part.as_py()]), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return blocks.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return blocks.mapInArrow(tidied(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")

@@ -1,18 +1,24 @@
 """Each operator against a brute-force version, and the same odd table through all of them."""
 
 import base64
+import bisect
 import collections
 import hashlib
+import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
+from lorequarry import staging
 from lorequarry.llm import bpe, common, exact_dedup, language_id, license_scan, near_dedup, packing, pretokens, quality_classifier, quality_rules, queries, sharding, token_output
 
 MULTI, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -226,6 +232,42 @@ def test_sharding(spark, sf, docs, texts):
     assert again == {r["doc_id"]: r["shard"] for r in rows}
 
 
+def plain_ring(keys, shards, nodes, bounds):
+    """Key by key: to the owner of its arc while there is room, the others afterwards clockwise to the first with room."""
+    ring = sharding.Ring(shards, nodes)
+    spots = sorted(zip(ring.at.tolist(), ring.owner.tolist()))
+    places = [at for at, _ in spots]
+    of = lambda at: bisect.bisect_left(places, at) % len(spots)
+    room, taken, late = list(bounds), {}, []
+    for key, at in sorted(keys, key=lambda k: (of(k[1]), k[1] if k[1] > places[-1] or of(k[1]) else k[1] + 2**64, k[0])):
+        shard = spots[of(at)][1]
+        if room[shard]:
+            room[shard] -= 1
+            taken[key] = shard
+        else:
+            late.append((key, of(at)))
+    for key, arc in late:
+        while True:
+            arc = (arc + 1) % len(spots)
+            if room[spots[arc][1]]:
+                room[spots[arc][1]] -= 1
+                taken[key] = spots[arc][1]
+                break
+    return taken
+
+
+@pytest.mark.parametrize("headroom", [0.0, 0.2])
+def test_sharding_against_a_plain_ring(spark, headroom):
+    ids = list(range(0, 3000, 7)) + [-5, 2**40]
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    keys = [(i, signed(xxhash.xxh64_intdigest(struct.pack("<q", i), seed=42))) for i in ids]
+    rows = spark.createDataFrame([(i, "x") for i in ids], "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["shard"] for r in sharding.assign_shards(rows, shards=5, virtual_nodes=3, headroom=headroom).collect()}
+    bounds = sharding.bounds_of(len(ids), 5, headroom).tolist()
+    assert collections.Counter(got.values()) == collections.Counter(plain_ring(keys, 5, 3, bounds).values())
+    assert sum(got[i] != s for i, s in plain_ring(keys, 5, 3, bounds).items()) <= 0.02 * len(ids)  # keys of the first arc may wrap around
+
+
 def test_headroom_limits_movement(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
     one, two = ({r["doc_id"]: r["shard"] for r in sharding.assign_shards(rows, shards=n, headroom=0.25).collect()} for n in (8, 9))
@@ -254,6 +296,28 @@ def test_rules(spark, sf, texts):
         assert r["base_failed"] == failed and not (failed and r["kept"])
 
 
+def test_host_verdicts_by_a_plain_beta_prior(spark, sf, docs, texts):
+    sources = {r["doc_id"]: r["source"] for r in docs.collect()}
+    failed, base = {}, {}
+    for i, t in texts.items():
+        n, _, symbols, repeated, repeats = brute_measures(t)
+        lines = sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in t.split("\n"))
+        base[i] = n < 50 or 100 * repeats > 50 * n
+        failed[i] = base[i] or 100 * symbols > 10 * n or 100 * repeated > 30 * lines
+    hosts = collections.defaultdict(list)
+    for i, host in sources.items():
+        hosts[host].append(failed[i])
+    rates = [sum(h) / len(h) for h in hosts.values()]
+    mean = sum(rates) / len(rates)
+    spread = sum((r - mean) ** 2 for r in rates) / len(rates) - mean * (1 - mean) * sum(1 / len(h) for h in hosts.values()) / len(hosts)
+    strength = min(max(mean * (1 - mean) / max(spread, 1e-4 * mean * (1 - mean)) - 1, 2.0), 1e4)
+    for r in queries.op4_host_rules(spark, sf).collect():
+        host = hosts[sources[r["doc_id"]]]
+        rate = (sum(host) + mean * strength) / (len(host) + strength)
+        assert r["host_rate"] == pytest.approx(rate, abs=1e-9) and r["host_docs"] == len(host)
+        assert r["kept"] == (not base[r["doc_id"]] and rate <= 0.5)
+
+
 def test_bad_hosts_go_and_small_ones_are_shrunk(spark):
     good, bad = " ".join(f"w{i}" for i in range(80)), "x"
     rows = [(i, bad if i % 10 else good, "bad") for i in range(300)] + [(1000 + i, good, f"h{i % 9}") for i in range(900)] + [(5000, good, "tiny"), (5001, bad, "tiny")]
@@ -283,6 +347,73 @@ def test_ordinal_fit_orders_grades():
     assert means[0] < 0.3 and 0.7 < means[1] < 1.3 and means[2] > 1.7 and (np.diff(model.thresholds) >= 0).all()
 
 
+def test_fit_against_plain_gradient_descent():
+    """The same likelihood by loops over documents and small steps gives the same tails."""
+    rng = np.random.default_rng(4)
+    grade = rng.integers(0, 3, 240)
+    rows = [sorted({int(g) * 2 + int(x) for x in rng.integers(0, 8, 3)}) for g in grade]
+    doc, feature = np.repeat(np.arange(240), [len(r) for r in rows]), np.concatenate([np.array(r) for r in rows])
+    model = quality_classifier.fit(doc, feature, grade, 3)
+    used = [f for f in range(16) if quality_classifier.informative(doc, feature, grade)[f]]
+    weight, t = dict.fromkeys(used, 0.0), [-1.0, 1.0]
+    sigma = lambda x: 1 / (1 + math.exp(-x))
+    for step in range(4000):
+        dw, dt = {f: quality_classifier.DECAY * w for f, w in weight.items()}, [0.0, 0.0]
+        for r, g in zip(rows, grade.tolist()):
+            score = sum(weight.get(f, 0.0) for f in r)
+            up, low = (sigma(t[g] - score) if g < 2 else 1.0), (sigma(t[g - 1] - score) if g else 0.0)
+            slope_up, slope_low = (up * (1 - up) if g < 2 else 0.0), (low * (1 - low) if g else 0.0)
+            p = up - low
+            for f in r:
+                if f in dw:
+                    dw[f] += (slope_up - slope_low) / p / 240
+            if g < 2:
+                dt[g] -= slope_up / p / 240
+            if g:
+                dt[g - 1] += slope_low / p / 240
+        rate = 2.0
+        weight = {f: w - rate * dw[f] for f, w in weight.items()}
+        t = [x - rate * d for x, d in zip(t, dt)]
+    tails = model.tails(doc, feature, 240)
+    plain = np.array([[1 - sigma(x - sum(weight.get(f, 0.0) for f in r)) for x in t] for r in rows])
+    assert len(used) > 3 and np.abs(tails - plain).max() < 0.03
+
+
+def test_language_by_a_plain_loop(spark, sf, docs):
+    """The passages, their dictionaries and every prediction again, without Spark and arrays."""
+    rows = docs.select("doc_id", "text", "lang").collect()
+    learn = {}
+    for r in rows:
+        if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["lang"] is not None and r["text"] is not None:
+            h = xxhash.xxh64_intdigest(r["text"].encode(), seed=42)
+            learn.setdefault(r["lang"], {})[h - 2**64 if h >= 2**63 else h] = r["text"]
+    coders = {}
+    for lang in sorted(learn, key=lambda x: (-len(learn[x]), x)):
+        passages = []
+        for h, t in sorted(learn[lang].items())[: language_id.TRAIN_ROWS]:
+            at = (h >> 30) % (max(len(t) - language_id.PASSAGE_CHARS, 0) + 1)
+            passages.append(language_id.normal(t[at : at + language_id.PASSAGE_CHARS]))
+        d = zstandard.ZstdCompressionDict(b" ".join(passages), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        coders[lang] = zstandard.ZstdCompressor(dict_data=d, level=language_id.LEVEL, write_checksum=False, write_content_size=False)
+    got = {r["doc_id"]: r for r in queries.op2_language(spark, sf).collect()}
+    for r in rows:
+        raw = language_id.normal(r["text"] or "")
+        if not re.search(r"[^\W\d_]", r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        sizes = {x: sum(len(c.compress(raw[k : k + language_id.BLOCK_BYTES])) for k in range(0, len(raw), language_id.BLOCK_BYTES)) for x, c in coders.items()}
+        first, second = sorted(sizes.values())[:2]
+        best = next(x for x in sizes if sizes[x] == first)
+        mine = got[r["doc_id"]]
+        assert mine["lang_pred"] == best and mine["score"] == pytest.approx(1 - first / second) and mine["confident"] == (1 - first / second >= language_id.MARGIN)
+
+
+def test_ties_of_languages_go_to_the_larger(spark):
+    rows = [(k, f"same words here {k}", lang) for lang, ks in (("b", range(0, 40)), ("a", range(0, 40))) for k in ks] + [(1000 + k, f"only b {k}", "b") for k in range(30)] + [(5000, "zz", None)]
+    found = language_id.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).filter("doc_id = 5000").first()
+    assert found["lang_pred"] == "b" or found["score"] > 0
+
+
 def test_language(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = language_id.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").collect()
@@ -332,7 +463,7 @@ def test_repeated_rows_leave_one(odd):
 @pytest.mark.parametrize("few", [True, False])
 def test_unique_texts_stay_beside_copies_of_their_id(spark, monkeypatch, few):
     if not few:
-        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+        monkeypatch.setattr(staging, "BROADCAST_BYTES", -1)
     x, y = "one two three", "another text"
     for rows, want in (
         ([(1, x), (2, x), (2, y)], [x, y]),
@@ -390,6 +521,17 @@ def test_near_dedup_of_a_family(spark, monkeypatch, large):
     assert got == brute_components(texts)
 
 
+def test_recall_of_links_on_the_thousand_document_table(spark):
+    """Every document's component against an exact join of all pairs."""
+    folder = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op7_near_dedup(spark, folder).collect()}
+    want = brute_components(texts)
+    linked = [i for i, (_, root) in want.items() if root != i]
+    print(f"recall of op7: {sum(got[i] == want[i] for i in linked)} of {len(linked)} linked documents, {len(texts)} in all")
+    assert got == want
+
+
 def test_near_dedup_of_documents(spark, sf, texts):
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in queries.op7_near_dedup(spark, sf).collect()}
     assert got == brute_components(texts)
@@ -402,13 +544,44 @@ def test_components_of_a_chain_and_a_star(spark):
 
 
 # ---------------------------------------------------------------- licenses, skew, scratch
+def scan(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r for _, r in sorted((r["doc_id"], r) for r in license_scan.license_scan(rows).collect())]
+
+
 def test_license_blocks(spark):
     text = "x\nLicensed under the Apache License, v. 2.0\nThis work is licensed under GNU General Public License version 3\ncc, BY nc; CC by-NC\nunder the mit licensee"
-    r = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    (r,) = scan(spark, text)
     assert (r["base_labels"], r["n_base"]) == ("cc-by-nc", 2)
     assert set(r["labels"].split(",")) == {"apache-2", "cc-by-nc", "gpl-3"} and r["score"] == 1.0
 
 
+def test_wrapped_templates_are_found_and_near_ones_are_not(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    mit = "\n".join("filler text before it Permission is hereby granted, free of charge, to any person obtaining a copy of this software and more".split())
+    found = scan(spark, bsd, mit, "Released under the Apache license", "words " * 300 + bsd.replace("\n", " ") + " words" * 100, "", None, "the license under released words")
+    assert [r["labels"] for r in found] == ["bsd", "mit", "", "bsd", "", "", ""]
+
+
+def test_blocks_against_all_pairs(spark):
+    """Random texts of template words: every block and template above the threshold, and no other."""
+    rnd = random.Random(2)
+    templates = [("a", "p q r s t", "p"), ("b", "q r u", "u"), ("c", "p p s v w x y z k", "")]
+    texts = [" ".join(rnd.choice("pqrstuvwxyzk") for _ in range(rnd.randrange(0, 60))) for _ in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted((r["doc_id"], r["span"], r["block"], r["label"], round(r["containment"], 6)) for r in license_scan.matching_blocks(rows, ["doc_id"], F.col("text"), 0.6, templates).collect())
+    want = []
+    for i, t in enumerate(texts):
+        w = t.split()
+        for label, words, must in templates:
+            span, held = license_scan.span_of(words), set(words.split())
+            for k, at in enumerate(range(0, max(1, len(w)), span)):
+                both = held & set(w[at : at + 2 * span])
+                if len(both) >= 0.6 * len(held) - 1e-9 and set(must.split()) <= both:
+                    want.append((i, span, k, label, round(len(both) / len(held), 6)))
+    assert got == sorted(want) and len(want) > 50
+
+
 def test_native_plan_has_no_python(spark, sf):
     plan = queries.op9_license_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
