@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.classify import stripped
 from ..operators.memory import latest
 
 FEEDBACK = "rule_id string, ts timestamp, feedback_type string, context string, user_rating int, user_id string, signal_text string"
@@ -50,11 +51,42 @@ def bullets(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[-*] (.+)$"), F.lit(1)), F.trim)
 
 
+def sections(content: Column) -> Column:
+    """All `## title` sections as a map from title to text; of equal titles the first one counts."""
+    parts = F.slice(F.split(F.concat(F.lit("\n"), content), r"\n#{2,3} "), 2, 1_000)
+    entries = F.transform(parts, lambda p: F.struct(F.trim(F.substring_index(p, "\n", 1)).alias("k"), stripped(F.regexp_replace(p, r"(?s)^[^\n]*\n?", "")).alias("v")))
+    fresh = F.filter(entries, lambda e: e["k"] != "")
+    names = F.array_distinct(F.transform(fresh, lambda e: e["k"]))
+    return F.map_from_arrays(names, F.transform(names, lambda n: F.element_at(F.filter(fresh, lambda e: e["k"] == n), 1)["v"]))
+
+
+def parsed_rules(texts: DataFrame) -> DataFrame:
+    """Rule texts (path, value) in parts: path, meta (map of the front matter), sections (map), description and steps."""
+    text = F.col("value")
+    return texts.select("path", front_matter(text).alias("meta"), sections(text).alias("sections"), section(text, "Description").alias("description"), bullets(section(text, "Steps")).alias("steps"))
+
+
 def read_rules(spark: SparkSession, path: str) -> DataFrame:
-    """Rule texts in Markdown: path, meta (map), description and steps."""
+    """Rule texts in Markdown below a folder, in parts."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(path, wholetext=True)
-    text = F.col("value")
-    return files.select(F.input_file_name().alias("path"), front_matter(text).alias("meta"), section(text, "Description").alias("description"), bullets(section(text, "Steps")).alias("steps"))
+    return parsed_rules(files.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def save_index(rules: DataFrame, path: str) -> None:
+    """Write the index of rules as JSON lines, in place of the one before."""
+    rules.write.mode("overwrite").json(path)
+
+
+def load_index(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).json(path)
+
+
+def exported(rules: DataFrame, group: str) -> DataFrame:
+    """Rules as lines of Markdown to be written as text: group, place, line; a heading for each group, the most certain rule first."""
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("confidence"), "rule_id"))
+    line = F.concat(F.lit("- "), F.col("content"), F.lit(" ("), F.format_string("%.2f", "confidence"), F.lit(")"))
+    heads = rules.select(F.col(group).alias("group")).distinct().select("group", F.lit(0).alias("place"), F.concat(F.lit("## "), F.col("group")).alias("line"))
+    return heads.unionByName(rules.select(F.col(group).alias("group"), rank.alias("place"), line.alias("line")))
 
 
 def next_rule_id(rules: DataFrame) -> Column | DataFrame:

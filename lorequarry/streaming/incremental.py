@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -23,28 +24,40 @@ def usage_by_day(feedback: DataFrame, delay: str = "1 day") -> DataFrame:
 
 
 def running_profiles(events: DataFrame, rate: float = 0.1) -> DataFrame:
-    """Exponential moving average of `value` for each user, kept in the state store."""
+    """Exponential moving average of `value` for each user, kept in the state store.
+
+    What a trigger brings of a user is put in the order of ts as a whole and folded by weights at once.
+    """
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         mean, n = state.get if state.exists else (0.0, 0)
-        for pdf in batches:
-            for x in pdf.sort_values("ts")["value"]:
-                mean, n = (float(x), 1) if n == 0 else ((1 - rate) * mean + rate * float(x), n + 1)
-        state.update((mean, n))
-        yield pd.DataFrame({"user_id": [key[0]], "mean": [mean], "n": [n]})
+        x = pd.concat(list(batches)).sort_values("ts", kind="stable")["value"].to_numpy(float)
+        start, rest = (mean, x) if n else (x[0], x[1:])
+        ages = np.arange(len(rest) - 1, -1, -1)
+        mean = float(start * (1 - rate) ** len(rest) + (rate * (1 - rate) ** ages * rest).sum())
+        state.update((mean, n + len(x)))
+        yield pd.DataFrame({"user_id": [key[0]], "mean": [mean], "n": [n + len(x)]})
 
     return events.groupBy("user_id").applyInPandasWithState(fold, "user_id long, mean double, n long", "mean double, n long", "update", GroupStateTimeout.NoTimeout)
 
 
-def upsert_sessions(stream: DataFrame, path: str, checkpoint: str):
-    """Keep the newest row of each session in a Parquet table, one rewrite for each micro-batch."""
+def log_sessions(stream: DataFrame, path: str, checkpoint: str):
+    """Append the newest line of each session of a micro-batch to a log of Parquet files; sessions() reads the newest of all.
+
+    A batch has a folder of its own, so one that is run again replaces itself and nothing else.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        newest = batch.groupBy("session_id").agg(F.max("line_number").alias("last_line"))
-        target = f"{path}/epoch={epoch}"
-        older = spark.read.schema("session_id long, last_line long").option("recursiveFileLookup", True).parquet(path) if epoch else None
-        whole = newest if older is None else newest.union(older).groupBy("session_id").agg(F.max("last_line").alias("last_line"))
-        whole.write.mode("overwrite").parquet(target)
+        batch.groupBy("session_id").agg(F.max("line_number").alias("last_line")).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def sessions(spark: SparkSession, path: str) -> DataFrame:
+    """session_id, last_line: the newest of each session in the log."""
+    return spark.read.parquet(path).groupBy("session_id").agg(F.max("last_line").alias("last_line"))
+
+
+def compacted(spark: SparkSession, path: str, target: str) -> None:
+    """Write the log as one table elsewhere, a row for each session."""
+    sessions(spark, path).write.mode("overwrite").parquet(target)

@@ -84,3 +84,72 @@ def test_profile_stream_equals_the_batch(spark, sf, tmp_path):
     got = {r["user_id"]: round(r["mean"], 4) for r in spark.sql("select * from profiles").collect()}
     want = {r["user_id"]: round(r["mean"], 4) for r in catalog.QUERIES["profile_ema"](spark, sf).collect()}
     assert got == want
+
+
+def test_lines_of_a_large_file_keep_their_numbers(spark, tmp_path):
+    (tmp_path / "big.jsonl").write_text("\n".join(json.dumps({"type": "user", "message": {"role": "user", "content": f"line {i} " + "x" * 50}}) if i % 10 else "" for i in range(1, 3001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = transcripts.messages(transcripts.raw_lines(spark, str(tmp_path))).select("line_number", "content").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(found) == 2700 and all(r["content"].startswith(f"line {r['line_number']} ") for r in found)
+
+
+def test_whole_files_and_sidecars(spark, tmp_path):
+    folder = tmp_path / ".kiro" / "sess_abc"
+    folder.mkdir(parents=True)
+    (folder / "messages.json").write_text(json.dumps({"messages": [{"type": "prompt", "role": "prompt", "content": "go"}, {"event": "tool_call", "payload": {"toolName": "read", "args": {"p": 1}}}, {"type": "tool_result", "callId": "c1", "payload": {"output": "done"}}], "x": 1}, indent=2))
+    (folder / "abc.history").write_text("ls\n\ncat x\n")
+    root = str(tmp_path / ".kiro")  # given as the root, as Spark passes hidden folders below one over
+    lines = transcripts.whole_records(spark, root)
+    assert [(r["session_id"], r["line_number"], r["role"], r["content"]) for r in transcripts.messages(lines).collect()] == [("abc", 1, "user", "go")]
+    assert [(r["tool_name"], r["input"]) for r in transcripts.tool_calls(lines).collect()] == [("read", '{"p":1}')]
+    assert [(r["call_id"], r["content"]) for r in transcripts.tool_outputs(lines).collect()] == [("c1", "done")]
+    assert [(r["session_id"], r["line_number"], r["command"]) for r in transcripts.histories(spark, root).orderBy("line_number").collect()] == [("abc", 1, "ls"), ("abc", 3, "cat x")]
+
+
+def test_stores_round_trip(spark, tmp_path):
+    rules = spark.createDataFrame([("r1", "k", 0.5, "use it"), ("r2", "k", 0.9, "avoid it")], "rule_id string, kind string, confidence double, content string")
+    for _ in range(2):
+        stores.save_index(rules, str(tmp_path / "index"))
+    assert sorted(map(tuple, stores.load_index(spark, str(tmp_path / "index"), "rule_id string, kind string, confidence double, content string").collect())) == sorted(map(tuple, rules.collect()))
+    given = spark.createDataFrame([("r1", None, "used", None, 5, "u", None)], stores.FEEDBACK)
+    for _ in range(2):
+        stores.append_feedback(given, str(tmp_path / "log"))
+    assert stores.read_feedback(spark, str(tmp_path / "log")).count() == 2
+    assert [r["line"] for r in stores.exported(rules, "kind").orderBy("place").collect()] == ["## k", "- avoid it (0.90)", "- use it (0.50)"]
+
+
+def test_arrays_that_were_cut_off(spark):
+    texts = ['[{"a": 1}, {"b": "]}"}', '[{"a": 1}, {"b": [1, 2', '[1, 2]', "[", '[{"a": "x\\"]"}, {"b']
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = {r["i"]: json.loads(r["j"]) for r in rows.select("i", stores.recovered_array(F.col("t")).alias("j")).collect()}
+    assert found == {0: [{"a": 1}, {"b": "]}"}], 1: [{"a": 1}], 2: [1, 2], 3: [], 4: [{"a": 'x"]'}]}
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    schema = "session_id long, line_number long"
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for k, rows in enumerate(([(1, 5), (2, 1)], [(1, 3), (3, 9)], [(2, 8)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query = incremental.log_sessions(stream, str(tmp_path / "log"), str(tmp_path / f"c{k // 2}")).start()
+        query.processAllAvailable()
+        query.stop()
+    want = {1: 5, 2: 8, 3: 9}
+    assert {r["session_id"]: r["last_line"] for r in incremental.sessions(spark, str(tmp_path / "log")).collect()} == want
+    incremental.compacted(spark, str(tmp_path / "log"), str(tmp_path / "one"))
+    assert {r["session_id"]: r["last_line"] for r in spark.read.parquet(str(tmp_path / "one")).collect()} == want
+
+
+def test_daily_stream(spark, sf, tmp_path):
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.select("ts", F.col("event_type").alias("feedback_type")).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp_ntz, feedback_type string").parquet(str(tmp_path / "in"))
+    query = incremental.usage_by_day(stream).writeStream.outputMode("complete").format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "c")).start()
+    query.processAllAvailable()
+    query.stop()
+    got = {(str(r["d"]), r["feedback_type"]): r["n"] for r in spark.sql("select to_date(day.start) as d, feedback_type, n from daily").collect()}
+    assert got == {(str(r["d"]), r["event_type"]): r["n"] for r in events.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count("*").alias("n")).collect()}
