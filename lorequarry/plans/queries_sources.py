@@ -60,10 +60,17 @@ ORACLE_SQL["changed_sessions"] = "SELECT page_id AS session_id FROM pages WHERE
 QUERIES["resumed_messages"] = lambda s, d: transcripts.resumed(a.messages(s, d), a.messages(s, d).filter("session_id % 3 > 0").groupBy("session_id").agg((F.max("line_number") - 2).alias("last_line"))).select("session_id", "line_number")
 ORACLE_SQL["resumed_messages"] = f"WITH {a.MESSAGES}, p AS (SELECT session_id, max(line_number) - 2 AS k FROM messages WHERE session_id % 3 > 0 GROUP BY session_id) SELECT session_id, line_number FROM messages LEFT JOIN p USING (session_id) WHERE line_number > coalesce(k, 0)"
 
-_MARKDOWN = F.concat(
-    F.lit("---\nid: rule-"), F.lpad(F.col("rule_id").cast("string"), 5, "0"), F.lit("\ntype: "), F.col("kind"), F.lit("\n---\n# "), F.col("description"), F.lit("\n## Description\n"), F.col("content"), F.lit("\n\n## Steps\n- first "), F.col("tech"), F.lit("\n* then "), F.col("functional"), F.lit("\n## Reason\nso it is\n"),
-)
-QUERIES["rule_texts"] = lambda s, d: stores.parsed_rules(a.rules(s, d).select(F.col("rule_id").alias("path"), _MARKDOWN.alias("value"))).select(F.col("path").alias("rule_id"), F.col("meta")["id"].alias("id"), F.col("meta")["type"].alias("kind"), F.col("sections")["Reason"].alias("reason"), F.array_join("steps", "|").alias("steps"), F.array_join(F.array_sort(F.map_keys("sections")), ",").alias("titles"))
+
+
+def _markdown():
+    """A rule as a text of Markdown with front matter."""
+    return F.concat(
+        F.lit("---\nid: rule-"), F.lpad(F.col("rule_id").cast("string"), 5, "0"), F.lit("\ntype: "), F.col("kind"), F.lit("\n---\n# "), F.col("description"), F.lit("\n## Description\n"), F.col("content"), F.lit("\n\n## Steps\n- first "), F.col("tech"), F.lit("\n* then "), F.col("functional"), F.lit("\n## Reason\nso it is\n"),
+    )
+
+
+
+QUERIES["rule_texts"] = lambda s, d: stores.parsed_rules(a.rules(s, d).select(F.col("rule_id").alias("path"), _markdown().alias("value"))).select(F.col("path").alias("rule_id"), F.col("meta")["id"].alias("id"), F.col("meta")["type"].alias("kind"), F.col("sections")["Reason"].alias("reason"), F.array_join("steps", "|").alias("steps"), F.array_join(F.array_sort(F.map_keys("sections")), ",").alias("titles"))
 ORACLE_SQL["rule_texts"] = f"WITH {a.RULES} SELECT rule_id, 'rule-' || lpad(CAST(rule_id AS VARCHAR), 5, '0') AS id, kind, 'so it is' AS reason, 'first ' || tech || '|then ' || functional AS steps, 'Description,Reason,Steps' AS titles FROM rules"
 QUERIES["next_rule_id"] = lambda s, d: stores.next_rule_id(a.rules(s, d).select(F.concat(F.when(F.col("rule_id") % 7 == 0, "old-").otherwise("rule-"), F.lpad(F.col("rule_id").cast("string"), 5, "0")).alias("rule_id")))
 ORACLE_SQL["next_rule_id"] = f"WITH {a.RULES} SELECT 'rule-' || CAST(max(rule_id) + 1 AS VARCHAR) AS rule_id FROM rules WHERE rule_id % 7 > 0"

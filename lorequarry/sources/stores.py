@@ -48,7 +48,7 @@ def section(content: Column, title: str) -> Column:
 
 
 def bullets(text: Column) -> Column:
-    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[-*] (.+)$"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"(?m)^\s*[-*] (.+)$"), F.lit(1)), lambda x: F.trim(x))
 
 
 def sections(content: Column) -> Column:
@@ -93,7 +93,8 @@ def next_rule_id(rules: DataFrame) -> Column | DataFrame:
     """One row: the id after the largest rule-NNN."""
     number = F.regexp_extract("rule_id", r"^rule-(\d+)$", 1)
     top = rules.agg(F.coalesce(F.max(F.when(number != "", number.cast("int"))), F.lit(0)).alias("n"))
-    return top.select(F.concat(F.lit("rule-"), F.lpad((F.col("n") + 1).cast("string"), 3, "0")).alias("rule_id"))
+    following = (F.col("n") + 1).cast("string")
+    return top.select(F.concat(F.lit("rule-"), F.when(F.col("n") < 999, F.lpad(following, 3, "0")).otherwise(following)).alias("rule_id"))
 
 
 def repaired_json(text: Column) -> Column:
