@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +14,10 @@ from ..staging import staged
 from . import near
 
 
+#: Grams that a task gathers before it hands them on.
+FLUSH = 200_000
+
+
 def cluster_stats(clusters: DataFrame) -> DataFrame:
     """Clusters, members, singletons, the largest and the mean size."""
     sizes = clusters.groupBy("leader").agg(F.count("*").alias("n"))
@@ -34,16 +42,34 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
 
 
 def hashed_terms(docs: DataFrame, ident: str, content: str, dimensions: int = 2048) -> DataFrame:
-    """Sparse tf-idf vectors (ident, slot, weight) of hashed character pairs and triples, of length 1."""
-    grams = F.concat(text.char_ngrams(F.col(content), 2), text.char_ngrams(F.col(content), 3))
-    counted = docs.select(F.col(ident), F.explode(grams).alias("term")).groupBy(ident, "term").agg(F.count("*").alias("tf"))
-    df = counted.groupBy("term").agg(F.count("*").alias("df"))
+    """Sparse tf-idf vectors (ident, slot, weight) of hashed character pairs and triples, of length 1.
+
+    Grams are counted where a text is read; what moves are a text's distinct ones. Slots are found once for a gram.
+    """
+    kind = dict(docs.dtypes)[ident]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, terms, counts = [], [], []
+            for row, t in enumerate(batch.column("_dense").to_pylist()):
+                t = t or ""
+                found = Counter(t[i : i + 2] for i in range(len(t) - 1)) + Counter(t[i : i + 3] for i in range(len(t) - 2))
+                rows += [row] * len(found)
+                terms += found.keys()
+                counts += found.values()
+                if len(rows) >= FLUSH or row == batch.num_rows - 1:
+                    own = batch.column("_id").take(pa.array(rows, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([own, pa.array(terms, pa.string()), pa.array(counts, pa.int64())], [ident, "term", "tf"])
+                    rows, terms, counts = [], [], []
+
+    dense = docs.select(F.col(ident).alias("_id"), F.regexp_replace(F.lower(content), r"\s+", "").alias("_dense"))
+    counted = staged(dense.mapInArrow(count, f"`{ident}` {kind}, term string, tf long"), "grams")
     n = docs.agg(F.count("*").alias("n"))
-    weighed = counted.join(df, "term").crossJoin(F.broadcast(n))  # one row of totals
-    slot = F.pmod(text.fnv1a(F.col("term")), F.lit(dimensions))
-    slots = weighed.select(ident, slot.alias("slot"), (F.col("tf") * text.idf(F.col("n"), F.col("df"))).alias("w")).groupBy(ident, "slot").agg(F.sum("w").alias("w"))
-    length = slots.groupBy(ident).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    return slots.join(length, ident).select(ident, "slot", (F.col("w") / F.col("length")).alias("weight"))
+    df = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n))  # one row of totals
+    terms = df.select("term", F.pmod(text.fnv1a(F.col("term")), F.lit(dimensions)).alias("slot"), text.idf(F.col("n"), F.col("df")).alias("idf"))
+    slots = counted.join(terms, "term").groupBy(ident, "slot").agg(F.sum(F.col("tf") * F.col("idf")).alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(ident)))  # the slots of one text
+    return slots.select(ident, "slot", (F.col("w") / length).alias("weight"))
 
 
 def block_vectors(rows: DataFrame, block: str, ident: str, words: Column, topics: Column) -> DataFrame:

@@ -8,12 +8,14 @@ two parts; what leaves a task are pairs that reach the threshold, or the best fe
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..staging import attach_groups, staged
 
@@ -28,9 +30,30 @@ def hashed(items: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(items, lambda x: F.xxhash64(x))))
 
 
+def character_pairs(rows: DataFrame, content: str) -> DataFrame:
+    """rows with items, the distinct pairs of neighbouring characters of a text in lower case without white space, as numbers. No rows move."""
+    dense = rows.withColumn("_dense", F.regexp_replace(F.lower(content), r"\s+", ""))
+    names = rows.columns
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = []
+            for t in batch.column("_dense").to_pylist():
+                points = np.frombuffer((t or "").encode("utf-32-le"), np.uint32).astype(np.int64)
+                own.append(np.unique(points[:-1] << 21 | points[1:]))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(own, pa.list_(pa.int64()))], [*names, "items"])
+
+    return dense.mapInArrow(pairs, T.StructType([*rows.schema.fields, T.StructField("items", T.ArrayType(T.LongType()))]))
+
+
 def classes(rows: DataFrame, ident: str, block: list[str], items: Column) -> DataFrame:
     """One staged row for each distinct set in a block: block columns, id (the smallest), copies, items. Empty sets are left out."""
-    sets = rows.select(*block, F.col(ident).alias("id"), hashed(items).alias("items")).filter(F.size("items") > 0)
+    return set_classes(rows.select(*block, F.col(ident).alias("id"), hashed(items).alias("items")), block)
+
+
+def set_classes(sets: DataFrame, block: list[str]) -> DataFrame:
+    """The same of sets that are sorted numbers (block columns, id, items)."""
+    sets = sets.filter(F.size("items") > 0)
     return staged(sets.groupBy(*block, "items").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "set_classes")
 
 

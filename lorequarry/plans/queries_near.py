@@ -16,9 +16,9 @@ CHARACTERS = "string_split(regexp_replace(lower({}), '\\s+', '', 'g'), '')"
 
 
 # ---------------------------------------------------------------- similarity joins
-def _pairs(name, items, sql, threshold, source="documents"):
+def _pairs(name, classes, sql, threshold, source="documents"):
     def query(s, d):
-        sets = near.classes(a.table(s, d, "documents"), "doc_id", ["source"], items(F.col("text")))
+        sets = classes(a.table(s, d, "documents").select("source", F.col("doc_id").alias("id"), "text"))
         found = near.similar(sets, ["source"], threshold)
         copies = lambda end: sets.select(F.col("id").alias(end), F.col("copies").alias(f"copies_{end}"))
         return found.join(copies("a"), "a").join(copies("b"), "b").select("a", "b", F.round("score", 6).alias("similarity"), "copies_a", "copies_b")
@@ -31,8 +31,8 @@ def _pairs(name, items, sql, threshold, source="documents"):
     FROM c l JOIN c r ON l.source = r.source AND l.id < r.id WHERE round({JACCARD.format("l.i", "r.i")}, 9) >= {threshold}"""
 
 
-_pairs("token_jaccard_pairs", text.words, a.words_sql("text"), 0.55)
-_pairs("bigram_jaccard_pairs", text.bigrams, BIGRAMS, 0.8, f"(SELECT doc_id, source, {CHARACTERS.format('text')} AS c FROM documents)")
+_pairs("token_jaccard_pairs", lambda rows: near.classes(rows, "id", ["source"], text.words(F.col("text"))), a.words_sql("text"), 0.55)
+_pairs("bigram_jaccard_pairs", lambda rows: near.set_classes(near.character_pairs(rows, "text").drop("text"), ["source"]), BIGRAMS, 0.8, f"(SELECT doc_id, source, {CHARACTERS.format('text')} AS c FROM documents)")
 
 QUERIES["token_set_classes"] = lambda s, d: (
     a.table(s, d, "documents").select("doc_id", "source", near.hashed(text.words(F.col("text"))).alias("items"))
