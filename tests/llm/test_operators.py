@@ -19,9 +19,10 @@ import zstandard
 from pyspark.sql import functions as F
 
 from lorequarry import staging
-from lorequarry.llm import bpe, common, exact_dedup, language_id, license_scan, near_dedup, packing, pretokens, quality_classifier, quality_rules, queries, sharding, token_output
+from lorequarry.llm import bpe, common, exact_dedup, language_id, license_scan, near_dedup, packing, pretokens, quality_classifier, quality_rules, queries, sharding, token_counts, token_output
 
 MULTI, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
+WORD = public_tokenizers.path("word_bpe_49k.json")
 LONG = " ".join(f"word{i % 977}" for i in range(20_000)) + "a" * 3000
 ODD = [(1, None), (2, ""), (3, " \n\t"), (4, "alpha beta gamma delta epsilon zeta"), (4, "alpha beta gamma delta epsilon zeta"), (5, "alpha  beta gamma delta epsilon zeta"), (6, LONG), (None, "no id here"), (7, "Don't 'tis ''s\r\n é 😀 ␀ \x1c"), (8, "under the MIT License\ncc-by-nc")]
 CLASH = ["kept", "n_words", "hash", "norm", "bucket", "label", "features", "_part", "_id", "host", "bands", "ids"]
@@ -53,6 +54,7 @@ OPERATORS = {
     "exact": exact_dedup.exact_dedup,
     "near": near_dedup.near_dedup,
     "license": license_scan.license_scan,
+    "counts": lambda d: token_counts.count_tokens(d, WORD),
     "tokens": lambda d: token_output.read_tokens(*token_output.write_tokens(d, JSON, 2)),
 }
 
@@ -597,3 +599,33 @@ def test_attach_groups_with_a_hot_key(spark):
 def test_scratch_is_the_shared_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     assert common.scratch(spark).startswith(base)
+
+
+# ---------------------------------------------------------------- 12
+def test_counts_equal_the_library(spark, docs, texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD)
+    special = ["<|endoftext|>", "x<|endoftext|>Y<|startoftext|>'s <|endoftext", "ΣΑΣ İI ẞ", "e\u0301 a\u0323\u0300 \u0301x", " a\u3000b\x0bq", "9" * 300, "Ab" * 3000]
+    data = strange_texts() + special
+    for bits in (token_counts.TABLE_BITS, 6):  # a full table starts anew
+        own = token_counts.Counter(WORD, bits).count(pa.array(data, pa.large_string()))
+        assert own.tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in data]
+    found = {r["doc_id"]: r for r in queries.op12_token_counts(spark, "/root/testdata/sf0.001").collect()}
+    assert set(found) == set(texts)
+    for i, t in texts.items():
+        n = len(library.encode(t, add_special_tokens=False).ids)
+        assert (found[i]["n_bytes"], found[i]["n_tokens"], found[i]["over_limit"]) == (len(t.encode()), n, n > 2048)
+
+
+def test_words_of_one_hash_keep_their_counts(monkeypatch):
+    monkeypatch.setattr(token_counts, "span_hashes", lambda data, lo, hi: (hi - lo).astype(np.uint64) << np.uint64(50))
+    c = token_counts.Counter(WORD)
+    for t in ("the qxz", "qxz the zzz", ""):
+        assert c.count(pa.array([t], pa.large_string())).tolist() == [sum(map(c.merger.count, t.split()))]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_tokenizers_that_keep_white_space_are_refused(name):
+    with pytest.raises(ValueError):
+        token_counts.Merger(public_tokenizers.path(name))
