@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, token_counts, token_output
+from . import bpe, exact_dedup, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, spelling, token_counts, token_output
 from .common import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +63,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), path, end_id=0, capacity=2048)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir), min_length=6, min_count=5, ratio=5, drop_one_in=199)
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Query] = {
     "op8_token_output": op8_token_output,
     "op9_license_scan": op9_license_scan,
     "op10_packing": op10_packing,
+    "op11_spelling": op11_spelling,
     "op12_token_counts": op12_token_counts,
 }
 

@@ -4,6 +4,7 @@ import base64
 import bisect
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -19,7 +20,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from lorequarry import staging
-from lorequarry.llm import bpe, common, exact_dedup, language_id, license_scan, near_dedup, packing, pretokens, quality_classifier, quality_rules, queries, sharding, token_counts, token_output
+from lorequarry.llm import bpe, common, exact_dedup, language_id, license_scan, near_dedup, packing, pretokens, quality_classifier, quality_rules, queries, sharding, spelling, token_counts, token_output
 
 MULTI, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -629,3 +630,65 @@ def test_words_of_one_hash_keep_their_counts(monkeypatch):
 def test_tokenizers_that_keep_white_space_are_refused(name):
     with pytest.raises(ValueError):
         token_counts.Merger(public_tokenizers.path(name))
+
+
+# ---------------------------------------------------------------- 11
+def plain_variants(counts, ratio=5):
+    def edits(w):
+        out = {w[:i] + w[i + 1 :] for i in range(len(w))}
+        out |= {w[:i] + c + w[i + k :] for i in range(len(w) + 1) for c in letters for k in (0, 1)}
+        return (out - {w}) & counts.keys()
+
+    letters = set("".join(counts))
+    form, near = {}, {}
+    for w, n in counts.items():
+        near[w] = edits(w)
+        best = min(near[w], key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= ratio * n else None
+    rows = set()
+    for w, n in counts.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        rows.add((w, form[w], root, n, len(near[w]), counts[form[w]] if form[w] is not None else None))
+    return rows
+
+
+def as_rows(found):
+    return [tuple(r) for r in found.select("word", "form", "root", "n", "n_near", "form_n").collect()]
+
+
+@pytest.mark.parametrize("letters,most,size", [("ab", 6, 1), ("abc", 5, 150), ("abcdeéÿ÷", 4, 400), ("z", 9, 1)])
+def test_one_edit_pairs_against_all_edits(spark, letters, most, size):
+    rnd = random.Random(len(letters))
+    words = ["".join(w) for k in range(1, most + 1) for w in itertools.product(letters, repeat=k)]
+    if size > 1:
+        words = rnd.sample(words, size)
+    counts = {w: rnd.choice([1, 2, 5, 5, 9, 50, 50, 600, 9000]) for w in words} | {"": 3}
+    found = as_rows(spelling.variant_groups(spark.createDataFrame(list(counts.items()), "word string, n int")))
+    assert len(found) == len(set(found)) == len(counts)
+    assert set(found) == plain_variants(counts)
+
+
+def test_variants_of_whole_documents(spark, sf, docs):
+    counts = collections.Counter()
+    for r in docs.collect():
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", r["text"] or ""):
+            run = "".join(c.lower() if "A" <= c <= "Z" else c for c in run)
+            h = zlib.crc32(f"{r['doc_id']}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+    found = as_rows(queries.op11_spelling(spark, sf))
+    assert len(found) == len(set(found)) and set(found) == plain_variants(counts)
+    assert sum(1 for r in found if r[4]) > 100 and any(r[1] for r in found)
+
+
+def test_variants_of_odd_tables(spark, odd):
+    words = {r["word"]: r["n"] for r in spelling.spelling_variants(odd, min_count=2).collect()}
+    assert words["epsilon"] == 3 and "word" not in words
+    assert spelling.spelling_variants(odd.limit(0)).collect() == []
+    assert spelling.count_runs(odd, 2, drop_one_in=1).filter("word = 'no'").count() == 0
+    with pytest.raises(ValueError):
+        spelling.variant_groups(odd.select(F.col("text").alias("word"), F.lit(1).alias("n")), ratio=1)
