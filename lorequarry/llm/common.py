@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..staging import attach_groups, drop_staged, fits, scratch, staged, staged_tables
+from ..staging import attach_groups, drop_staged, fits, scratch, small, staged, staged_tables
 
 Batches = Iterator[pa.RecordBatch]
 #: Text bytes that one numpy step works on; a longer document is a step of its own.

@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, license_scan, near_dedup, packing, quality_classifier, quality_rules, sharding, spelling, token_counts, token_output
+from . import bpe, exact_dedup, language_id, license_scan, near_dedup, packing, prefix_trie, quality_classifier, quality_rules, sharding, spelling, token_counts, token_output
 from .common import bound_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,11 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bound_batches(spark)
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"), heads=4, family=20)
+
+
 QUERIES: dict[str, Query] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_language": op2_language,
@@ -84,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op10_packing": op10_packing,
     "op11_spelling": op11_spelling,
     "op12_token_counts": op12_token_counts,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 def _license_sql() -> str:

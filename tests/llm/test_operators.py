@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from lorequarry import staging
-from lorequarry.llm import bpe, common, exact_dedup, language_id, license_scan, near_dedup, packing, pretokens, quality_classifier, quality_rules, queries, sharding, spelling, token_counts, token_output
+from lorequarry.llm import bpe, common, exact_dedup, language_id, license_scan, near_dedup, packing, prefix_trie, pretokens, quality_classifier, quality_rules, queries, sharding, spelling, token_counts, token_output
 
 MULTI, JSON = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 WORD = public_tokenizers.path("word_bpe_49k.json")
@@ -692,3 +692,84 @@ def test_variants_of_odd_tables(spark, odd):
     assert spelling.count_runs(odd, 2, drop_one_in=1).filter("word = 'no'").count() == 0
     with pytest.raises(ValueError):
         spelling.variant_groups(odd.select(F.col("text").alias("word"), F.lit(1).alias("n")), ratio=1)
+
+
+# ---------------------------------------------------------------- 13
+def plain_trie(rows, heads=4, family=20):
+    """rows: (conv_id, turn, role, text) in any order, without equal turns in a conversation."""
+    own = collections.defaultdict(list)
+    for conv, turn, role, text in sorted((r for r in rows if r[0] is not None), key=lambda r: (r[0], r[1] is not None, r[1] or 0)):
+        own[conv].append((role or "", text or ""))
+    members, ends, children = collections.defaultdict(list), collections.defaultdict(list), collections.defaultdict(set)
+    for c in sorted(own):
+        h = zlib.crc32(str(c).encode()) % heads
+        path = tuple(own.get(c - c % family, [])[:h] + own[c][h:])
+        ends[path].append(c)
+        for d in range(len(path) + 1):
+            members[path[:d]].append(c)
+            if d:
+                children[path[: d - 1]].add(path[:d])
+    leaves, saved = {}, {}
+    for path in sorted(members, key=len, reverse=True):
+        below = children[path]
+        n_words = len(re.findall(r"[^\x20\x09-\x0D]+", path[-1][1])) if path else 0
+        leaves[path] = sum(leaves[p] for p in below) if below else 1
+        saved[path] = (len(members[path]) - 1) * n_words + sum(saved[p] for p in below)
+    hashed = lambda ids: hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    return collections.Counter(
+        (m[0], len(p), members[p[:-1]][0] if p else None, len(m), len(children[p]), leaves[p], saved[p], hashed(ends[p])) for p, m in members.items()
+    )
+
+
+TRIE = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+
+
+def trie_rows(found):
+    assert found.columns == TRIE
+    return collections.Counter(map(tuple, found.collect()))
+
+
+def test_trie_of_all_conversations(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert trie_rows(queries.op13_prefix_trie(spark, sf)) == plain_trie(rows)
+
+
+@pytest.mark.parametrize("seed,block_rows,kinds,longest", [(1, 100_000, 2, 4), (2, 3, 2, 6), (3, 2, 1, 9), (4, 7, 3, 3), (5, 5, 2, 30)])
+def test_trie_over_many_blocks(spark, monkeypatch, seed, block_rows, kinds, longest):
+    """Few kinds of turns, so that nodes reach over many blocks; copies, and conversations that others go on from."""
+    monkeypatch.setattr(prefix_trie, "BLOCK_ROWS", block_rows)
+    rnd, rows = random.Random(seed), []
+    for c in rnd.sample(range(-30, 200), 60):
+        for turn in rnd.sample([None, *range(40)], rnd.choice([1, 1, 2, longest, longest])):
+            rows.append((c, turn, rnd.choice(["user", None]) if kinds > 2 else "user", rnd.choice([None, " a  b ", "c", "x y z"][:kinds])))
+    rnd.shuffle(rows)
+    heads = 1 if seed == 3 else 4
+    assert trie_rows(prefix_trie.prefix_trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), heads)) == plain_trie(rows, heads)
+
+
+def test_trie_of_one_large_conversation_and_its_copy(spark):
+    """Two conversations with most of the rows, in many ranges; their key is as long as what they share."""
+    rows = [(c, i, "user", f"turn {i} of many") for c in (7, 8) for i in range(1500)] + [(c, i, "user", str(c)) for c in range(20, 40) for i in range(3)] + [(8, 1500, "user", "more")]
+    assert trie_rows(prefix_trie.prefix_trie(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), 1)) == plain_trie(rows, 1)
+
+
+def test_trie_of_odd_tables(spark):
+    schema = "conv_id long, turn long, role string, text string, depth string, L string, part string, len string"
+    rows = [(None, 1, "user", "no conversation"), (3, None, None, None), (3, 1, "user", ""), (3, 1, "user", ""), (5, 0, "", ""), (61, 0, "user", LONG)]
+    table = spark.createDataFrame([(*r, "x", "x", "x", "x") for r in rows], schema)
+    found = trie_rows(prefix_trie.prefix_trie(table))
+    assert sum(found.values()) == 1 + 1 + 2 + 1 and {r[0] for r in found} == {3, 61}
+    assert trie_rows(prefix_trie.prefix_trie(table.limit(0))) == {}
+    turnless = table.filter("conv_id = 5")  # it has one turn, and its first turns are another's that isn't there
+    assert zlib.crc32(b"5") % 4 and trie_rows(prefix_trie.prefix_trie(turnless, 4)) == {(5, 0, None, 1, 0, 1, 0, hashlib.sha256(b"5").hexdigest()): 1}
+
+
+def test_nearest_smaller_values():
+    rnd = random.Random(1)
+    for n in (1, 2, 9, 40):
+        v = [rnd.randrange(5) for _ in range(n)]
+        left, right, first = prefix_trie.nearest_smaller(v)
+        for i in range(n):
+            assert left[i] == max((j for j in range(i) if v[j] < v[i]), default=-1)
+            assert right[i] == min((j for j in range(i, n) if v[j] < v[i]), default=n)
+            assert first[i] == min(j for j in range(left[i] + 1, i + 1) if v[j] == v[i])
