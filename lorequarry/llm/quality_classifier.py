@@ -1,7 +1,7 @@
 """Operator 5: ordinal cumulative-link regression on graded ratings, with hashed-text weights.
 
-A text is the set of its hashed runs of letters and digits and of its runs of other signs, and a few
-buckets of its shape. All grades share one weight for each feature; ordered thresholds part the grades:
+A text is the set of its hashed runs of letters and digits and of its runs of other signs, and one bucket
+for each measure of its shape, in slots that no hash has. All grades share one weight for each feature; ordered thresholds part the grades:
 P(grade <= k) = logistic(threshold[k] - weights of the text). The fit uses a bounded sample of rated rows.
 """
 
@@ -14,9 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, chunks, mix, span_hashes, tidied, utf8
+from .common import SPACE, chunks, span_hashes, tidied, utf8
 
 BITS = 18
+#: Measures of a text's shape, and buckets of each; their slots follow those of the hashes.
+SHAPES, BUCKETS = 4, 11
+SLOTS = (1 << BITS) + SHAPES * BUCKETS
 #: Rated rows that the model is fitted on at most, those with the smallest hash of their id.
 TRAIN_ROWS = 8000
 #: A feature is used if it stands in so many of them, and its share differs between grades by so many deviations.
@@ -61,9 +64,8 @@ def features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ]
     docs, found = [key >> BITS], [key & (1 << BITS) - 1]
     for k, shape in enumerate(shapes):
-        bucket = np.minimum(shape * 10, 10).astype(np.uint64) + np.uint64(100 * k + 1)
         docs.append(np.arange(n))
-        found.append((mix(bucket) >> np.uint64(64 - BITS)).astype(np.int64))
+        found.append((1 << BITS) + BUCKETS * k + np.minimum(shape * 10, BUCKETS - 1).astype(np.int64))
     return np.concatenate(docs), np.concatenate(found)
 
 
@@ -85,13 +87,13 @@ class Ordinal:
 
 def informative(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> np.ndarray:
     """The features whose share differs between two neighbouring grades, or between a grade and those above."""
-    used = np.zeros(1 << BITS, bool)
+    used = np.zeros(SLOTS, bool)
     levels = np.unique(grade)
     for k in range(len(levels) - 1):
         low = grade == levels[k]
         for high in (grade == levels[k + 1], grade > levels[k]):
-            a = np.bincount(feature[low[doc]], minlength=1 << BITS)
-            b = np.bincount(feature[high[doc]], minlength=1 << BITS)
+            a = np.bincount(feature[low[doc]], minlength=SLOTS)
+            b = np.bincount(feature[high[doc]], minlength=SLOTS)
             share = (a + b + 1) / (low.sum() + high.sum() + 2)
             spread = np.sqrt(share * (1 - share) * (1 / low.sum() + 1 / high.sum()))
             used |= (a + b >= MIN_ROWS) & (np.abs(a / low.sum() - b / high.sum()) >= MIN_DEVIATIONS * spread)
@@ -100,12 +102,12 @@ def informative(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray) -> np.n
 
 def fit(doc: np.ndarray, feature: np.ndarray, grade: np.ndarray, grades: int) -> Ordinal:
     """Maximum likelihood with weight decay, by full-batch gradient steps with momentum (Adam)."""
-    n, weights = len(grade), np.zeros(1 << BITS)
+    n, weights = len(grade), np.zeros(SLOTS)
     thresholds = np.linspace(-1.0, 1.0, grades - 1) if grades > 2 else np.zeros(1)
     if not n:
         return Ordinal(weights, np.full(grades - 1, -30.0))  # nothing is known: all get the top grade
     used = np.flatnonzero(informative(doc, feature, grade))
-    place = np.full(1 << BITS, -1)
+    place = np.full(SLOTS, -1)
     place[used] = np.arange(len(used))
     doc, feature = doc[place[feature] >= 0], place[feature[place[feature] >= 0]]
     point = np.concatenate([np.zeros(len(used)), thresholds])
@@ -149,9 +151,10 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str, text_co
     rated = ratings.filter("grade is not null").groupBy(id_col).agg(F.min("grade").alias("grade"))
     share = 1.2 * TRAIN_ROWS / max(1, rated.count())
     some = rated.filter(F.pmod(F.xxhash64(id_col), F.lit(1 << 20)) < share * (1 << 20)).orderBy(F.xxhash64(id_col), id_col).limit(TRAIN_ROWS)
-    rows = docs.select(docs[id_col], docs[text_col].alias("text")).join(F.broadcast(some), id_col)
-    # A document that is repeated in the table may stand more than once; the limit bounds what is gathered.
-    table = extract(rows.select(F.col("grade").cast("int").alias("grade"), "text"), "grade int").limit(2 * TRAIN_ROWS).toArrow().combine_chunks()
+    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(F.broadcast(some.withColumnRenamed(id_col, "id")), "id")
+    one = rows.groupBy("id").agg(F.min("grade").cast("int").alias("grade"), F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))  # of repeated ids one text
+    one = one.orderBy(F.xxhash64("id"), "id").select("grade", F.col("t.text").alias("text"))
+    table = extract(one, "grade int").toArrow().combine_chunks()
     size = np.array([len(f) for f in table.column("features")], np.int64)
     flat = np.concatenate([c.values.to_numpy()[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in table.column("features").chunks] or [np.zeros(0, np.int64)])
     return fit(np.repeat(np.arange(len(size)), size), flat.astype(np.int64), table.column("grade").to_numpy().astype(np.int64), grades)
@@ -161,10 +164,10 @@ def classify(docs: DataFrame, ratings: DataFrame, grades: int = 3, id_col: str =
     """Grade every whole text: id_col (or key_col, where given), expected_grade, tail_1 .. (P(grade >= k)), kept.
 
     kept: the probability of the top grade is at least min_tail. The sample that the model is fitted on
-    is bounded by TRAIN_ROWS; weights for 2**BITS features go to the executors. No rows move.
+    is bounded by TRAIN_ROWS; weights for SLOTS features go to the executors. No rows move.
 
     A null or empty text has shape features only; a null id gets a grade but no rating; repeated rows get
-    the same grade; a very long text is graded whole; a tail that equals min_tail keeps its document; of several
+    the same grade, and of texts with one rated id the one of smallest hash is fitted on; a very long text is graded whole; a tail that equals min_tail keeps its document; of several
     ratings of an id the lowest counts; without ratings every document is kept; an empty table gives no rows;
     other columns are never read, whatever their names.
     """

@@ -773,3 +773,51 @@ def test_nearest_smaller_values():
             assert left[i] == max((j for j in range(i) if v[j] < v[i]), default=-1)
             assert right[i] == min((j for j in range(i, n) if v[j] < v[i]), default=n)
             assert first[i] == min(j for j in range(left[i] + 1, i + 1) if v[j] == v[i])
+
+
+# ---------------------------------------------------------------- 5
+def plain_features(text):
+    """Slots of a text, one by one."""
+    raw = text.encode()
+    lower = bytes(c + 32 if 65 <= c <= 90 else c for c in raw)
+    runs = re.findall(rb"[A-Za-z0-9\x80-\xff]+|[^A-Za-z0-9\x80-\xff\x20\x09-\x0d]+", lower)
+    one = lambda b: int(common.span_hashes(np.frombuffer(b, np.uint8), np.array([0]), np.array([len(b)]))[0]) >> 64 - quality_classifier.BITS
+    slots = {one(b) for b in runs}
+    n, signs = len(runs), sum(1 for b in runs if not re.match(rb"[A-Za-z0-9\x80-\xff]", b))
+    letters = len(re.findall(rb"[A-Za-z0-9\x80-\xff]", raw))
+    shapes = [len(re.findall(rb"[A-Z]", raw)) / max(letters, 1), len(slots) / max(n, 1), signs / max(n, 1), math.log2(n + 1) / 20]
+    return slots | {(1 << quality_classifier.BITS) + 11 * k + min(int(v * 10), 10) for k, v in enumerate(shapes)}
+
+
+def test_features_are_distinct_and_shapes_have_slots_of_their_own(texts):
+    data = [*texts.values(), "", "...", "A", LONG]
+    doc, feature = quality_classifier.features(*common.utf8(pa.array(data, pa.large_string())))
+    assert len(set(zip(doc.tolist(), feature.tolist(), strict=True))) == len(doc)
+    own = collections.defaultdict(set)
+    for d, f in zip(doc.tolist(), feature.tolist(), strict=True):
+        own[d].add(f)
+    assert [own[d] for d in range(len(data))] == [plain_features(t) for t in data]
+    # a word whose hash would have been a shape's: words end below the shapes' slots, whatever they are
+    assert max(f for d in own for f in sorted(own[d])[: -quality_classifier.SHAPES]) < 1 << quality_classifier.BITS
+
+
+def test_classifier_against_a_plain_loop(spark, sf, docs, texts):
+    """The whole query, where some rated documents stand in the table three times."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    grade = {}
+    for r in quality_classifier.ratings_of(labels).collect():
+        if r["grade"] is not None:
+            grade[r["doc_id"]] = min(r["grade"], grade.get(r["doc_id"], 9))
+    rated = [i for i in texts if i in grade]
+    pairs = [(k, f) for k, i in enumerate(rated) for f in plain_features(texts[i])]
+    doc, feature = (np.array(c) for c in zip(*pairs, strict=True))
+    with np.errstate(all="raise"):
+        model = quality_classifier.fit(doc, feature, np.array([grade[i] for i in rated]), 3)
+    again = docs.filter("doc_id % 5 = 0")
+    rows = quality_classifier.classify(docs.unionByName(again).unionByName(again), quality_classifier.ratings_of(labels)).collect()
+    assert len(rows) == len(texts) + 2 * sum(1 for i in texts if i % 5 == 0)
+    for r in rows:
+        score = sum(model.weights[f] for f in plain_features(texts[r["doc_id"]]))
+        tails = [1 - 1 / (1 + math.exp(score - t)) if abs(score - t) < 30 else float(score > t) for t in model.thresholds]
+        assert [r["tail_1"], r["tail_2"]] == pytest.approx(tails, abs=1e-6)
+        assert r["expected_grade"] == pytest.approx(sum(tails), abs=1e-6) and r["kept"] == (r["tail_2"] >= 0.5)
