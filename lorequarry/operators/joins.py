@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import small
+from . import automaton
 
 #: What belongs to a word, and what stands between two, where texts and patterns meet on words.
 WORD, WORD_EDGE = r"[\p{L}\p{N}_]", r"[^\p{L}\p{N}_]+"
@@ -46,10 +47,7 @@ def nearest_before_or_after(left: DataFrame, right: DataFrame, key: str, left_id
 
 def dictionary_matches(messages: DataFrame, signals: DataFrame, key: list[str], content: str) -> DataFrame:
     """Every signal found in a message: key, signal_id, pattern_type, confidence, hits (how often, overlapping ones too)."""
-    body = F.lower(F.col(content))
-    pairs = messages.select(*key, body.alias("_body")).join(small(signals), F.col("_body").contains(F.lower(F.col("text"))))
-    hits = F.regexp_count("_body", F.concat(F.lit("(?=\\Q"), F.lower("text"), F.lit("\\E)")))
-    return pairs.select(*key, "signal_id", "pattern_type", "confidence", hits.cast("long").alias("hits"))
+    return automaton.counts(messages, signals.select("text", "signal_id", "pattern_type", "confidence"), key, content)
 
 
 def message_scores(matches: DataFrame, key: list[str]) -> DataFrame:

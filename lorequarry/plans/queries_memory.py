@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scoring, text
-from ..operators import joins, memory, mining, windows
+from ..operators import automaton, joins, memory, mining, windows
 from . import adapters as a
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -17,6 +17,27 @@ MATCHES = f"""{a.MESSAGES}, {a.SIGNALS_SQL}, matches AS (
            len(list_filter(range(1, length(content) - length(signals.text) + 2), lambda i: substr(lower(content), i, length(signals.text)) = signals.text)) AS hits
     FROM messages JOIN signals ON contains(lower(content), signals.text))"""
 ORACLE_SQL["signal_matches"] = f"WITH {MATCHES} SELECT * FROM matches"
+QUERIES["signal_occurrences"] = lambda s, d: automaton.occurrences(a.messages(s, d), a.signals(s).select("text", "signal_id"), ["session_id", "line_number"], "content")
+ORACLE_SQL["signal_occurrences"] = f"""
+    WITH {a.MESSAGES}, {a.SIGNALS_SQL}, p AS (
+        SELECT session_id, line_number, content, signal_id, length(signals.text) AS n,
+               unnest(list_filter(range(0, length(content)), lambda i: substr(lower(content), i + 1, length(signals.text)) = signals.text)) AS start
+        FROM messages JOIN signals ON contains(lower(content), signals.text))
+    SELECT session_id, line_number, signal_id, start,
+           CASE WHEN start > 50 THEN '...' ELSE '' END || substr(content, greatest(start - 50, 0) + 1, least(start + n + 50, length(content)) - greatest(start - 50, 0))
+           || CASE WHEN start + n + 50 < length(content) THEN '...' ELSE '' END AS context
+    FROM p"""
+
+
+def _vocabulary(s, d):
+    """Every word of six letters or more of the messages, as a dictionary."""
+    word = F.explode(F.regexp_extract_all(F.lower("content"), F.lit("([a-z]{6,})"), F.lit(1)))
+    words = a.messages(s, d).select(word.alias("text")).distinct()
+    return words.select("text", F.col("text").alias("word"))
+
+
+# SQL would cut every text at every place for every length; tests hold this against a loop.
+QUERIES["vocabulary_occurrences"] = lambda s, d: automaton.occurrences(a.table(s, d, "documents"), _vocabulary(s, d), ["doc_id"], "text", 10)
 QUERIES["signal_scores"] = lambda s, d: joins.message_scores(QUERIES["signal_matches"](s, d), ["session_id", "line_number"])
 ORACLE_SQL["signal_scores"] = f"""
     WITH {MATCHES}, occurrences AS (SELECT *, unnest(range(hits)) AS nth, sum(hits) OVER (PARTITION BY session_id, line_number) AS total FROM matches),

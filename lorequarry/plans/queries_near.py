@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..operators import clustering, conflicts, duplicates, joins, memory, mining, near
+from ..operators import clustering, conflicts, duplicates, joins, memory, mining, near, vectors
 from ..staging import staged
 from . import adapters as a
 
@@ -65,8 +65,8 @@ UNIT_SQL = "u AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x
 
 
 def _topk(s, d):
-    rows = near.dense_vectors(a.table(s, d, "embeddings"), "vec_id", UNIT(F.col("embedding")))
-    found = near.nearest(rows.filter("id % 20 = 0"), rows, [], 10, "cosine", 0.1)
+    index = vectors.VectorIndex(a.table(s, d, "embeddings"), "vec_id", "embedding")
+    found = index.nearest(index.rows.filter("id % 20 = 0"), 10, 0.1)
     return found.select(F.col("query_id").alias("id"), F.col("row_id").alias("other"), F.round("score", 4).alias("score"))
 
 

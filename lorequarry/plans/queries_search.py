@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, scoring, text
-from ..operators import mining, search, windows
+from ..operators import automaton, mining, search, windows
 from . import adapters as a
 
 TERMS = ["the", "and", "that", "queux", "ción", "einer", "anonthe", "thble"]
@@ -134,11 +134,11 @@ QUERIES["token_estimate"] = lambda s, d: _texts(s, d).select("doc_id", text.toke
 ORACLE_SQL["token_estimate"] = """SELECT doc_id, CAST(ceil(length(text) / 4.0) AS BIGINT) AS tokens,
     length(regexp_replace(text, '\\s', '', 'g')) > 0 AND length(regexp_replace(text, '[^一-鿿]', '', 'g')) / length(regexp_replace(text, '\\s', '', 'g'))::DOUBLE >= 0.12 AS chinese FROM documents"""
 
-QUERIES["context_windows"] = lambda s, d: _texts(s, d).withColumn("at", F.instr(F.lower("text"), "than") - 1).filter("at >= 0").select("doc_id", text.context_window(F.col("text"), F.col("at"), F.lit(4)).alias("excerpt"))
+QUERIES["context_windows"] = lambda s, d: automaton.occurrences(_texts(s, d), s.createDataFrame([("than",)], "text string"), ["doc_id"], "text").withColumnRenamed("context", "excerpt")
 ORACLE_SQL["context_windows"] = """
-    WITH p AS (SELECT doc_id, text, instr(lower(text), 'than') - 1 AS pos FROM documents WHERE contains(lower(text), 'than')),
-    b AS (SELECT *, greatest(pos - 50, 0) AS lo, least(pos + 54, length(text)) AS hi FROM p)
-    SELECT doc_id, CASE WHEN lo > 0 THEN '...' ELSE '' END || substr(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '...' ELSE '' END AS excerpt FROM b"""
+    WITH p AS (SELECT doc_id, text, unnest(list_filter(range(0, length(text)), lambda i: substr(lower(text), i + 1, 4) = 'than')) AS start FROM documents WHERE contains(lower(text), 'than')),
+    b AS (SELECT *, greatest(start - 50, 0) AS lo, least(start + 54, length(text)) AS hi FROM p)
+    SELECT doc_id, start, CASE WHEN lo > 0 THEN '...' ELSE '' END || substr(text, lo + 1, hi - lo) || CASE WHEN hi < length(text) THEN '...' ELSE '' END AS excerpt FROM b"""
 
 QUERIES["pattern_fingerprint"] = lambda s, d: a.messages(s, d).filter("role = 'user'").select(text.fingerprint(F.lit("preference"), F.col("content")).alias("fingerprint")).groupBy("fingerprint").agg(F.count("*").alias("occurrences"))
 ORACLE_SQL["pattern_fingerprint"] = f"""WITH {a.MESSAGES} SELECT 'pattern-fp-' || left(sha256('preference:' || lower(trim(content, ' '))), 8) AS fingerprint, count(*) AS occurrences
