@@ -26,10 +26,10 @@ from tokenizers import Tokenizer
 from .common import chunks, lanes, span_hashes, tidied, utf8, words
 from .pretokens import PIECE_BYTES, PieceTable
 
-#: Slots of a worker's table of words (45 MB); it starts anew when half of them are in use.
-TABLE_BITS = 20
+#: Slots of a worker's table of words (90 MB); it starts anew when half of them are in use.
+TABLE_BITS = 21
 #: Pieces of words whose counts a worker remembers besides.
-PIECES = 1 << 17
+PIECES = 1 << 18
 
 
 class Merger:
