@@ -83,7 +83,7 @@ def rebuilt_turns(turns: DataFrame, parts: int, heads: int, family: int) -> tupl
     digest = F.substring(F.sha2(F.concat(F.octet_length(role).cast("string"), F.lit(" "), role, text), 256), 1, WIDTH)
     n_words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
     rows = turns.filter("conv_id is not null").select(F.col("conv_id").cast("long").alias("conv_id"), "turn", role.alias("role"), digest.alias("digest"), n_words.cast("long").alias("words"))
-    own = _counted(rows, ["conv_id", "turn", "role", "digest"], "conv_id", "words", parts, "turns").withColumnRenamed("_i", "i").withColumnRenamed("_before", "before")
+    own = _counted(staged(rows, "hashed_turns"), ["conv_id", "turn", "role", "digest"], "conv_id", "words", parts, "turns").withColumnRenamed("_i", "i").withColumnRenamed("_before", "before")
     own = staged(own.select("conv_id", "i", "digest", "words", "before"), "own_turns")
 
     # A row for each conversation, with its first turns, fewer than `heads`.
