@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify, scoring, text
-from ..operators import automaton, mining, search, windows
+from ..operators import automaton, fulltext, mining, search, windows
 from . import adapters as a
 
 TERMS = ["the", "and", "that", "queux", "ción", "einer", "anonthe", "thble"]
@@ -52,6 +52,36 @@ ORACLE_SQL["bm25_topk"] = f"""
     SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean))), 6) AS score
     FROM tf JOIN df USING (term), st GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 20"""
 
+QUERIES["fulltext_topk"] = lambda s, d: fulltext.TextIndex.build(_texts(s, d), "doc_id", "text").top("than " + " ".join(TERMS), 20).withColumnRenamed("id", "doc_id")
+ORACLE_SQL["fulltext_topk"] = ORACLE_SQL["bm25_topk"].replace(f"IN ({QUERY})", f"IN ('than', {QUERY})")
+
+POSTINGS_SQL = """
+    p AS (SELECT id, len(w) AS len, w[i] AS term, i FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w)),
+    st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM w),
+    tf AS (SELECT id, len, term, count(*) AS tf, list(i) AS places FROM p GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    x AS (SELECT id, term, ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * len / mean)) AS impact FROM tf JOIN df USING (term), st)"""
+
+
+def _matches_sql(words, *clauses):
+    """clauses: ('word', w), ('phrase', [words]) or ('prefix', p)."""
+    def one(i, kind, value):
+        if kind == "word":
+            return f"SELECT id, {i} AS clause, impact AS score FROM x WHERE term = '{value}'"
+        if kind == "prefix":
+            return f"SELECT id, {i} AS clause, sum(impact) AS score FROM x WHERE starts_with(term, '{value}') GROUP BY id"
+        held = f"SELECT id FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM w) WHERE w[i : i + {len(value) - 1}] = {value!r}"
+        return f"SELECT id, {i} AS clause, sum(impact) AS score FROM x WHERE term IN {tuple(value)!r} AND id IN ({held}) GROUP BY id"
+
+    return f"""WITH {words}, {POSTINGS_SQL}, c AS ({" UNION ALL ".join(one(i, *c) for i, c in enumerate(clauses))})
+    SELECT id, round(sum(score), 6) AS score FROM c GROUP BY id HAVING count(DISTINCT clause) = {len(clauses)}"""
+
+
+QUERIES["fulltext_documents"] = lambda s, d: fulltext.TextIndex.build(_texts(s, d), "doc_id", "text").match("than", "the*", "de*")
+ORACLE_SQL["fulltext_documents"] = _matches_sql(f"w AS (SELECT doc_id AS id, {a.words_sql('text')} AS w FROM documents)", ("word", "than"), ("prefix", "the"), ("prefix", "de"))
+QUERIES["fulltext_rules"] = lambda s, d: fulltext.TextIndex.build(a.rules(s, d), "rule_id", "content").match("instead of guessing", "see", "gu*").join(a.rules(s, d).select(F.col("rule_id").alias("id"), "confidence"), "id")
+ORACLE_SQL["fulltext_rules"] = "SELECT id, score, confidence FROM (" + _matches_sql(f"{a.RULES}, w AS (SELECT rule_id AS id, {a.words_sql('content')} AS w FROM rules)", ("phrase", ["instead", "of", "guessing"]), ("word", "see"), ("prefix", "gu")) + ") JOIN rules ON rule_id = id"
+
 QUERIES["rules_by_segments"] = lambda s, d: search.rules_by_segments(a.rules(s, d), WANTED, 50)
 ORACLE_SQL["rules_by_segments"] = f"""
     WITH {a.RULES}, g AS (SELECT rule_id, confidence, unnest(list_distinct(keywords)) AS segment FROM rules)

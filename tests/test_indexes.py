@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorequarry.operators import automaton, near, vectors
+from lorequarry.operators import automaton, fulltext, near, vectors
 from lorequarry.plans import queries_memory
 
 
@@ -136,3 +136,67 @@ def test_vector_index_of_odd_tables(spark):
     one = vectors.VectorIndex(spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, 0.0])], "id long, v array<double>"), "id", "v")
     got = {(r["query_id"], r["row_id"]): r["score"] for r in one.nearest(one.rows, 1).collect()}
     assert got == {(1, 2): 0.0, (2, 3): 1.0, (3, 2): 1.0}
+
+
+# ---------------------------------------------------------------- full text
+def plain_scores(texts):
+    words = {i: [w for w in re.split(r"[^\w+#.\-]+", t.lower()) if w] for i, t in texts.items()}
+    df = collections.Counter(w for ws in words.values() for w in set(ws))
+    mean = sum(map(len, words.values())) / len(words)
+    impact = lambda i, w: np.log((len(words) - df[w] + 0.5) / (df[w] + 0.5) + 1) * (tf := words[i].count(w)) * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words[i]) / mean))
+    return words, impact
+
+
+def test_text_index_against_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(fulltext, "BLOCK", 5)
+    rnd = random.Random(4)
+    vocabulary = ["common", "com", "comet", "rare", "red", "bolt", "a", "zz-top", "ré"]
+    texts = {i: " ".join(rnd.choices(vocabulary, [9, 1, 1, 0.2, 3, 3, 5, 1, 1], k=rnd.choice([0, 1, 4, 30]))) for i in range(150)}
+    texts[200], texts[201] = "", "rare " * 40
+    rows = spark.createDataFrame([*texts.items(), (300, None)], "id long, body string")
+    texts[300] = ""
+    words, impact = plain_scores(texts)
+    index = fulltext.TextIndex.open(spark, fulltext.TextIndex.build(rows, "id", "body").folder)
+    for query, k in (("rare", 3), ("Rare common, a", 10), ("common", 400), ("rare bolt zz-top nowhere", 7), ("nowhere", 3), ("", 3)):
+        terms = {w for w in re.split(r"[^\w+#.\-]+", query.lower()) if w}
+        scores = {i: round(sum(impact(i, w) for w in terms if w in ws), 6) for i, ws in words.items() if terms & set(ws)}
+        want = sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:k]
+        assert [(r["id"], pytest.approx(r["score"], abs=2e-6)) for r in index.top(query, k).collect()] == want
+    has_run = lambda ws, run: any(ws[p : p + len(run)] == run for p in range(len(ws)))
+    for clauses in (["rare"], ["red bolt"], ["red bolt red", "com*"], ["a a"], ["com*", "rare"], ["nowhere"], ["red nowhere"], ["*"], [""], ["RED", "bolt"]):
+        want = {}
+        for i, ws in words.items():
+            parts = []
+            for c in clauses:
+                run = [w for w in re.split(r"[^\w+#.\-]+", c.lower()) if w]
+                if c.endswith("*"):
+                    parts.append(sum(impact(i, w) for w in set(ws) if c[:-1] and w.startswith(c[:-1])))
+                else:
+                    parts.append(sum(impact(i, w) for w in set(run)) if run and has_run(ws, run) else 0)
+            if all(parts):
+                want[i] = pytest.approx(round(sum(parts), 6), abs=2e-6)
+        assert {r["id"]: r["score"] for r in index.match(*clauses).collect()} == want, clauses
+
+
+def test_search_reads_the_buckets_and_levels_of_its_terms_only(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    index = fulltext.TextIndex.build(docs, "doc_id", "text")
+    own = index._within(index.blocks, ["than"])
+    files = {f for f in index.blocks.inputFiles()}
+    assert 0 < len(own.select("term", F.input_file_name().alias("f")).select("f").distinct().collect()) < len(files) / 4
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:80]
+    levels = []
+    scored = fulltext.TextIndex._scored
+    try:
+        fulltext.TextIndex._scored = lambda self, terms, chosen: levels.append(chosen) or scored(self, terms, chosen)
+        index.top("than", 3).collect()
+    finally:
+        fulltext.TextIndex._scored = scored
+    every = index._within(index.levels, ["than"]).count()
+    assert len(levels[1]) < every  # the levels of small impact stay unread
+
+
+def test_text_index_of_an_empty_table(spark):
+    index = fulltext.TextIndex.build(spark.createDataFrame([], "id long, body string"), "id", "body")
+    assert index.top("a", 3).collect() == index.match("a").collect() == index.match("a b").collect() == []
