@@ -13,6 +13,8 @@ STRATEGIES = {
     "performance": (0.4, 1),
     "security": (0.5, 1),
 }
+# What a pattern's type multiplies its confidence by; none is favoured.
+TYPE_FACTORS = {"repeated-correction": 1.0, "preference": 1.0, "anti-pattern": 1.0, "performance": 1.0, "security": 1.0}
 #: Rank of a priority in search results.
 PRIORITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 
@@ -120,10 +122,14 @@ def staleness(days: Column) -> Column:
 
 
 def pattern_confidence(kind: Column, n: Column, sessions: Column, span_days: Column, valid: Column, validated: Column, keyword: Column) -> Column:
-    """Confidence of a pattern from its occurrences: base score, cap, session bonus, keyword bonus."""
+    """Confidence of a pattern from its occurrences: base score, cap, the factor of its type (1 for a type that has none), session bonus, keyword bonus."""
     frequency = F.least(F.lit(1.0), F.least(F.lit(1.0), n / 10) + F.when((sessions == 1) & (n >= 3), 0.1).otherwise(0.0))
     base = frequency * 0.3 + F.least(F.lit(1.0), span_days / 90) * 0.1 + F.when(n > 0, valid / n).otherwise(0.0) * 0.4 + F.when(validated > 0, 1.0).otherwise(0.0) * 0.2
     held = F.when(n == 1, F.least(base, F.lit(0.6))).when(n == 2, F.least(base, F.lit(0.75))).otherwise(base)
+    factor = F.lit(1.0)
+    for name, by in TYPE_FACTORS.items():
+        factor = F.when(kind == name, by).otherwise(factor)
+    held = held * factor
     bonus = F.when(sessions >= 3, 0.15).when(sessions == 2, 0.08).otherwise(0.0)
     return F.least(F.lit(1.0), held + bonus + F.when(keyword, 0.2).otherwise(0.0))
 

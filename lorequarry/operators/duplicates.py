@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as alike
 from ..functions import text
 from ..staging import staged
-from . import near
+from . import graphs, near
 
 AXES = ["tech", "functional", "business"]
 
@@ -16,20 +16,28 @@ AXES = ["tech", "functional", "business"]
 def rule_pairs(rules: DataFrame, least: float = 0.65) -> DataFrame:
     """Pairs of rule classes of one kind and scope that are alike: a, b, similarity, action. One row for each pair of classes.
 
+    Two rules without keywords agree in them, as two without scenes do.
+
     rules: rule_id, kind, scope, project_path (compared within project scope), keywords, tech, functional,
     business (arrays) and description. Rules that agree in all of these are a class, named by its smallest
     id; its members are in rule_classes. As keywords weigh half, their own Jaccard has to reach what the
     rest can't make up for, so pairs come from it.
     """
-    known = rule_classes(rules)
+    return class_pairs(rule_classes(rules), least)
+
+
+def class_pairs(known: DataFrame, least: float) -> DataFrame:
+    """The pairs of rule_pairs among classes that rule_classes gave."""
     block = ["kind", "scope", "place"]
-    sets = staged(known.select(*block, F.col("class_id").alias("id"), near.hashed(alike.lowered(F.col("keywords"))).alias("items")), "keyword_sets")
-    pairs = near.similar(sets.filter(F.size("items") > 0), block, max((least - 0.5) / 0.5, 0.01))
+    words = alike.lowered(F.coalesce("keywords", F.array().cast("array<string>")))
+    sets = staged(known.select(*block, F.col("class_id").alias("id"), near.or_nothing(near.hashed(words)).alias("items")), "keyword_sets")
+    pairs = near.similar(sets, block, max((least - 0.5) / 0.5, 0.01))
     own = ["class_id", "keywords", *AXES, "description"]
     x, y = (known.select(*(F.col(c).alias(f"{side}_{c}") for c in own)) for side in "xy")
     both = pairs.join(x, F.col("a") == F.col("x_class_id")).join(y, F.col("b") == F.col("y_class_id"))
     axes = [[F.col(f"{side}_{c}") for c in AXES] for side in "xy"]
-    keywords = text.jaccard_or_equal(alike.lowered(F.col("x_keywords")), alike.lowered(F.col("y_keywords")))
+    own_words = lambda c: alike.lowered(F.coalesce(c, F.array().cast("array<string>")))
+    keywords = text.jaccard_or_equal(own_words("x_keywords"), own_words("y_keywords"))
     score = F.round(alike.rules_alike(keywords, alike.scenes_alike(*axes), alike.described_alike(F.col("x_description"), F.col("y_description")), F.lit(True)), 6)
     return both.select("a", "b", score.alias("similarity"), alike.merge_action(score).alias("action")).filter(F.col("similarity") >= least)
 
@@ -43,9 +51,9 @@ def rule_classes(rules: DataFrame) -> DataFrame:
 
 def duplicate_groups(rules: DataFrame, least: float = 0.75) -> DataFrame:
     """class_id, leader, members of the rule classes: in the order of ids, a rule leads those that are alike and free."""
-    pairs = staged(rule_pairs(rules, least).select("a", "b"), "rule_pairs")
     known = rule_classes(rules)
-    led = near.leader_clusters(known.select(F.col("class_id").alias("id")), pairs, [])
+    pairs = staged(class_pairs(known, least).select("a", "b"), "rule_pairs")
+    led = graphs.leader_clusters(known.select(F.col("class_id").alias("id")), pairs, [])
     return known.join(led, known["class_id"] == led["id"]).select("class_id", "leader", "members")
 
 
@@ -83,33 +91,52 @@ def alike_signals(signals: DataFrame, threshold: float = 0.8) -> DataFrame:
     """signal_id, leader: signals of one type whose characters have a Jaccard above the threshold, led in the order of ids."""
     sets = staged(signals.select("pattern_type", F.col("signal_id").alias("id"), near.hashed(text.characters(F.lower("text"))).alias("items")).filter(F.size("items") > 0), "characters")
     pairs = staged(near.similar(sets, ["pattern_type"], threshold).filter(F.col("score") > threshold).select("a", "b"), "signal_pairs")
-    return near.leader_clusters(signals.select(F.col("signal_id").alias("id")), pairs, []).withColumnRenamed("id", "signal_id")
+    return graphs.leader_clusters(signals.select(F.col("signal_id").alias("id")), pairs, []).withColumnRenamed("id", "signal_id")
 
 
 def labelled_clusters(contents: DataFrame, threshold: float = 0.7) -> DataFrame:
     """content_id, leader of labelled contents (content_id, pattern_type, signals, length, confidence), in the order of ids.
 
-    Signals weigh .7, so their own Jaccard has to make up for what length and confidence can't.
+    Signals weigh .7, so their own Jaccard has to make up for what length and confidence can't. Contents without signals
+    agree in them and in nothing with others; they meet their leaders one leader after the other, not each other.
     """
-    sets = staged(contents.select("pattern_type", F.col("content_id").alias("id"), near.hashed(F.col("signals")).alias("items")), "signal_sets")
-    found = near.similar(sets.filter(F.size("items") > 0), ["pattern_type"], max((threshold - 0.3) / 0.7, 0.01))
+    least = max((threshold - 0.3) / 0.7, 0.01)
+    sets = staged(contents.select("pattern_type", F.col("content_id").alias("id"), near.hashed(F.coalesce("signals", F.array().cast("array<string>"))).alias("items")), "signal_sets")
+    found = near.similar(sets.filter(F.size("items") > 0), ["pattern_type"], least)
     x, y = (contents.select(F.col("content_id").alias(end), F.col("length").alias(f"{end}_length"), F.col("confidence").alias(f"{end}_confidence")) for end in "ab")
-    score = alike.labelled_alike(F.col("score"), *(F.col(c) for c in ("a_length", "b_length", "a_confidence", "b_confidence")))
+    sides = ("a_length", "b_length", "a_confidence", "b_confidence")
+    score = alike.labelled_alike(F.col("score"), *map(F.col, sides))
     pairs = staged(found.join(x, "a").join(y, "b").filter(F.round(score, 9) > threshold).select("a", "b"), "labelled_pairs")
-    return near.leader_clusters(contents.select(F.col("content_id").alias("id")), pairs, []).withColumnRenamed("id", "content_id")
+    led = graphs.leader_clusters(sets.filter(F.size("items") > 0).select("id"), pairs, [])
+
+    free = staged(contents.join(sets.filter(F.size("items") == 0).select(F.col("id").alias("content_id")), "content_id", "left_semi").select("pattern_type", "content_id", "length", "confidence"), "without_signals")
+    while free.limit(1).count():  # who stays free differs from the leader in length and confidence wholly, so leaders are few
+        first = free.groupBy("pattern_type").agg(F.min_by(F.struct("content_id", "length", "confidence"), "content_id").alias("l"))
+        met = free.join(F.broadcast(first), "pattern_type")
+        same = alike.labelled_alike(F.lit(1.0), F.col("length"), F.col("l.length"), F.col("confidence"), F.col("l.confidence"))
+        met = staged(met.select("*", ((F.col("content_id") == F.col("l.content_id")) | (F.round(same, 9) > threshold)).alias("taken")), "met_leaders")
+        led = led.unionByName(met.filter("taken").select(F.col("content_id").alias("id"), F.col("l.content_id").alias("leader")))
+        free = met.filter("not taken").select("pattern_type", "content_id", "length", "confidence")
+    return led.withColumnRenamed("id", "content_id")
 
 
 def labelled_records(contents: DataFrame, clusters: DataFrame) -> DataFrame:
-    """A row for each cluster: leader, pattern_type, occurrences, sessions, mean confidence and the signals that all members share.
+    """A row for each cluster: leader, pattern_type, occurrences, sessions, mean confidence and its signals.
 
-    Where the members share none, the leader's own stand.
+    The signals are those of the leader that each further member, in the order of ids, has too; a member that has none
+    of what is left is passed over. Of members that share the same of the leader's signals only the first matters, so what
+    is gathered of a cluster is a row for each such set.
     """
     each = contents.join(clusters, "content_id")
     sizes = each.groupBy("leader", "pattern_type").agg(F.count("*").alias("occurrences"), F.countDistinct("session_id").alias("sessions"), F.round(F.avg("confidence"), 6).alias("confidence"))
-    common = each.select("leader", "content_id", F.explode(F.array_distinct("signals")).alias("s")).groupBy("leader", "s").agg(F.count("*").alias("n"))
-    shared = common.join(sizes.select("leader", "occurrences"), "leader").filter("n = occurrences").groupBy("leader").agg(F.array_sort(F.collect_list("s")).alias("shared"))
-    own = contents.select(F.col("content_id").alias("leader"), F.array_sort(F.array_distinct("signals")).alias("own"))
-    return sizes.join(shared, "leader", "left").join(own, "leader").select("leader", "pattern_type", "occurrences", "sessions", "confidence", F.coalesce("shared", "own").alias("signals"))
+    of = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, F.array().cast("array<string>"))))
+    own = contents.select(F.col("content_id").alias("leader"), of("signals").alias("own"))
+    both = clusters.filter("content_id <> leader").join(contents.select("content_id", "signals"), "content_id").join(own, "leader")
+    sets = both.select("leader", "content_id", F.array_intersect("own", of("signals")).alias("s")).filter(F.size("s") > 0)
+    firsts = sets.groupBy("leader", "s").agg(F.min("content_id").alias("at")).groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("at", "s"))).alias("v"))
+    left = F.aggregate("v", F.col("own"), lambda a, x: F.when(F.arrays_overlap(a, x["s"]), F.array_intersect(a, x["s"])).otherwise(a))
+    held = sizes.join(own, "leader").join(firsts, "leader", "left")
+    return held.select("leader", "pattern_type", "occurrences", "sessions", "confidence", F.coalesce(left, "own").alias("signals"))
 
 
 def merged_small(clusters: DataFrame, least: int = 2, threshold: float = 0.5) -> DataFrame:
@@ -122,7 +149,7 @@ def merged_small(clusters: DataFrame, least: int = 2, threshold: float = 0.5) ->
 def memory_clusters(memories: DataFrame, vectors: DataFrame, least: float = 0.68) -> DataFrame:
     """memory_id, leader: memories whose vectors (staged: id, items, weights) have a cosine of `least`, led in the order of ids."""
     pairs = staged(near.similar(vectors, [], least, "cosine").select("a", "b"), "memory_pairs")
-    return near.leader_clusters(memories.select(F.col("memory_id").alias("id")), pairs, []).withColumnRenamed("id", "memory_id")
+    return graphs.leader_clusters(memories.select(F.col("memory_id").alias("id")), pairs, []).withColumnRenamed("id", "memory_id")
 
 
 def merged_memories(memories: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -144,7 +171,7 @@ def absorbed(clusters: DataFrame, threshold: float = 0.65) -> DataFrame:
     kinds = sets.select("id", "pattern_type")
     other = found.join(kinds.select(F.col("id").alias("a"), F.col("pattern_type").alias("x")), "a").join(kinds.select(F.col("id").alias("b"), F.col("pattern_type").alias("y")), "b").filter("x <> y")
     pairs = staged(other.select("a", "b"), "cross_pairs")
-    led = near.leader_clusters(sets.select("id", "members"), pairs, [-F.col("members")])
+    led = graphs.leader_clusters(sets.select("id", "members"), pairs, [-F.col("members")])
     return led.select(F.col("id").alias("leader"), F.col("leader").alias("keeper"))
 
 

@@ -1,4 +1,4 @@
-"""Pairs and nearest rows by set or vector similarity, and leader clusters over such pairs.
+"""Pairs and nearest rows by set or vector similarity.
 
 Rows are compared in tiles: a block's rows are cut into parts of bounded bytes, a tile is two parts, and a
 task multiplies the matrices of a tile. A block of any size is so many tasks, none of which holds more than
@@ -46,6 +46,31 @@ def character_pairs(rows: DataFrame, content: str) -> DataFrame:
     return dense.mapInArrow(pairs, T.StructType([*rows.schema.fields, T.StructField("items", T.ArrayType(T.LongType()))]))
 
 
+#: What stands in an empty set where empty sets are alike.
+NOTHING = -1
+
+
+def or_nothing(items: Column) -> Column:
+    """A set of numbers, or one that only other empty sets share an item with."""
+    return F.when(F.size(items) > 0, items).otherwise(F.array(F.lit(NOTHING).cast("long")))
+
+
+def weighted(rows: DataFrame, block: list[str], attributes: dict[str, float], least: float) -> DataFrame:
+    """Pairs (a, b) of a block whose Jaccards of several set columns, weighted, may add up to `least`, each pair once.
+
+    rows: staged, block columns, id, and a column of sorted numbers for each attribute. If every Jaccard were below
+    least / (sum of weights), so would be the sum: candidates are the pairs that reach it in one attribute.
+    The caller scores them. Empty sets are like nothing; make them alike by or_nothing.
+    """
+    bound = least / sum(attributes.values())
+    found = None
+    for name in attributes:
+        sets = rows.select(*block, "id", F.col(name).alias("items")).filter(F.size("items") > 0)
+        pairs = similar(staged(sets, "attribute"), block, bound).select("a", "b")
+        found = pairs if found is None else found.union(pairs)
+    return found.distinct()
+
+
 def classes(rows: DataFrame, ident: str, block: list[str], items: Column) -> DataFrame:
     """One staged row for each distinct set in a block: block columns, id (the smallest), copies, items. Empty sets are left out."""
     return set_classes(rows.select(*block, F.col(ident).alias("id"), hashed(items).alias("items")), block)
@@ -198,39 +223,6 @@ def nearest(queries: DataFrame, rows: DataFrame, block: list[str], k: int, measu
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def leader_clusters(nodes: DataFrame, pairs: DataFrame, order: list[Column | str], most: int | None = None) -> DataFrame:
-    """id, leader: each row, in order, that no earlier leader has taken leads, and takes the rows like it that are free.
-
-    nodes: id and what the order needs; pairs: (a, b) that are alike. A cluster has `most` members at most,
-    the first in order. The order is a total one if id ends it. No task sees a whole block: in each round the
-    rows lead that have no open neighbour before them and whose neighbours have none before them either.
-    """
-    place = F.struct(*(c if isinstance(c, Column) else F.col(c) for c in [*order, "id"]))
-    placed = staged(nodes.select("id", place.alias("place")), "nodes")
-    one = pairs.select(F.col("a").alias("id"), F.col("b").alias("other")).union(pairs.select("b", "a"))
-    ends = one.join(placed, "id").join(placed.select(F.col("id").alias("other"), F.col("place").alias("other_place")), "other")
-    edges = staged(ends.filter("place < other_place").select(F.col("id").alias("lead"), "place", F.col("other").alias("id"), "other_place"), "edges")
-    done = None
-    while edges.limit(1).count():
-        first = edges.groupBy("id").agg(F.min("place").alias("first"))
-        waiting = edges.join(first, "id").filter("place > first").select(F.col("lead").alias("id"))
-        behind = edges.select("id")
-        ready = edges.select(F.col("lead").alias("id")).distinct().join(waiting.union(behind).distinct(), "id", "left_anti")
-        taken = edges.join(ready.select(F.col("id").alias("lead")), "lead", "left_semi")
-        if most is not None:
-            rank = F.row_number().over(Window.partitionBy("lead").orderBy("other_place"))
-            taken = taken.withColumn("_rank", rank).filter(F.col("_rank") < most)
-        settled = staged(taken.select("id", "lead").union(ready.select("id", F.col("id").alias("lead"))), "settled")
-        done = settled if done is None else done.union(settled)
-        gone = settled.select("id")
-        left = edges.join(gone, "id", "left_anti").join(gone.select(F.col("id").alias("lead")), "lead", "left_anti")
-        edges = staged(left.select("lead", "place", "id", "other_place"), "edges")
-    named = placed.select("id")
-    if done is None:
-        return named.withColumn("leader", F.col("id"))
-    return named.join(done, "id", "left").select("id", F.coalesce("lead", "id").alias("leader"))
-
-
 def weighted_terms(rows: DataFrame, ident: str, slot: str, weight: str) -> DataFrame:
     """Sparse vectors (ident, slot, weight) as one staged row each: id, items, weights."""
     packed = rows.groupBy(F.col(ident).alias("id")).agg(F.array_sort(F.collect_list(F.struct(F.col(slot).cast("long").alias("s"), F.col(weight).cast("double").alias("w")))).alias("v"))

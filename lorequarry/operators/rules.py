@@ -106,9 +106,39 @@ KEYWORD_FAMILIES = [
 ]
 
 
-def optimised(rules: DataFrame, content: Column, least: int = 3) -> DataFrame:
-    """Rules after a cleanup: rule_id, keywords (how many, with those of the text where there were few), confidence (.1 more where it was low and the rule is complete)."""
+# The scenes that a keyword stands for, where it isn't the scene itself.
+TECH_SCENES = {w: w for w in ["react", "vue", "angular", "typescript", "javascript", "python", "java", "go", "rust", "express", "django", "flask"]} | {"node": "nodejs"}
+FUNCTIONAL_SCENES = {
+    "api": "api", "rest": "api", "graphql": "api", "database": "database", "sql": "database", "nosql": "database", "redis": "cache", "cache": "cache",
+    "auth": "auth", "authentication": "auth", "authorization": "auth", "token": "auth", "jwt": "auth", "oauth": "auth", "test": "testing", "testing": "testing", "mock": "testing",
+    "validation": "validation", "error": "error-handling", "exception": "error-handling", "performance": "performance", "optimization": "performance",
+    "security": "security", "xss": "security", "csrf": "security", "injection": "security",
+}
+
+
+def _scenes(keywords: Column, table: dict[str, str]) -> Column:
+    names = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
+    return F.array_distinct(F.filter(F.transform(keywords, lambda k: F.try_element_at(names, F.lower(k))), lambda x: x.isNotNull()))
+
+
+def optimised(rules: DataFrame, content: Column, least: int = 2) -> DataFrame:
+    """Rules after a cleanup: rule_id, keywords (how many), inferred (scenes by the old keywords, where it had neither tech nor functional ones), confidence, changes.
+
+    A rule of less than `least` keywords gets those of its text; confidence rises by .1 where it was below .7 and
+    the rule has three keywords and a scene now.
+    """
     found = F.slice(F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(F.lower(content), F.lit(p), F.lit(1)) for p in KEYWORD_FAMILIES)))), 1, 10)
-    words = F.when(F.size("keywords") < least, F.array_distinct(F.concat("keywords", found))).otherwise(F.array_distinct("keywords"))
-    boost = (F.col("confidence") < 0.7) & (F.size("_words") >= 3) & (F.col("tech").isNotNull() | F.col("functional").isNotNull())
-    return rules.withColumn("_words", words).select("rule_id", F.size("_words").cast("long").alias("keywords"), F.when(boost, F.round(F.least(F.lit(1.0), F.col("confidence") + 0.1), 6)).otherwise(F.col("confidence")).alias("confidence"))
+    old = F.coalesce("keywords", F.array().cast("array<string>"))
+    rows = rules.withColumn("_old", old).withColumn("_all", F.array_distinct(F.concat("_old", found)))
+    more = (F.size("_old") < least) & (F.size("_all") > F.size("_old"))
+    bare = F.col("tech").isNull() & F.col("functional").isNull()
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({"_words": F.when(more, F.col("_all")).otherwise(F.col("_old")), "_added": more})
+    rows = rows.withColumns({"_tech": F.when(bare, _scenes(F.col("_old"), TECH_SCENES)).otherwise(none), "_functional": F.when(bare, _scenes(F.col("_old"), FUNCTIONAL_SCENES)).otherwise(none)})
+    inferred = F.size("_tech") + F.size("_functional") > 0
+    boost = (F.col("confidence") < 0.7) & (F.size("_words") >= 3) & (~bare | inferred)
+    changes = F.array_compact(F.array(F.when(F.col("_added"), "keywords"), F.when(inferred, "scenes"), F.when(boost, "confidence")))
+    return rows.select(
+        "rule_id", F.size("_words").cast("long").alias("keywords"), F.array_join(F.concat(F.array_sort("_tech"), F.array_sort("_functional")), ",").alias("inferred"),
+        F.when(boost, F.round(F.least(F.lit(1.0), F.col("confidence") + 0.1), 6)).otherwise(F.col("confidence")).alias("confidence"), F.array_join(changes, ",").alias("changes"),
+    )

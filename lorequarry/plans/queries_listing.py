@@ -40,8 +40,9 @@ ORACLE_SQL["signal_precision"] = f"""
     SELECT signal_id, round(p, 6)::DOUBLE AS precision, round(greatest(0.1, least(0.95, confidence * (1 - w) + p * w)), 6)::DOUBLE AS suggested, confidence < 0.2 AND matches >= 10 AND p < 0.3 AS prune FROM p"""
 QUERIES["signal_sources"] = lambda s, d: _words(s, d).groupingSets([["pattern_type"], ["language"], []], "pattern_type", "language").agg(F.count("*").alias("signals"), F.round(F.avg("confidence"), 6).alias("mean_confidence"), F.sum("matches").alias("matches"))
 ORACLE_SQL["signal_sources"] = f"WITH {WORDS} SELECT pattern_type, language, count(*) AS signals, round(avg(confidence), 6) AS mean_confidence, CAST(sum(matches) AS BIGINT) AS matches FROM sg GROUP BY GROUPING SETS ((pattern_type), (language), ())"
-QUERIES["memory_namespace"] = lambda s, d: a.memories(s, d).withColumn("organization", F.when(F.col("memory_id") % 4 == 0, "Acme").when(F.col("memory_id") % 4 == 1, "other")).filter(listing.in_namespace(project="src1", organization="acme", branch=None)).select("memory_id")
-ORACLE_SQL["memory_namespace"] = f"WITH {a.MEMORIES} SELECT memory_id FROM memories WHERE (project IS NULL OR project = 'src1') AND memory_id % 4 <> 1"
+_ORGANISATION = lambda: F.when(F.floor(F.col("memory_id") / 20) % 4 == 0, "Acme").when(F.floor(F.col("memory_id") / 20) % 4 == 1, "other")
+QUERIES["memory_namespace"] = lambda s, d: a.memories(s, d).withColumns({"organization": _ORGANISATION(), "project": F.when(F.col("memory_id") % 3 == 0, F.col("project"))}).filter(listing.in_namespace(project="src3", organization="acme", branch=None)).select("memory_id")
+ORACLE_SQL["memory_namespace"] = f"WITH {a.MEMORIES} SELECT memory_id FROM memories WHERE (memory_id % 3 > 0 OR project = 'src3') AND memory_id // 20 % 4 <> 1"
 QUERIES["memory_list"] = lambda s, d: listing.listed_memories(a.memories(s, d), 120, kind="procedural", info_class="preference", sensitive=classify.sensitive(F.col("content")), found=a.memories(s, d).filter(F.lower("content").contains("the")).select("memory_id")).select("memory_id", "confidence")
 _SENSITIVE = " OR ".join("regexp_matches(coalesce(content, ''), '" + p.replace("'", "''") + "')" for p in classify.SENSITIVE)
 ORACLE_SQL["memory_list"] = f"""WITH {a.MEMORIES} SELECT memory_id, confidence FROM memories WHERE status = 'active' AND kind = 'procedural' AND info_class = 'preference' AND contains(lower(content), 'the') AND NOT ({_SENSITIVE}) ORDER BY created_at DESC, memory_id LIMIT 120"""

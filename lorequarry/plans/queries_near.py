@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
-from ..operators import clustering, conflicts, duplicates, joins, memory, mining, near, vectors
+from ..operators import clustering, conflicts, duplicates, graphs, joins, memory, mining, near, vectors
 from ..staging import staged
 from . import adapters as a
 
@@ -150,15 +150,15 @@ ORACLE_SQL["rule_merges"] = f"""{GROUPS}, m AS (SELECT leader, unnest(members) A
     SELECT leader, members, round(CASE WHEN members > 1 THEN least(1.0, c + 0.05) ELSE c END, 6) AS confidence, keywords FROM g JOIN kw USING (leader)"""
 QUERIES["generated_rules_kept"] = lambda s, d: duplicates.generated_kept(_rules(s, d)).select("leader", F.col("taken").cast("long").alias("taken"))
 ORACLE_SQL["generated_rules_kept"] = f"{GROUPS} SELECT leader, (sum(len(members)) - 1)::BIGINT AS taken FROM cl JOIN led ON cl.id = led.id GROUP BY leader"
-QUERIES["merge_proposals"] = lambda s, d: duplicates.merge_proposal(a.rules(s, d), "functional")
+QUERIES["merge_proposals"] = lambda s, d: duplicates.merge_proposal(a.rules(s, d).withColumn("topic", F.concat("functional", F.lit("-"), (F.round(F.col("confidence") * 50) % 8).cast("int").cast("string"))), "topic")
 ORACLE_SQL["merge_proposals"] = f"""
-    WITH {a.RULES}, w AS (SELECT functional, rule_id, list_distinct({a.words_sql("content")}) AS w FROM rules),
-    p AS (SELECT x.functional, avg({JACCARD.format("x.w", "y.w")}) AS similarity FROM w x JOIN w y ON x.functional = y.functional AND x.rule_id < y.rule_id GROUP BY x.functional),
-    t AS (SELECT DISTINCT functional, trim(unnest(string_split_regex(content, '[.!?]\\s+|\\n[-*]\\s+')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS point FROM rules),
-    u AS (SELECT functional, list_sort(list(point)) AS p FROM t WHERE length(point) > 10 GROUP BY functional),
-    g AS (SELECT functional, count(*) AS rules, round(avg(confidence), 6) AS confidence FROM rules GROUP BY functional)
-    SELECT functional, rules, confidence, round(similarity, 6) AS similarity, coalesce(CASE WHEN len(p) > 1 THEN array_to_string(list_transform(p, lambda x: '- ' || x), chr(10)) ELSE array_to_string(p, '. ') END, '') AS content
-    FROM g JOIN p USING (functional) LEFT JOIN u USING (functional) WHERE rules > 1 AND round(similarity, 6) >= 0.25"""
+    WITH {a.RULES}, tp AS (SELECT *, functional || '-' || (round(confidence * 50)::BIGINT % 8) AS topic FROM rules), w AS (SELECT topic, rule_id, list_distinct({a.words_sql("content")}) AS w FROM tp),
+    p AS (SELECT x.topic, avg({JACCARD.format("x.w", "y.w")}) AS similarity FROM w x JOIN w y ON x.topic = y.topic AND x.rule_id < y.rule_id GROUP BY x.topic),
+    t AS (SELECT DISTINCT topic, trim(unnest(string_split_regex(content, '[.!?]\\s+|\\n[-*]\\s+')), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS point FROM tp),
+    u AS (SELECT topic, list_sort(list(point)) AS p FROM t WHERE length(point) > 10 GROUP BY topic),
+    g AS (SELECT topic, count(*) AS rules, round(avg(confidence), 6) AS confidence FROM tp GROUP BY topic)
+    SELECT topic, g.rules, confidence, round(similarity, 6) AS similarity, coalesce(CASE WHEN len(p) > 1 THEN array_to_string(list_transform(p, lambda x: '- ' || x), chr(10)) ELSE array_to_string(p, '. ') END, '') AS content
+    FROM g JOIN p USING (topic) LEFT JOIN u USING (topic) WHERE g.rules > 1 AND round(similarity, 6) >= 0.25"""
 
 # ---------------------------------------------------------------- conflicts
 QUERIES["contradicting_rules"] = lambda s, d: conflicts.contradictions(a.rules(s, d)).withColumn("pair", F.col("pair").cast("long"))
@@ -195,7 +195,7 @@ ORACLE_SQL["memory_conflicts"] = f"""
 def _embedding_clusters(s, d):
     rows = near.dense_vectors(a.table(s, d, "embeddings"), "vec_id", UNIT(F.col("embedding")), "label")
     pairs = staged(near.similar(rows, ["label"], 0.5, "cosine").select("a", "b"), "embedding_pairs")
-    led = near.leader_clusters(rows.select("id", (-F.col("id")).alias("_o")), pairs, ["_o"], 20)
+    led = graphs.leader_clusters(rows.select("id", (-F.col("id")).alias("_o")), pairs, ["_o"], 20)
     return rows.select("label", "id").join(led, "id").select("label", F.col("id").alias("vec_id"), "leader")
 
 
@@ -213,7 +213,7 @@ def _message_clusters(s, d):
     said = staged(_user_messages(s, d), "messages")
     vectors = clustering.block_vectors(said, "session_id", "id", F.col("words"), F.col("topics"))
     pairs = staged(duplicates.message_pairs(said, vectors, "session_id"), "message_pairs")
-    led = near.leader_clusters(said.select("id", (-F.col("length")).alias("_o")), pairs, ["_o"], 20)
+    led = graphs.leader_clusters(said.select("id", (-F.col("length")).alias("_o")), pairs, ["_o"], 20)
     return said.select("session_id", "id").join(led, "id").select("session_id", (F.col("id") % 1000).alias("line_number"), (F.col("leader") % 1000).alias("leader"))
 
 
@@ -273,8 +273,8 @@ LABELLED = f"""{a.MESSAGES}, {a.SIGNALS_SQL}, lb AS (SELECT session_id * 1000 +
     lp AS (SELECT x.id AS a, y.id AS b FROM lb x JOIN lb y ON x.pattern_type = y.pattern_type AND x.id < y.id
         WHERE round({JACCARD.format("x.sg", "y.sg")} * 0.7 + (1 - abs(x.n - y.n) / greatest(x.n, y.n)::DOUBLE) * 0.1 + (1 - abs(x.c - y.c)) * 0.2, 9) > 0.7), {LEADERS.format(order="id", nodes="lb", pairs="lp")},
     lz AS (SELECT leader, pattern_type, count(*) AS occurrences, count(DISTINCT session_id) AS sessions, round(avg(c), 6) AS confidence FROM led JOIN lb USING (id) GROUP BY ALL),
-    ls AS (SELECT leader, s FROM (SELECT leader, unnest(sg) AS s FROM led JOIN lb USING (id)) JOIN lz USING (leader) GROUP BY leader, s, occurrences HAVING count(*) = occurrences),
-    lr AS (SELECT lz.*, coalesce((SELECT list_sort(list(s)) FROM ls WHERE ls.leader = lz.leader), lb.sg) AS signals FROM lz JOIN lb ON lb.id = lz.leader)"""
+    lm AS (SELECT leader, list(sg ORDER BY id) AS sets FROM led JOIN lb USING (id) GROUP BY leader),
+    lr AS (SELECT lz.*, list_sort(list_reduce(sets, lambda x, y: CASE WHEN len(list_intersect(x, y)) > 0 THEN list_intersect(x, y) ELSE x END)) AS signals FROM lz JOIN lm USING (leader))"""
 ORACLE_SQL["labelled_clusters"] = f"WITH RECURSIVE {LABELLED} SELECT leader, pattern_type, occurrences, sessions, confidence, array_to_string(signals, ',') AS signals FROM lr"
 QUERIES["small_clusters"] = lambda s, d: duplicates.merged_small(staged(duplicates.labelled_records(c := _labelled(s, d), duplicates.labelled_clusters(c)), "clusters"), 4)
 ORACLE_SQL["small_clusters"] = f"""WITH RECURSIVE {LABELLED}, lq AS (SELECT x.leader, y.leader AS target, round({JACCARD.format("x.signals", "y.signals")}, 6) AS score FROM lr x JOIN lr y ON x.pattern_type = y.pattern_type AND x.occurrences < 4 AND y.occurrences >= 4),

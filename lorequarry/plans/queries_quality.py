@@ -77,11 +77,28 @@ ORACLE_SQL["cleanup_scan"] = f"""
     q AS (SELECT rule_id, round(greatest(0.0, 1.0 - CASE WHEN a THEN 0.15 ELSE 0 END - CASE WHEN b THEN 0.25 ELSE 0 END - CASE WHEN c THEN 0.2 ELSE 0 END - CASE WHEN d THEN 0.3 ELSE 0 END), 6)::DOUBLE AS score,
         array_to_string(list_filter([CASE WHEN a THEN 'low-keywords' END, CASE WHEN b THEN 'missing-scene' END, CASE WHEN c THEN 'weak-description' END, CASE WHEN d THEN 'low-confidence' END], lambda x: x IS NOT NULL), ',') AS issues FROM t)
     SELECT *, CASE WHEN score < 0.4 THEN 'delete' WHEN score < 0.7 THEN 'optimize' ELSE 'keep' END AS recommendation FROM q"""
-QUERIES["cleanup_optimized"] = lambda s, d: rules.optimised(a.rules(s, d), F.col("content"))
+
+
+def _bare_rules(s, d):
+    """Every third rule has one keyword, every fifth no scene, and some keywords stand for scenes."""
+    i = F.col("rule_id")
+    known = F.element_at(F.array(*map(F.lit, ["react", "SQL", "node", "bolt", "jwt"])), (i % 5 + 1).cast("int"))
+    words = F.when(i % 3 == 0, F.array(known)).when(i % 3 == 1, F.concat("keywords", F.array(known, F.lit("rust"), F.lit("xss")))).otherwise(F.col("keywords"))
+    return a.rules(s, d).withColumns({"keywords": words, "tech": F.when(i % 2 > 0, F.col("tech")), "functional": F.when(i % 2 > 0, F.col("functional"))})
+
+
+QUERIES["cleanup_optimized"] = lambda s, d: rules.optimised(_bare_rules(s, d), F.col("content"))
 ORACLE_SQL["cleanup_optimized"] = f"""
-    WITH {a.RULES}, f AS (SELECT rule_id, confidence, tech, functional, keywords, list_distinct(flatten([regexp_extract_all(lower(content), p) for p in ['\\b(?:api|database|sql|nosql|redis|mongodb|postgresql)\\b', '\\b(?:react|vue|angular|typescript|javascript|python|java|go|rust)\\b', '\\b(?:async|await|promise|callback|hook|memo|effect)\\b', '\\b(?:performance|optimization|cache|memory|speed)\\b', '\\b(?:security|auth|token|jwt|oauth|xss|csrf|injection)\\b', '\\b(?:test|testing|unit|integration|e2e|mock)\\b', '\\b(?:error|exception|validation|sanitize)\\b']])) AS found FROM rules),
-    k AS (SELECT *, len(list_distinct(list_concat(keywords, CASE WHEN len(keywords) < 3 THEN found ELSE [] END))) AS n FROM f)
-    SELECT rule_id, n AS keywords, CASE WHEN confidence < 0.7 AND n >= 3 AND (tech IS NOT NULL OR functional IS NOT NULL) THEN round(least(1.0, confidence + 0.1), 6) ELSE confidence END::DOUBLE AS confidence FROM k"""
+    WITH {a.RULES}, w AS (SELECT rule_id, content, confidence, rule_id % 2 = 0 AS bare, CASE rule_id % 3 WHEN 0 THEN [k] WHEN 1 THEN list_concat(keywords, [k, 'rust', 'xss']) ELSE keywords END AS keywords
+        FROM (SELECT *, ['react', 'SQL', 'node', 'bolt', 'jwt'][rule_id % 5 + 1] AS k FROM rules)),
+    f AS (SELECT *, list_slice(list_distinct(flatten([regexp_extract_all(lower(content), p) for p in ['\\b(?:react|vue|angular|typescript|javascript|python|java|go|rust)\\b', '\\b(?:api|database|sql|nosql|redis|mongodb|postgresql)\\b', '\\b(?:async|await|promise|callback|hook|memo|effect)\\b', '\\b(?:performance|optimization|cache|memory|speed)\\b', '\\b(?:security|auth|token|jwt|oauth|xss|csrf|injection)\\b', '\\b(?:test|testing|unit|integration|e2e|mock)\\b', '\\b(?:error|exception|validation|sanitize)\\b']])), 1, 10) AS found,
+        list_distinct(list_filter(list_transform(keywords, lambda k: map {{'react': 'react', 'vue': 'vue', 'angular': 'angular', 'typescript': 'typescript', 'javascript': 'javascript', 'python': 'python', 'java': 'java', 'go': 'go', 'rust': 'rust', 'node': 'nodejs', 'express': 'express', 'django': 'django', 'flask': 'flask'}}[lower(k)]), lambda x: x IS NOT NULL)) AS t,
+        list_distinct(list_filter(list_transform(keywords, lambda k: map {{'api': 'api', 'sql': 'database', 'jwt': 'auth', 'xss': 'security', 'redis': 'cache', 'test': 'testing', 'error': 'error-handling', 'performance': 'performance'}}[lower(k)]), lambda x: x IS NOT NULL)) AS fn FROM w),
+    n AS (SELECT rule_id, confidence, bare, len(keywords) < 2 AND len(list_distinct(list_concat(keywords, found))) > len(keywords) AS added, CASE WHEN bare AND len(t) > 0 THEN array_to_string(list_sort(t), ',') ELSE '' END AS t, CASE WHEN bare AND len(fn) > 0 THEN array_to_string(list_sort(fn), ',') ELSE '' END AS fn,
+        CASE WHEN len(keywords) < 2 AND len(list_distinct(list_concat(keywords, found))) > len(keywords) THEN len(list_distinct(list_concat(keywords, found))) ELSE len(keywords) END AS n FROM f),
+    b AS (SELECT *, confidence < 0.7 AND n >= 3 AND (NOT bare OR t <> '' OR fn <> '') AS boost FROM n)
+    SELECT rule_id, n AS keywords, concat_ws(',', nullif(t, ''), nullif(fn, '')) AS inferred, CASE WHEN boost THEN round(least(1.0, confidence + 0.1), 6) ELSE confidence END::DOUBLE AS confidence,
+        concat_ws(',', CASE WHEN added THEN 'keywords' END, CASE WHEN t <> '' OR fn <> '' THEN 'scenes' END, CASE WHEN boost THEN 'confidence' END) AS changes FROM b"""
 QUERIES["generated_structure"] = lambda s, d: a.table(s, d, "documents").select("doc_id", F.round(quality.structure(
     F.left("text", F.lit(120)), F.substring("text", 20, 60), F.split(F.left("text", F.lit(200)), "\\. ?"), F.substring("text", 1, 30), F.substring("text", 31, 30), F.concat(F.when(F.col("doc_id") % 2 == 0, "# head\n").otherwise(""), F.when(F.col("doc_id") % 3 == 0, "- item\n").otherwise(""), F.col("text"))), 6).alias("score"))
 ORACLE_SQL["generated_structure"] = """

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lorequarry.operators import near
+from lorequarry.operators import duplicates, graphs, near
 from lorequarry.plans import catalog, queries_near
 from lorequarry.staging import staged
 
@@ -43,7 +43,7 @@ def test_leaders_against_a_plain_loop(spark, most):
         pairs = {(a, b) for a in range(n) for b in range(a + 1, n) if rnd.random() < part}
         order = {i: rnd.randrange(5) for i in range(n)}
         nodes = spark.createDataFrame([(i, order[i]) for i in range(n)], "id long, seed long")
-        got = near.leader_clusters(nodes, spark.createDataFrame(sorted(pairs), "a long, b long"), ["seed"], most)
+        got = graphs.leader_clusters(nodes, spark.createDataFrame(sorted(pairs), "a long, b long"), ["seed"], most)
         want = plain_leaders(sorted(range(n), key=lambda i: (order[i], i)), lambda a, b: (min(a, b), max(a, b)) in pairs, most)
         assert {r["id"]: r["leader"] for r in got.collect()} == want
 
