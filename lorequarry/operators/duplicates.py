@@ -94,6 +94,35 @@ def alike_signals(signals: DataFrame, threshold: float = 0.8) -> DataFrame:
     return graphs.leader_clusters(signals.select(F.col("signal_id").alias("id")), pairs, []).withColumnRenamed("id", "signal_id")
 
 
+def pattern_pairs(patterns: DataFrame, least: float = 0.4) -> DataFrame:
+    """Pairs (a, b, similarity) of patterns of one type that are alike: .4 keywords + .3 words + .1 context + .2 for the type, at least `least`.
+
+    patterns: pattern_id, pattern_type, keywords (array), description, context. Words have three letters or more. Two
+    empty sets of keywords or words are alike; a context that is missing adds nothing. Candidates reach a
+    bound in one of the three (near.weighted).
+    """
+    none = F.array().cast("array<string>")
+    long_words = lambda c: near.hashed(F.filter(F.coalesce(text.words(F.col(c)), none), lambda w: F.length(w) >= 3))
+    known = F.coalesce("context", F.lit("")) != ""
+    sets = staged(patterns.select(
+        "pattern_type", F.col("pattern_id").alias("id"), near.or_nothing(near.hashed(F.coalesce("keywords", none))).alias("keywords"),
+        near.or_nothing(long_words("description")).alias("words"), F.when(known, near.or_nothing(long_words("context"))).otherwise(F.array().cast("array<long>")).alias("context"),
+    ), "pattern_sets")
+    found = near.weighted(sets, ["pattern_type"], {"keywords": 0.4, "words": 0.3, "context": 0.1}, least - 0.2)
+    side = lambda end: sets.select(F.col("id").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("keywords", "words", "context")))
+    both = found.join(side("a"), "a").join(side("b"), "b")
+    part = lambda c: text.jaccard(F.col(f"a_{c}"), F.col(f"b_{c}"))
+    score = F.round(alike.patterns_alike(part("keywords"), part("words"), F.lit(True), part("context")), 9)
+    return both.select("a", "b", score.alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def pattern_clusters(patterns: DataFrame, least: float = 0.4, most: int = 10) -> DataFrame:
+    """pattern_id, leader: in the order of confidence (largest first, then the smaller id) a pattern leads those like it that are free, `most` at most."""
+    pairs = staged(pattern_pairs(patterns, least).select("a", "b"), "pattern_pairs")
+    nodes = patterns.select(F.col("pattern_id").alias("id"), (-F.col("confidence")).alias("place"))
+    return graphs.leader_clusters(nodes, pairs, ["place"], most).withColumnRenamed("id", "pattern_id")
+
+
 def labelled_clusters(contents: DataFrame, threshold: float = 0.7) -> DataFrame:
     """content_id, leader of labelled contents (content_id, pattern_type, signals, length, confidence), in the order of ids.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import small
+from ..staging import small, staged
 from . import automaton
 
 #: What belongs to a word, and what stands between two, where texts and patterns meet on words.
@@ -23,26 +23,63 @@ def band_join(left: DataFrame, right: DataFrame, key: str, at_left: str, at_righ
     return a.join(b, [key, "_bucket"]).filter(F.abs(F.col(at_left) - F.col(at_right)) < width).drop("_bucket")
 
 
-def nearest_before_or_after(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, left_ts: str, right_ts: str) -> DataFrame:
+def nearest_before_or_after(left: DataFrame, right: DataFrame, key: str, left_id: str, right_id: str, left_ts: str, right_ts: str, parts: int | None = None) -> DataFrame:
     """For each left row the right row of the same key nearest in time; a tie goes to the smaller id.
 
-    Both sides are merged in one sort by key and time, where the nearest is the last one before or the first
-    one after, so the pairs of a key are never all made.
+    Both sides are laid out in ranges of key and time, so a key with most of the rows is many ranges (parts of them in all,
+    the session's shuffle partitions if not given). In a range the nearest is the last one before or the first one
+    after; what lies beyond a range comes from a small table of the ranges' ends, which holds the keys that reach
+    over several ranges only: a row for each such key and range, at most two for each range.
     """
     a = left.select(key, F.col(left_ts).alias("ts"), F.col(left_id).alias("lid"), F.lit(None).cast(dict(right.dtypes)[right_id]).alias("rid"))
     b = right.select(key, F.col(right_ts).alias("ts"), F.lit(None).cast(dict(left.dtypes)[left_id]).alias("lid"), F.col(right_id).alias("rid"))
-    mine = F.when(F.col("rid").isNotNull(), F.struct("ts", "rid"))
-    both = a.unionByName(b).withColumn("mine", mine)
-    # The smallest id of equal times stands nearest on either side.
-    before = Window.partitionBy(key).orderBy("ts", F.col("rid").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(key).orderBy(F.desc("ts"), F.col("rid").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = both.withColumn("p", F.last("mine", ignorenulls=True).over(before)).withColumn("n", F.last("mine", ignorenulls=True).over(after)).filter("lid IS NOT NULL")
-    away = lambda c: F.abs(F.unix_micros(F.col("ts")) - F.unix_micros(F.col(f"{c}.ts")))
-    best = F.least(
-        F.when(F.col("p").isNotNull(), F.struct(away("p").alias("away"), F.col("p.rid").alias("rid"))),
-        F.when(F.col("n").isNotNull(), F.struct(away("n").alias("away"), F.col("n.rid").alias("rid"))),
-    )
-    return seen.withColumn("best", best).filter("best IS NOT NULL").select(key, F.col("lid").alias(left_id), F.col("best.rid").alias(right_id), F.col("best.away").alias("micros_away"))
+    both = a.unionByName(b).filter(F.col(key).isNotNull() & F.col("ts").isNotNull()).withColumn("mine", F.when(F.col("rid").isNotNull(), F.struct("ts", "rid")))
+    parts = parts or int(both.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # The smallest id of equal times stands nearest on either side. The left id parts many rows of one time.
+    last_first = F.col("rid").desc_nulls_last()
+    placed = staged(both.repartitionByRange(parts, key, "ts", last_first, "lid").withColumn("_part", F.spark_partition_id()), "time_ranges")
+    before = Window.partitionBy(key, "_part").orderBy("ts", last_first).rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(key, "_part").orderBy(F.desc("ts"), last_first).rowsBetween(Window.unboundedPreceding, 0)
+    seen = placed.withColumn("p", F.last("mine", ignorenulls=True).over(before)).withColumn("n", F.last("mine", ignorenulls=True).over(after)).filter("lid IS NOT NULL")
+
+    split = placed.groupBy(key).agg(F.min("_part").alias("lo"), F.max("_part").alias("hi")).filter("lo < hi").select(key)
+    micros = F.unix_micros(F.col("ts"))
+    ends = placed.join(F.broadcast(split), key).groupBy(key, "_part").agg(F.min_by("mine", F.when(F.col("rid").isNotNull(), F.struct(-micros, F.col("rid")))).alias("end"), F.min_by("mine", F.when(F.col("rid").isNotNull(), F.struct(micros, F.col("rid")))).alias("start"))
+    order = Window.partitionBy(key).orderBy("_part")
+    carried = staged(ends.select(
+        key, "_part", F.last("end", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("cp"), F.first("start", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)).alias("cn"),
+    ), "range_ends")
+    # Equal times may stand on both sides of a range's border, so what is carried competes with what the range has.
+    seen = seen.join(F.broadcast(carried), [key, "_part"], "left")
+    away = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.unix_micros(F.col("ts")) - F.unix_micros(F.col(f"{c}.ts"))).alias("away"), F.col(f"{c}.rid").alias("rid")))
+    seen = seen.withColumn("best", F.least(away("p"), away("n"), away("cp"), away("cn"))).filter("best IS NOT NULL")
+    return seen.select(key, F.col("lid").alias(left_id), F.col("best.rid").alias(right_id), F.col("best.away").alias("micros_away"))
+
+
+def edits_around(corrections: DataFrame, calls: DataFrame, results: DataFrame, reach: int = 10, within: int = 5) -> DataFrame:
+    """What a file held before a correction and what it was changed to: session_id, line_number, file_name, before, after.
+
+    corrections: session_id, line_number, context, which names a file; those that name none are left out. calls: session_id, line_number, tool_name,
+    file_path, call_id, content. results: session_id, line_number, call_id, content.
+    before: of the Read calls in the `reach` lines before whose path holds the file's name, the result (its content) of the
+    nearest that has one within `within` lines; after: the content of the first Edit or Write of the file in
+    the `reach` lines from the correction on. Several calls of a line count by their call_id, then by their content, results of one call by their line and content.
+
+    The three kinds of events meet in buckets of lines of a session, so a long session is many tasks and events that are far apart never meet.
+    """
+    named = corrections.select("session_id", "line_number", F.regexp_extract("context", r"([a-zA-Z0-9_-]+\.[a-zA-Z]+)", 1).alias("file_name")).filter("file_name <> ''").distinct()
+    named = staged(named, "corrections")
+    reads, edits = calls.filter("tool_name = 'Read'"), calls.filter("tool_name IN ('Edit', 'Write')")
+    ends = lambda rows, line, *more: rows.select("session_id", F.col("line_number").alias(line), *more)
+    gave = band_join(ends(reads, "read_line", "call_id", "file_path"), ends(results, "result_line", F.col("call_id").alias("result_call"), "content"), "session_id", "read_line", "result_line", within + 1)
+    gave = gave.filter("call_id = result_call and result_line > read_line").groupBy("session_id", "read_line", "call_id", "file_path").agg(F.min_by("content", F.struct("result_line", "content")).alias("held"))
+    seen = band_join(named, gave, "session_id", "line_number", "read_line", reach + 1).filter(F.col("read_line").between(F.col("line_number") - reach, F.col("line_number") - 1) & F.col("file_path").contains(F.col("file_name")))
+    key = ["session_id", "line_number", "file_name"]
+    before = seen.groupBy(*key).agg(F.min_by("held", F.struct(-F.col("read_line"), F.col("call_id"), F.col("held"))).alias("before"))
+    made = band_join(named, ends(edits, "edit_line", "call_id", "file_path", "content"), "session_id", "line_number", "edit_line", reach)
+    made = made.filter((F.col("edit_line") >= F.col("line_number")) & F.col("file_path").contains(F.col("file_name")))
+    after = made.groupBy(*key).agg(F.min_by("content", F.struct("edit_line", "call_id", "content")).alias("after"))
+    return named.join(before, key, "left").join(after, key, "left")
 
 
 def dictionary_matches(messages: DataFrame, signals: DataFrame, key: list[str], content: str) -> DataFrame:

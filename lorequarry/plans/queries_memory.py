@@ -77,6 +77,29 @@ def _nearest(s, d):
     return joins.nearest_before_or_after(left, e.filter("event_type = 'click'").select("user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("rts")), "user_id", "error_id", "click_id", "lts", "rts")
 
 
+
+
+def _edits(s, d):
+    """Lines of orders as three kinds of events in a session, three lines apart: corrections, calls of tools, and what the calls gave."""
+    row = a.table(s, d, "lineitem").select(F.col("l_orderkey").alias("session_id"), (F.col("l_linenumber") * 3).alias("line_number"), "l_partkey", "l_suppkey", "l_returnflag", F.col("l_quantity").cast("string").alias("content"))
+    name = F.concat(F.lit("f"), (F.col("l_partkey") % 2).cast("string"), F.lit(".ts"))
+    said = row.filter("l_returnflag = 'R'").select("session_id", "line_number", F.concat(F.lit("wrong in "), name).alias("context"))
+    tool = F.element_at(F.array(*map(F.lit, ["Read", "Edit", "Write", "Read"])), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    call = F.concat(F.lit("c"), (F.col("l_suppkey") % 2).cast("string"))
+    calls = row.select("session_id", "line_number", tool.alias("tool_name"), F.concat(F.lit("/src/"), name).alias("file_path"), call.alias("call_id"), "content")
+    return said, calls, row.select("session_id", (F.col("line_number") + 1).alias("line_number"), F.concat(F.lit("c"), (F.col("l_partkey") % 2).cast("string")).alias("call_id"), "content")
+
+
+QUERIES["correction_edits"] = lambda s, d: joins.edits_around(*_edits(s, d))
+ORACLE_SQL["correction_edits"] = """
+    WITH r AS (SELECT l_orderkey AS session_id, l_linenumber * 3 AS line_number, l_partkey, l_suppkey, l_returnflag, CAST(l_quantity AS VARCHAR) AS content, 'f' || (l_partkey % 2) || '.ts' AS name FROM lineitem),
+    c AS (SELECT DISTINCT session_id, line_number, name AS file_name FROM r WHERE l_returnflag = 'R'),
+    t AS (SELECT session_id, line_number, ['Read', 'Edit', 'Write', 'Read'][l_suppkey % 4 + 1] AS tool, '/src/' || name AS path, 'c' || (l_suppkey % 2) AS call_id, content FROM r),
+    g AS (SELECT session_id, line_number + 1 AS line_number, 'c' || (l_partkey % 2) AS call_id, content FROM r),
+    gave AS (SELECT t.session_id, t.line_number, t.call_id, t.path, arg_min(g.content, (g.line_number, g.content)) AS held FROM t JOIN g ON g.session_id = t.session_id AND g.call_id = t.call_id AND g.line_number > t.line_number AND g.line_number <= t.line_number + 5 WHERE tool = 'Read' GROUP BY ALL),
+    b AS (SELECT c.*, arg_min(held, (-x.line_number, x.call_id, held)) AS before FROM c JOIN gave x ON x.session_id = c.session_id AND x.line_number BETWEEN c.line_number - 10 AND c.line_number - 1 AND contains(x.path, c.file_name) GROUP BY ALL),
+    e AS (SELECT c.*, arg_min(t.content, (t.line_number, t.call_id, t.content)) AS after FROM c JOIN t ON t.session_id = c.session_id AND t.line_number BETWEEN c.line_number AND c.line_number + 9 AND contains(t.path, c.file_name) WHERE tool <> 'Read' GROUP BY ALL)
+    SELECT c.session_id, c.line_number, c.file_name, before, after FROM c LEFT JOIN b USING (session_id, line_number, file_name) LEFT JOIN e USING (session_id, line_number, file_name)"""
 QUERIES["nearest_event"] = _nearest
 ORACLE_SQL["nearest_event"] = """
     WITH p AS (SELECT l.user_id, l.event_id AS error_id, r.event_id AS click_id, abs(epoch_us(l.ts) - epoch_us(r.ts)) AS micros_away

@@ -160,6 +160,24 @@ ORACLE_SQL["merge_proposals"] = f"""
     SELECT topic, g.rules, confidence, round(similarity, 6) AS similarity, coalesce(CASE WHEN len(p) > 1 THEN array_to_string(list_transform(p, lambda x: '- ' || x), chr(10)) ELSE array_to_string(p, '. ') END, '') AS content
     FROM g JOIN p USING (topic) LEFT JOIN u USING (topic) WHERE g.rules > 1 AND round(similarity, 6) >= 0.25"""
 
+
+
+def _patterns(s, d):
+    return a.rules(s, d).select(F.col("rule_id").alias("pattern_id"), F.col("kind").alias("pattern_type"), F.when(F.col("rule_id") % 9 > 0, F.col("keywords")).otherwise(F.array().cast("array<string>")).alias("keywords"), F.col("content").alias("description"), F.when(F.col("rule_id") % 4 > 0, F.concat_ws(" ", "tech", "business")).alias("context"), "confidence")
+
+
+QUERIES["pattern_pairs"] = lambda s, d: duplicates.pattern_pairs(_patterns(s, d), 0.7).withColumn("similarity", F.round("similarity", 6))
+ORACLE_SQL["pattern_pairs"] = f"""
+    WITH {a.RULES}, x AS (SELECT rule_id, kind, CASE WHEN rule_id % 9 > 0 THEN list_distinct(keywords) ELSE [] END AS k, list_distinct(list_filter({a.words_sql("content")}, lambda w: length(w) >= 3)) AS w,
+        rule_id % 4 > 0 AS known, list_distinct(list_filter({a.words_sql("tech || ' ' || business")}, lambda w: length(w) >= 3)) AS c FROM rules),
+    p AS (SELECT x.rule_id AS a, y.rule_id AS b, round(0.4 * CASE WHEN len(x.k) + len(y.k) = 0 THEN 1 WHEN len(x.k) * len(y.k) = 0 THEN 0 ELSE {JACCARD.format("x.k", "y.k")} END
+            + 0.3 * CASE WHEN len(x.w) + len(y.w) = 0 THEN 1 WHEN len(x.w) * len(y.w) = 0 THEN 0 ELSE {JACCARD.format("x.w", "y.w")} END
+            + CASE WHEN x.known AND y.known THEN 0.1 * {JACCARD.format("x.c", "y.c")} ELSE 0 END + 0.2, 9)::DOUBLE AS s
+        FROM x JOIN x y ON x.kind = y.kind AND x.rule_id < y.rule_id)
+    SELECT a, b, round(s, 6) AS similarity FROM p WHERE s >= 0.7"""
+# Clusters of ten at most, by confidence: tests hold them against a loop.
+QUERIES["pattern_clusters"] = lambda s, d: duplicates.pattern_clusters(_patterns(s, d))
+
 # ---------------------------------------------------------------- conflicts
 QUERIES["contradicting_rules"] = lambda s, d: conflicts.contradictions(a.rules(s, d)).withColumn("pair", F.col("pair").cast("long"))
 _CLAIMS = [

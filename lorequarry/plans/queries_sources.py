@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..sources import stores, transcripts
+from ..staging import scratch
 from . import adapters as a
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -77,3 +80,19 @@ ORACLE_SQL["next_rule_id"] = f"WITH {a.RULES} SELECT 'rule-' || CAST(max(rule_id
 QUERIES["rule_export"] = lambda s, d: stores.exported(a.rules(s, d), "kind").withColumn("place", F.col("place").cast("long"))
 ORACLE_SQL["rule_export"] = f"""WITH {a.RULES} SELECT DISTINCT kind AS "group", 0::BIGINT AS place, '## ' || kind AS line FROM rules
     UNION ALL SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY confidence DESC, rule_id), '- ' || content || ' (' || printf('%.2f', confidence) || ')' FROM rules"""
+
+
+def _written_lines(s, d):
+    """The conversations written as one file of lines for each format, and read back in small splits with their numbers."""
+    folder = f"{scratch(s)}/lines-{uuid.uuid4().hex[:12]}"
+    m = a.messages(s, d).withColumn("part", F.col("session_id") % 4)
+    row = F.to_json(F.struct("session_id", "line_number", "content"))
+    m.repartition(4, "part").sortWithinPartitions("part", "session_id", "line_number").select(row.alias("value"), "part").write.partitionBy("part").text(folder)
+    return transcripts.numbered(s, folder, "*")
+
+
+QUERIES["numbered_lines"] = lambda s, d: (
+    _written_lines(s, d).select("line_number", F.from_json("line", "session_id long, line_number long, content string").alias("m"))
+    .select(F.col("m.session_id").alias("session_id"), F.col("m.line_number").alias("turn"), "line_number", F.length("m.content").cast("long").alias("characters"))
+)
+ORACLE_SQL["numbered_lines"] = "SELECT conv_id AS session_id, turn + 1 AS turn, row_number() OVER (PARTITION BY conv_id % 4 ORDER BY conv_id, turn) AS line_number, length(text) AS characters FROM conversations"

@@ -5,9 +5,15 @@ Line numbers are those of the file; a bad line is skipped. JSON is read as VARIA
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..staging import small, staged
+
 # Wrapper blocks that stand before a user's own words.
 WRAPPERS = ["environment_context", "user_instructions", "system-reminder", "command-message", "command-name", "local-command-stdout"]
 
@@ -15,12 +21,37 @@ WRAPPERS = ["environment_context", "user_instructions", "system-reminder", "comm
 def raw_lines(spark: SparkSession, path: str, glob: str = "*.json*") -> DataFrame:
     """path, session_id, line_number (from 1), line, record (VARIANT, null for a bad line) of all files below a folder.
 
-    A file is read in splits, however large it is; its lines are numbered in the order of the splits.
+    A file is read in splits, however large it is. A task numbers the lines of a split, and the lines of the
+    splits before it in its file, of which there is one number each, are added.
     """
+    return parsed(numbered(spark, path, glob))
+
+
+def numbered(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """path, line_number, line of all lines, empty ones too. No lines move: the splits are counted in a scan of their own."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    placed = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    number = F.row_number().over(Window.partitionBy("path").orderBy("block", "at"))
-    return parsed(placed.select("path", number.alias("line_number"), "line"))
+    placed = files.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, n = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names, starts = batch.column("path").dictionary_encode(), batch.column("block").to_numpy()
+            code = names.indices.to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], (code[1:] != code[:-1]) | (starts[1:] != starts[:-1])]))
+            place = np.arange(batch.num_rows) - np.repeat(first, np.diff(np.append(first, batch.num_rows)))
+            head = (names.dictionary[code[0]].as_py(), int(starts[0]))
+            if head == split:
+                place[: first[1] if len(first) > 1 else None] += n
+            split, n = (names.dictionary[code[-1]].as_py(), int(starts[-1])), int(place[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(place + 1)], [*batch.schema.names, "nth"])
+
+    splits = staged(placed.groupBy("path", "block").agg(F.count("*").alias("lines")), "splits")
+    order = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = splits.select("path", "block", F.coalesce(F.sum("lines").over(order), F.lit(0)).alias("before"))
+    each = placed.mapInArrow(number, "path string, block long, line string, nth long")
+    return each.join(small(before), ["path", "block"]).select("path", (F.col("before") + F.col("nth")).alias("line_number"), "line")
 
 
 def parsed(lines: DataFrame) -> DataFrame:

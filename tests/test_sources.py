@@ -78,6 +78,7 @@ def test_profile_stream_equals_the_batch(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "value")
     events.write.mode("overwrite").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    incremental.use_state_store(spark)
     query = incremental.running_profiles(stream).writeStream.outputMode("update").format("memory").queryName("profiles").option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()
     query.stop()
