@@ -40,17 +40,17 @@ def _automaton(name: str, words: list[str]) -> ahocorasick.Automaton:
     return _built[name]
 
 
-def _scan(messages: DataFrame, signals: DataFrame, key: list[str], content: str, more: list[T.StructField], find) -> DataFrame:
+def _scan(messages: DataFrame, signals: DataFrame, key: list[str], content: str, more: list[T.StructField], find, fold=F.lower) -> DataFrame:
     """key and the signals' columns but text, with what `find` adds for a text: rows of (place in the dictionary, values of more)."""
-    texts = messages.select(*key, F.coalesce(F.col(content), F.lit("")).alias("_text"), F.lower(F.coalesce(F.col(content), F.lit(""))).alias("_lower"))
-    known = signals.filter("text is not null").select(F.lower("text").alias("_word"), *(c for c in signals.columns if c != "text"))
+    texts = messages.select(*key, F.coalesce(F.col(content), F.lit("")).alias("__lq_text"), fold(F.coalesce(F.col(content), F.lit(""))).alias("__lq_lower"))
+    known = signals.filter("text is not null").select(fold(F.col("text")).alias("__lq_word"), *(c for c in signals.columns if c != "text"))
     carried = known.columns[1:]
     schema = T.StructType([*(messages.schema[k] for k in key), *(signals.schema[c] for c in carried), *more])
-    size = known.agg(F.coalesce(F.sum(F.octet_length("_word") + 64), F.lit(0))).first()[0]
+    size = known.agg(F.coalesce(F.sum(F.octet_length("__lq_word") + 64), F.lit(0))).first()[0]
     parts = max(1, -(-size // BROADCAST_BYTES))
 
     def one(part: int) -> DataFrame:
-        own = known if parts == 1 else known.filter(F.pmod(F.xxhash64("_word"), F.lit(parts)) == part)
+        own = known if parts == 1 else known.filter(F.pmod(F.xxhash64("__lq_word"), F.lit(parts)) == part)
         name, table = uuid.uuid4().hex, messages.sparkSession.sparkContext.broadcast(own.toArrow())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,11 +60,12 @@ def _scan(messages: DataFrame, signals: DataFrame, key: list[str], content: str,
             def made(batch: pa.RecordBatch, rows: list[int], slots: list[int], values: list[tuple]) -> pa.RecordBatch:
                 at, slot = pa.array(rows, pa.int64()), pa.array(slots, pa.int64())
                 columns = [batch.column(k).take(at) for k in key] + [words.column(c).combine_chunks().take(slot) for c in carried]
-                return pa.RecordBatch.from_arrays([*columns, *(pa.array(v) for v in zip(*values, strict=True))], schema.names)
+                own = zip(*values, strict=True) if more else ()
+                return pa.RecordBatch.from_arrays([*columns, *map(pa.array, own)], schema.names)
 
             for batch in batches:
                 rows, slots, values = [], [], []
-                for i, (text, lower) in enumerate(zip(batch.column("_text"), batch.column("_lower"), strict=True)):
+                for i, (text, lower) in enumerate(zip(batch.column("__lq_text"), batch.column("__lq_lower"), strict=True)):
                     if not len(auto):
                         break
                     for slot, value in find(auto, text.as_py(), lower.as_py()):
@@ -112,3 +113,16 @@ def counts(messages: DataFrame, signals: DataFrame, key: list[str], content: str
             yield slot, (n,)
 
     return _scan(messages, signals, key, content, [T.StructField("hits", T.LongType())], find)
+
+
+def containing(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
+    """All pairs of a text and a pattern that it contains, each once and by its very case: the columns of both sides. Empty and null patterns are in no pair."""
+
+    def find(auto: ahocorasick.Automaton, text: str, lower: str) -> Iterator[tuple]:
+        for slot in sorted({s for _, (_, slots) in auto.iter(lower) for s in slots}):
+            yield slot, ()
+
+    named = patterns.withColumnRenamed(pattern, "text").withColumn("__lq_own", F.col("text"))
+    met = _scan(texts.filter(F.col(text).isNotNull()), named.filter("text <> ''"), texts.columns, text, [], find, lambda c: c)
+    back = lambda df: df.withColumnRenamed("__lq_own", pattern).select(*texts.columns, *patterns.columns)
+    return back(met)

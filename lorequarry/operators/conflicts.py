@@ -109,6 +109,35 @@ def memory_conflicts(memories: DataFrame, opposing=OPPOSING, contrastive=()) ->
     return both.filter(alike & opposed(F.col("a_stances"), F.col("b_stances"))).select("a", "b", (F.coalesce(F.col("a_project") == F.col("b_project"), F.lit(True))).alias("same_project"))
 
 
+def merged_evidence(decisions: DataFrame, new: DataFrame, old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The old memories that decisions (new_id, old_id, decision) of UPDATE add to, and their evidence.
+
+    Memories have memory_id, confidence, importance, strength, support, validations, contradictions, updated_at, and the arrays keywords, session_ids, projects.
+    Records: memory_id, the largest confidence and importance, the sums of strength, support, validations and
+    contradictions, how many distinct sessions and projects stand behind it, and the newest time of what was added. Evidence: memory_id, kind (keyword,
+    session, project), value, each once. Several new memories of one old are added together; what a memory is backed by
+    stays rows, so one with much evidence is no large value.
+    """
+    updates = decisions.filter("decision = 'UPDATE'").select(F.col("new_id").alias("memory_id"), F.col("old_id").alias("into"))
+    touched = updates.select(F.col("into").alias("memory_id")).distinct()
+    counts = ["confidence", "importance", "strength", "support", "validations", "contradictions"]
+    arrays = {"keyword": "keywords", "session": "session_ids", "project": "projects"}
+    own = old.join(touched, "memory_id", "left_semi").select(F.col("memory_id").alias("into"), *counts, F.lit(None).cast(dict(new.dtypes)["updated_at"]).alias("updated_at"), *arrays.values())
+    added = new.join(updates, "memory_id").select("into", *counts, "updated_at", *arrays.values())
+    both = own.unionByName(added)
+
+    def kinds(kind: str) -> Column:
+        return F.transform(F.coalesce(arrays[kind], F.array().cast("array<string>")), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("value")))
+
+    pieces = F.flatten(F.array(*map(kinds, arrays)))
+    evidence = both.select(F.col("into").alias("memory_id"), F.explode(pieces).alias("e")).select("memory_id", "e.kind", "e.value").filter("value is not null").distinct()
+    backed = evidence.groupBy("memory_id").agg(*(F.count_if(F.col("kind") == k).alias(f"{k}s") for k in arrays))
+    records = both.groupBy(F.col("into").alias("memory_id")).agg(
+        F.max("confidence").alias("confidence"), F.max("importance").alias("importance"), *(F.sum(c).alias(c) for c in counts[2:]), F.max("updated_at").alias("updated_at"),
+    )
+    return records.join(backed, "memory_id", "left").na.fill(0, [f"{k}s" for k in arrays]), evidence
+
+
 def consolidation(new: DataFrame, old: DataFrame, match: float = 0.55, merge: float = 0.90) -> DataFrame:
     """Decision for each new memory against the best old one of its kind and project: new_id, old_id, score, reason, decision.
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scoring, text
 from ..functions import similarity as alike
-from ..functions import text
 from ..staging import staged
 from . import graphs, near
 
@@ -57,14 +57,23 @@ def duplicate_groups(rules: DataFrame, least: float = 0.75) -> DataFrame:
     return known.join(led, known["class_id"] == led["id"]).select("class_id", "leader", "members")
 
 
-def merged_rules(rules: DataFrame, groups: DataFrame) -> DataFrame:
-    """A row for each group: leader, members, all keywords, the mean confidence and .05 where several are merged, 1 at most."""
+def merged_rules(rules: DataFrame, groups: DataFrame, most: int = 5) -> DataFrame:
+    """A row for each group: leader, members, all keywords, the mean confidence and .05 where several are merged, 1 at most.
+
+    Where rules have examples (an array), the group has the first `most` distinct ones, in the order of ids and places.
+    """
     member = groups.select("leader", F.explode("members").alias("rule_id"))
     own = member.join(rules.select("rule_id", "confidence", F.explode_outer("keywords").alias("word")), "rule_id")
     words = own.select("leader", "word").distinct().groupBy("leader").agg(F.array_join(F.array_sort(F.collect_list("word")), " ").alias("keywords"))
     mean = member.join(rules.select("rule_id", "confidence"), "rule_id").groupBy("leader").agg(F.count("*").alias("members"), F.avg("confidence").alias("mean"))
     boosted = F.when(F.col("members") > 1, F.least(F.lit(1.0), F.col("mean") + 0.05)).otherwise(F.col("mean"))
-    return mean.join(words, "leader").select("leader", "members", F.round(boosted, 6).alias("confidence"), "keywords")
+    found = mean.join(words, "leader").select("leader", "members", F.round(boosted, 6).alias("confidence"), "keywords")
+    if "examples" not in rules.columns:
+        return found
+    each = member.join(rules.select("rule_id", F.posexplode("examples").alias("at", "example")), "rule_id").groupBy("leader", "example").agg(F.min(F.struct("rule_id", "at")).alias("first"))
+    rank = F.row_number().over(Window.partitionBy("leader").orderBy("first", "example"))
+    kept = each.withColumn("k", rank).filter(F.col("k") <= most).groupBy("leader").agg(F.array_sort(F.collect_list(F.struct("k", "example"))).alias("v"))
+    return found.join(kept, "leader", "left").withColumn("examples", F.coalesce(F.col("v.example"), F.array().cast("array<string>"))).drop("v")
 
 
 def merge_proposal(rules: DataFrame, group: str, least: float = 0.25) -> DataFrame:
@@ -190,6 +199,18 @@ def merged_memories(memories: DataFrame, clusters: DataFrame) -> DataFrame:
     )
 
 
+def promoted_clusters(memories: DataFrame, clusters: DataFrame) -> DataFrame:
+    """memory_id, leader, score of the members that become rules with their cluster: those not promoted yet, of clusters whose merged record is promotable.
+
+    memories: active procedural ones; the record has the counts of merged_memories, and its representative's class.
+    """
+    records = merged_memories(memories, clusters).join(memories.select(F.col("memory_id").alias("representative"), "kind", "info_class"), "representative")
+    score = F.round(scoring.promotion_score(F.col("confidence"), F.col("sessions"), F.col("projects"), F.col("validations"), F.col("strength"), F.col("contradictions")), 6)
+    good = records.select("leader", score.alias("score"), "kind", "info_class", "contradictions").filter(scoring.promotable(F.col("score"), F.col("kind"), F.col("info_class"), F.col("contradictions")))
+    open_ones = memories.filter(~F.col("state").eqNullSafe("promoted")).select("memory_id")
+    return clusters.join(good.select("leader", "score"), "leader").join(open_ones, "memory_id").select("memory_id", "leader", "score")
+
+
 def absorbed(clusters: DataFrame, threshold: float = 0.65) -> DataFrame:
     """leader, keeper: clusters (leader, pattern_type, description, members) that a larger one of another type takes over, by their descriptions' words.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import small, staged
+from ..staging import fits, small, staged
 from . import automaton
 
 #: What belongs to a word, and what stands between two, where texts and patterns meet on words.
@@ -108,27 +108,36 @@ def prefix_either_way(segments: DataFrame, request: DataFrame) -> DataFrame:
 
 
 def containing(texts: DataFrame, text: str, patterns: DataFrame, pattern: str) -> DataFrame:
-    """All pairs of a text and a pattern that it contains: the columns of both sides.
+    """All pairs of a text and a pattern that it contains: the columns of both sides. Empty and null patterns are in no pair.
 
-    A word inside the pattern, between two others, stands as a whole word in every text that contains it, so
-    texts meet patterns on the longest such word. Patterns without one, which are short, meet all texts.
+    Patterns that may be broadcast are looked for by an automaton in one pass over each text. Of more patterns, a
+    word inside the pattern, between two others, stands as a whole word in every text that contains it, so
+    texts meet them on the longest such word, and those without one by the automaton.
     """
+    if fits(patterns.select(pattern)):
+        return automaton.containing(texts, text, patterns, pattern)
     cut = F.regexp_replace(F.regexp_replace(pattern, rf"^{WORD}*", ""), rf"{WORD}*$", "")
     whole = F.array_sort(F.filter(F.split(cut, WORD_EDGE), lambda w: w != ""), lambda a, b: F.length(b) - F.length(a))
     anchored = patterns.withColumn("_anchor", F.get(whole, F.lit(0)))
     has, short = anchored.filter("_anchor is not null"), anchored.filter("_anchor is null").drop("_anchor")
     words = texts.withColumn("_anchor", F.explode(F.array_distinct(F.split(F.col(text), WORD_EDGE))))
     met = words.join(small(has), "_anchor").filter(F.col(text).contains(F.col(pattern))).drop("_anchor")
-    return met.unionByName(texts.join(small(short), F.col(text).contains(F.col(pattern))))
+    return met.unionByName(automaton.containing(texts, text, short, pattern).select(met.columns))
 
 
 def uncovered(patterns: DataFrame, rules: DataFrame, ident: str, width: int = 40) -> DataFrame:
-    """Patterns (ident, pattern) whose first `width` characters stand in no rule_text and which hold no rule's first ones."""
+    """Patterns (ident, pattern) whose first `width` characters stand in no rule_text and which hold no rule's first ones.
+
+    An empty pattern stands in every rule's text, and an empty rule's text covers every pattern; a null one covers none.
+    """
     p, r = F.lower(F.col("pattern")), F.lower(F.col("rule_text"))
-    texts = patterns.select(ident, p.alias("_text"))
-    heads = rules.select(F.left(r, F.lit(width)).alias("_head")).distinct()
+    texts, said = patterns.select(ident, p.alias("_text")), rules.filter("rule_text is not null")
+    heads = said.select(F.left(r, F.lit(width)).alias("_head")).distinct()
     own = patterns.select(ident, F.left(p, F.lit(width)).alias("_head"))
-    covered = containing(texts, "_text", heads, "_head").select(ident).union(containing(rules.select(r.alias("_text")).distinct(), "_text", own, "_head").select(ident))
+    covered = containing(texts, "_text", heads, "_head").select(ident).union(containing(said.select(r.alias("_text")).distinct(), "_text", own, "_head").select(ident))
+    lengths = said.agg(F.min(F.length("rule_text"))).first()[0]
+    if lengths is not None:
+        covered = covered.union(texts.filter("_text is not null" if lengths == 0 else "_text = ''").select(ident))
     return patterns.join(covered.distinct(), ident, "left_anti")
 
 

@@ -286,12 +286,23 @@ def keywords_of(content: Column, stop: list[str], most: int = 20) -> Column:
     return F.slice(F.array_distinct(F.filter(parts, lambda w: (F.length(w) >= 2) & ~w.isin(stop) & ~w.rlike(r"^\d+$"))), 1, most)
 
 
-def orphan_action(state: Column, mode: str) -> Column:
-    """What to do with a rule by its reference state: report lists, archive puts away the wholly orphaned, fix also drops dead references."""
-    if mode == "report":
+def orphan_action(state: Column, mode: str, listed: Column | None = None, dry_run: bool = False) -> Column:
+    """What is done with a rule by its reference state: report lists, archive puts away the wholly orphaned, fix drops dead references of the others.
+
+    listed: whether a rule is on the whitelist, which leaves it as it is (skip). A dry run only reports.
+    """
+    if mode == "report" or dry_run:
         return F.when(state.isin("fully_orphaned", "partially_orphaned"), "report").otherwise("keep")
-    partial = "drop_references" if mode == "fix" else "keep"
-    return F.when(state == "fully_orphaned", "archive").when(state == "partially_orphaned", partial).otherwise("keep")
+    done = F.when(state == "fully_orphaned", "archive") if mode == "archive" else F.when(state == "partially_orphaned", "drop_references")
+    skipped = F.when((state != "no_references") & (F.lit(False) if listed is None else listed), "skip")
+    return F.coalesce(skipped, done, F.lit("keep"))
+
+
+def cleaned_references(rules: DataFrame, memories: DataFrame, state: Column) -> DataFrame:
+    """rule_id, sources of the rules (rule_id, sources, state by `state`) after fix: what is dead goes from the partially orphaned ones."""
+    each = rules.filter(state == "partially_orphaned").select("rule_id", F.explode("sources").alias("memory_id"))
+    live = each.join(memories.select("memory_id").distinct(), "memory_id", "left_semi").groupBy("rule_id").agg(F.array_sort(F.collect_set("memory_id")).alias("live"))
+    return rules.join(live, "rule_id", "left").select("rule_id", F.coalesce("live", F.array_sort(F.array_distinct("sources"))).alias("sources"))
 
 
 

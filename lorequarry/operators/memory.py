@@ -36,10 +36,14 @@ def rolled_back(versions: DataFrame, key: str, to: int) -> DataFrame:
 
 
 def decay(memories: DataFrame, now: Column, stale_days: int = 180) -> DataFrame:
-    """memory_id, action of the memories that age out."""
+    """memory_id, action of the memories that age out.
+
+    conflict_with (what a memory contradicts), expires_at and last_recalled_at count where the memories have them.
+    """
+    own = lambda name, kind: F.col(name) if name in memories.columns else F.lit(None).cast(kind)
     action = scoring.decay_action(
-        F.col("status"), F.col("state"), F.lit(False), F.lit(None).cast("timestamp"), F.col("created_at"), F.col("ttl_days"),
-        F.col("info_class"), F.col("recalls"), F.lit(None).cast("timestamp"), now, stale_days,
+        F.col("status"), F.col("state"), own("conflict_with", "string").isNotNull(), own("expires_at", "timestamp"), F.col("created_at"), F.col("ttl_days"),
+        F.col("info_class"), F.col("recalls"), own("last_recalled_at", "timestamp"), now, stale_days,
     )
     return memories.select("memory_id", action.alias("action")).filter("action IS NOT NULL")
 

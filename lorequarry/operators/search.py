@@ -56,6 +56,31 @@ def rules_by_scene(rules: DataFrame, scene: list[tuple[str, str]]) -> DataFrame:
     return index.join(F.broadcast(request), ["dimension", "value"]).groupBy("rule_id").agg(F.countDistinct("value").alias("match_count"))
 
 
+#: What an organisation's rule may be bound to.
+BINDINGS = ("organization_id", "team_id", "repository", "branch")
+
+
+def in_scope_of(scopes: list[str], project: str | None, **context: str | None) -> Column:
+    """in_scope, where rules without a scope are global and an organisation's rule asks for what it is bound to.
+
+    context: organization_id, team_id, repository, branch of the asker; a rule that has one of them (a column of that
+    name) is shown where the asker has the same. No scopes: all are wanted, whatever they are bound to.
+    """
+    scope = F.coalesce(F.col("scope"), F.lit("global"))
+    visible = F.col("status").isNull() | ~F.col("status").isin("deprecated", "disabled", "archived")
+    if not scopes:
+        return visible
+    bound = F.lit(True)
+    for name in BINDINGS:
+        own = F.coalesce(F.col(name), F.lit(""))
+        bound = bound & ((own == "") | (own == F.lit(context.get(name) or "")))
+    theirs = text.path_key(F.col("project_path"))
+    mine = F.lit((project or "").replace("\\", "/").rstrip("/").lower())
+    related = (mine == theirs) | mine.startswith(F.concat(theirs, F.lit("/"))) | theirs.startswith(F.concat(mine, F.lit("/")))
+    near = F.lit(bool(project)) & F.col("project_path").isNotNull() & related
+    return visible & scope.isin(scopes) & F.coalesce(F.when(scope == "project", near).when(scope == "organization", bound).otherwise(True), F.lit(False))
+
+
 def in_scope(scopes: list[str], project: str) -> Column:
     """Whether a rule may be shown: a visible status, a wanted scope and, for project rules, a related path."""
     mine, theirs = F.lit(project), text.path_key(F.col("project_path"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, scenes, scoring, text
-from ..operators import duplicates, joins, listing, memory, mining, search
+from ..operators import duplicates, joins, listing, memory, mining, search, stats
 from ..sources import stores
 from . import adapters as a
 from . import queries_near
@@ -34,6 +34,8 @@ WORDS = f"""wd AS (SELECT doc_id, lang, unnest(list_distinct({a.words_sql("text"
         CASE WHEN length(text) % 2 = 0 THEN 'correction' ELSE 'preference' END AS pattern_type FROM wd GROUP BY text)"""
 QUERIES["signal_list"] = lambda s, d: listing.listed_signals(_words(s, d), 30, language="en", pattern_type="correction").select("signal_id", "confidence", "matches")
 ORACLE_SQL["signal_list"] = f"WITH {WORDS} SELECT signal_id, confidence, matches FROM sg WHERE language = 'en' AND pattern_type = 'correction' ORDER BY confidence DESC, signal_id LIMIT 30"
+QUERIES["dictionary_stats"] = lambda s, d: stats.dictionary_stats(_words(s, d))
+ORACLE_SQL["dictionary_stats"] = f"WITH {WORDS} SELECT pattern_type, count(*) AS signals, round(avg(confidence), 6) AS mean_confidence FROM sg GROUP BY ROLLUP (pattern_type)"
 QUERIES["signal_precision"] = lambda s, d: _words(s, d).select("signal_id", F.round(listing.precision(F.col("good"), F.col("bad")), 6).alias("precision"), F.round(listing.suggested_confidence(F.col("confidence"), F.col("good"), F.col("bad")), 6).alias("suggested"), listing.prune_candidate(F.col("confidence"), F.col("matches"), F.col("good"), F.col("bad")).alias("prune"))
 ORACLE_SQL["signal_precision"] = f"""
     WITH {WORDS}, p AS (SELECT *, CASE WHEN good + bad = 0 THEN 0.5 ELSE good / (good + bad)::DOUBLE END AS p, least(1.0, (good + bad) / 10.0::DOUBLE) AS w FROM sg)
@@ -138,10 +140,10 @@ ORACLE_SQL["good_clusters"] = f"""WITH RECURSIVE {queries_near.LABELLED} SELECT
     CASE WHEN pattern_type = 'correction' AND confidence + 0.3 >= 0.8 AND occurrences >= 3 THEN 'medium' ELSE 'low' END AS strict FROM lr WHERE confidence >= 0.6 AND occurrences >= 2"""
 QUERIES["clusters_by_type"] = lambda s, d: listing.clusters_by_type(_records(s, d))
 ORACLE_SQL["clusters_by_type"] = f"WITH RECURSIVE {queries_near.LABELLED} SELECT pattern_type, count(*) AS clusters, CAST(sum(occurrences) AS BIGINT) AS occurrences, round(avg(occurrences), 6) AS mean_size, round(avg(confidence), 6) AS mean_confidence FROM lr GROUP BY ROLLUP (pattern_type)"
-QUERIES["cluster_contents"] = lambda s, d: listing.cluster_contents(a.table(s, d, "orders").select(F.col("o_orderkey").alias("cluster_id"), F.array(F.col("o_orderkey") % 1500, F.col("o_custkey"), F.col("o_orderkey") % 700).alias("content_ids")), a.table(s, d, "documents").select(F.col("doc_id").alias("content_id"), F.left("text", F.lit(20)).alias("content"))).withColumn("place", F.col("place").cast("long"))
+QUERIES["cluster_contents"] = lambda s, d: listing.cluster_contents(a.table(s, d, "orders").select(F.col("o_orderkey").alias("cluster_id"), F.array(F.floor(F.col("o_orderkey") / 10).cast("long"), F.col("o_custkey"), F.floor(F.col("o_custkey") / 2).cast("long")).alias("content_ids")), a.table(s, d, "documents").select(F.col("doc_id").alias("content_id"), F.md5("text").alias("content"))).withColumn("place", F.col("place").cast("long"))
 ORACLE_SQL["cluster_contents"] = """
-    WITH l AS (SELECT o_orderkey AS cluster_id, unnest([o_orderkey % 1500, o_custkey, o_orderkey % 700]) AS content_id, unnest([0::BIGINT, 1, 2]) AS place FROM orders)
-    SELECT cluster_id, place, content_id, left(text, 20) AS content FROM l JOIN documents ON doc_id = content_id"""
+    WITH l AS (SELECT o_orderkey AS cluster_id, unnest([o_orderkey // 10, o_custkey, o_custkey // 2]) AS content_id, unnest([0::BIGINT, 1, 2]) AS place FROM orders)
+    SELECT cluster_id, place, content_id, md5(text) AS content FROM l JOIN documents ON doc_id = content_id"""
 
 # ---------------------------------------------------------------- decisions
 QUERIES["rule_finalisation"] = lambda s, d: listing.finalised(
@@ -177,10 +179,23 @@ _UPSERT = f"""{a.RULES}, {a.FEEDBACK}, ct AS (SELECT rule_id, priority, confiden
 ORACLE_SQL["memory_upsert"] = f"WITH {_UPSERT} SELECT rule_id, coalesce(n.priority, c.priority) AS priority, coalesce(n.confidence, c.confidence) AS confidence, coalesce(n.at, c.at) AS at, (c.rule_id IS NOT NULL)::BIGINT + (n.rule_id IS NOT NULL)::BIGINT AS version FROM ct c FULL JOIN nw n USING (rule_id)"
 QUERIES["memory_version_rows"] = lambda s, d: _upsert(s, d)[1].select("rule_id", "priority", F.col("version").cast("long").alias("version"))
 ORACLE_SQL["memory_version_rows"] = f"WITH {_UPSERT} SELECT rule_id, n.priority, 1 + (c.rule_id IS NOT NULL)::BIGINT AS version FROM nw n LEFT JOIN ct c USING (rule_id)"
-QUERIES["orphan_actions"] = lambda s, d: joins.typed_references(a.links(s, d).groupBy("rule_id").agg(F.collect_set("memory_id").alias("sources")), a.memories(s, d)).select("rule_id", *(listing.orphan_action(F.col("reference_state"), m).alias(m) for m in ("report", "archive", "fix")))
+QUERIES["orphan_actions"] = lambda s, d: joins.typed_references(a.links(s, d).groupBy("rule_id").agg(F.collect_set("memory_id").alias("sources")), a.memories(s, d)).select("rule_id", *(listing.orphan_action(F.col("reference_state"), m, F.col("rule_id") % 4 == 0).alias(m) for m in ("report", "archive", "fix")), listing.orphan_action(F.col("reference_state"), "fix", dry_run=True).alias("dry"))
 ORACLE_SQL["orphan_actions"] = f"""
     WITH {a.LINKS}, {a.MEMORIES}, g AS (SELECT rule_id, count(DISTINCT l.memory_id) AS n, count(DISTINCT m.memory_id) AS k FROM links l LEFT JOIN memories m USING (memory_id) GROUP BY rule_id), t AS (SELECT *, k = 0 AS f, k > 0 AND k < n AS p FROM g)
-    SELECT rule_id, CASE WHEN f OR p THEN 'report' ELSE 'keep' END AS report, CASE WHEN f THEN 'archive' ELSE 'keep' END AS archive, CASE WHEN f THEN 'archive' WHEN p THEN 'drop_references' ELSE 'keep' END AS fix FROM t"""
+    SELECT rule_id, CASE WHEN f OR p THEN 'report' ELSE 'keep' END AS report, CASE WHEN rule_id % 4 = 0 THEN 'skip' WHEN f THEN 'archive' ELSE 'keep' END AS archive, CASE WHEN rule_id % 4 = 0 THEN 'skip' WHEN p THEN 'drop_references' ELSE 'keep' END AS fix, CASE WHEN f OR p THEN 'report' ELSE 'keep' END AS dry FROM t"""
+
+
+def _cleaned(s, d):
+    linked = a.links(s, d).groupBy("rule_id").agg(F.collect_set("memory_id").alias("sources"))
+    rules = linked.join(joins.typed_references(linked, a.memories(s, d)), "rule_id")
+    return listing.cleaned_references(rules, a.memories(s, d), F.col("reference_state")).select("rule_id", F.array_join("sources", ",").alias("sources"))
+
+
+QUERIES["orphans_fixed"] = _cleaned
+ORACLE_SQL["orphans_fixed"] = f"""
+    WITH {a.LINKS}, {a.MEMORIES}, x AS (SELECT DISTINCT rule_id, l.memory_id, m.memory_id IS NOT NULL AS live FROM links l LEFT JOIN memories m USING (memory_id)),
+    g AS (SELECT rule_id, bool_or(live) AS some_live, bool_and(live) AS all_live FROM x GROUP BY rule_id)
+    SELECT rule_id, string_agg(CAST(memory_id AS VARCHAR), ',' ORDER BY memory_id) AS sources FROM x JOIN g USING (rule_id) WHERE live OR NOT some_live OR all_live GROUP BY rule_id"""
 QUERIES["signature_weights"] = lambda s, d: a.table(s, d, "documents").select("doc_id", F.round(listing.signature_weight(F.col("text"), F.array(*map(F.lit, ("the", "ung", "eux", "ción"))), F.lit(0.8)), 6).alias("weight"))
 ORACLE_SQL["signature_weights"] = "WITH h AS (SELECT doc_id, contains(lower(text), 'the')::INT + contains(lower(text), 'ung')::INT + contains(lower(text), 'eux')::INT + contains(lower(text), 'ción')::INT AS h FROM documents) SELECT doc_id, CASE WHEN h > 0 THEN round(h / 4.0::DOUBLE * 0.8 * 0.3, 6) END AS weight FROM h"
 QUERIES["learned_signatures"] = lambda s, d: scenes.learned_signatures(a.rules(s, d).select(F.lower("content").alias("message")), {"ring": ["ring"], "bolt": ["bolt", "nut"], "gear": ["gear"]}, {"query": ["database", "query"], "safety": ["never", "avoid"]})
@@ -195,9 +210,9 @@ ORACLE_SQL["topic_boosts"] = f"""
 QUERIES["message_words"] = lambda s, d: a.messages(s, d).select("session_id", "line_number", F.array_join(queries_near.similarity.message_words(F.col("content")), " ").alias("words"))
 _STOP = "[" + ", ".join(f"'{w}'" for w in "the a an and or but in on at to for of with by from up about into through is are was were be been being have has had do does did will would should could can may might must".split()) + "]"
 ORACLE_SQL["message_words"] = f"WITH {a.MESSAGES} SELECT session_id, line_number, array_to_string(list_filter({a.words_sql('content')}, lambda w: length(w) >= 2 AND NOT list_contains({_STOP}, w) AND NOT regexp_matches(w, '^\\d+$') AND regexp_matches(w, '[a-zA-Z0-9一-鿿㐀-䶿]')), ' ') AS words FROM messages"
-QUERIES["idf_formulas"] = lambda s, d: search.document_frequency(a.table(s, d, "benchmark"), "item_id", "text").crossJoin(F.broadcast(a.table(s, d, "benchmark").agg(F.count("*").alias("n")))).select("term", *(F.round(text.idf(F.col("n"), F.col("df"), k), 6).alias(k) for k in ("smooth", "segment", "plain")))
+QUERIES["idf_formulas"] = lambda s, d: search.document_frequency(a.table(s, d, "documents"), "doc_id", "text").crossJoin(F.broadcast(a.table(s, d, "documents").agg(F.count("*").alias("n")))).select("term", *(F.round(text.idf(F.col("n"), F.col("df"), k), 6).alias(k) for k in ("smooth", "segment", "plain")))
 ORACLE_SQL["idf_formulas"] = f"""
-    WITH w AS (SELECT item_id, unnest(list_distinct({a.words_sql("text")})) AS term FROM benchmark), d AS (SELECT term, count(*) AS df FROM w GROUP BY term), n AS (SELECT count(*) AS n FROM benchmark)
+    WITH w AS (SELECT doc_id, unnest(list_distinct({a.words_sql("text")})) AS term FROM documents), d AS (SELECT term, count(*) AS df FROM w GROUP BY term), n AS (SELECT count(*) AS n FROM documents)
     SELECT term, round(ln((n + 1.0) / (df + 1)) + 1, 6) AS smooth, round(ln(n / (df + 1.0)), 6) AS segment, round(ln(n / df::DOUBLE), 6) AS plain FROM d, n"""
 QUERIES["set_similarities"] = lambda s, d: a.rules(s, d).select("rule_id", *(F.round(f(F.array_except("keywords", F.array(F.lit("gear"), F.lit("red"))), F.array(F.lit("bolt"), F.lit("blue"), F.lit("ring"))), 6).alias(n) for n, f in (("jaccard", text.jaccard_or_equal), ("overlap", text.overlap))))
 ORACLE_SQL["set_similarities"] = f"""
@@ -207,9 +222,9 @@ QUERIES["representative_phrases"] = lambda s, d: a.table(s, d, "documents").sele
 ORACLE_SQL["representative_phrases"] = """
     WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), ' ') AS t FROM documents), s AS (SELECT *, regexp_extract(t, '^(.*?[.!?。！？])(\\s|$)', 1) AS s FROM t)
     SELECT doc_id, CASE WHEN s <> '' AND length(s) <= 60 THEN s WHEN length(t) <= 60 THEN t ELSE regexp_replace(left(t, 60), '\\s+\\S*$', '') || '...' END AS phrase FROM s"""
-QUERIES["name_segments"] = lambda s, d: a.table(s, d, "documents").select("doc_id", F.concat(F.col("source"), F.lit("FooBar_baz-Qux "), F.left("text", F.lit(20))).alias("t")).select("doc_id", F.array_join(text.name_segments(F.col("t")), "|").alias("segments"), F.array_join(text.index_segments(F.col("t")), "|").alias("indexed"))
+QUERIES["name_segments"] = lambda s, d: a.table(s, d, "documents").select("doc_id", F.concat(F.col("source"), F.lit("FooBar_baz-Qux "), F.col("text")).alias("t")).select("doc_id", F.array_join(text.name_segments(F.col("t")), "|").alias("segments"), F.array_join(text.index_segments(F.col("t")), "|").alias("indexed"))
 ORACLE_SQL["name_segments"] = """
-    WITH t AS (SELECT doc_id, source || 'FooBar_baz-Qux ' || left(text, 20) AS t FROM documents),
+    WITH t AS (SELECT doc_id, source || 'FooBar_baz-Qux ' || text AS t FROM documents),
     n AS (SELECT doc_id, t, list_filter(list_transform(string_split_regex(regexp_replace(t, '([A-Z])', ' \\1', 'g'), '[_\\-\\s]+'), lambda w: lower(w)), lambda w: w <> '') AS s,
         list_filter(string_split_regex(lower(regexp_replace(t, '([a-z0-9])([A-Z])', '\\1 \\2', 'g')), '[^a-z0-9一-鿿]+'), lambda w: length(w) > 1) AS i FROM t)
     SELECT doc_id, array_to_string(s, '|') AS segments, array_to_string(list_transform(list_filter(range(1, len(i) + 1), lambda k: list_position(i, i[k]) = k), lambda k: i[k]), '|') AS indexed FROM n"""

@@ -124,11 +124,17 @@ QUERIES["prefix_segments"] = lambda s, d: joins.prefix_either_way(
 ORACLE_SQL["prefix_segments"] = f"""WITH {a.RULES}, k AS (SELECT DISTINCT unnest(keywords) AS segment FROM rules), q(wanted) AS (VALUES ('bo'), ('gearbox'), ('r'), ('widget'))
     SELECT segment, wanted FROM k JOIN q ON starts_with(segment, wanted) OR starts_with(wanted, segment)"""
 # ---------------------------------------------------------------- memory life
-QUERIES["memory_decay"] = lambda s, d: memory.decay(a.memories(s, d), a.now())
+def _ageing(s, d):
+    """Some memories contradict another, some have a date of their own, and some were recalled later than they were made."""
+    i, later = F.col("memory_id"), lambda days: F.col("created_at") + F.make_dt_interval(F.lit(days))
+    return a.memories(s, d).withColumns({"conflict_with": F.when(i % 23 == 0, "another"), "expires_at": F.when(i % 19 == 0, later(900)), "last_recalled_at": F.when(i % 2 == 0, later(300))})
+
+
+QUERIES["memory_decay"] = lambda s, d: memory.decay(_ageing(s, d), a.now())
 ORACLE_SQL["memory_decay"] = f"""
     WITH {a.MEMORIES}, x AS (SELECT memory_id, CASE WHEN status = 'archived' THEN NULL WHEN state = 'deprecated' THEN 'archived'
-        WHEN created_at + to_days(ttl_days) < TIMESTAMP '{a.NOW}' THEN 'archived'
-        WHEN info_class = 'experience' AND recalls < 1 AND epoch_us(TIMESTAMP '{a.NOW}') - epoch_us(created_at) > 180 * 86400000000 THEN 'deprecated' END AS action FROM memories)
+        WHEN memory_id % 23 = 0 THEN 'archived' WHEN coalesce(CASE WHEN memory_id % 19 = 0 THEN created_at + to_days(900) END, created_at + to_days(ttl_days)) < TIMESTAMP '{a.NOW}' THEN 'archived'
+        WHEN info_class = 'experience' AND recalls < 1 AND epoch_us(TIMESTAMP '{a.NOW}') - epoch_us(CASE WHEN memory_id % 2 = 0 THEN created_at + to_days(300) ELSE created_at END) > 180 * 86400000000 THEN 'deprecated' END AS action FROM memories)
     SELECT * FROM x WHERE action IS NOT NULL"""
 
 
@@ -167,17 +173,17 @@ ORACLE_SQL["memory_strength"] = f"""
     WITH RECURSIVE {a.FEEDBACK}, o AS (SELECT rule_id, CASE WHEN feedback_type = 'corrected' THEN -0.5 ELSE 0.5 END::DOUBLE AS step, row_number() OVER (PARTITION BY rule_id ORDER BY ts, event_id) AS k FROM feedback),
     f AS (SELECT rule_id, k, greatest(0.0, 1.0 + step)::DOUBLE AS s FROM o WHERE k = 1 UNION ALL SELECT o.rule_id, o.k, greatest(0.0, f.s + o.step)::DOUBLE FROM f JOIN o ON o.rule_id = f.rule_id AND o.k = f.k + 1)
     SELECT rule_id, max(k) AS events, arg_max(s, k) AS strength FROM f GROUP BY rule_id"""
-QUERIES["running_sessions"] = lambda s, d: windows.running_sessions(a.table(s, d, "events").select((F.col("user_id") % 20).alias("fingerprint"), (F.col("event_id") % 60).alias("session_id"), F.to_date("ts").alias("day")), "fingerprint", "session_id", "day")
+QUERIES["running_sessions"] = lambda s, d: windows.running_sessions(a.table(s, d, "events").select(F.col("user_id").alias("fingerprint"), F.floor(F.col("event_id") / 50).cast("long").alias("session_id"), F.to_date("ts").alias("day")), "fingerprint", "session_id", "day")
 ORACLE_SQL["running_sessions"] = """
-    WITH o AS (SELECT user_id % 20 AS fingerprint, event_id % 60 AS session_id, CAST(ts AS DATE) AS day FROM events), c AS (SELECT fingerprint, day, count(*) AS occurrences FROM o GROUP BY ALL)
+    WITH o AS (SELECT user_id AS fingerprint, event_id // 50 AS session_id, CAST(ts AS DATE) AS day FROM events), c AS (SELECT fingerprint, day, count(*) AS occurrences FROM o GROUP BY ALL)
     SELECT fingerprint, day, occurrences, (SELECT count(DISTINCT session_id) FROM o WHERE o.fingerprint = c.fingerprint AND o.day <= c.day) AS sessions_so_far FROM c"""
-QUERIES["pattern_evolution"] = lambda s, d: mining.evolution(a.table(s, d, "events").select((F.col("user_id") % 20).alias("fingerprint"), (F.col("event_id") % 7).alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))).select("fingerprint", "sessions", "occurrences", "bonus")
-ORACLE_SQL["pattern_evolution"] = """SELECT user_id % 20 AS fingerprint, count(DISTINCT event_id % 7) AS sessions, count(*) AS occurrences,
-    round(least(0.2, count(DISTINCT event_id % 7) * 0.05::DOUBLE) + least(0.1, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0::DOUBLE / 300), 6) AS bonus FROM events GROUP BY 1"""
+QUERIES["pattern_evolution"] = lambda s, d: mining.evolution(a.table(s, d, "events").select(F.col("user_id").alias("fingerprint"), F.floor(F.col("event_id") / 50).cast("long").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))).select("fingerprint", "sessions", "occurrences", "bonus")
+ORACLE_SQL["pattern_evolution"] = """SELECT user_id AS fingerprint, count(DISTINCT event_id // 50) AS sessions, count(*) AS occurrences,
+    round(least(0.2, count(DISTINCT event_id // 50) * 0.05::DOUBLE) + least(0.1, (epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0::DOUBLE / 300), 6) AS bonus FROM events GROUP BY 1"""
 QUERIES["merged_patterns"] = lambda s, d: memory.merged(*(
-    a.table(s, d, "events").filter(F.col("event_id") % 2 == k).groupBy(F.col("event_type").alias("type"), (F.col("user_id") % 30).alias("description")).agg(F.count("*").alias("occurrences"), F.max("value").alias("confidence"), F.max("event_id").alias("last_seen")) for k in (0, 1)
+    a.table(s, d, "events").filter(F.col("event_id") % 2 == k).groupBy(F.col("event_type").alias("type"), F.col("user_id").alias("description")).agg(F.count("*").alias("occurrences"), F.max("value").alias("confidence"), F.max("event_id").alias("last_seen")) for k in (0, 1)
 ))
-ORACLE_SQL["merged_patterns"] = "SELECT event_type AS type, user_id % 30 AS description, count(*) AS occurrences, max(value) AS confidence, max(event_id) AS last_seen FROM events GROUP BY 1, 2"
+ORACLE_SQL["merged_patterns"] = "SELECT event_type AS type, user_id AS description, count(*) AS occurrences, max(value) AS confidence, max(event_id) AS last_seen FROM events GROUP BY 1, 2"
 QUERIES["profile_ema"] = lambda s, d: memory.profile_fold(a.table(s, d, "events").select("user_id", "event_id", F.array("value").alias("v")), "user_id", "event_id", "v").select("user_id", F.round("value", 6).alias("mean"))
 ORACLE_SQL["profile_ema"] = """
     WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) - 1 AS k, count(*) OVER (PARTITION BY user_id) AS n FROM events)

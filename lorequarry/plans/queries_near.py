@@ -144,10 +144,12 @@ LEADERS = """o AS (SELECT id, row_number() OVER (ORDER BY {order}) AS k FROM {no
     led AS (SELECT o.id, q.id AS leader FROM f JOIN o USING (k) JOIN o q ON q.k = f.mine)"""
 GROUPS = f"""WITH RECURSIVE {RULE_SIMILARITY}, dup AS (SELECT a, b FROM sim WHERE similarity >= 0.75), {LEADERS.format(order="id", nodes="cl", pairs="dup")}"""
 ORACLE_SQL["rule_duplicate_groups"] = f"{GROUPS} SELECT cl.id AS class_id, leader, len(members)::BIGINT AS rules FROM cl JOIN led ON cl.id = led.id"
-QUERIES["rule_merges"] = lambda s, d: duplicates.merged_rules(_rules(s, d), duplicates.duplicate_groups(_rules(s, d)))
+QUERIES["rule_merges"] = lambda s, d: duplicates.merged_rules(r := _rules(s, d).withColumn("examples", F.array("description", F.concat("scope", F.lit(" "), F.col("rule_id").cast("string")))), duplicates.duplicate_groups(r)).withColumn("examples", F.array_join("examples", ";"))
 ORACLE_SQL["rule_merges"] = f"""{GROUPS}, m AS (SELECT leader, unnest(members) AS rule_id FROM cl JOIN led ON cl.id = led.id), g AS (SELECT leader, count(*) AS members, avg(confidence) AS c FROM m JOIN rules USING (rule_id) GROUP BY leader),
-    kw AS (SELECT leader, array_to_string(list_sort(list_distinct(flatten(list(keywords)))), ' ') AS keywords FROM m JOIN rules USING (rule_id) GROUP BY leader)
-    SELECT leader, members, round(CASE WHEN members > 1 THEN least(1.0, c + 0.05) ELSE c END, 6) AS confidence, keywords FROM g JOIN kw USING (leader)"""
+    kw AS (SELECT leader, array_to_string(list_sort(list_distinct(flatten(list(keywords)))), ' ') AS keywords FROM m JOIN rules USING (rule_id) GROUP BY leader),
+    xa AS (SELECT leader, e, min((rule_id, pos)) AS f FROM (SELECT leader, rule_id, unnest([0, 1]) AS pos, unnest([description, scope || ' ' || rule_id]) AS e FROM m JOIN rules USING (rule_id)) GROUP BY leader, e),
+    xb AS (SELECT leader, string_agg(e, ';' ORDER BY f, e) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY leader ORDER BY f, e) AS k FROM xa) WHERE k <= 5 GROUP BY leader)
+    SELECT leader, members, round(CASE WHEN members > 1 THEN least(1.0, c + 0.05) ELSE c END, 6) AS confidence, keywords, examples FROM g JOIN kw USING (leader) JOIN xb USING (leader)"""
 QUERIES["generated_rules_kept"] = lambda s, d: duplicates.generated_kept(_rules(s, d)).select("leader", F.col("taken").cast("long").alias("taken"))
 ORACLE_SQL["generated_rules_kept"] = f"{GROUPS} SELECT leader, (sum(len(members)) - 1)::BIGINT AS taken FROM cl JOIN led ON cl.id = led.id GROUP BY leader"
 QUERIES["merge_proposals"] = lambda s, d: duplicates.merge_proposal(a.rules(s, d).withColumn("topic", F.concat("functional", F.lit("-"), (F.round(F.col("confidence") * 50) % 8).cast("int").cast("string"))), "topic")
@@ -178,6 +180,29 @@ ORACLE_SQL["pattern_pairs"] = f"""
 # Clusters of ten at most, by confidence: tests hold them against a loop.
 QUERIES["pattern_clusters"] = lambda s, d: duplicates.pattern_clusters(_patterns(s, d))
 
+# ---------------------------------------------------------------- evidence
+def _evidence(s, d):
+    """Memories of three ids are added to the one before them."""
+    i = F.col("memory_id")
+    rows = a.memories(s, d).select(
+        "memory_id", "confidence", "importance", "strength", (1 + i % 2).alias("support"), "validations", "contradictions", F.col("created_at").alias("updated_at"),
+        F.array("kind", "info_class").alias("keywords"), F.array((i % 7).cast("string"), (i % 5).cast("string")).alias("session_ids"), F.array("project").alias("projects"),
+    )
+    decisions = rows.filter(i % 4 > 0).select(i.alias("new_id"), (i - i % 4).alias("old_id"), F.when(i % 9 > 0, "UPDATE").otherwise("ADD").alias("decision"))
+    return conflicts.merged_evidence(decisions, rows.filter(i % 4 > 0), rows.filter(i % 4 == 0))
+
+
+QUERIES["evidence_updates"] = lambda s, d: _evidence(s, d)[0].withColumn("updated_at", F.unix_micros("updated_at"))
+_EVIDENCE = f"""{a.MEMORIES}, u AS (SELECT memory_id - memory_id % 4 AS tgt, * FROM memories WHERE memory_id % 4 > 0 AND memory_id % 9 > 0),
+    o AS (SELECT memory_id AS tgt, * FROM memories WHERE memory_id IN (SELECT tgt FROM u) AND memory_id % 4 = 0), al AS (SELECT *, true AS added FROM u WHERE tgt IN (SELECT tgt FROM o) UNION ALL SELECT *, false FROM o),
+    ev AS (SELECT DISTINCT tgt AS memory_id, kind_, value FROM (SELECT tgt, unnest(['keyword', 'keyword', 'session', 'session', 'project']) AS kind_, unnest([kind, info_class, CAST(memory_id % 7 AS VARCHAR), CAST(memory_id % 5 AS VARCHAR), project]) AS value FROM al) WHERE value IS NOT NULL)"""
+ORACLE_SQL["evidence_updates"] = f"""
+    WITH {_EVIDENCE}, n AS (SELECT memory_id, count(*) FILTER (kind_ = 'keyword') AS keywords, count(*) FILTER (kind_ = 'session') AS sessions, count(*) FILTER (kind_ = 'project') AS projects FROM ev GROUP BY memory_id)
+    SELECT n.memory_id, max(confidence) AS confidence, max(importance) AS importance, sum(strength) AS strength, CAST(sum(1 + al.memory_id % 2) AS BIGINT) AS support, CAST(sum(validations) AS BIGINT) AS validations, CAST(sum(contradictions) AS BIGINT) AS contradictions,
+        max(CASE WHEN added THEN epoch_us(created_at) END) AS updated_at, any_value(n.keywords) AS keywords, any_value(n.sessions) AS sessions, any_value(n.projects) AS projects FROM al JOIN n ON n.memory_id = al.tgt GROUP BY n.memory_id"""
+QUERIES["evidence_rows"] = lambda s, d: _evidence(s, d)[1]
+ORACLE_SQL["evidence_rows"] = f"WITH {_EVIDENCE} SELECT memory_id, kind_ AS kind, value FROM ev"
+
 # ---------------------------------------------------------------- conflicts
 QUERIES["contradicting_rules"] = lambda s, d: conflicts.contradictions(a.rules(s, d)).withColumn("pair", F.col("pair").cast("long"))
 _CLAIMS = [
@@ -271,6 +296,22 @@ def _merged_memories(s, d):
 
 
 QUERIES["merged_memories"] = _merged_memories
+
+
+def _promoted(s, d):
+    rows = near.dense_vectors(a.table(s, d, "embeddings"), "vec_id", UNIT(F.col("embedding")))
+    memories = a.memories(s, d).filter("status = 'active' and kind = 'procedural'").join(rows.select(F.col("id").alias("memory_id")), "memory_id", "left_semi")
+    known = rows.join(memories.select(F.col("memory_id").alias("id")), "id", "left_semi")
+    return duplicates.promoted_clusters(memories, duplicates.memory_clusters(memories, staged(known, "known_vectors"), 0.3))
+
+
+QUERIES["promoted_clusters"] = _promoted
+ORACLE_SQL["promoted_clusters"] = f"""
+    WITH RECURSIVE {a.MEMORIES}, {UNIT_SQL}, nodes AS (SELECT id FROM u JOIN memories ON id = memory_id WHERE status = 'active' AND kind = 'procedural'),
+    near AS (SELECT p.id AS a, q.id AS b FROM u p JOIN u q ON p.id < q.id JOIN nodes x ON x.id = p.id JOIN nodes y ON y.id = q.id WHERE round(list_dot_product(p.v, q.v), 9) >= 0.3), {LEADERS.format(order="id", nodes="nodes", pairs="near")},
+    r AS (SELECT leader, arg_min(info_class, (-confidence, memory_id)) AS c, max(contradictions) AS bad, round(greatest(0.0, least(1.0, max(confidence) * 0.55 + least(1.0, max(sessions) / 3.0::DOUBLE) * 0.1 + least(1.0, count(DISTINCT project) / 2.0::DOUBLE) * 0.1
+        + least(1.0, sum(validations) / 3.0::DOUBLE) * 0.15 + least(1.0, max(strength) / 5) * 0.1 - least(1.0, max(contradictions) / 2.0::DOUBLE) * 0.35)), 6)::DOUBLE AS score FROM led JOIN memories ON led.id = memory_id GROUP BY leader)
+    SELECT memory_id, leader, score FROM led JOIN memories ON led.id = memory_id JOIN r USING (leader) WHERE c <> 'fact' AND bad = 0 AND score >= 0.65 AND state <> 'promoted'"""
 ORACLE_SQL["merged_memories"] = f"""
     WITH RECURSIVE {a.MEMORIES}, {UNIT_SQL}, nodes AS (SELECT id FROM u JOIN memories ON id = memory_id),
     near AS (SELECT p.id AS a, q.id AS b FROM u p JOIN u q ON p.id < q.id JOIN nodes x ON x.id = p.id JOIN nodes y ON y.id = q.id WHERE round(list_dot_product(p.v, q.v), 9) >= 0.68), {LEADERS.format(order="id", nodes="nodes", pairs="near")}

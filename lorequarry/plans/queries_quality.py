@@ -100,9 +100,9 @@ ORACLE_SQL["cleanup_optimized"] = f"""
     SELECT rule_id, n AS keywords, concat_ws(',', nullif(t, ''), nullif(fn, '')) AS inferred, CASE WHEN boost THEN round(least(1.0, confidence + 0.1), 6) ELSE confidence END::DOUBLE AS confidence,
         concat_ws(',', CASE WHEN added THEN 'keywords' END, CASE WHEN t <> '' OR fn <> '' THEN 'scenes' END, CASE WHEN boost THEN 'confidence' END) AS changes FROM b"""
 QUERIES["generated_structure"] = lambda s, d: a.table(s, d, "documents").select("doc_id", F.round(quality.structure(
-    F.left("text", F.lit(120)), F.substring("text", 20, 60), F.split(F.left("text", F.lit(200)), "\\. ?"), F.substring("text", 1, 30), F.substring("text", 31, 30), F.concat(F.when(F.col("doc_id") % 2 == 0, "# head\n").otherwise(""), F.when(F.col("doc_id") % 3 == 0, "- item\n").otherwise(""), F.col("text"))), 6).alias("score"))
+    F.col("text"), F.concat("source", F.lit(" "), "text"), F.split("text", "\\. ?"), F.col("text"), F.concat("lang", F.lit(" "), "text"), F.concat(F.when(F.col("doc_id") % 2 == 0, "# head\n").otherwise(""), F.when(F.col("doc_id") % 3 == 0, "- item\n").otherwise(""), F.col("text"))), 6).alias("score"))
 ORACLE_SQL["generated_structure"] = """
-    WITH t AS (SELECT doc_id, left(text, 120) AS d, substr(text, 20, 60) AS r, string_split_regex(left(text, 200), '\\. ?') AS s, substr(text, 1, 30) AS g, substr(text, 31, 30) AS b, CASE WHEN doc_id % 2 = 0 THEN '# head' || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '- item' || chr(10) ELSE '' END || text AS c FROM documents)
+    WITH t AS (SELECT doc_id, text AS d, source || ' ' || text AS r, string_split_regex(text, '\\. ?') AS s, text AS g, lang || ' ' || text AS b, CASE WHEN doc_id % 2 = 0 THEN '# head' || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '- item' || chr(10) ELSE '' END || text AS c FROM documents)
     SELECT doc_id, round(CASE WHEN d = '' THEN 0 WHEN contains(d, '...') OR contains(d, '…') THEN 0.05 WHEN regexp_matches(d, '[^\\x00-\\x7F]{3,}') AND NOT regexp_matches(d, '[一-龥]{3,}') THEN 0.05
             WHEN regexp_matches(d, '<[^>]+>') OR regexp_matches(d, '\\{["\\w]+:') THEN 0.1 WHEN length(d) < 50 THEN 0.1 WHEN length(d) BETWEEN 100 AND 500 THEN 0.3 ELSE 0.2 END::DOUBLE
         + CASE WHEN r = '' THEN 0 WHEN contains(r, 'Corrected') AND contains(r, 'times in') THEN 0.05 WHEN length(r) >= 50 AND NOT contains(r, '...') THEN 0.2 WHEN length(r) >= 20 THEN 0.1 ELSE 0 END
@@ -149,9 +149,9 @@ ORACLE_SQL["info_class"] = f"""
     SELECT id, {_INFO} AS info_class FROM y"""
 QUERIES["labelled_validation"] = lambda s, d: a.table(s, d, "pages").select("page_id", F.concat(F.element_at(F.array(*map(F.lit, ["<command-x>", "", "/Users/me/.claude/y ", "see /Users/me/.config/"])), (F.col("page_id") % 4 + 1).cast("int")), F.col("url")).alias("t")).select("page_id", classify.labelled_content(F.col("t")).alias("valid"))
 ORACLE_SQL["labelled_validation"] = "SELECT page_id, page_id % 4 IN (1, 3) AS valid FROM pages"
-QUERIES["signal_validation"] = lambda s, d: a.table(s, d, "benchmark").select(F.explode(F.array_distinct(text.words(F.col("text")))).alias("text")).distinct().select("text", classify.valid_signal(F.col("text"), F.length("text") / 12).alias("valid"))
+QUERIES["signal_validation"] = lambda s, d: a.table(s, d, "documents").select(F.explode(F.array_distinct(text.words(F.col("text")))).alias("text")).distinct().select("text", classify.valid_signal(F.col("text"), F.length("text") / 12).alias("valid"))
 ORACLE_SQL["signal_validation"] = f"""
-    WITH w AS (SELECT DISTINCT unnest({a.words_sql("text")}) AS text FROM benchmark)
+    WITH w AS (SELECT DISTINCT unnest({a.words_sql("text")}) AS text FROM documents)
     SELECT text, length(text) BETWEEN 2 AND 50 AND length(text) / 12.0::DOUBLE BETWEEN 0.5 AND 0.8 AND regexp_matches(text, '[\\w一-龥]') AND NOT regexp_matches(text, '(?i)^(is|are|the|a|an|this|that|these|those)$|^[.,!?;:]$|^[\\d\\s]+$') AS valid FROM w"""
 QUERIES["memory_types"] = lambda s, d: a.memories(s, d).select("memory_id", listing.memory_type(F.col("info_class"), F.lower("content")).alias("kind"))
 ORACLE_SQL["memory_types"] = f"""
@@ -160,8 +160,8 @@ ORACLE_SQL["memory_types"] = f"""
         WHEN regexp_matches(c, '(?i)performance|性能|slow|optimize|优化|useMemo|useCallback|缓存|cache|瓶颈|耗时|延迟|加速|memory leak|内存泄露') THEN 'performance'
         WHEN regexp_matches(c, 'bug|error|wrong|broken|fail|错误|问题|失败|异常|崩溃|报错|修复|死循环|空指针|race condition') THEN 'anti-pattern' WHEN info_class = 'experience' THEN 'repeated-correction'
         WHEN regexp_matches(trim(c, ' '), '^(always|never|must|should|prefer|recommend|避免|不要|必须|总是|统一|约定|建议)') THEN 'preference' ELSE 'repeated-correction' END AS kind FROM l"""
-QUERIES["framework_rules"] = lambda s, d: a.table(s, d, "documents").select("doc_id", listing.framework_rule(F.left("text", F.lit(200)), F.col("source")).alias("framework"))
-ORACLE_SQL["framework_rules"] = "SELECT doc_id, regexp_matches(lower(left(text, 200)) || ' ' || lower(source), 'hooks|useeffect|usestate|usecallback|usememo|rules of hooks|循环里调用|条件里调用|reactive|ref|computed|watch|ngoninit|ngondestroy|changedetection') AS framework FROM documents"
+QUERIES["framework_rules"] = lambda s, d: a.table(s, d, "documents").select("doc_id", listing.framework_rule(F.col("text"), F.col("source")).alias("framework"))
+ORACLE_SQL["framework_rules"] = "SELECT doc_id, regexp_matches(lower(text) || ' ' || lower(source), 'hooks|useeffect|usestate|usecallback|usememo|rules of hooks|循环里调用|条件里调用|reactive|ref|computed|watch|ngoninit|ngondestroy|changedetection') AS framework FROM documents"
 QUERIES["descriptions"] = lambda s, d: a.rules(s, d).select("rule_id", mining.description(F.concat(F.col("content"), F.lit("\nIn the end it should be `fixed` by all of us. Short. And so on and on")), F.when(F.col("rule_id") % 3 == 0, "preference").when(F.col("rule_id") % 3 == 1, "security").otherwise("repeated-correction")).alias("description"))
 ORACLE_SQL["descriptions"] = f"""
     WITH {a.RULES}, x AS (SELECT rule_id, {TRIM.format("content || chr(10) || 'In the end it should be `fixed` by all of us. Short. And so on and on'")} AS c FROM rules),

@@ -4,13 +4,41 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scoring, text
+from ..functions import rule_text, scoring, text
 from ..operators import joins, memory, rules, search, stats, windows
 from . import adapters as a
 from . import queries_near
 
 QUERIES, ORACLE_SQL = {}, {}
 
+def _bound(s, d):
+    """Rules of organisations are bound to an organisation, some to a team, a repository and a branch too; some have no scope."""
+    i = F.col("rule_id")
+    return a.rules(s, d).withColumns({
+        "scope": F.when(i % 8 > 0, F.col("scope")), "organization_id": F.when(i % 5 > 0, F.concat(F.lit("org"), (i % 2).cast("string"))), "team_id": F.when(i % 4 == 0, F.lit("team1")).when(i % 4 == 1, "team2"),
+        "repository": F.when(i % 7 == 0, F.lit("repo")), "branch": F.when(i % 10 == 0, F.lit("main")),
+    })
+
+
+QUERIES["scope_bindings"] = lambda s, d: _bound(s, d).filter(search.in_scope_of(["project", "organization", "global"], "/srv/P3/app/", organization_id="org1", team_id="team1", repository="repo")).select("rule_id", "scope")
+ORACLE_SQL["scope_bindings"] = f"""
+    WITH {a.RULES}, b AS (SELECT rule_id, status, project_path, CASE WHEN rule_id % 8 > 0 THEN scope END AS scope, CASE WHEN rule_id % 5 > 0 THEN 'org' || rule_id % 2 END AS o, CASE rule_id % 4 WHEN 0 THEN 'team1' WHEN 1 THEN 'team2' END AS t, CASE WHEN rule_id % 10 = 0 THEN 'main' END AS br FROM rules)
+    SELECT rule_id, scope FROM b WHERE status = 'active' AND CASE coalesce(scope, 'global') WHEN 'project' THEN project_path = '/srv/p3' WHEN 'organization' THEN coalesce(o, 'org1') = 'org1' AND coalesce(t, 'team1') = 'team1' AND br IS NULL ELSE true END"""
+QUERIES["rule_texts_generic"] = lambda s, d: a.rules(s, d).select("rule_id", rule_text.family(F.col("content")).alias("family"), rule_text.whole_text(F.col("content"), F.col("kind"), F.array(F.col("project_path"), F.col("description")), F.array("description")).alias("content"))
+_HAS = lambda words, column: "(" + " OR ".join(f"contains({column}, '{w}')" for w in words.split()) + ")"
+ORACLE_SQL["rule_texts_generic"] = f"""
+    WITH {a.RULES}, f AS (SELECT rule_id, content AS c, kind, description, project_path, left(string_split_regex(content, '[。，,;；]')[1], 200) AS one,
+        CASE WHEN {_HAS("替换 replace 隐藏 hide expose 暴露 wrapper 封装", "lower(content)")} AND {_HAS("比较 compare 调用", "content")} THEN 'api' WHEN {_HAS("状态 state workflow 流程 transition 转移 status", "lower(content)")} THEN 'workflow'
+            WHEN {_HAS("优化 optimize refactor 重构 拆分 split 模块化 modular", "lower(content)")} THEN CASE WHEN {_HAS("拆分 split 模块", "content")} THEN 'modules' ELSE 'speed' END
+            WHEN {_HAS("setup 安装 config 配置 claude.md script 脚本", "lower(content)")} THEN CASE WHEN contains(lower(content), 'setup') OR contains(content, '脚本') THEN 'setup' ELSE 'configuration' END
+            WHEN {_HAS("error 错误 exception 异常 fix 修复 bug", "lower(content)")} THEN 'errors' ELSE 'generic' END AS family FROM rules),
+    v AS (SELECT *, coalesce(nullif(regexp_extract(one, '应该([一-龥]+)', 1), ''), nullif(regexp_extract(one, '需要([一-龥]+)', 1), ''), nullif(regexp_extract(one, '(?i)must ([\\w\\s]+)', 1), ''), nullif(regexp_extract(one, '(?i)should ([\\w\\s]+)', 1), ''),
+        nullif(regexp_extract(one, '(?i)always ([\\w\\s]+)', 1), ''), nullif(regexp_extract(one, '(?i)never ([\\w\\s]+)', 1), '')) AS said FROM f)
+    SELECT rule_id, family, CASE family WHEN 'workflow' THEN 'Change a state through its checked transition only, and give every lock a way to be released.' WHEN 'errors' THEN 'Read the whole message, find the cause, and mend that instead of what shows.'
+            WHEN 'configuration' THEN 'Write down a change of the configuration with an example and the reason for it.' WHEN 'setup' THEN 'Put changes of a configuration into the setup, and let it run again without harm.'
+            ELSE '**' || upper(left(kind, 1)) || substr(kind, 2) || ' Pattern**' || chr(10) || chr(10) || CASE WHEN said IS NOT NULL THEN 'Core principle: ' || string_split_regex(trim(said, ' '), '[\\s,，]')[1] ELSE left(one, 150) || CASE WHEN length(one) > 150 THEN '...' ELSE '' END END END
+        || chr(10) || chr(10) || '**Applies to**: ' || regexp_extract(project_path, '([^/]*)$', 1) || CASE WHEN length(c) > 100 THEN chr(10) || chr(10) || '**Example context**: ' || left(c, 150) || '...' ELSE '' END
+        || chr(10) || chr(10) || '**Original evidence**:' || chr(10) || '  1. "' || left(description, 200) || '"' AS content FROM v"""
 QUERIES["scope_filter"] = lambda s, d: a.rules(s, d).filter(search.in_scope(["project", "organization"], "/srv/p3/app")).select("rule_id", "scope")
 ORACLE_SQL["scope_filter"] = f"WITH {a.RULES} SELECT rule_id, scope FROM rules WHERE status = 'active' AND (scope = 'organization' OR scope = 'project' AND project_path = '/srv/p3')"
 

@@ -53,8 +53,6 @@ ORACLE_SQL["problem_rules"] = f"""
     p AS (SELECT *, CASE WHEN ignored_rate >= 0.5 THEN 'ignored' WHEN corrected_rate >= 0.3 THEN 'corrected' WHEN accepted_rate < 0.1 THEN 'unaccepted' END AS problem FROM q)
     SELECT * FROM p WHERE problem IS NOT NULL"""
 
-QUERIES["dictionary_stats"] = lambda s, d: stats.dictionary_stats(a.signals(s))
-ORACLE_SQL["dictionary_stats"] = f"WITH {a.SIGNALS_SQL} SELECT pattern_type, count(*) AS signals, round(avg(confidence), 6) AS mean_confidence FROM signals GROUP BY ROLLUP (pattern_type)"
 QUERIES["scene_matrix"] = lambda s, d: stats.scene_matrix(a.rules(s, d))
 ORACLE_SQL["scene_matrix"] = f"WITH {a.RULES} SELECT coalesce(tech, '*') AS tech, coalesce(functional, '*') AS functional, coalesce(business, '*') AS business, count(DISTINCT rule_id) AS rules FROM rules GROUP BY 1, 2, 3"
 QUERIES["scene_axes"] = lambda s, d: stats.scene_axes(a.rules(s, d))

@@ -91,3 +91,25 @@ def test_signals_of_a_cluster_are_a_running_intersection(spark):
     led = spark.createDataFrame([(1, 1), (2, 1), (3, 1), (4, 1), (5, 1), (6, 6)], "content_id long, leader long")
     got = {r["leader"]: (r["signals"], r["occurrences"], r["sessions"]) for r in duplicates.labelled_records(table, led).collect()}
     assert got == {1: (["b"], 5, 2), 6: ([], 1, 1)}
+
+
+def test_containment_in_both_plans(spark, monkeypatch):
+    """Patterns that fit a broadcast and patterns that don't give the pairs of a loop; empty and null ones are in none."""
+    from lorequarry.operators import joins
+
+    rnd = random.Random(8)
+    texts = [(i, None if i == 3 else " ".join(rnd.choices(["Alpha", "beta", "gamma.delta", "é", "x"], k=rnd.randrange(9)))) for i in range(40)]
+    patterns = [(k, p) for k, p in enumerate(["alpha", "Alpha b", "a g", "gamma.delta é", "x", "", None, "beta x beta", "beta x beta", "ta gamma.delta A"])]
+    want = sorted((i, k) for i, t in texts for k, p in patterns if t and p and p in t)
+    tables = spark.createDataFrame(texts, "i long, body string"), "body", spark.createDataFrame(patterns, "k long, head string"), "head"
+    assert sorted((r["i"], r["k"]) for r in joins.containing(*tables).collect()) == want
+    monkeypatch.setattr(joins, "fits", lambda df: False)
+    assert sorted((r["i"], r["k"]) for r in joins.containing(*tables).collect()) == want
+
+
+def test_uncovered_patterns_of_odd_tables(spark):
+    from lorequarry.operators import joins
+
+    patterns = spark.createDataFrame([(1, "Use hooks always"), (2, ""), (3, None), (4, "other"), (5, "hooks")], "id long, pattern string")
+    free = lambda rules: {r["id"] for r in joins.uncovered(patterns, spark.createDataFrame([(r,) for r in rules], "rule_text string"), "id", 5).collect()}
+    assert free(["please use hooks"]) == {3, 4} and free([""]) == {3} and free([None]) == free([]) == {1, 2, 3, 4, 5}
