@@ -58,14 +58,25 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
 
     ids: little-endian, 16 bits wide while they fit; _part: the place of the row's partition; _start: ids
     before the document in its partition. The bounds of the partitions are quantiles of id_col, taken
-    before, so that each text is encoded once only.
+    before, so that each text is encoded once only. An id that is several quantiles has as many partitions, which its
+    rows are dealt to in turn, and null ids have their share of partitions in front.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
-    bounds = np.unique(source.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))
+    bounds = np.array(source.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.1 / parts))
+    rows, nulls = source.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    in_front = -(-parts * nulls // max(1, rows)) if nulls else 0
+
+    def places(key: pa.Array, turn: int) -> np.ndarray:
+        """The partition of each id; turn: rows that the task had before."""
+        value = key.cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False)
+        turns = turn + np.arange(len(value))
+        first = np.searchsorted(bounds, value)
+        dealt = in_front + first + turns % np.maximum(np.searchsorted(bounds, value, "right") - first, 1)
+        return np.where(np.isneginf(value), turns % max(1, in_front), dealt).astype(np.int32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = library_encoder(tokenizer, TABLE_BITS)
+        encoder, turn = library_encoder(tokenizer, TABLE_BITS), 0
         for batch in batches:
             for part, texts in chunks(batch):
                 flat, edges = encoder.encode(texts)
@@ -73,9 +84,10 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
                 edges = edges + np.arange(len(edges))
                 flat = flat.astype("<u2" if flat.max() <= 0xFFFF else "<u4")
                 key = part.column("doc_id")
-                place = np.searchsorted(bounds, key.cast(pa.float64()).fill_null(-np.inf).to_numpy(zero_copy_only=False))
+                place = places(key, turn)
+                turn += len(key)
                 ids = pa.array([flat[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(edges)), ids, pa.array(place.astype(np.int32))], ["doc_id", "n_tokens", "ids", "_part"])
+                yield pa.RecordBatch.from_arrays([key, pa.array(np.diff(edges)), ids, pa.array(place)], ["doc_id", "n_tokens", "ids", "_part"])
 
     def add_start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = 0
@@ -87,7 +99,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end_id: int, id_col: str, text_col
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_tokens long, ids binary, _part int"
-    ordered = source.mapInArrow(tidied(encode), schema).repartitionById(parts, "_part").sortWithinPartitions("_part", "doc_id")
+    ordered = source.mapInArrow(tidied(encode), schema).repartitionById(parts + in_front, "_part").sortWithinPartitions("_part", "doc_id")
     return staged(ordered.mapInArrow(tidied(add_start), schema + ", _start long"), "tokens")
 
 

@@ -821,3 +821,21 @@ def test_classifier_against_a_plain_loop(spark, sf, docs, texts):
         tails = [1 - 1 / (1 + math.exp(score - t)) if abs(score - t) < 30 else float(score > t) for t in model.thresholds]
         assert [r["tail_1"], r["tail_2"]] == pytest.approx(tails, abs=1e-6)
         assert r["expected_grade"] == pytest.approx(sum(tails), abs=1e-6) and r["kept"] == (r["tail_2"] >= 0.5)
+
+
+# ---------------------------------------------------------------- 8
+def test_tokens_of_one_id_are_many_tasks(spark):
+    """An id with half of the rows, and null ids with a third, are dealt to several partitions, in ascending order still."""
+    rows = [(None, f"null {i}") for i in range(200)] + [(5, f"five {i}") for i in range(300)] + [(i, f"doc {i}") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        tokens = token_output.tokenize(docs, JSON, 2, "doc_id", "text")
+        sizes = {(r["doc_id"], r["_part"]): r["count"] for r in tokens.groupBy("doc_id", "_part").count().collect()}
+        assert max(sizes.values()) <= 80 and sum(1 for i, _ in sizes if i == 5) > 3 and sum(1 for i, _ in sizes if i is None) > 3
+        found = token_output.read_tokens(*token_output.write_tokens(docs, JSON, 2)).orderBy("start").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ids = [r["doc_id"] if r["doc_id"] is not None else -1 for r in found]
+    assert ids == sorted(ids) and collections.Counter(ids) == {-1: 200, 5: 301, **{i: 1 for i in range(100) if i != 5}}
+    assert [r["start"] for r in found] == [0, *np.cumsum([r["n_tokens"] for r in found])[:-1].tolist()]
