@@ -75,6 +75,9 @@ class Session(StatefulProcessor):
         self.patterns = handle.getMapState("patterns", "pattern string", "n long, first_line long, last_line long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.place.exists() and self.place.get()[1] <= timerValues.getCurrentWatermarkInMs():  # its time is over, but its timer comes after the rows
+            self.handle.deleteTimer(self.place.get()[1])
+            yield self.closed(key)
         last, timer = self.place.get() if self.place.exists() else (0, 0)
         start, seen, latest, touched = last, set(), 0, {}
         for part in rows:
@@ -101,13 +104,16 @@ class Session(StatefulProcessor):
         yield _session_rows(key[0], names, [touched[p] for p in names], last, False)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last, timer = self.place.get()
-        if timer != expiredTimerInfo.getExpiryTimeInMs():
-            return
+        if self.place.exists() and self.place.get()[1] == expiredTimerInfo.getExpiryTimeInMs():
+            yield self.closed(key)
+
+    def closed(self, key) -> pd.DataFrame:
+        """All patterns of the session, whose state goes."""
+        last, _ = self.place.get()
         found = [(k[0], v) for k, v in self.patterns.iterator()]
         self.place.clear()
         self.patterns.clear()
-        yield _session_rows(key[0], [k for k, _ in found], [v for _, v in found], last, True)
+        return _session_rows(key[0], [k for k, _ in found], [v for _, v in found], last, True)
 
     def close(self) -> None:
         pass
