@@ -69,6 +69,7 @@ class TextIndex:
         placed = attach_groups(known, sizes.select("term", "level", "n", "parts"), ["term", "level"], "n", rows_of)
         placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         blocks = placed.groupBy("term", "level", "part").agg(F.collect_list(F.struct("id", "impact", "at")).alias("postings")).withColumn("bucket", _bucket(F.col("term")))
+        blocks = staged(blocks, "index_blocks")  # ranges are sampled, which would make them twice
         save(blocks.repartitionByRange("bucket", "term", "level", "part").sortWithinPartitions("bucket", "term", "level", "part"), "blocks", "bucket")
         save(sizes.select(_bucket(F.col("term")).alias("bucket"), "term", "level", "n", "top").repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), "levels", "bucket")
         return cls(spark, folder)

@@ -101,8 +101,8 @@ ORACLE_SQL["rule_updates"] = f"""
     WITH {a.RULES}, {a.FEEDBACK}, u AS (SELECT rule_id, max(CASE WHEN feedback_type = 'corrected' THEN 'low' END) AS p, round(avg(value) / 500, 6) AS c FROM feedback GROUP BY rule_id)
     SELECT rule_id, coalesce(p, priority) AS priority, coalesce(c, confidence) AS confidence FROM rules LEFT JOIN u USING (rule_id)"""
 
-QUERIES["pruned_patterns"] = lambda s, d: rules.kept_recent(a.table(s, d, "events").groupBy("user_id").agg(F.min("ts").alias("last_seen")), "last_seen", F.lit("2024-06-29").cast("timestamp"), 179).select("user_id")
-ORACLE_SQL["pruned_patterns"] = "SELECT user_id FROM events GROUP BY user_id HAVING epoch_us(TIMESTAMP '2024-06-29') - epoch_us(min(ts)) <= 179 * 86400000000"
+QUERIES["pruned_patterns"] = lambda s, d: rules.kept_recent(a.table(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen")), "last_seen", F.lit("2024-06-29").cast("timestamp"), 151).select("user_id")
+ORACLE_SQL["pruned_patterns"] = "SELECT user_id FROM events GROUP BY user_id HAVING epoch_us(TIMESTAMP '2024-06-29') - epoch_us(max(ts)) <= 151 * 86400000000"
 
 QUERIES["temporal_decay"] = lambda s, d: a.table(s, d, "events").groupBy("user_id").agg(F.max("ts").alias("last")).select("user_id", F.round(scoring.staleness(scoring.days_between(F.lit("2024-06-01").cast("timestamp"), F.col("last"))), 6).alias("factor"))
 ORACLE_SQL["temporal_decay"] = """WITH x AS (SELECT user_id, (epoch_us(TIMESTAMP '2024-06-01') - epoch_us(max(ts))) / 86400000000.0::DOUBLE AS days FROM events GROUP BY user_id)

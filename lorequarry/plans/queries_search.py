@@ -77,8 +77,8 @@ def _matches_sql(words, *clauses):
     SELECT id, round(sum(score), 6) AS score FROM c GROUP BY id HAVING count(DISTINCT clause) = {len(clauses)}"""
 
 
-QUERIES["fulltext_documents"] = lambda s, d: fulltext.TextIndex.build(_texts(s, d), "doc_id", "text").match("than", "the*", "de*")
-ORACLE_SQL["fulltext_documents"] = _matches_sql(f"w AS (SELECT doc_id AS id, {a.words_sql('text')} AS w FROM documents)", ("word", "than"), ("prefix", "the"), ("prefix", "de"))
+QUERIES["fulltext_documents"] = lambda s, d: fulltext.TextIndex.build(_texts(s, d), "doc_id", "text").match("and the", "to", "in*")
+ORACLE_SQL["fulltext_documents"] = _matches_sql(f"w AS (SELECT doc_id AS id, {a.words_sql('text')} AS w FROM documents)", ("phrase", ["and", "the"]), ("word", "to"), ("prefix", "in"))
 QUERIES["fulltext_rules"] = lambda s, d: fulltext.TextIndex.build(a.rules(s, d), "rule_id", "content").match("instead of guessing", "see", "gu*").join(a.rules(s, d).select(F.col("rule_id").alias("id"), "confidence"), "id")
 ORACLE_SQL["fulltext_rules"] = _matches_sql(f"{a.RULES}, w AS (SELECT rule_id AS id, {a.words_sql('content')} AS w FROM rules)", ("phrase", ["instead", "of", "guessing"]), ("word", "see"), ("prefix", "gu")).replace(
     "SELECT id, round(sum(score), 6) AS score FROM c", "SELECT id, round(sum(score), 6) AS score, any_value(confidence) AS confidence FROM c JOIN rules ON rule_id = id"
