@@ -75,7 +75,7 @@ def _markdown():
 
 QUERIES["rule_texts"] = lambda s, d: stores.parsed_rules(a.rules(s, d).select(F.col("rule_id").alias("path"), _markdown().alias("value"))).select(F.col("path").alias("rule_id"), F.col("meta")["id"].alias("id"), F.col("meta")["type"].alias("kind"), F.col("sections")["Reason"].alias("reason"), F.array_join("steps", "|").alias("steps"), F.array_join(F.array_sort(F.map_keys("sections")), ",").alias("titles"))
 ORACLE_SQL["rule_texts"] = f"WITH {a.RULES} SELECT rule_id, 'rule-' || lpad(CAST(rule_id AS VARCHAR), 5, '0') AS id, kind, 'so it is' AS reason, 'first ' || tech || '|then ' || functional AS steps, 'Description,Reason,Steps' AS titles FROM rules"
-QUERIES["next_rule_id"] = lambda s, d: stores.next_rule_id(a.rules(s, d).select(F.concat(F.when(F.col("rule_id") % 7 == 0, "old-").otherwise("rule-"), F.lpad(F.col("rule_id").cast("string"), 5, "0")).alias("rule_id")))
+QUERIES["next_rule_id"] = lambda s, d: stores.next_rule_id(a.rules(s, d).select(F.concat(F.when(F.col("rule_id") % 7 == 0, "old-").otherwise("rule-"), F.format_string("%05d", "rule_id")).alias("rule_id")))
 ORACLE_SQL["next_rule_id"] = f"WITH {a.RULES} SELECT 'rule-' || CAST(max(rule_id) + 1 AS VARCHAR) AS rule_id FROM rules WHERE rule_id % 7 > 0"
 QUERIES["rule_export"] = lambda s, d: stores.exported(a.rules(s, d), "kind").withColumn("place", F.col("place").cast("long"))
 ORACLE_SQL["rule_export"] = f"""WITH {a.RULES} SELECT DISTINCT kind AS "group", 0::BIGINT AS place, '## ' || kind AS line FROM rules

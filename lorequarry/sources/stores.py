@@ -92,7 +92,7 @@ def exported(rules: DataFrame, group: str) -> DataFrame:
 def next_rule_id(rules: DataFrame) -> Column | DataFrame:
     """One row: the id after the largest rule-NNN."""
     number = F.regexp_extract("rule_id", r"^rule-(\d+)$", 1)
-    top = rules.agg(F.coalesce(F.max(F.when(number != "", number.cast("int"))), F.lit(0)).alias("n"))
+    top = rules.agg(F.coalesce(F.max(F.when(number != "", number.cast("decimal(37,0)"))), F.lit(0)).alias("n"))
     following = (F.col("n") + 1).cast("string")
     return top.select(F.concat(F.lit("rule-"), F.when(F.col("n") < 999, F.lpad(following, 3, "0")).otherwise(following)).alias("rule_id"))
 

@@ -53,6 +53,16 @@ def test_stores(spark, tmp_path):
     assert sorted(r["v"] for r in stores.replayed(log, "id", "pos").collect()) == ["y", "z"]
 
 
+def test_next_rule_id_keeps_all_digits(spark, same_as_sql, tmp_path):
+    from lorequarry.plans import queries_sources
+
+    ids = spark.createDataFrame([("rule-99999",), ("rule-20000000000",)], "rule_id string")
+    assert stores.next_rule_id(ids).first()["rule_id"] == "rule-20000000001"
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").withColumn("p_partkey", F.col("p_partkey") + 123400).coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "part.parquet")
+    assert same_as_sql(queries_sources.QUERIES["next_rule_id"], queries_sources.ORACLE_SQL["next_rule_id"], str(tmp_path)) == 1
+
+
 def test_json_repair(spark):
     texts = ["```json\n{\"a\": 1,}\n```", "so: {'a': 1}", "[1, 2,]", "nothing"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
