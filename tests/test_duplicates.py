@@ -113,3 +113,40 @@ def test_uncovered_patterns_of_odd_tables(spark):
     patterns = spark.createDataFrame([(1, "Use hooks always"), (2, ""), (3, None), (4, "other"), (5, "hooks")], "id long, pattern string")
     free = lambda rules: {r["id"] for r in joins.uncovered(patterns, spark.createDataFrame([(r,) for r in rules], "rule_text string"), "id", 5).collect()}
     assert free(["please use hooks"]) == {3, 4} and free([""]) == {3} and free([None]) == free([]) == {1, 2, 3, 4, 5}
+
+
+@pytest.mark.parametrize("rows_a_piece,part", [(1000, 0.4), (20, 0.4), (20, 1.0), (20, 0.02)])
+@pytest.mark.parametrize("most", [None, 3])
+def test_leaders_without_pairs(spark, monkeypatch, rows_a_piece, part, most):
+    """Pieces of any size, dense and sparse blocks, give the leaders of a loop."""
+    import numpy as np
+
+    from lorequarry.operators import leaders
+
+    monkeypatch.setattr(leaders, "PIECE_ROWS", rows_a_piece)
+    rnd = random.Random(int(part * 100) + rows_a_piece)
+    rows = [(rnd.choice("xyy"), i, rnd.randrange(5), rnd.randrange(int(1 / part * 3))) for i in range(150)] + [(None, 200, 0, 0)]
+    close = 1 if part > 0.1 else 0
+
+    def prepare(table):
+        v = table.column("v").to_numpy()
+        return lambda i, others: np.abs(v[others] - v[i]) <= close
+
+    table = spark.createDataFrame(rows, "block string, id long, seed long, v long")
+    pairs = lambda some: some.alias("p").join(some.alias("q"), "block").where(f"p.id < q.id and abs(p.v - q.v) <= {close}").selectExpr("p.id as a", "q.id as b")
+    got = leaders.leader_clusters(table, ["block"], ["seed"], prepare, pairs, most)
+    order = [r for r in sorted(rows, key=lambda r: (r[2], r[1]))]
+    alike = [(p[1], q[1]) for p in rows for q in rows if p[1] < q[1] and p[0] == q[0] and p[0] and abs(p[3] - q[3]) <= close]
+    assert {r["id"]: r["leader"] for r in got.collect()} == plain_leaders([r[1] for r in order], alike, most)
+
+
+def test_like_contents_are_never_paired(spark, monkeypatch):
+    """Four thousand contents that are all alike meet their leader only."""
+    from lorequarry.operators import near
+
+    def none(*_):
+        raise AssertionError("pairs were made")
+
+    monkeypatch.setattr(near, "similar", none)
+    rows = contents(spark, [(i, i // 9, "p", ["a", "b"], 100 + i % 7, 0.5) for i in range(4000)])
+    assert {r["leader"] for r in duplicates.labelled_clusters(rows).collect()} == {0}
