@@ -150,3 +150,36 @@ def test_like_contents_are_never_paired(spark, monkeypatch):
     monkeypatch.setattr(near, "similar", none)
     rows = contents(spark, [(i, i // 9, "p", ["a", "b"], 100 + i % 7, 0.5) for i in range(4000)])
     assert {r["leader"] for r in duplicates.labelled_clusters(rows).collect()} == {0}
+
+
+def compared(monkeypatch):
+    """How many rows near.similar is given, one number for each call."""
+    from lorequarry.operators import near
+
+    seen, similar = [], near.similar
+    monkeypatch.setattr(near, "similar", lambda rows, *other: (seen.append(rows.count()), similar(rows, *other))[1])
+    return seen
+
+
+def test_rules_of_one_text_are_compared_once(spark, monkeypatch):
+    seen = compared(monkeypatch)
+    rules = [(i, "k", "global", None, ["memo", "hook"], [f"t{i}"], ["ui"], [f"b{i}"], "use hooks", 0.5) for i in range(30)] + [(99, "k", "global", None, ["sql"], ["t1"], ["ui"], ["b1"], "other", 0.5)]
+    pairs = duplicates.rule_pairs(spark.createDataFrame(rules, RULE)).collect()
+    assert sorted((r["a"], r["b"], r["similarity"], r["action"]) for r in pairs) == [(a, b, 0.8, "merge") for a in range(30) for b in range(a + 1, 30)] and seen == [2]
+
+
+PATTERN = "pattern_id long, pattern_type string, keywords array<string>, description string, context string, confidence double"
+
+
+def test_patterns_of_one_text_are_compared_once(spark, monkeypatch):
+    """Copies and other contexts of one text are no rows of the comparison; all their pairs are there."""
+    seen = compared(monkeypatch)
+    rows = [(i, "p", ["memo"], "use hooks now", ["alpha", "beta"][i % 2], 0.5) for i in range(20)] + [(99, "p", ["sql"], "another thing", "alpha", 0.5)]
+    got = sorted((r["a"], r["b"], r["similarity"]) for r in duplicates.pattern_pairs(spark.createDataFrame(rows, PATTERN), 0.7).collect())
+    assert got == [(a, b, 1.0 if (a - b) % 2 == 0 else 0.9) for a in range(20) for b in range(a + 1, 20)] and seen == [2, 2]
+
+
+def test_clusters_of_like_patterns_need_no_pairs(spark, monkeypatch):
+    seen = compared(monkeypatch)
+    rows = spark.createDataFrame([(i, "p", ["memo"], "use hooks now", None, 0.5) for i in range(200)], PATTERN)
+    assert {r["pattern_id"]: r["leader"] for r in duplicates.pattern_clusters(rows).collect()} == {i: i - i % 10 for i in range(200)} and seen == []
