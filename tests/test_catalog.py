@@ -121,3 +121,23 @@ def test_partitions_do_not_change_results(spark, sf):
         assert sorted(map(tuple, catalog.QUERIES[name](spark, sf).collect())) == a
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.55, 0.8])
+def test_rare_items_lose_no_pair(spark, monkeypatch, threshold):
+    """Sets that meet by their rare items give the pairs of a loop, over small steps and batches; no tile is made."""
+    for name, value in (("LEAST_ROWS", 0), ("PAIRS", 50), ("ORDER_ROWS", 100), ("CANDIDATES", 1000)):
+        monkeypatch.setattr(near, name, value, raising=False)
+    rnd = random.Random(3)
+    sets = {}
+    for i in range(400):
+        size = rnd.choice([1, 2, 3, 8, 30, 120])
+        sets[i] = {int(4000 * rnd.random() ** 3) for _ in range(size)} if i % 3 or not i else {x for x in sets[rnd.randrange(i)] if rnd.random() < 0.9} | {rnd.randrange(4000)}
+    block = {i: "b" if i % 7 == 0 else "hot" for i in sets}
+    rows = staged(spark.createDataFrame([(block[i], i, sorted(s)) for i, s in sets.items()], "block string, id long, items array<long>"), "rows")
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    found = near.similar(rows, ["block"], threshold)
+    got = sorted((r["a"], r["b"], round(r["score"], 5)) for r in found.collect())
+    want = [(a, b, round(like(a, b), 5)) for a in sets for b in sets if a < b and block[a] == block[b] and like(a, b) >= threshold]
+    assert got == want and len(want) > 30
+    assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
