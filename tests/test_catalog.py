@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from lorequarry.operators import duplicates, graphs, near
 from lorequarry.plans import catalog, queries_near
 from lorequarry.staging import staged
@@ -141,3 +143,28 @@ def test_rare_items_lose_no_pair(spark, monkeypatch, threshold):
     want = [(a, b, round(like(a, b), 5)) for a in sets for b in sets if a < b and block[a] == block[b] and like(a, b) >= threshold]
     assert got == want and len(want) > 30
     assert "FlatMapGroupsInArrow" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_a_large_block_go_to_few_parts(spark):
+    """40,000 rows of a block are eight parts, not forty; more than 64,000 grow again."""
+    rows = spark.range(40_000).selectExpr("'b' as block", "id", "array(id) as items")
+    assert [r["parts"] for r in near._parts(rows, ["block"], F.lit(0)).collect()] == [8]
+    assert [r["parts"] for r in near._parts(spark.range(100_000).selectExpr("'b' as block", "id", "array(id) as items"), ["block"], F.lit(0)).collect()] == [13]
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_products_of_rare_and_frequent_items(monkeypatch, weighted):
+    """Items multiplied in a few columns at a time and those counted pair by pair add up to all."""
+    import numpy as np
+    import pyarrow as pa
+
+    for name, value in (("COLUMNS", 5), ("CELLS", 20), ("AT_ONCE", 30)):
+        monkeypatch.setattr(near, name, value, raising=False)
+    rng = np.random.default_rng(1)
+    sides = []
+    for n in (40, 23):
+        items = [sorted(set((300 * rng.random(rng.integers(0, 60)) ** 3).astype(int).tolist())) for _ in range(n)]
+        weights = [rng.random(len(s)).tolist() for s in items]
+        sides.append((pa.table({"items": pa.array(items, pa.list_(pa.int64())), "weights": pa.array(weights, pa.list_(pa.float64()))}), [dict(zip(s, w if weighted else [1] * len(s), strict=True)) for s, w in zip(items, weights, strict=True)]))
+    want = [[sum(w * q.get(i, 0) for i, w in p.items()) for q in sides[1][1]] for p in sides[0][1]]
+    assert np.allclose(near._products(sides[0][0], sides[1][0], weighted), want)
