@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,18 +118,25 @@ def fused(results: DataFrame, min_weight: float = 0.3) -> DataFrame:
 
 
 def pair_counts(rows: DataFrame, content: str, wanted: list[str]) -> DataFrame:
-    """rows with _pairs, the distinct character pairs of a text without white space, and _shared, those among the wanted. No rows move."""
+    """rows without the text, with _pairs, the distinct character pairs of a text without white space, and _shared, those among the wanted.
+
+    No rows move. Texts come alone, a few at a time, and are counted one by one.
+    """
     dense = rows.withColumn("_dense", F.regexp_replace(F.lower(content), r"\s+", ""))
     query = frozenset(wanted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [{t[i : i + 2] for i in range(len(t) - 1)} for t in (x or "" for x in batch.column("_dense").to_pylist())]
-            kept = [batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([len(p) for p in own], pa.int32()), pa.array([len(p & query) for p in own], pa.int32())], [*names, "_pairs", "_shared"])
-
-    names = rows.columns
-    schema = T.StructType([*rows.schema.fields, T.StructField("_pairs", T.IntegerType()), T.StructField("_shared", T.IntegerType())])
+            found = np.zeros((2, batch.num_rows), np.int32)
+            for i, t in enumerate(batch.column("_dense")):
+                t = t.as_py() or ""
+                own = set(map(str.__add__, t, t[1:]))
+                found[:, i] = len(own), len(own & query)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, found)], [*names, "_pairs", "_shared"])
+
+    names = [c for c in rows.columns if c != content]
+    dense = dense.drop(content)
+    schema = T.StructType([*(f for f in rows.schema.fields if f.name != content), T.StructField("_pairs", T.IntegerType()), T.StructField("_shared", T.IntegerType())])
     return dense.mapInArrow(count, schema)
 
 
@@ -149,8 +157,10 @@ def search_memory(memories: DataFrame, query: str, now: Column, limit: int, inde
     else:
         success = F.when(F.col("outcome") == "success", 1.0).otherwise(0.0)
         score = scoring.memory_score(F.col("semantic"), F.col("lexical"), F.lit(0.0), *own, recent, success, F.col("contradictions"))
-    counted = pair_counts(memories.filter("status = 'active'"), "content", pairs)
+    needed = ["memory_id", "importance", "confidence", "strength", "validations", "contradictions", "created_at", "outcome"]
+    active = memories.filter("status = 'active'").select("content", lexical.alias("lexical"), *(c for c in needed if c in memories.columns))
+    counted = pair_counts(active, "content", pairs)
     semantic = F.when(F.col("_pairs") + len(pairs) > F.col("_shared"), F.col("_shared") / (F.col("_pairs") + len(pairs) - F.col("_shared"))).otherwise(0.0)
-    scored = counted.withColumns({"lexical": lexical, "semantic": semantic})
+    scored = counted.withColumn("semantic", semantic)
     found = scored.filter((F.col("lexical") > 0) | (F.col("semantic") >= 0.18)).select("memory_id", F.round("lexical", 6).alias("lexical"), F.round("semantic", 6).alias("semantic"), F.round(score, 6).alias("score"))
     return found.filter("score > 0.12").orderBy(F.desc("score"), "memory_id").limit(limit)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lorequarry.operators import automaton, fulltext, near, vectors
+from lorequarry.operators import automaton, fulltext, near, search, vectors
 from lorequarry.plans import queries_memory
 
 
@@ -200,3 +200,11 @@ def test_search_reads_the_buckets_and_levels_of_its_terms_only(spark, sf):
 def test_text_index_of_an_empty_table(spark):
     index = fulltext.TextIndex.build(spark.createDataFrame([], "id long, body string"), "id", "body")
     assert index.top("a", 3).collect() == index.match("a").collect() == index.match("a b").collect() == []
+
+
+def test_searched_texts_reach_python_once(spark):
+    """Only the text without white space goes to the workers that count its pairs, and comes back from none."""
+    rows = spark.createDataFrame([(1, "Ab  aB\ncd"), (2, None), (3, "x")], "id long, body string")
+    counted = search.pair_counts(rows, "body", ["ab", "ba", "zz"])
+    assert counted.columns == ["id", "_pairs", "_shared"]
+    assert sorted(map(tuple, counted.collect())) == [(1, 4, 2), (2, 0, 0), (3, 0, 0)]
