@@ -9,16 +9,21 @@ levels, the largest impact first of all) and `texts` (the words of each text).
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import text
-from ..staging import attach_groups, scratch, small, staged
+from ..staging import HOT_PARTS, scratch, small, staged
 
 #: Postings of a block, about; levels of impact; folders of blocks.
 BLOCK, LEVELS, BUCKETS = 1000, 24, 32
+#: Words whose postings leave a task at a time.
+PLACES = 100_000
 K1, B = 1.2, 0.75
 
 
@@ -56,24 +61,50 @@ class TextIndex:
         save(texts.agg(F.count("*").alias("n"), F.coalesce(F.avg(F.size("words")), F.lit(0.0)).alias("mean")), "stats")
         n, mean = spark.read.parquet(f"{folder}/stats").first()
 
-        # The positions of a text's words are gathered where the text is read.
-        each = texts.select("id", F.size("words").alias("len"), F.posexplode("words").alias("at", "term"))
-        found = staged(each.groupBy("id", "len", "term").agg(F.array_sort(F.collect_list("at")).alias("at")), "postings")
-        df = staged(found.groupBy("term").agg(F.count("*").alias("df")), "frequencies")
-        rows_of = found.count()
-        known = attach_groups(found, df, ["term"], "df", rows_of)
-        weight, share = cls._impact(F.size("at"), F.col("len"), F.col("df"), n, mean)
+        # A text's postings are made where it is read, and move once, to their block. Levels follow from the share alone.
+        share = cls._impact(F.size("at"), F.col("len"), F.lit(0), n, mean)[1]
         level = F.least(F.lit(LEVELS - 1), F.floor((1 - share / (K1 + 1)) * LEVELS)).cast("int")  # 0 has the largest
-        known = staged(known.select("id", "term", "at", (weight * share).alias("impact"), level.alias("level")), "impacts")
-        sizes = staged(known.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("impact").alias("top"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts")), "level_sizes")
-        placed = attach_groups(known, sizes.select("term", "level", "n", "parts"), ["term", "level"], "n", rows_of)
-        placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        blocks = placed.groupBy("term", "level", "part").agg(F.collect_list(F.struct("id", "impact", "at")).alias("postings")).withColumn("bucket", _bucket(F.col("term")))
-        blocks = staged(blocks, "index_blocks")  # ranges are sampled, which would make them twice
-        save(blocks.repartitionByRange("bucket", "term", "level", "part").sortWithinPartitions("bucket", "term", "level", "part"), "blocks", "bucket")
+        found = staged(cls._postings(texts).select("id", "term", "at", share.alias("share"), level.alias("level")), "postings")
+        counted = staged(found.groupBy("term", "level").agg(F.count("*").alias("n"), F.max("share").alias("top")), "level_counts")
+        df = counted.groupBy("term").agg(F.sum("n").alias("df"))
+        weight = cls._impact(F.lit(1), F.lit(1), F.col("df"), n, mean)[0]
+        sizes = counted.join(df, "term").select("term", "level", "n", (weight * F.col("top")).alias("top"), weight.alias("weight"), F.ceil(F.col("n") / BLOCK).cast("int").alias("parts"))
+        sizes = staged(sizes, "level_sizes")
+        key, limit = ["term", "level"], max(2, found.count() // HOT_PARTS)
+        known = sizes.select(*key, "n", "weight", "parts")
+        hot, cold = known.filter(F.col("n") >= limit), known.filter(F.col("n") < limit)  # as in attach_groups, where both sides would move again
+        sides = (found.join(F.broadcast(hot), key), found.join(F.broadcast(hot.select(*key)), key, "left_anti").join(cold, key))
+        part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+        posting = F.struct("id", (F.col("weight") * F.col("share")).alias("impact"), "at")
+        blocks = reduce(DataFrame.unionByName, (side.groupBy(*key, part.alias("part")).agg(F.collect_list(posting).alias("postings")) for side in sides))
+        save(blocks.withColumn("bucket", _bucket(F.col("term"))).sortWithinPartitions("bucket", "term", "level", "part"), "blocks", "bucket")
         save(sizes.select(_bucket(F.col("term")).alias("bucket"), "term", "level", "n", "top").repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term"), "levels", "bucket")
         return cls(spark, folder)
 
+    @staticmethod
+    def _postings(texts: DataFrame) -> DataFrame:
+        """id, len, term, at (the places of the term) of texts (id, words). No rows move."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, sizes, terms, places, held = [], [], [], [], 0
+                for i, words in enumerate(batch.column("words")):
+                    words, own = words.as_py(), {}
+                    for at, w in enumerate(words):
+                        own.setdefault(w, []).append(at)
+                    rows += [i] * len(own)
+                    sizes += [len(words)] * len(own)
+                    terms += own.keys()
+                    places += own.values()
+                    held += len(words)
+                    if held >= PLACES or i == batch.num_rows - 1:
+                        columns = [batch.column("id").take(pa.array(rows, pa.int64())), pa.array(sizes, pa.int32()), pa.array(terms, pa.string()), pa.array(places, pa.list_(pa.int32()))]
+                        yield pa.RecordBatch.from_arrays(columns, ["id", "len", "term", "at"])
+                        rows, sizes, terms, places, held = [], [], [], [], 0
+
+        fields = [texts.schema["id"], T.StructField("len", T.IntegerType()), T.StructField("term", T.StringType()), T.StructField("at", T.ArrayType(T.IntegerType()))]
+        return texts.select("id", "words").mapInArrow(run, T.StructType(fields))
+
     @staticmethod
     def _impact(tf: Column, length: Column, df: Column, n: int, mean: float) -> tuple[Column, Column]:
         """The idf of a term and the share of it that a posting gets."""

@@ -208,3 +208,10 @@ def test_searched_texts_reach_python_once(spark):
     counted = search.pair_counts(rows, "body", ["ab", "ba", "zz"])
     assert counted.columns == ["id", "_pairs", "_shared"]
     assert sorted(map(tuple, counted.collect())) == [(1, 4, 2), (2, 0, 0), (3, 0, 0)]
+
+
+def test_postings_are_made_where_texts_are_read(spark):
+    texts = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["b"])], "id long, words array<string>")
+    made = fulltext.TextIndex._postings(texts)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, made.collect())) == [(1, 3, "a", [0, 2]), (1, 3, "b", [1]), (3, 1, "b", [0])]
