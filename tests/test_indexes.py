@@ -63,6 +63,20 @@ def test_fifty_thousand_words_in_all_documents(spark, sf):
     assert {(r["doc_id"], r["word"]): r["hits"] for r in got} == want
 
 
+def test_parts_of_a_dictionary_in_one_scan(spark, monkeypatch):
+    """A dictionary that is sent in parts is met in one scan of the texts, and in more only beyond what a worker may hold; nothing is lost."""
+    texts = [(i, f"word{i} and Word{i + 1} here") for i in range(30)]
+    words = [(f"w{i}", f"word{i}") for i in range(25)] + [("again", "WORD3"), ("none", "")]
+    messages, signals = spark.createDataFrame(texts, "doc long, body string"), spark.createDataFrame(words, "signal_id string, text string")
+    want = plain_occurrences(texts, words, 7)
+    monkeypatch.setattr(automaton, "BROADCAST_BYTES", 200)
+    for limit, least, most in ((1 << 20, 1, 1), (1000, 2, 9)):
+        monkeypatch.setattr(automaton, "SCAN_BYTES", limit)
+        got = automaton.occurrences(messages, signals, ["doc"], "body", 7)
+        assert least <= got._jdf.queryExecution().analyzed().toString().count("MapInArrow") <= most
+        assert collections.Counter(map(tuple, got.collect())) == want
+
+
 def test_vocabulary_in_documents(spark, sf):
     found = queries_memory.QUERIES["vocabulary_occurrences"](spark, sf)
     words = {w for r in spark.read.parquet(f"{sf}/conversations.parquet").select("text").collect() for w in re.findall("[a-z]{6,}", (r["text"] or "").lower())}
