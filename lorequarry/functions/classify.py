@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import present
+
 # The patterns of the cognitive classes and of sensitive content.
 ONE_TIME = [
     r"(?i)^(请|能不能|帮我|可以吗|麻烦|帮忙)",
@@ -163,7 +165,7 @@ def meta_reasons(text: Column, phrases: list[str] = META_PHRASES, own: list[str]
     """The phrases about the assistant itself that a text holds, each with its kind."""
     low = F.lower(F.coalesce(text, F.lit("")))
     found = [F.when(low.contains(p.lower()), F.lit(f"{kind}:{p}")) for kind, words in (("meta-phrase", phrases), ("self-ref", own)) for p in words]
-    return F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return present(*found)
 
 
 def generality_discount(paths: Column, keywords: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .scoring import clamp
+from .text import present
 
 # The words that raise or lower a score, in two languages, and what each is worth.
 VAGUE = ["maybe", "possibly", "sometimes", "might", "could", "也许", "可能", "或许", "大概", "有时", "尽量"]
@@ -68,7 +69,7 @@ def assessed(content: Column, keywords: Column, confidence: Column, meta: Column
     """struct(clarity, specificity, actionability, overall, issues, suggestions)."""
     scores = {"clarity": clarity(content), "specificity": specificity(content, meta), "actionability": actionability(content)}
     tests = [F.round(scores[name], 9) < least for name, least, _, _ in ISSUES] + [confidence < 0.4]
-    listed = lambda texts, more: F.filter(F.array(*(F.when(t, F.lit(x)) for t, x in zip(tests, texts, strict=True)), *more), lambda x: x.isNotNull())
+    listed = lambda texts, more: present(*(F.when(t, F.lit(x)) for t, x in zip(tests, texts, strict=True)), *more)
     overall = scores["clarity"] * 0.4 + scores["specificity"] * 0.3 + scores["actionability"] * 0.3
     bare = F.when(F.size(F.coalesce(keywords, F.array().cast("array<string>"))) == 0, F.lit(NO_KEYWORDS))
     return F.struct(
@@ -108,5 +109,5 @@ def cleanup_score(keywords: Column, has_scene: Column, description: Column, conf
     """struct(score, issues) of a stored rule; least: its keywords, characters of its description, and confidence."""
     tests = [(F.size(keywords) < least[0], 0.15, "low-keywords"), (~has_scene, 0.25, "missing-scene"), (F.length(description) < least[1], 0.2, "weak-description"), (confidence < least[2], 0.3, "low-confidence")]
     score = F.greatest(F.lit(0.0), 1.0 - sum((worth(t, v) for t, v, _ in tests), F.lit(0.0)))
-    found = F.filter(F.array(*(F.when(t, F.lit(name)) for t, _, name in tests)), lambda x: x.isNotNull())
+    found = present(*(F.when(t, F.lit(name)) for t, _, name in tests))
     return F.struct(F.round(score, 6).alias("score"), found.alias("issues"))

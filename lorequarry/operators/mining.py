@@ -21,8 +21,7 @@ def user_messages(messages: DataFrame) -> DataFrame:
 def typed_messages(messages: DataFrame, keywords: dict[str, list[str]]) -> DataFrame:
     """A row for each message and pattern type whose keywords it holds, in either case."""
     types = [F.when(classify.any_word(F.col("content"), words), F.lit(kind)) for kind, words in sorted(keywords.items())]
-    found = F.filter(F.array(*types), lambda t: t.isNotNull())
-    return user_messages(messages).withColumn("pattern_type", F.explode(found))
+    return user_messages(messages).withColumn("pattern_type", F.explode(text.present(*types)))
 
 
 def described(messages: DataFrame, limit: int = 150) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, quality, text
 from ..operators import listing, mining, rules, stats
+from ..staging import spread
 from . import adapters as a
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -30,7 +31,7 @@ TECHNICAL = f"""greatest(0.0::DOUBLE, least(1.0::DOUBLE, least({_hits(CODE)} * 0
     + CASE WHEN contains(low, '```') OR regexp_matches(low, '\\.\\w{{1,4}}\\b') OR contains(low, '/') THEN 0.15 ELSE 0 END))"""
 SCORED = f"{a.RULES}, lw AS (SELECT *, lower(content) AS low FROM rules), sc AS (SELECT *, {CLARITY} AS clarity, {SPECIFICITY} AS specificity, {ACTION} AS actionability, {TECHNICAL} AS technical FROM lw)"
 
-QUERIES["rule_quality"] = lambda s, d: a.rules(s, d).select("rule_id", quality.assessed(F.col("content"), F.col("keywords"), F.col("confidence"), classify.meta(F.col("content"))).alias("q")).select(
+QUERIES["rule_quality"] = lambda s, d: spread(a.rules(s, d)).select("rule_id", quality.assessed(F.col("content"), F.col("keywords"), F.col("confidence"), classify.meta(F.col("content"))).alias("q")).select(
     "rule_id", "q.clarity", "q.specificity", "q.actionability", "q.overall", F.array_join("q.issues", "; ").alias("issues"), F.array_join("q.suggestions", "; ").alias("suggestions")
 )
 ORACLE_SQL["rule_quality"] = f"""
@@ -48,7 +49,7 @@ def _overall():
 
 
 OVERALL = "(greatest(0.0, least(1.0, confidence)) * 0.25 + clarity * 0.15 + specificity * 0.15 + actionability * 0.15 + 0.5 * 0.10 + technical * 0.15 + 0.05)"
-QUERIES["unified_quality"] = lambda s, d: a.rules(s, d).select("rule_id", F.round(_overall(), 6).alias("overall"), F.round(quality.technical_relevance(F.col("content"), F.concat(F.col("keywords"), F.array("tech"))), 6).alias("technical_relevance"), F.round(quality.scene_completeness(*(F.array_compact(F.array(c)) for c in ("tech", "functional", "business"))), 6).alias("scene_completeness"))
+QUERIES["unified_quality"] = lambda s, d: spread(a.rules(s, d)).select("rule_id", F.round(_overall(), 6).alias("overall"), F.round(quality.technical_relevance(F.col("content"), F.concat(F.col("keywords"), F.array("tech"))), 6).alias("technical_relevance"), F.round(quality.scene_completeness(*(F.array_compact(F.array(c)) for c in ("tech", "functional", "business"))), 6).alias("scene_completeness"))
 ORACLE_SQL["unified_quality"] = f"WITH {SCORED} SELECT rule_id, round({OVERALL}, 6)::DOUBLE AS overall, round(technical, 6) AS technical_relevance, round(((tech IS NOT NULL)::INT + (functional IS NOT NULL)::INT + (business IS NOT NULL)::INT) / 3.0::DOUBLE, 6) AS scene_completeness FROM sc"
 
 
@@ -123,17 +124,17 @@ ORACLE_SQL["prefilter"] = f"""
         FROM f JOIN o ON o.session_id = f.session_id AND o.k = f.k + 1,
         LATERAL (SELECT coalesce(o.own, CASE WHEN len(f.last) > 0 AND len(o.x) > 0 AND len(list_intersect(o.x, f.last)) / (len(o.x) + len(f.last) - len(list_intersect(o.x, f.last)))::DOUBLE > 0.9 THEN 'duplicate' ELSE 'kept' END) AS verdict) v)
     SELECT session_id, line_number, verdict FROM f"""
-QUERIES["noise_filter"] = lambda s, d: a.rules(s, d).select("rule_id", F.array_join(classify.meta_reasons(F.col("content")), ",").alias("reasons")).withColumn("kept", F.col("reasons") == "")
+QUERIES["noise_filter"] = lambda s, d: spread(a.rules(s, d)).select("rule_id", F.array_join(classify.meta_reasons(F.col("content")), ",").alias("reasons")).withColumn("kept", F.col("reasons") == "")
 ORACLE_SQL["noise_filter"] = f"WITH {a.RULES} SELECT rule_id, CASE WHEN contains(lower(content), 'you are an ai') THEN 'meta-phrase:you are an ai' ELSE '' END AS reasons, NOT contains(lower(content), 'you are an ai') AS kept FROM rules"
 QUERIES["generality_discount"] = lambda s, d: a.rules(s, d).select("rule_id", classify.generality_discount(F.when(F.col("scope") == "project", F.array("project_path")), F.transform("keywords", lambda k: F.when(k == "gear", "React hooks").otherwise(k))).alias("discount"))
 ORACLE_SQL["generality_discount"] = f"WITH {a.RULES} SELECT rule_id, CASE WHEN scope = 'project' OR list_contains(keywords, 'gear') THEN 1.0 ELSE 0.85 END::DOUBLE AS discount FROM rules"
-QUERIES["security_messages"] = lambda s, d: a.rules(s, d).select("rule_id", classify.security_message(F.concat(F.when(F.col("rule_id") % 3 == 0, "should validate input ").otherwise(""), F.col("content")), ["never use"], ["ring", "api"]).alias("keyword"))
+QUERIES["security_messages"] = lambda s, d: spread(a.rules(s, d)).select("rule_id", classify.security_message(F.concat(F.when(F.col("rule_id") % 3 == 0, "should validate input ").otherwise(""), F.col("content")), ["never use"], ["ring", "api"]).alias("keyword"))
 ORACLE_SQL["security_messages"] = f"""
     WITH {a.RULES}, t AS (SELECT rule_id, CASE WHEN rule_id % 3 = 0 THEN 'should validate input ' ELSE '' END || content AS c FROM rules), l AS (SELECT *, lower(c) AS low FROM t)
     SELECT rule_id, CASE WHEN contains(low, 'never use') THEN 'never use' WHEN (regexp_matches(c, '(?i)(validate|sanitize|escape|filter)\\s+(\\w+|input|output|data|parameter)') OR regexp_matches(c, '(?i)(jwt|token|session|auth|permission|role|access control)') OR regexp_matches(c, '(?i)(encrypt|decrypt|hash|bcrypt|crypto|salt)') OR regexp_matches(c, '(?i)\\w+\\.(escape|sanitize|validate|filter)\\(') OR regexp_matches(c, '(?i)(if|check|verify)\\s+.*\\s+(auth|permission|valid|safe)') OR regexp_matches(c, '(?i)(prepared statement|parameterized query|sql parameter|query builder)|(innerHTML|dangerouslySetInnerHTML|DOM manipulation|script tag)'))
         AND (regexp_matches(c, '(需要|应该|必须|改成|修改|添加|使用)') OR regexp_matches(c, '(?i)(need to|should|must|change to|modify|add|use|fix|prevent)') OR regexp_matches(c, '(不要|别用|避免)') OR regexp_matches(c, '(?i)(don''t|avoid|never|remove)'))
         THEN CASE WHEN contains(low, 'ring') THEN 'ring' WHEN contains(low, 'api') THEN 'api' END END AS keyword FROM l"""
-QUERIES["write_gate"] = lambda s, d: a.rules(s, d).select("rule_id", classify.write_gate(F.col("content"), classify.content_category(F.col("content"), ["component", "use"], ["guessing", "everything", "slow"]).getField("allowed"), F.when(F.col("rule_id") % 2 == 0, "preference")).alias("verdict"))
+QUERIES["write_gate"] = lambda s, d: spread(a.rules(s, d)).select("rule_id", classify.write_gate(F.col("content"), classify.content_category(F.col("content"), ["component", "use"], ["guessing", "everything", "slow"]).getField("allowed"), F.when(F.col("rule_id") % 2 == 0, "preference")).alias("verdict"))
 _INFO = """CASE WHEN regexp_matches(t, '(?i)^(请|能不能|帮我|可以吗|麻烦|帮忙)|^(can you|could you|please|help me|would you)|^(how do|how to|how can|what should|should i)|^(给我|看看|检查|分析一下)|(能不能|可以吗|好吗|行吗)\\s*[?？]?\\s*$|this session is being continued from|summary below covers the earlier portion|^(为什么|怎么|如何|what|why|how)\\s|^(帮我看看|帮忙梳理|请帮我)|^(ok|okay|好的|收到|明白|got it|thanks|thank you)') THEN 'one-time'
     WHEN regexp_matches(t, '(我们团队|团队习惯|我更喜欢|我们约定|约定|规范|习惯|我们一般用|我们总是|以后都)|(?i)(we prefer|our team|we use|convention|we always|our practice|our convention)') THEN 'preference'
     WHEN tech AND fixes THEN 'experience' WHEN tech THEN 'fact' ELSE 'one-time' END"""
@@ -162,7 +163,7 @@ ORACLE_SQL["memory_types"] = f"""
         WHEN regexp_matches(trim(c, ' '), '^(always|never|must|should|prefer|recommend|避免|不要|必须|总是|统一|约定|建议)') THEN 'preference' ELSE 'repeated-correction' END AS kind FROM l"""
 QUERIES["framework_rules"] = lambda s, d: a.table(s, d, "documents").select("doc_id", listing.framework_rule(F.col("text"), F.col("source")).alias("framework"))
 ORACLE_SQL["framework_rules"] = "SELECT doc_id, regexp_matches(lower(text) || ' ' || lower(source), 'hooks|useeffect|usestate|usecallback|usememo|rules of hooks|循环里调用|条件里调用|reactive|ref|computed|watch|ngoninit|ngondestroy|changedetection') AS framework FROM documents"
-QUERIES["descriptions"] = lambda s, d: a.rules(s, d).select("rule_id", mining.description(F.concat(F.col("content"), F.lit("\nIn the end it should be `fixed` by all of us. Short. And so on and on")), F.when(F.col("rule_id") % 3 == 0, "preference").when(F.col("rule_id") % 3 == 1, "security").otherwise("repeated-correction")).alias("description"))
+QUERIES["descriptions"] = lambda s, d: spread(a.rules(s, d)).select("rule_id", mining.description(F.concat(F.col("content"), F.lit("\nIn the end it should be `fixed` by all of us. Short. And so on and on")), F.when(F.col("rule_id") % 3 == 0, "preference").when(F.col("rule_id") % 3 == 1, "security").otherwise("repeated-correction")).alias("description"))
 ORACLE_SQL["descriptions"] = f"""
     WITH {a.RULES}, x AS (SELECT rule_id, {TRIM.format("content || chr(10) || 'In the end it should be `fixed` by all of us. Short. And so on and on'")} AS c FROM rules),
     p AS (SELECT rule_id, c, list_filter(string_split_regex(c, '[。.!！\\n]+'), lambda s: length(trim(s, ' ')) > 10) AS s FROM x),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorequarry.operators import duplicates, graphs, near
-from lorequarry.plans import catalog, queries_near
+from lorequarry.plans import catalog, queries_near, queries_quality
 from lorequarry.staging import staged
 
 
@@ -168,3 +168,12 @@ def test_products_of_rare_and_frequent_items(monkeypatch, weighted):
         sides.append((pa.table({"items": pa.array(items, pa.list_(pa.int64())), "weights": pa.array(weights, pa.list_(pa.float64()))}), [dict(zip(s, w if weighted else [1] * len(s), strict=True)) for s, w in zip(items, weights, strict=True)]))
     want = [[sum(w * q.get(i, 0) for i, w in p.items()) for q in sides[1][1]] for p in sides[0][1]]
     assert np.allclose(near._products(sides[0][0], sides[1][0], weighted), want)
+
+
+def test_quality_of_rules_in_code_and_in_many_tasks(spark, sf):
+    """No lambda looks at a text again for each of its words, and a small file of rules is more than one task."""
+    found = queries_quality.QUERIES["rule_quality"](spark, sf)
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    reasons = queries_quality.QUERIES["noise_filter"](spark, sf)
+    assert "lambdafunction" not in reasons._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
