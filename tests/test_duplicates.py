@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from lorequarry.operators import duplicates, graphs
+from lorequarry.operators import duplicates, graphs, leaders
 
 
 def plain_leaders(order, pairs, most=None):
@@ -74,6 +74,27 @@ def test_rules_without_keywords_are_duplicates(spark):
     assert merged[1]["members"] == 3 and merged[1]["keywords"] == "" and merged[1]["confidence"] == pytest.approx(0.683333)
 
 
+def test_groups_of_rules_without_pairs(spark, monkeypatch):
+    """Where most rules of a block are alike no pairs are made; where few are, pairs give the same; each is held against a loop over pairs."""
+    rnd = random.Random(5)
+    some = lambda words: [w for w in words if rnd.random() < 0.7]
+    rules = [
+        (i, rnd.choice("kk-") if i % 50 else None, rnd.choice(["global", "project"]), rnd.choice(["/a", "/B/", None]), rnd.choice([some("xy"), some("xyz"), None]), rnd.choice([["T"], ["t"], ["u"], None, []]),
+         [rnd.choice("fg")], [rnd.choice("bc")], rnd.choice(["red bolt", "red nut", "the", "", None]), 0.5)
+        for i in range(300)
+    ]
+    table = spark.createDataFrame(rules, RULE)
+    known = duplicates.rule_classes(table)
+    pairs = [(r["a"], r["b"]) for r in duplicates.class_pairs(known, 0.75).collect()]
+    want = plain_leaders(sorted(r["class_id"] for r in known.collect()), pairs)
+    assert len(pairs) > 200
+    made, plain = [], duplicates.class_pairs
+    monkeypatch.setattr(duplicates, "class_pairs", lambda *a: made.append(1) or plain(*a))
+    assert {r["class_id"]: r["leader"] for r in duplicates.duplicate_groups(table).collect()} == want and not made
+    monkeypatch.setattr(leaders, "PIECE_ROWS", 10)
+    assert {r["class_id"]: r["leader"] for r in duplicates.duplicate_groups(table).collect()} == want
+
+
 def contents(spark, rows):
     return spark.createDataFrame(rows, "content_id long, session_id long, pattern_type string, signals array<string>, length long, confidence double")
 
