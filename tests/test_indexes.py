@@ -129,6 +129,20 @@ def test_vector_index_against_all_pairs(spark, monkeypatch):
     assert far.count() < 0.5 * len(asked) * 30
 
 
+def test_queries_for_many_lists_leave_in_small_batches(spark, monkeypatch):
+    """A query goes to every list where nothing is spared; no batch holds all copies of a batch's queries."""
+    rng = np.random.default_rng(3)
+    index = vectors.VectorIndex(spark.createDataFrame([(i, rng.normal(size=32).tolist()) for i in range(400)], "id long, v array<double>"), "id", "v", lists=40)
+    monkeypatch.setattr(vectors, "AT_ONCE", 640)
+    asked = index.rows.select("id", "items", "weights", F.lit(None).cast("double").alias("r"))
+    wanted, taken = index._probed(asked, None).count(), []
+    with monkeypatch.context() as m:
+        m.setattr(type(asked), "mapInArrow", lambda self, run, schema: taken.append(run))
+        index._probed(asked, None)
+    made = [b.num_rows for b in taken[0](iter(asked.toArrow().combine_chunks().to_batches()))]
+    assert sum(made) == wanted > 400 * 20 and max(made) <= vectors.AT_ONCE // 32
+
+
 def test_recall_on_the_embeddings(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     index = vectors.VectorIndex(table, "vec_id", "embedding")
