@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, scoring, text
+from ..staging import small, staged
 
 # How a continued session begins.
 CONTINUED = r"(?i)this session is being continued from|summary below covers the earlier portion"
@@ -90,9 +91,22 @@ def keyword_frequency(rows: DataFrame, group: str, content: Column, k: int) -> D
 
 
 def common_keywords(members: DataFrame, cluster: str, member: str, words: Column, part: float = 0.3) -> DataFrame:
-    """Words that stand in at least `part` of a cluster's members."""
-    sizes = members.groupBy(cluster).agg(F.countDistinct(member).alias("size"))
-    counts = members.select(cluster, member, F.explode(F.array_distinct(words)).alias("word")).groupBy(cluster, "word").agg(F.countDistinct(member).alias("n"))
+    """Words that stand in at least `part` of a cluster's members.
+
+    Words of a member with one row are counted where they are read; only those of members with several rows move, to be made distinct.
+    """
+    key, members = [cluster, member], members.dropna(subset=[cluster, member])
+    rows = staged(members.groupBy(*key).agg(F.count("*").alias("rows")), "member_rows")
+    sizes = rows.groupBy(cluster).agg(F.count("*").alias("size"))
+    several = rows.filter("rows > 1").select(*key)
+    each = lambda some: some.select(*key, F.explode(F.array_distinct(words)).alias("word"))
+    counted = lambda some: some.groupBy(cluster, "word").agg(F.count("*").alias("n"))
+    if several.limit(1).count():
+        several = small(several)
+        parts = counted(each(members.join(several, key, "left_anti"))).unionByName(counted(each(members.join(several, key, "left_semi")).distinct()))
+        counts = parts.groupBy(cluster, "word").agg(F.sum("n").alias("n"))
+    else:
+        counts = counted(each(members))
     return counts.join(sizes, cluster).filter(F.col("n") >= F.greatest(F.lit(1), F.ceil(F.round(F.col("size") * part, 9)))).select(cluster, "word", "n")
 
 

@@ -8,8 +8,10 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from lorequarry.operators import clustering, duplicates, joins
+from lorequarry.functions import text
+from lorequarry.operators import clustering, duplicates, joins, mining
 from lorequarry.plans import queries_near
 from lorequarry.sources import transcripts
 from lorequarry.staging import staged
@@ -168,3 +170,14 @@ def test_vectors_of_grams_in_both_plans(spark, sf, monkeypatch):
     monkeypatch.setattr(clustering, "fits", lambda df: False)
     two = {(r["doc_id"], r["slot"]): r["weight"] for r in clustering.hashed_terms(docs, "doc_id", "text").collect()}
     assert one == pytest.approx(two) and len(one) > 1000 and not any(i >= 900 for i, _ in one)
+
+
+def test_common_keywords_count_members_once(spark):
+    """A member with several rows counts once for a word; where each has one row, no row of a word and a member moves."""
+    rows = [("a", 1, "red nut"), ("a", 1, "red red"), ("a", 2, "red"), ("a", None, "nut"), (None, 3, "nut"), ("b", 1, "gear gear"), ("b", 4, None)]
+    table = spark.createDataFrame(rows, "c string, m long, t string")
+    found = lambda df: mining.common_keywords(df, "c", "m", text.words(F.col("t")), 0.5)
+    assert sorted(map(tuple, found(table).collect())) == [("a", "nut", 1), ("a", "red", 2), ("b", "gear", 1)]
+    once = found(table.filter("not t = 'red red'"))
+    assert sorted(map(tuple, once.collect())) == [("a", "nut", 1), ("a", "red", 2), ("b", "gear", 1)]
+    assert "distinct" not in once._jdf.queryExecution().optimizedPlan().toString().lower().replace("array_distinct", "")
