@@ -44,7 +44,10 @@ def centroids(rows: DataFrame, label: str, vector: str) -> DataFrame:
 
 def _grams(text: str) -> Counter:
     """The pairs and triples of neighbouring characters."""
-    return Counter(map(str.__add__, text, text[1:])) + Counter(text[i : i + 3] for i in range(len(text) - 2))
+    pairs = list(map(str.__add__, text, text[1:]))
+    found = Counter(pairs)
+    found.update(map(str.__add__, pairs, text[2:]))
+    return found
 
 
 def hashed_terms(docs: DataFrame, ident: str, content: str, dimensions: int = 2048) -> DataFrame:

@@ -181,3 +181,10 @@ def test_common_keywords_count_members_once(spark):
     once = found(table.filter("not t = 'red red'"))
     assert sorted(map(tuple, once.collect())) == [("a", "nut", 1), ("a", "red", 2), ("b", "gear", 1)]
     assert "distinct" not in once._jdf.queryExecution().optimizedPlan().toString().lower().replace("array_distinct", "")
+
+
+def test_grams_of_a_text_are_counted_once(monkeypatch):
+    """Pairs and triples, in one counter; adding two of them goes through every gram again."""
+    monkeypatch.setattr(collections.Counter, "__add__", None)
+    for t in ("", "a", "ab", "abab", "aaaa\u4e2d"):
+        assert clustering._grams(t) == collections.Counter([t[i : i + n] for n in (2, 3) for i in range(len(t) - n + 1)])
