@@ -177,3 +177,48 @@ def test_quality_of_rules_in_code_and_in_many_tasks(spark, sf):
     assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     reasons = queries_quality.QUERIES["noise_filter"](spark, sf)
     assert "lambdafunction" not in reasons._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+
+
+@pytest.mark.parametrize("same_size", [False, True])
+def test_rare_items_are_counted_where_they_meet(spark, monkeypatch, same_size):
+    """Pairs of several small parts are those of a loop, with what they carry; a pair leaves a task once, and no sooner than it shares what is asked for."""
+    tables = {}
+
+    def seen(df, name):
+        tables[name] = staged(df, name)
+        return tables[name]
+
+    for name, value in (("staged", seen), ("LEAST_ROWS", 0), ("PAIRS", 40), ("STEP_ITEMS", 25), ("RARE_ROWS", 30), ("RARE_ITEMS", 400), ("ORDER_ROWS", 100), ("CANDIDATES", 1000)):
+        monkeypatch.setattr(near, name, value, raising=False)
+    rnd = random.Random(5)
+    sets = {}
+    for i in range(300):
+        size = 12 if same_size else rnd.choice([1, 2, 5, 40])
+        sets[i] = {int(2000 * rnd.random() ** 2) for _ in range(size)} if i % 3 or not i else {x for x in sets[rnd.randrange(i)] if rnd.random() < 0.9} | {rnd.randrange(2000)}
+    block = {i: "b" if i % 7 == 0 else "hot" for i in sets}
+    rows = staged(spark.createDataFrame([(block[i], i, sorted(s), 3 * i) for i, s in sets.items()], "block string, id long, items array<long>, copies long"), "rows")
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    got = sorted((r["a"], r["b"], round(r["score"], 5), r["copies_a"], r["copies_b"]) for r in near.similar(rows, ["block"], 0.6, carried=["copies"]).collect())
+    assert got == [(a, b, round(like(a, b), 5), 3 * a, 3 * b) for a in sets for b in sets if a < b and block[a] == block[b] and like(a, b) >= 0.6] and len(got) > 20
+    met = [(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in tables["candidates"].collect()]
+    assert len(met) == len(set(met)) < 10 * len(got)
+    assert max(r["parts"] for r in tables["parts"].collect()) > 2
+
+
+def test_pairs_of_bigrams_move_no_more_once_made(spark, sf):
+    """What stands beside a pair comes with its rows into the tile, so no join follows; staged tables leave no shuffle behind."""
+    plan = catalog.QUERIES["bigram_jaccard_pairs"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan.split("FlatMapGroupsInArrow")[0]
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    staged(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "counted").count()
+    staged(spark.range(1000).groupBy((F.col("id") % 10).alias("k")).count(), "counted")
+    assert files() <= before + 4
+
+
+def test_rows_of_small_blocks_go_to_one_part(spark):
+    """Beside nine others a block of 4000 rows is one part, as there are tasks enough."""
+    rows = spark.range(40_000).selectExpr("id % 10 as block", "id", "array(id) as items")
+    assert {r["parts"] for r in near._parts(rows, ["block"], F.lit(0)).collect()} == {4}
+    rows = spark.range(40_000).selectExpr("id % 40 as block", "id", "array(id, id + 1, id + 2) as items")
+    assert {r["parts"] for r in near._parts(rows, ["block"], F.lit(0)).collect()} == {1}
