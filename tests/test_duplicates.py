@@ -204,3 +204,24 @@ def test_clusters_of_like_patterns_need_no_pairs(spark, monkeypatch):
     seen = compared(monkeypatch)
     rows = spark.createDataFrame([(i, "p", ["memo"], "use hooks now", None, 0.5) for i in range(200)], PATTERN)
     assert {r["pattern_id"]: r["leader"] for r in duplicates.pattern_clusters(rows).collect()} == {i: i - i % 10 for i in range(200)} and seen == []
+
+
+def test_pattern_pairs_of_large_classes(spark, sf, monkeypatch):
+    """A class with many members is joined in pieces and gives the rows of a loop; similarities are rounded for classes, not for rows."""
+    from lorequarry.plans import queries_near
+    from lorequarry.staging import staged
+
+    tables = {}
+
+    def seen(df, name):
+        tables[name] = staged(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(duplicates, "staged", seen)
+    monkeypatch.setattr(duplicates, "MEMBERS", 4, raising=False)
+    rows = [(i, "t", ["red", "blue", "green"][: 2 + i % 2], "paint the house", None, 0.5) for i in range(30)]
+    got = sorted((r["a"], r["b"], r["similarity"]) for r in duplicates.pattern_pairs(spark.createDataFrame(rows, PATTERN), 0.7, 3).collect())
+    assert got == [(i, j, 0.9 if i % 2 == j % 2 else 0.767) for i in range(30) for j in range(i + 1, 30)]
+    assert sorted(r["pieces"] for r in tables["large_classes"].collect()) == [4, 4]
+    plan = queries_near.QUERIES["pattern_pairs"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "round(" not in plan
